@@ -56,3 +56,47 @@ def top_k(df: DataFrame, part: list[str], order: list[Column], k: int,
     return (df.withColumn(rank_col, F.row_number().over(w))
               .filter(F.col(rank_col) <= k)
               .withColumn(rank_col, F.col(rank_col).cast("bigint")))
+
+
+def ordered_prefix(df: DataFrame, group: list[str], order: list[str], value: Column | None = None,
+                   partitions: int | None = None) -> DataFrame:
+    """Add ``_pos`` (0-based position) and, with ``value``, ``_cum`` (inclusive running sum)
+    per ``group`` under ``order``, without sending a whole group to one task.
+
+    The rows are range-partitioned on (group, order), so a hot group spans many
+    tasks; each task numbers and sums its own rows, and a group that continues
+    from earlier tasks adds their totals. Only the first group of each task can
+    continue, so the offset table has at most one row per task and its broadcast
+    is bounded by the partition count. Group keys must be non-null.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    parted = (df.repartitionByRange(n, *group, *order)
+                .withColumn("_task", F.spark_partition_id()))
+    local = Window.partitionBy(*group, "_task").orderBy(*order)
+    out = parted.withColumn("_pos", F.row_number().over(local) - 1)
+    aggs = [F.count("*").alias("_n")]
+    if value is not None:
+        out = out.withColumn("_cum", F.sum(value).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+        aggs.append(F.sum(value).alias("_s"))
+    totals = parted.groupBy(*group, "_task").agg(*aggs)
+    prior = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_opos", F.sum("_n").over(prior))
+    if value is not None:
+        offsets = offsets.withColumn("_ocum", F.sum("_s").over(prior))
+    offsets = offsets.filter(F.col("_opos").isNotNull()).drop("_n", "_s")
+    out = out.join(F.broadcast(offsets), group + ["_task"], "left")
+    out = out.withColumn("_pos", (F.col("_pos") + F.coalesce(F.col("_opos"), F.lit(0))).cast("bigint"))
+    if value is not None:
+        out = out.withColumn("_cum", F.col("_cum") + F.coalesce(F.col("_ocum"), F.lit(0)))
+        out = out.drop("_ocum")
+    return out.drop("_task", "_opos")
+
+
+def dense_index(df: DataFrame, group: list[str], order: list[str], out: str = "idx",
+                partitions: int | None = None) -> DataFrame:
+    """0-based dense position per ``group`` under ``order`` (distributed ``zipWithIndex``)."""
+    if not group:
+        d = df.withColumn("_g", F.lit(0))
+        return ordered_prefix(d, ["_g"], order, partitions=partitions) \
+            .withColumnRenamed("_pos", out).drop("_g")
+    return ordered_prefix(df, group, order, partitions=partitions).withColumnRenamed("_pos", out)
