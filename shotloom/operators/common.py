@@ -100,3 +100,17 @@ def dense_index(df: DataFrame, group: list[str], order: list[str], out: str = "i
         return ordered_prefix(d, ["_g"], order, partitions=partitions) \
             .withColumnRenamed("_pos", out).drop("_g")
     return ordered_prefix(df, group, order, partitions=partitions).withColumnRenamed("_pos", out)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a small input over the cluster before CPU-heavy row work.
+
+    Only when the input has fewer partitions than the default parallelism (a
+    single small file); large inputs are already split by the file scan and are
+    returned unchanged, so no shuffle is added at scale.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

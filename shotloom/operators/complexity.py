@@ -16,7 +16,8 @@ SET_OPS = ("intersect", "union", "except")
 
 
 def _n_tok(toks: Column, word: str) -> Column:
-    return F.size(F.filter(toks, lambda x: x == F.lit(word))).cast("bigint")
+    """Occurrences of ``word`` in a token array (``array_remove`` stays in codegen; no lambda)."""
+    return (F.size(toks) - F.size(F.array_remove(toks, word))).cast("bigint")
 
 
 def _n_sub(s: Column, pat: str) -> Column:
@@ -42,9 +43,9 @@ def sql_shape(df: DataFrame, query: str = "query") -> DataFrame:
     tk, s = F.col("_tk"), F.col("_j")
     stops = (" from ", " where ", " group by ", " order by ", " having ", " limit ",
              " intersect ", " union ", " except ", " ) ")
-    sel = _clause(s, " select ", stops)
-    grp = _clause(s, " group by ", stops[3:])
-    whr = _clause(s, " where ", stops[2:])
+    d = d.select("*", _clause(s, " select ", stops).alias("_sel"), _clause(s, " group by ", stops[3:]).alias("_grp"),
+                 _clause(s, " where ", stops[2:]).alias("_whr"))
+    sel, grp, whr = F.col("_sel"), F.col("_grp"), F.col("_whr")
     out = d.select(
         "*",
         _n_tok(tk, "where").alias("n_where"),
@@ -56,14 +57,14 @@ def sql_shape(df: DataFrame, query: str = "query") -> DataFrame:
         _n_tok(tk, "like").alias("n_like"),
         _n_sub(s, " ( select ").alias("n_nested"),
         (_n_tok(tk, "intersect") + _n_tok(tk, "union") + _n_tok(tk, "except")).alias("n_setop"),
-        F.size(F.filter(tk, lambda x: x.isin(*AGG_FUNCS))).cast("bigint").alias("n_agg"),
+        sum((_n_tok(tk, w) for w in AGG_FUNCS[1:]), _n_tok(tk, AGG_FUNCS[0])).alias("n_agg"),
         _n_tok(tk, "select").alias("n_select"),
         (_n_sub(sel, " , ") + 1).alias("n_select_cols"),
         F.when(F.length(F.trim(whr)) > 0,
                _n_sub(whr, " and ") + _n_sub(whr, " or ") + 1).otherwise(0).cast("bigint").alias("n_where_conds"),
         F.when(F.length(F.trim(grp)) > 0, _n_sub(grp, " , ") + 1).otherwise(0).cast("bigint").alias("n_group_cols"),
     )
-    return out.drop("_tk", "_j")
+    return out.drop("_tk", "_j", "_sel", "_grp", "_whr")
 
 
 def complexity(shape: DataFrame) -> DataFrame:

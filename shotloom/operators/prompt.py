@@ -93,16 +93,23 @@ def packed_cost(mode: str, pos: Column, cum: Column, sep: Column, fixed: Column)
 
 def pack(demos: DataFrame, budget: Column, cost: Column, mode: str = "section",
          sep_tokens: Column | None = None, fixed: Column | None = None,
-         part: str = "target_id", order: str = "rank") -> DataFrame:
+         part: str = "target_id", order: str = "rank", bounded: bool = False) -> DataFrame:
     """Flag ``kept`` on the longest prefix (by ``order``) whose cost fits ``budget``.
 
     Greedy with a stop at the first overflow equals this prefix because costs are
-    non-negative; positions and running sums come from :func:`ordered_prefix`,
-    so even one huge candidate list is spread over many tasks.
+    non-negative. With ``bounded`` (at most k candidates per key, e.g. top-k
+    picks) a plain window does it; otherwise positions and running sums come
+    from :func:`ordered_prefix`, so even one huge candidate list spans many tasks.
     """
     sep = sep_tokens if sep_tokens is not None else F.lit(0)
     fx = fixed if fixed is not None else F.lit(0)
-    d = ordered_prefix(demos.withColumn("_cost", cost), [part], [order], value=F.col("_cost"))
+    if bounded:
+        w = Window.partitionBy(part).orderBy(order)
+        d = (demos.withColumn("_cost", cost)
+                  .withColumn("_pos", F.row_number().over(w) - 1)
+                  .withColumn("_cum", F.sum("_cost").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    else:
+        d = ordered_prefix(demos.withColumn("_cost", cost), [part], [order], value=F.col("_cost"))
     used = packed_cost(mode, F.col("_pos"), F.col("_cum"), sep, fx)
     return d.withColumn("kept", used <= budget).drop("_cost", "_pos", "_cum")
 
@@ -122,11 +129,24 @@ def build_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas
     instr = tpl["instruction"]
     n_instr = _ntok(F.lit(instr)) if instr is not None else F.lit(0)
 
+    # With whitespace separators no token spans two parts, so a text's count is
+    # the sum of its parts' counts: the schema is counted once per database and
+    # the final prompt is never re-tokenised.
+    additive = all(tpl[k].strip() == "" for k in ("q_sep", "demo_sep", "section_sep"))
+    schemas = schemas.withColumn("schema_tokens", _ntok(F.col("schema_text")))
     t = join_small_side(targets, schemas, ["db_id"], salt_of=F.col("idx"), how="left")
     ev = F.col(evidence) if evidence else None
     t = t.withColumn("q_section", fill_question_section(tpl, F.col("question"), F.col("schema_text"), ev))
+    if additive:
+        row_part = fill_question_section({**tpl, "q_prefix": None, "q_suffix": None}, F.col("question"),
+                                         F.lit(None).cast("string"), ev)
+        q_tokens = (_ntok(F.lit(tpl["q_prefix"] or "")) + F.coalesce(F.col("schema_tokens"), F.lit(0))
+                    + _ntok(F.lit(tpl["q_suffix"] or "")) + _ntok(row_part))
+    else:
+        q_tokens = _ntok(F.col("q_section"))
+    t = t.withColumn("q_tokens", q_tokens)
     n_valid = F.lit(2 if instr is not None else 1)
-    t = t.withColumn("balance", F.lit(tpl["max_tokens"]) - n_instr - _ntok(F.col("q_section"))
+    t = t.withColumn("balance", F.lit(tpl["max_tokens"]) - n_instr - F.col("q_tokens")
                      - (n_valid - 1) * n_sec_sep - n_sec_sep)
 
     prefix, suffix = tpl["demo_prefix"], tpl["demo_suffix"]
@@ -138,14 +158,17 @@ def build_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas
     d = picks.join(p, "demo_id").withColumn("dtext", format_demo(tpl["demo_format"], F.col("dq"), F.col("dsql")))
     d = d.join(t.select(F.col("idx").alias("target_id"), "balance"), "target_id")
     d = pack(d.withColumn("cost", _ntok(F.col("dtext"))), F.col("balance"), F.col("cost"),
-             mode="section", sep_tokens=_ntok(F.lit(demo_sep)), fixed=fixed)
+             mode="section", sep_tokens=_ntok(F.lit(demo_sep)), fixed=fixed, bounded=True)
     agg = (d.groupBy("target_id")
-            .agg(F.sort_array(F.collect_list(F.struct("rank", "demo_id", "dtext", "kept"))).alias("ds")))
+            .agg(F.sort_array(F.collect_list(F.struct("rank", "demo_id", "dtext", "kept",
+                                                      F.col("cost").cast("bigint").alias("cost")))).alias("ds")))
     agg = agg.select(
         "target_id",
         F.transform("ds", lambda x: x["demo_id"]).alias("demonstrations_idxs"),
         F.size("ds").cast("bigint").alias("num_demonstrations"),
-        F.transform(F.filter("ds", lambda x: x["kept"]), lambda x: x["dtext"]).alias("kept_texts"))
+        F.transform(F.filter("ds", lambda x: x["kept"]), lambda x: x["dtext"]).alias("kept_texts"),
+        F.aggregate(F.filter("ds", lambda x: x["kept"]), F.lit(0).cast("bigint"),
+                    lambda acc, x: acc + x["cost"]).alias("kept_tokens"))
     out = t.join(agg, t["idx"] == agg["target_id"], "left").drop("target_id")
     kept = F.coalesce(F.col("kept_texts"), F.array().cast("array<string>"))
     demo_parts = [F.lit(prefix)] if prefix is not None else []
@@ -155,8 +178,14 @@ def build_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas
     demo_section = F.concat_ws(demo_sep, *demo_parts)
     sections = ([F.lit(instr)] if instr is not None else []) + [demo_section, F.col("q_section")]
     out = out.withColumn("prompt", F.concat_ws(sec_sep, *sections))
-    out = out.withColumn("num_tokens", _ntok(F.col("prompt")))
+    if additive:
+        demo_tokens = (fixed - F.lit(int(prefix is not None) + int(suffix is not None)) * _ntok(F.lit(demo_sep))
+                       + F.coalesce(F.col("kept_tokens"), F.lit(0)))
+        out = out.withColumn("num_tokens", (n_instr + demo_tokens + F.col("q_tokens")).cast("bigint"))
+    else:
+        out = out.withColumn("num_tokens", _ntok(F.col("prompt")))
     out = out.withColumn("num_packed", F.size(kept).cast("bigint"))
     out = out.withColumn("status", F.when(F.col("num_tokens") > tpl["max_tokens"], "over_budget")
                                     .when(F.length("prompt") == 0, "empty").otherwise("ok"))
-    return out.drop("kept_texts", "q_section", "balance", "schema_text")
+    return out.drop("kept_texts", "kept_tokens", "q_section", "q_tokens", "balance", "schema_text",
+                    "schema_tokens")

@@ -116,14 +116,14 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
     tg = F.col(target_group) if target_group else F.lit("")
     pg = F.col(pool_group) if pool_group else F.lit("")
     p = pool.select(F.col(pool_id).alias("demo_id"), pg.cast("string").alias("grp"))
-    p = p.withColumn("u", hashing.uniform(seed, F.col("demo_id")))
+    p = p.withColumn("u", hashing.uniform(seed, F.col("demo_id"))).persist()
     sizes = p.groupBy("grp").agg(F.count("*").alias("n_g"))
     sizes = sizes.withColumn("B", F.greatest(F.lit(1), F.ceil(F.col("n_g") / F.lit(k))).cast("bigint"))
     sizes_b, ok = broadcast_if_bounded(sizes)
     p = p.join(sizes_b, "grp").withColumn("bucket", F.floor(F.col("u") * F.col("B")).cast("bigint"))
     t = targets.select(F.col(target_id).alias("target_id"), tg.cast("string").alias("grp"))
     t = t.withColumn("s", hashing.uniform(seed, "t", F.col("target_id")))
-    t = t.join(sizes_b, "grp").withColumn("b0", F.floor(F.col("s") * F.col("B")).cast("bigint"))
+    t = t.join(sizes_b, "grp").withColumn("b0", F.floor(F.col("s") * F.col("B")).cast("bigint")).persist()
     need = k
 
     results = []
@@ -136,8 +136,8 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
                                F.explode(F.sequence(F.lit(0), span)).alias("off"), "b0")
         probe = probe.select("target_id", "grp", "s", "B", "W",
                              F.pmod(F.col("b0") + F.col("off"), F.col("B")).alias("bucket"))
-        cand = join_small_side(p.select("grp", "bucket", "demo_id", "u"), probe,
-                               ["grp", "bucket"], salt_of=F.col("demo_id"))
+        # (grp, bucket) keys hold ~k pool rows each by construction: no hot key, plain shuffle join.
+        cand = p.select("grp", "bucket", "demo_id", "u").join(probe, ["grp", "bucket"])
         if exclude_self:
             cand = cand.filter(F.col("target_id") != F.col("demo_id"))
         h = F.col("u") - F.col("s")

@@ -489,6 +489,73 @@ def q_repair_report(spark, sf_dir):
     return V.repair_report(_repaired(spark, sf_dir))
 
 
+# --- end-to-end prompt construction ---------------------------------------------------------
+
+def _class_picks_sql() -> str:
+    return f"""tq AS (SELECT qid, {_sql_toks_sql('query')} AS tk FROM qlog),
+cl AS (SELECT qid, {_CLASS_SQL} AS cls FROM tq),
+ct AS (SELECT qid AS target_id, cls, {uniform_sql(str(SEED), "'t'", 'qid')} AS s FROM cl),
+cp AS (SELECT qid AS demo_id, cls, {uniform_sql(str(SEED), 'qid')} AS u FROM cl),
+cpairs AS (SELECT target_id, demo_id, CASE WHEN u - s < 0 THEN u - s + 1.0 ELSE u - s END AS h
+           FROM ct JOIN cp USING (cls) WHERE target_id <> demo_id),
+picks AS (SELECT * FROM (SELECT target_id, demo_id,
+            CAST(row_number() OVER (PARTITION BY target_id ORDER BY h, demo_id) AS BIGINT) AS rank FROM cpairs)
+          WHERE rank <= {K})"""
+
+
+def _prompt_build_sql() -> str:
+    from shotloom.functions.constants import TEMPLATES
+    tpl = TEMPLATES["template_option_1"]
+    nl2 = "chr(10) || chr(10)"
+    instr = D.lit(tpl["instruction"])
+    qsec = (f"concat_ws({nl2}, {D.lit(tpl['q_prefix'])}, s.schema_text, "
+            f"'### Answer the following question: ' || t.question, {D.lit(tpl['q_suffix'])})")
+    return f"""
+WITH {D.QLOG_CTE}, {D.catalog_ctes()}, {_class_picks_sql()},
+t AS (SELECT qid AS idx, question, 'star' AS db_id FROM qlog),
+tqs AS (SELECT t.idx, {qsec} AS q_section FROM t LEFT JOIN schema_t s ON s.db_id = t.db_id),
+tb AS (SELECT idx, q_section, 4096 - {D.ntok(instr)} - {D.ntok('q_section')} - 2 * {D.ntok(nl2)} AS balance FROM tqs),
+d AS (SELECT p.target_id, p.demo_id, p.rank,
+             '### Answer the following question: ' || coalesce(q.question, '') || chr(10) || coalesce(q.query, '') AS dtext
+      FROM picks p JOIN qlog q ON q.qid = p.demo_id),
+dc AS (SELECT d.*, {D.ntok('dtext')} AS cost, tb.balance FROM d JOIN tb ON tb.idx = d.target_id),
+dw AS (SELECT *, rank - 1 AS pos,
+         sum(cost) OVER (PARTITION BY target_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+       FROM dc),
+dk AS (SELECT *, {D.ntok(D.lit(tpl['demo_prefix']))} + {D.ntok(nl2)} + cum + pos * {D.ntok(nl2)} <= balance AS kept FROM dw),
+agg AS (SELECT target_id, array_to_string(list(CAST(demo_id AS VARCHAR) ORDER BY rank), ',') AS ids,
+               CAST(count(*) AS BIGINT) AS n_demo,
+               coalesce(list(dtext ORDER BY rank) FILTER (WHERE kept), []) AS kept_texts
+        FROM dk GROUP BY target_id),
+pr AS (SELECT tb.idx, coalesce(agg.ids, '') AS demonstrations_idxs, coalesce(agg.n_demo, 0) AS num_demonstrations,
+              CAST(len(coalesce(agg.kept_texts, [])) AS BIGINT) AS num_packed,
+              concat_ws({nl2}, {instr},
+                        concat_ws({nl2}, {D.lit(tpl['demo_prefix'])}, array_to_string(coalesce(agg.kept_texts, []), {nl2})),
+                        tb.q_section) AS prompt
+       FROM tb LEFT JOIN agg ON agg.target_id = tb.idx)
+SELECT idx, demonstrations_idxs, num_demonstrations, num_packed, prompt, {D.ntok('prompt')} AS num_tokens,
+       CASE WHEN {D.ntok('prompt')} > 4096 THEN 'over_budget' WHEN length(prompt) = 0 THEN 'empty' ELSE 'ok' END AS status
+FROM pr
+"""
+
+
+@query("prompt_build", oracle=_prompt_build_sql())
+def q_prompt_build(spark, sf_dir):
+    q = S.qlog(spark, sf_dir)
+    c = q.select("qid", R.structure_class(T.sql_tokens("query")).alias("cls"))
+    picks = R.seeded_sample(c, c, K, SEED, target_id="qid", pool_id="qid",
+                            target_group="cls", pool_group="cls", exclude_self=True)
+    targets = q.select(F.col("qid").alias("idx"), "question", F.lit("star").alias("db_id"))
+    pool = q.select(F.col("qid").alias("idx"), "question", "query")
+    schemas = CAT.schema_text(CAT.catalog_columns(spark, sf_dir))
+    out = PR.build_prompts(targets, picks, pool, schemas, "template_option_1")
+    return out.select("idx",
+                      F.coalesce(F.array_join(F.transform("demonstrations_idxs", lambda x: x.cast("string")), ","),
+                                 F.lit("")).alias("demonstrations_idxs"),
+                      F.coalesce("num_demonstrations", F.lit(0)).cast("bigint").alias("num_demonstrations"),
+                      "num_packed", "prompt", "num_tokens", "status")
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Flagship: top-5 Jaccard demonstrations for every benchmark question."""
     return QUERIES["retrieve_jaccard"](spark, sf_dir)

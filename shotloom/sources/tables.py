@@ -55,7 +55,8 @@ FROM orders"""
 
 def qlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query log: (qid, db_id, shape, question, query), one row per order."""
-    load(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    from shotloom.operators.common import spread
+    spread(load(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
     return spark.sql(QLOG_SQL)
 
 
