@@ -556,6 +556,36 @@ def q_prompt_build(spark, sf_dir):
                       "num_packed", "prompt", "num_tokens", "status")
 
 
+# --- SQL graph tables -----------------------------------------------------------------------
+
+from shotloom.operators import sqlgraph as G  # noqa: E402
+
+_GSRC = (f"{D.QLOG_CTE} SELECT qid, {D.double_to_single(D.join_split_ops(D.postprocess('query')))} AS q FROM qlog")
+
+
+def _graph_pair(name: str, select: str):
+    @query(name, oracle=G.duck_graph_query(f"WITH {_GSRC}", select))
+    def _q(spark, sf_dir):
+        return G.graph_query(S.qlog(spark, sf_dir).select("qid", "query"), select)
+    return _q
+
+
+_graph_pair("sql_tokens", "SELECT qid, pos, tok, kind, CAST(depth AS BIGINT) AS depth FROM tk")
+_graph_pair("sql_alias_map", "SELECT DISTINCT qid, tok AS alias, prv2 AS table_name FROM tk WHERE kind = 'alias'")
+_graph_pair("sql_nodes", "SELECT qid, node_id, val, type FROM nodes")
+_graph_pair("sql_edges", "SELECT qid, src, dst, label FROM edges")
+_graph_pair("sql_columns", "SELECT qid, pos, tok, cname AS column_name, coalesce(ctable, 'UNRESOLVED') AS table_name "
+            "FROM tk WHERE kind = 'column'")
+_graph_pair("sql_graph_stats", """SELECT n.qid, n.n_nodes, coalesce(e.n_edges, 0) AS n_edges,
+  n.n_tables, n.n_columns, n.n_values FROM
+  (SELECT qid, CAST(count(*) AS BIGINT) AS n_nodes, CAST(sum(CASE WHEN type = 'TABLE' THEN 1 ELSE 0 END) AS BIGINT) AS n_tables,
+          CAST(sum(CASE WHEN type = 'COLUMN' THEN 1 ELSE 0 END) AS BIGINT) AS n_columns,
+          CAST(sum(CASE WHEN type = 'VALUE' THEN 1 ELSE 0 END) AS BIGINT) AS n_values FROM nodes GROUP BY qid) n
+  LEFT JOIN (SELECT qid, CAST(count(*) AS BIGINT) AS n_edges FROM edges GROUP BY qid) e ON e.qid = n.qid""")
+_graph_pair("tables_columns", """SELECT qid, dst AS table_node, CAST(count(*) AS BIGINT) AS n_columns
+  FROM edges WHERE label = 'belongs_to' GROUP BY qid, dst""")
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Flagship: top-5 Jaccard demonstrations for every benchmark question."""
     return QUERIES["retrieve_jaccard"](spark, sf_dir)
