@@ -94,7 +94,8 @@ def jaccard_pair(a: Column, b: Column) -> Column:
 def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
                   target_id: str = "idx", pool_id: str = "idx",
                   target_group: str | None = None, pool_group: str | None = None,
-                  exclude_self: bool = False, start_window: int = 4) -> DataFrame:
+                  exclude_self: bool = False, start_window: int = 4,
+                  target_attr: str | None = None, pool_attr: str | None = None) -> DataFrame:
     """Seeded k-sample without replacement per target, optionally within a group.
 
     Each pool row gets ``u = uniform(seed, id)`` and each target a start
@@ -115,13 +116,17 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
                               F.lit(None).cast("bigint").alias("rank")).limit(0)
     tg = F.col(target_group) if target_group else F.lit("")
     pg = F.col(pool_group) if pool_group else F.lit("")
-    p = pool.select(F.col(pool_id).alias("demo_id"), pg.cast("string").alias("grp"))
+    pa = F.col(pool_attr) if pool_attr else F.lit(None)
+    ta = F.col(target_attr) if target_attr else F.lit(None)
+    p = pool.select(F.col(pool_id).alias("demo_id"), pg.cast("string").alias("grp"),
+                    pa.cast("string").alias("p_attr"))
     p = p.withColumn("u", hashing.uniform(seed, F.col("demo_id"))).persist()
     sizes = p.groupBy("grp").agg(F.count("*").alias("n_g"))
     sizes = sizes.withColumn("B", F.greatest(F.lit(1), F.ceil(F.col("n_g") / F.lit(k))).cast("bigint"))
     sizes_b, ok = broadcast_if_bounded(sizes)
     p = p.join(sizes_b, "grp").withColumn("bucket", F.floor(F.col("u") * F.col("B")).cast("bigint"))
-    t = targets.select(F.col(target_id).alias("target_id"), tg.cast("string").alias("grp"))
+    t = targets.select(F.col(target_id).alias("target_id"), tg.cast("string").alias("grp"),
+                       ta.cast("string").alias("t_attr"))
     t = t.withColumn("s", hashing.uniform(seed, "t", F.col("target_id")))
     t = t.join(sizes_b, "grp").withColumn("b0", F.floor(F.col("s") * F.col("B")).cast("bigint")).persist()
     need = k
@@ -132,14 +137,17 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
     while True:
         # Offsets 0..W (capped at B-1, which covers the whole group).
         span = F.least(F.lit(window), F.col("B") - 1)
-        probe = pending.select("target_id", "grp", "s", "B", span.alias("W"),
+        probe = pending.select("target_id", "grp", "s", "B", "t_attr", span.alias("W"),
                                F.explode(F.sequence(F.lit(0), span)).alias("off"), "b0")
-        probe = probe.select("target_id", "grp", "s", "B", "W",
+        probe = probe.select("target_id", "grp", "s", "B", "W", "t_attr",
                              F.pmod(F.col("b0") + F.col("off"), F.col("B")).alias("bucket"))
         # (grp, bucket) keys hold ~k pool rows each by construction: no hot key, plain shuffle join.
-        cand = p.select("grp", "bucket", "demo_id", "u").join(probe, ["grp", "bucket"])
+        cand = p.select("grp", "bucket", "demo_id", "u", "p_attr").join(probe, ["grp", "bucket"])
         if exclude_self:
             cand = cand.filter(F.col("target_id") != F.col("demo_id"))
+        if target_attr and pool_attr:
+            # only pool rows whose attribute (e.g. database) differs from the target's.
+            cand = cand.filter(~F.col("t_attr").eqNullSafe(F.col("p_attr")))
         h = F.col("u") - F.col("s")
         cand = cand.withColumn("h", F.when(h < 0, h + F.lit(1.0)).otherwise(h))
         complete = F.col("W") >= F.col("B") - 1

@@ -586,6 +586,113 @@ _graph_pair("tables_columns", """SELECT qid, dst AS table_node, CAST(count(*) AS
   FROM edges WHERE label = 'belongs_to' GROUP BY qid, dst""")
 
 
+# --- contrastive pairs and metrics ------------------------------------------------------------
+
+from shotloom.operators import contrast as N  # noqa: E402
+
+N_POS, N_NEG, BATCH = 3, 5, 8
+
+
+def _emb(spark, sf_dir):
+    return S.load(spark, sf_dir, "embeddings").withColumn("db_id", F.col("label").cast("string"))
+
+
+_E_CTE = "e AS (SELECT vec_id, CAST(label AS VARCHAR) AS db, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+def _sample_sql(name: str, k: int, join_cond: str) -> str:
+    return f"""{name}_t AS (SELECT vec_id AS target_id, db, {uniform_sql(str(SEED), "'t'", 'vec_id')} AS s FROM e),
+{name}_p AS (SELECT vec_id AS demo_id, db, {uniform_sql(str(SEED), 'vec_id')} AS u FROM e),
+{name}_pairs AS (SELECT target_id, demo_id, CASE WHEN u - s < 0 THEN u - s + 1.0 ELSE u - s END AS h
+   FROM {name}_t t JOIN {name}_p p ON {join_cond}),
+{name} AS (SELECT * FROM (SELECT target_id AS anchor_id, demo_id AS member_id,
+   CAST(row_number() OVER (PARTITION BY target_id ORDER BY h, demo_id) AS BIGINT) AS slot FROM {name}_pairs) WHERE slot <= {k})"""
+
+
+_NEG_SQL = _sample_sql("negs", N_NEG, "t.db IS DISTINCT FROM p.db")
+_POS_SQL = _sample_sql("poss", N_POS, "t.db = p.db AND t.target_id <> p.demo_id")
+_PAIRS_SQL = f"""{_E_CTE}, {_NEG_SQL}, {_POS_SQL},
+pairs AS (SELECT anchor_id, 'positive' AS role, slot, member_id FROM poss
+          UNION ALL SELECT anchor_id, 'negative' AS role, slot, member_id FROM negs)"""
+
+
+@query("neg_uniform", oracle=f"WITH {_E_CTE}, {_NEG_SQL} SELECT anchor_id, member_id AS neg_id, slot FROM negs")
+def q_neg_uniform(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    return N.neg_uniform(e, e, N_NEG, SEED)
+
+
+@query("pair_mine", oracle=f"WITH {_PAIRS_SQL} SELECT * FROM pairs")
+def q_pair_mine(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    return N.pair_mine(e, e, N_POS, N_NEG, SEED)
+
+
+@query("contrastive_metrics", oracle=f"""
+WITH {_PAIRS_SQL},
+sc AS (SELECT pairs.*, exp((CASE WHEN sqrt(list_dot_product(a.v, a.v)) = 0 OR sqrt(list_dot_product(m.v, m.v)) = 0 THEN 0.0
+              ELSE list_dot_product(a.v, m.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(m.v, m.v))) END) / 0.5) AS score
+       FROM pairs JOIN e a ON a.vec_id = pairs.anchor_id JOIN e m ON m.vec_id = pairs.member_id),
+per AS (SELECT anchor_id, sum(CASE WHEN role = 'positive' THEN score ELSE 0.0 END) AS pos_sum, sum(score) AS all_sum,
+               CAST(sum(CASE WHEN role = 'positive' THEN 1 ELSE 0 END) AS BIGINT) AS n_pos,
+               CAST(sum(CASE WHEN role = 'negative' THEN 1 ELSE 0 END) AS BIGINT) AS n_neg FROM sc GROUP BY anchor_id)
+SELECT anchor_id, n_pos, n_neg, round(-ln(pos_sum / all_sum), 6) AS loss, round(pos_sum / n_pos, 6) AS avg_pos_score,
+       round((all_sum - pos_sum) / n_neg, 6) AS avg_neg_score FROM per
+""")
+def q_contrastive_metrics(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    return N.contrastive_metrics(N.pair_mine(e, e, N_POS, N_NEG, SEED), e)
+
+
+@query("batch_uniformity", oracle=f"""
+WITH {_E_CTE}, b AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {BATCH}) AS BIGINT) AS batch FROM e),
+pr AS (SELECT x.batch, CASE WHEN sqrt(list_dot_product(x.v, x.v)) = 0 OR sqrt(list_dot_product(y.v, y.v)) = 0 THEN 0.0
+         ELSE list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) END AS c
+       FROM b x JOIN b y ON x.batch = y.batch)
+SELECT batch, CAST(count(*) AS BIGINT) AS n_pairs, round(avg(c), 6) AS cos_mean, round(stddev_pop(c), 6) AS cos_std
+FROM pr GROUP BY batch
+""")
+def q_batch_uniformity(spark, sf_dir):
+    return N.batch_uniformity(S.load(spark, sf_dir, "embeddings"), BATCH)
+
+
+@query("pad_batches", oracle=f"""
+WITH g AS (SELECT conv_id, count(*) AS n, max(turn) AS last_item FROM conversations GROUP BY conv_id),
+gb AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY conv_id) - 1) / {BATCH}) AS BIGINT) AS batch FROM g),
+gm AS (SELECT *, max(n) OVER (PARTITION BY batch) AS bm FROM gb)
+SELECT c.conv_id, gm.batch, c.turn AS item, false AS padded FROM conversations c JOIN gm ON gm.conv_id = c.conv_id
+UNION ALL
+SELECT conv_id, batch, last_item AS item, true AS padded FROM (SELECT *, unnest(range(n, bm)) AS slot FROM gm)
+""")
+def q_pad_batches(spark, sf_dir):
+    return N.pad_rows(S.load(spark, sf_dir, "conversations"), "conv_id", "turn", BATCH)
+
+
+def _neg_pct_sql() -> str:
+    cos = ("CASE WHEN sqrt(list_dot_product(a.v, a.v)) = 0 OR sqrt(list_dot_product(b.v, b.v)) = 0 THEN 0.0 "
+           "ELSE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(b.v, b.v)) * sqrt(list_dot_product(a.v, a.v))) END")
+    return f"""
+WITH {_E_CTE},
+pr AS (SELECT a.vec_id AS anchor_id, b.vec_id AS nid, {cos} AS sim FROM e a JOIN e b ON a.db <> b.db),
+r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY sim, nid) - 1 AS rk,
+             count(*) OVER (PARTITION BY anchor_id) AS v FROM pr),
+av AS (SELECT DISTINCT anchor_id, v FROM r),
+bands AS (SELECT anchor_id, 'hard' AS band, CAST(floor(v * 0.3::DOUBLE) AS BIGINT) AS st,
+                 CAST(floor(v * 0.6::DOUBLE) AS BIGINT) AS sp, 2 AS cnt FROM av
+          UNION ALL SELECT anchor_id, 'easy', CAST(floor(v * 0.0::DOUBLE) AS BIGINT), CAST(floor(v * 0.3::DOUBLE) AS BIGINT), 3 FROM av),
+b2 AS (SELECT *, sp - st AS m, CAST(floor({uniform_sql(str(SEED), 'band', 'anchor_id')} * (sp - st)) AS BIGINT) AS off
+       FROM bands WHERE sp - st > 0),
+picks AS (SELECT anchor_id, band, j + 1 AS slot, st + (off + j) % m AS rk FROM (SELECT *, unnest(range(least(cnt, m))) AS j FROM b2))
+SELECT p.anchor_id, r.nid AS neg_id, p.band, CAST(p.slot AS BIGINT) AS slot FROM picks p JOIN r ON r.anchor_id = p.anchor_id AND r.rk = p.rk
+"""
+
+
+@query("neg_percentile", oracle=_neg_pct_sql())
+def q_neg_percentile(spark, sf_dir):
+    e = _emb(spark, sf_dir)
+    return N.neg_percentile(e, e, SEED)
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Flagship: top-5 Jaccard demonstrations for every benchmark question."""
     return QUERIES["retrieve_jaccard"](spark, sf_dir)
