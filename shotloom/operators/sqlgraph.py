@@ -49,7 +49,7 @@ def _dialect(engine: str) -> dict:
     }
 
 
-def graph_ctes(engine: str) -> str:
+def graph_ctes(engine: str, part: str = "all") -> str:
     """CTE chain over ``src(qid, q)``: ``tk`` (classified tokens), ``nodes``, ``edges``.
 
     Every CTE is read once, in one linear chain of windows (one shuffle by qid,
@@ -97,7 +97,7 @@ def graph_ctes(engine: str) -> str:
         f"""CASE WHEN kind = 'literal' THEN {st('klabel', value_node, "'VALUE'")}
              WHEN kind = 'column' AND ctable IS NOT NULL THEN {st(col_node, "'TABLE_' || ctable", "'belongs_to'")}
              ELSE {null3} END""")
-    return f"""toks AS ({d['toks']}),
+    head = f"""toks AS ({d['toks']}),
 t1 AS (SELECT qid, pos, tok, lower(tok) AS lt,
          lead(lower(tok)) OVER (PARTITION BY qid ORDER BY pos) AS nxt,
          lag(lower(tok)) OVER (PARTITION BY qid ORDER BY pos) AS prv,
@@ -149,11 +149,16 @@ tk AS (SELECT t8.*,
          lead(klabel) OVER (PARTITION BY qid ORDER BY pos) AS nxt_label,
          lag(klabel) OVER (PARTITION BY qid ORDER BY pos) AS prv_label,
          max(CASE WHEN kind = 'setop' AND depth = 0 THEN klabel END) OVER (PARTITION BY qid) AS top_setop
-       FROM t8),
-node_rows AS ({d['explode'].format(src='tk', arr=node_arr)}),
+       FROM t8)"""
+    tail = f"""node_rows AS ({d['explode'].format(src='tk', arr=node_arr)}),
 nodes AS (SELECT DISTINCT qid, a AS node_id, b AS val, c AS type FROM node_rows WHERE a IS NOT NULL),
 edge_rows AS ({d['explode'].format(src='tk', arr=edge_arr)}),
 edges AS (SELECT DISTINCT qid, a AS src, b AS dst, c AS label FROM edge_rows WHERE a IS NOT NULL AND b IS NOT NULL)"""
+    if part == "tokens":
+        return head
+    if part == "graph":
+        return tail
+    return head + ",\n" + tail
 
 
 def clean_for_graph(query):
@@ -172,3 +177,22 @@ def graph_query(queries: DataFrame, select: str, qid: str = "qid", query: str =
 def duck_graph_query(src_sql: str, select: str) -> str:
     """The same statement for DuckDB over a ``src(qid, q)`` subquery."""
     return "WITH src AS (" + src_sql + "), " + graph_ctes("duckdb") + "\n" + select
+
+
+def graph_tables(queries: DataFrame, qid: str = "qid", query: str = "query") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of every query, materialised once for their many consumers.
+
+    The token table and both graph tables are checkpointed in the cluster's
+    checkpoint folder: downstream loops (reachability) then start from short,
+    recoverable lineage instead of re-running the lexer windows.
+    """
+    from shotloom.session import checkpoint_dir
+    checkpoint_dir(queries.sparkSession)
+    src = queries.select(F.col(qid).alias("qid"), clean_for_graph(F.col(query)).alias("q"))
+    spark = queries.sparkSession
+    tk = spark.sql("WITH src AS (SELECT * FROM {src_df}), " + graph_ctes("spark", "tokens")
+                   + "\nSELECT * FROM tk", src_df=src).checkpoint()
+    graph = "WITH tk AS (SELECT * FROM {tk_df}), " + graph_ctes("spark", "graph")
+    nodes = spark.sql(graph + "\nSELECT qid, node_id, val, type FROM nodes", tk_df=tk).checkpoint()
+    edges = spark.sql(graph + "\nSELECT qid, src, dst, label FROM edges", tk_df=tk).checkpoint()
+    return nodes, edges

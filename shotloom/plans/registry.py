@@ -693,6 +693,187 @@ def q_neg_percentile(spark, sf_dir):
     return N.neg_percentile(e, e, SEED)
 
 
+# --- graph features and augmentation ----------------------------------------------------------
+
+from shotloom.operators import augment as A  # noqa: E402
+from shotloom.functions.constants import CRITICAL_KEYWORDS, KEYWORD_REPLACEMENTS  # noqa: E402
+from shotloom.functions import hashing as HS  # noqa: E402
+
+MASK_P, KW_P, N_AUG = 0.5, 0.7, 2
+TYPE_IDX = {"ROOT": 0, "SQL_KEYWORD": 1, "TABLE": 2, "COLUMN": 3, "VALUE": 4}
+FEAT_DIM = 16
+
+
+def _graph(spark, sf_dir):
+    return G.graph_tables(S.qlog(spark, sf_dir).select("qid", "query"))
+
+
+def _duck_graph(select: str, extra: str = "", recursive: bool = False) -> str:
+    sql = G.duck_graph_query(f"WITH {_GSRC}", (", " + extra if extra else "") + "\n" + select)
+    if recursive:
+        sql = sql.replace("WITH src AS (", "WITH RECURSIVE src AS (", 1)
+    return sql
+
+
+def _node_text_sql(ident: str) -> str:
+    return (f"CASE WHEN starts_with({ident}, 'SQL_KEYWORD') THEN replace(regexp_replace({ident}, '_[0-9]+$', ''), '_', ' ') "
+            f"ELSE replace({ident}, '_', ' ') END")
+
+
+@query("node_text", oracle=_duck_graph(f"SELECT qid, node_id, {_node_text_sql('node_id')} AS text FROM nodes"))
+def q_node_text(spark, sf_dir):
+    nodes, _ = _graph(spark, sf_dir)
+    return nodes.select("qid", "node_id", A.node_text(F.col("node_id")).alias("text"))
+
+
+_CRIT = ", ".join(D.lit(k) for k in CRITICAL_KEYWORDS)
+
+
+@query("aug_mask", oracle=_duck_graph(f"""SELECT qid, node_id, {_node_text_sql('coalesce(aug, node_id)')} AS text FROM (
+  SELECT *, CASE WHEN type <> 'ROOT' AND NOT (type = 'SQL_KEYWORD' AND upper(val) IN ({_CRIT}))
+                  AND {D.uniform(str(SEED), "'mask'", 'qid', 'node_id')} < {MASK_P} THEN '<mask>' END AS aug FROM nodes)"""))
+def q_aug_mask(spark, sf_dir):
+    nodes, _ = _graph(spark, sf_dir)
+    m = A.mask_nodes(nodes, MASK_P, SEED)
+    return m.select("qid", "node_id", A.node_text(F.col("node_id"), F.col("aug_text")).alias("text"))
+
+
+def _kw_case() -> str:
+    arms = " ".join(f"WHEN {D.lit(k)} THEN [{', '.join(D.lit(x) for x in v)}]" for k, v in KEYWORD_REPLACEMENTS.items())
+    return f"CASE upper(val) {arms} END"
+
+
+@query("aug_keyword", oracle=_duck_graph(f"""
+SELECT e.qid, coalesce(a.new_id, e.src) AS src, coalesce(b.new_id, e.dst) AS dst, e.label
+FROM edges e LEFT JOIN mp a ON a.qid = e.qid AND a.old_id = e.src LEFT JOIN mp b ON b.qid = e.qid AND b.old_id = e.dst""",
+extra=f"""kw AS (SELECT *, {_kw_case()} AS alts FROM nodes WHERE type = 'SQL_KEYWORD'),
+ch AS (SELECT *, alts[CAST(floor({D.uniform(str(SEED), "'kwc'", 'qid', 'node_id')} * len(alts)) AS BIGINT) + 1] AS new_kw
+       FROM kw WHERE alts IS NOT NULL AND {D.uniform(str(SEED), "'kw'", 'qid', 'node_id')} <= {KW_P}),
+ex AS (SELECT qid, upper(val) AS kwname, max(TRY_CAST(regexp_extract(node_id, '_([0-9]+)$', 1) AS BIGINT)) AS max_idx
+       FROM kw GROUP BY qid, upper(val)),
+mp AS (SELECT ch.qid, ch.node_id AS old_id, 'SQL_KEYWORD_' || ch.new_kw || '_' ||
+              CAST(coalesce(ex.max_idx, -1) + row_number() OVER (PARTITION BY ch.qid, ch.new_kw ORDER BY ch.node_id) AS VARCHAR) AS new_id
+       FROM ch LEFT JOIN ex ON ex.qid = ch.qid AND ex.kwname = ch.new_kw)"""))
+def q_aug_keyword(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    _, e2 = A.replace_keywords(nodes, edges, KW_P, SEED)
+    return e2
+
+
+_OPS_VALUES = ", ".join(f"({D.lit(k)}, {v}::DOUBLE)" for k, v in A.OPERATOR_WEIGHTS.items())
+
+
+@query("sample_augmenters", oracle=f"""
+WITH {D.QLOG_CTE}, ops(op, w) AS (VALUES {_OPS_VALUES}),
+k AS (SELECT q.qid, ops.op, round(-ln({D.uniform(str(SEED), 'q.qid', 'ops.op')}) / ops.w, 9) AS key FROM qlog q, ops)
+SELECT qid, op, pick FROM (SELECT qid, op, CAST(row_number() OVER (PARTITION BY qid ORDER BY key, op) AS BIGINT) AS pick FROM k)
+WHERE pick <= {N_AUG}
+""")
+def q_sample_augmenters(spark, sf_dir):
+    return A.sample_augmenters(S.qlog(spark, sf_dir).select("qid"), N_AUG, SEED)
+
+
+def _delete_sql(targets_sql: str) -> str:
+    return _duck_graph("SELECT DISTINCT n.qid, n.node_id, n.type FROM nodes n JOIN r ON r.qid = n.qid AND r.node = n.node_id",
+                       extra=f"""tg AS ({targets_sql}),
+ke AS (SELECT e.* FROM edges e LEFT JOIN tg ON tg.qid = e.qid AND tg.node_id = e.dst WHERE tg.node_id IS NULL),
+r(qid, node) AS (SELECT qid, node_id FROM nodes WHERE type = 'ROOT'
+                 UNION SELECT ke.qid, ke.dst FROM r JOIN ke ON ke.qid = r.qid AND ke.src = r.node)""", recursive=True)
+
+
+@query("subgraph_delete", oracle=_delete_sql("SELECT qid, node_id FROM nodes WHERE node_id = 'SQL_KEYWORD_WHERE_0'"))
+def q_subgraph_delete(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    t = nodes.filter(F.col("node_id") == "SQL_KEYWORD_WHERE_0").select("qid", "node_id")
+    n2, _ = A.subgraph_delete(nodes, edges, t)
+    return n2.select("qid", "node_id", "type")
+
+
+@query("aug_predicate", oracle=_delete_sql(f"""SELECT qid, node_id FROM nodes WHERE
+  (node_id = 'SQL_KEYWORD_WHERE_0' AND {D.uniform(str(SEED), "'pred'", 'qid', 'node_id')} < 0.3)
+  OR (node_id = 'SQL_KEYWORD_HAVING_0' AND {D.uniform(str(SEED), "'pred'", 'qid', 'node_id')} < 0.2)"""))
+def q_aug_predicate(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    n2, _ = A.subgraph_delete(nodes, edges, A.predicate_targets(nodes, SEED))
+    return n2.select("qid", "node_id", "type")
+
+
+@query("aug_join", oracle=_delete_sql(f"""SELECT qid, node_id FROM (
+  SELECT qid, sel, node_id, row_number() OVER (PARTITION BY qid, sel ORDER BY {D.uniform(str(SEED), "'join'", 'qid', 'node_id')}, node_id) AS rk
+  FROM (SELECT qid, src AS sel, dst AS node_id, count(*) OVER (PARTITION BY qid, src) AS n
+        FROM edges WHERE starts_with(dst, 'SQL_KEYWORD_JOIN_')) WHERE n >= 2)
+  WHERE rk = 1 AND {D.uniform(str(SEED), "'joingate'", 'qid', 'sel')} < 0.8"""))
+def q_aug_join(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    n2, _ = A.subgraph_delete(nodes, edges, A.join_targets(nodes, edges, SEED))
+    return n2.select("qid", "node_id", "type")
+
+
+@query("edge_index", oracle=_duck_graph("""
+SELECT e.qid, a.nidx AS src_idx, b.nidx AS dst_idx, 'fwd' AS dir FROM edges e
+  JOIN nid a ON a.qid = e.qid AND a.node_id = e.src JOIN nid b ON b.qid = e.qid AND b.node_id = e.dst
+UNION ALL
+SELECT e.qid, b.nidx, a.nidx, 'rev' FROM edges e
+  JOIN nid a ON a.qid = e.qid AND a.node_id = e.src JOIN nid b ON b.qid = e.qid AND b.node_id = e.dst""",
+extra="nid AS (SELECT qid, node_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY node_id) - 1 AS BIGINT) AS nidx FROM nodes)"))
+def q_edge_index(spark, sf_dir):
+    from pyspark.sql import Window
+    nodes, edges = _graph(spark, sf_dir)
+    nid = nodes.select("qid", "node_id", (F.row_number().over(Window.partitionBy("qid").orderBy("node_id")) - 1)
+                       .cast("bigint").alias("nidx"))
+    e = (edges.join(nid.select("qid", F.col("node_id").alias("src"), F.col("nidx").alias("src_idx")), ["qid", "src"])
+              .join(nid.select("qid", F.col("node_id").alias("dst"), F.col("nidx").alias("dst_idx")), ["qid", "dst"]))
+    fwd = e.select("qid", "src_idx", "dst_idx", F.lit("fwd").alias("dir"))
+    rev = e.select("qid", F.col("dst_idx").alias("src_idx"), F.col("src_idx").alias("dst_idx"), F.lit("rev").alias("dir"))
+    return fwd.unionByName(rev)
+
+
+_TYPE_CASE = "CASE type " + " ".join(f"WHEN {D.lit(k)} THEN {v}" for k, v in TYPE_IDX.items()) + " END"
+
+
+@query("node_features", oracle=_duck_graph(f"""
+SELECT qid, node_id, CAST(type_idx AS BIGINT) AS type_idx, bucket, CAST(count(*) AS BIGINT) AS cnt FROM (
+  SELECT qid, node_id, {_TYPE_CASE} AS type_idx,
+         CAST((('0x' || substr(md5(w), 1, 8))::BIGINT) % {FEAT_DIM} AS BIGINT) AS bucket
+  FROM (SELECT qid, node_id, type, unnest(regexp_extract_all(lower({_node_text_sql('node_id')}), {D.lit(T.WORD_RE)})) AS w FROM nodes))
+GROUP BY qid, node_id, type_idx, bucket"""))
+def q_node_features(spark, sf_dir):
+    nodes, _ = _graph(spark, sf_dir)
+    tmap = F.create_map(*[x for k, v in TYPE_IDX.items() for x in (F.lit(k), F.lit(v))])
+    words = nodes.select("qid", "node_id", tmap[F.col("type")].cast("bigint").alias("type_idx"),
+                         F.explode(T.words(F.lower(A.node_text(F.col("node_id"))))).alias("w"))
+    words = words.withColumn("bucket", F.pmod(F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint"),
+                                              F.lit(FEAT_DIM)))
+    return words.groupBy("qid", "node_id", "type_idx", "bucket").agg(F.count("*").cast("bigint").alias("cnt"))
+
+
+@query("graph_vectors", oracle=_duck_graph(f"""
+SELECT qid, {", ".join(f"round(avg(h{i}), 6) AS d{i}" for i in range(5))} FROM (
+  SELECT a.qid, a.v, {", ".join(f"sum(CASE WHEN nt.type_idx = {i} THEN 1.0 ELSE 0.0 END / sqrt(du.deg * dv.deg)) AS h{i}" for i in range(5))}
+  FROM adj a JOIN deg du ON du.qid = a.qid AND du.v = a.u JOIN deg dv ON dv.qid = a.qid AND dv.v = a.v
+       JOIN nt ON nt.qid = a.qid AND nt.node_id = a.u
+  GROUP BY a.qid, a.v) GROUP BY qid""",
+extra=f"""adj AS (SELECT DISTINCT qid, u, v FROM (SELECT qid, src AS u, dst AS v FROM edges UNION ALL SELECT qid, dst, src FROM edges
+                   UNION ALL SELECT qid, node_id, node_id FROM nodes)),
+deg AS (SELECT qid, v, count(*) AS deg FROM adj GROUP BY qid, v),
+nt AS (SELECT qid, node_id, {_TYPE_CASE} AS type_idx FROM nodes)"""))
+def q_graph_vectors(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    adj = (edges.select("qid", F.col("src").alias("u"), F.col("dst").alias("v"))
+                .unionByName(edges.select("qid", F.col("dst").alias("u"), F.col("src").alias("v")))
+                .unionByName(nodes.select("qid", F.col("node_id").alias("u"), F.col("node_id").alias("v")))
+                .distinct())
+    deg = adj.groupBy("qid", "v").agg(F.count("*").alias("deg"))
+    tmap = F.create_map(*[x for k, v in TYPE_IDX.items() for x in (F.lit(k), F.lit(v))])
+    nt = nodes.select("qid", F.col("node_id").alias("u"), tmap[F.col("type")].alias("type_idx"))
+    j = (adj.join(deg.withColumnRenamed("v", "u").withColumnRenamed("deg", "du"), ["qid", "u"])
+            .join(deg.withColumnRenamed("deg", "dv"), ["qid", "v"]).join(nt, ["qid", "u"]))
+    w = F.lit(1.0) / F.sqrt(F.col("du") * F.col("dv"))
+    h = j.groupBy("qid", "v").agg(*[F.sum(F.when(F.col("type_idx") == i, w).otherwise(0.0)).alias(f"h{i}")
+                                    for i in range(5)])
+    return h.groupBy("qid").agg(*[F.round(F.avg(f"h{i}"), 6).alias(f"d{i}") for i in range(5)])
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Flagship: top-5 Jaccard demonstrations for every benchmark question."""
     return QUERIES["retrieve_jaccard"](spark, sf_dir)
