@@ -874,6 +874,147 @@ def q_graph_vectors(spark, sf_dir):
     return h.groupBy("qid").agg(*[F.round(F.avg(f"h{i}"), 6).alias(f"d{i}") for i in range(5)])
 
 
+# --- pq-gram trees ----------------------------------------------------------------------------
+
+from shotloom.operators import trees as TR  # noqa: E402
+
+_TREE_SQL = """t0 AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS tree_id, role, text FROM conversations),
+ln AS (SELECT tree_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+              generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM t0),
+nodes0 AS (SELECT tree_id, '0' AS node_id, CAST(NULL AS VARCHAR) AS parent_id, CAST(0 AS BIGINT) AS sib_a,
+                  CAST(0 AS BIGINT) AS sib_b, role AS label FROM t0
+           UNION ALL SELECT tree_id, CAST(pos + 1 AS VARCHAR), '0', CAST(pos AS BIGINT), CAST(0 AS BIGINT), trim(line)
+           FROM ln WHERE length(trim(line)) > 0),
+sp AS (SELECT nodes0.*, unnest(string_split(label, ' ')) AS part, generate_subscripts(string_split(label, ' '), 1) - 1 AS k,
+              len(string_split(label, ' ')) AS n_parts FROM nodes0),
+nodes1 AS (SELECT tree_id, node_id || '.' || CAST(k AS VARCHAR) AS node_id,
+     CASE WHEN parent_id IS NULL AND n_parts > 1 THEN 'r' WHEN parent_id IS NULL THEN NULL ELSE parent_id || '.0' END AS parent_id,
+     CAST(CASE WHEN parent_id IS NULL THEN k ELSE sib_a END AS BIGINT) AS sib_a,
+     CAST(CASE WHEN parent_id IS NULL THEN 0 ELSE k END AS BIGINT) AS sib_b, part AS label FROM sp
+   UNION ALL SELECT tree_id, 'r', CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '*' FROM nodes0
+   WHERE parent_id IS NULL AND len(string_split(label, ' ')) > 1),
+par AS (SELECT tree_id, node_id AS pid, label AS plabel, parent_id AS gpid FROM nodes1),
+kids AS (SELECT c.tree_id, c.parent_id, c.label, p.plabel, g.label AS gplabel,
+            lag(c.label, 1) OVER w AS l1, lag(c.label, 2) OVER w AS l2, row_number() OVER w AS ci,
+            count(*) OVER (PARTITION BY c.tree_id, c.parent_id) AS n
+         FROM nodes1 c JOIN par p ON p.tree_id = c.tree_id AND p.pid = c.parent_id
+              LEFT JOIN nodes1 g ON g.tree_id = c.tree_id AND g.node_id = p.gpid
+         WHERE c.parent_id IS NOT NULL
+         WINDOW w AS (PARTITION BY c.tree_id, c.parent_id ORDER BY c.sib_a, c.sib_b)),
+leaves AS (SELECT n.tree_id, n.label, p.plabel AS up FROM nodes1 n
+           LEFT JOIN par p ON p.tree_id = n.tree_id AND p.pid = n.parent_id
+           WHERE NOT EXISTS (SELECT 1 FROM nodes1 c WHERE c.tree_id = n.tree_id AND c.parent_id = n.node_id)),
+grams AS (
+  SELECT tree_id, concat_ws(chr(31), coalesce(gplabel, '*'), plabel, coalesce(l2, '*'), coalesce(l1, '*'), label) AS gram FROM kids
+  UNION ALL SELECT tree_id, concat_ws(chr(31), coalesce(gplabel, '*'), plabel, coalesce(l1, '*'), label, '*') FROM kids WHERE ci = n
+  UNION ALL SELECT tree_id, concat_ws(chr(31), coalesce(gplabel, '*'), plabel, label, '*', '*') FROM kids WHERE ci = n
+  UNION ALL SELECT tree_id, concat_ws(chr(31), coalesce(up, '*'), label, '*', '*', '*') FROM leaves),
+profile AS (SELECT tree_id, gram, CAST(count(*) AS BIGINT) AS mult FROM grams GROUP BY tree_id, gram)"""
+
+
+def _split_trees(spark, sf_dir):
+    return TR.tree_split(TR.turn_trees(S.load(spark, sf_dir, "conversations")), " ")
+
+
+@query("tree_split", oracle=f"WITH {_TREE_SQL} SELECT * FROM nodes1")
+def q_tree_split(spark, sf_dir):
+    return _split_trees(spark, sf_dir)
+
+
+@query("pqgram_profile", oracle=f"WITH {_TREE_SQL} SELECT * FROM profile")
+def q_pqgram_profile(spark, sf_dir):
+    return TR.pqgram_profile(_split_trees(spark, sf_dir))
+
+
+@query("pqgram_distance", oracle=f"""WITH {_TREE_SQL},
+pairs AS (SELECT CAST(u.conv_id AS VARCHAR) || ':' || CAST(u.turn AS VARCHAR) AS tree_a,
+                 CAST(a.conv_id AS VARCHAR) || ':' || CAST(a.turn AS VARCHAR) AS tree_b
+          FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+          WHERE u.role = 'user' AND a.role = 'assistant'),
+sz AS (SELECT tree_id, CAST(sum(mult) AS BIGINT) AS n FROM profile GROUP BY tree_id),
+j AS (SELECT pairs.tree_a, pairs.tree_b, sum(least(pa.mult, coalesce(pb.mult, 0))) AS inter,
+             sum(CASE WHEN pb.mult IS NULL THEN 1 ELSE 0 END) AS missing
+      FROM pairs JOIN profile pa ON pa.tree_id = pairs.tree_a
+           LEFT JOIN profile pb ON pb.tree_id = pairs.tree_b AND pb.gram = pa.gram GROUP BY pairs.tree_a, pairs.tree_b)
+SELECT p.tree_a, p.tree_b, coalesce(sa.n, 0) AS n_a, coalesce(sb.n, 0) AS n_b, CAST(coalesce(j.inter, 0) AS BIGINT) AS inter,
+       round(CASE WHEN coalesce(sa.n, 0) + coalesce(sb.n, 0) = 0 THEN 0.0
+                  ELSE 1.0 - 2.0 * coalesce(j.inter, 0) / (coalesce(sa.n, 0) + coalesce(sb.n, 0)) END, 6) AS distance,
+       coalesce(sa.n, 0) = coalesce(sb.n, 0) AND coalesce(j.missing, 0) = 0 AS equal
+FROM pairs p LEFT JOIN j ON j.tree_a = p.tree_a AND j.tree_b = p.tree_b
+     LEFT JOIN sz sa ON sa.tree_id = p.tree_a LEFT JOIN sz sb ON sb.tree_id = p.tree_b
+""")
+def q_pqgram_distance(spark, sf_dir):
+    c = S.load(spark, sf_dir, "conversations")
+    key = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
+    pairs = (c.filter(F.col("role") == "user").select("conv_id", "turn")
+              .join(c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn")),
+                    ["conv_id", "turn"])
+              .select(key(F.col("turn")).alias("tree_a"), key(F.col("turn") + 1).alias("tree_b")))
+    return TR.pqgram_compare(TR.pqgram_profile(_split_trees(spark, sf_dir)), pairs)
+
+
+# --- sources, sinks and batch completion ----------------------------------------------------
+
+from shotloom.sources import files as FS  # noqa: E402
+from shotloom.operators import complete as B  # noqa: E402
+
+
+@query("union_pool", oracle="""
+WITH u AS (SELECT 0 AS file_ord, doc_id AS src_id FROM documents UNION ALL SELECT 1, item_id FROM benchmark)
+SELECT CAST(file_ord AS BIGINT) AS file_ord, src_id, CAST(row_number() OVER (ORDER BY file_ord, src_id) - 1 AS BIGINT) AS idx FROM u
+""")
+def q_union_pool(spark, sf_dir):
+    a = S.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("src_id"))
+    b = S.load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("src_id"))
+    return FS.union_pool([a, b], "src_id").select("file_ord", "src_id", "idx")
+
+
+@query("ddl_extract", oracle=f"""
+WITH {D.catalog_ctes()},
+scripts AS (SELECT db_id, replace(schema_text, chr(10) || ')', chr(10) || ');') AS text FROM schema_t),
+ls AS (SELECT db_id, unnest(string_split(text, chr(10))) AS line,
+              generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM scripts),
+l2 AS (SELECT *, sum(CASE WHEN starts_with(upper(regexp_replace(line, '^\\s+|\\s+$', '', 'g')), 'CREATE TABLE') THEN 1 ELSE 0 END)
+                 OVER (PARTITION BY db_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM ls),
+l3 AS (SELECT *, min(CASE WHEN contains(line, ';') THEN pos END) OVER (PARTITION BY db_id, sid) AS end_pos FROM l2 WHERE sid > 0)
+SELECT db_id, CAST(sid - 1 AS BIGINT) AS stmt_idx,
+       regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\\s+|\\s+$', '', 'g') AS statement
+FROM l3 WHERE end_pos IS NOT NULL AND pos <= end_pos GROUP BY db_id, sid
+""")
+def q_ddl_extract(spark, sf_dir):
+    sch = CAT.schema_text(CAT.catalog_columns(spark, sf_dir))
+    scripts = sch.select("db_id", F.replace(F.col("schema_text"), F.lit("\n)"), F.lit("\n);")).alias("text"))
+    return FS.extract_create_statements(scripts, key="db_id")
+
+
+_ECHO_SQL = f"""
+WITH {D.QLOG_CTE}, {D.catalog_ctes()},
+r AS (SELECT qid, question, 'star' AS db_id, {D.postprocess('query')} AS sql FROM qlog),
+pr AS (SELECT r.qid, r.sql, {D.lit(EC.rule_block(RULES))} || x.fields || 'Foreign_keys = ' || x.fk_list || chr(10)
+       || 'Primary_keys = ' || x.pk_list || chr(10) || '#### Question: ' || r.question
+       || chr(10) || '#### SQLite SQL QUERY' || chr(10) || r.sql || chr(10) || '#### SQLite FIXED SQL QUERY' || chr(10) || 'SELECT' AS prompt
+       FROM r JOIN rendered x ON x.db_id = r.db_id),
+resp AS (SELECT qid, sql AS raw, {D.postprocess('sql')} AS sql, true AS ok, CAST(1 AS BIGINT) AS attempts,
+                {D.ntok('prompt')} + {D.ntok('sql')} AS total_tokens FROM pr)"""
+
+
+def _responses(spark, sf_dir):
+    prompts = q_correction_prompt(spark, sf_dir)
+    return B.batch_complete(prompts, B.EchoCompleter, id_col="qid")
+
+
+@query("batch_complete", oracle=_ECHO_SQL + " SELECT * FROM resp")
+def q_batch_complete(spark, sf_dir):
+    return _responses(spark, sf_dir)
+
+
+@query("completion_stats", oracle=_ECHO_SQL + """ SELECT CAST(count(*) AS BIGINT) AS n_questions,
+  CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS n_failed, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
+  round(avg(total_tokens), 6) AS mean_tokens FROM resp""")
+def q_completion_stats(spark, sf_dir):
+    return B.completion_stats(_responses(spark, sf_dir))
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Flagship: top-5 Jaccard demonstrations for every benchmark question."""
     return QUERIES["retrieve_jaccard"](spark, sf_dir)
