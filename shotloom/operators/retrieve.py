@@ -275,3 +275,72 @@ def dot_topk(targets: DataFrame, pool: DataFrame, k: int, target_id: str = "id",
         local = local.filter(F.col("target_id") != F.col("demo_id"))
     out = top_k(local, ["target_id"], [F.col("score").desc(), F.col("demo_id").asc()], k)
     return out.select("target_id", "demo_id", F.round("score", 5).alias("score"), "rank")
+
+
+# --- R6 structure-aware retrieval ---------------------------------------------------------
+
+# Bonuses when target and demonstration agree on a clause being present.
+STRUCT_BONUS = {"g": 0.02, "h": 0.01, "o": 0.01, "l": 0.01}
+
+
+def struct_retrieve(items: DataFrame, k: int, id_col: str = "qid") -> DataFrame:
+    """Top-k by question-token Jaccard plus clause-agreement bonuses, within a structure bucket.
+
+    ``items`` carries (id, toks, setop, jc, g, h, o, l): distinct question
+    tokens, set-operation flag, join count and presence of GROUP BY / HAVING /
+    ORDER BY / LIMIT (X3: presence = non-empty). Targets with a set operation
+    (tested on the target, X2) draw from set-operation demos; otherwise from
+    demos with the same join count (1, 2, >2), or from all demos when the
+    target has no join. Every item is both target and demo (itself excluded).
+
+    Exact and without per-pair work on duplicates: items with identical
+    (tokens, features) form a signature whose k+1 smallest ids are the only
+    members that can ever be picked; per target signature only the top k+1 demo
+    signatures by (score desc, smallest id) can hold the answer, and demo
+    signatures that share no token compete through the k+1 smallest-id
+    signatures of every (bucket, flag pattern).
+    """
+    kk = k + 1
+    f = items.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct("toks")).alias("toks"),
+                     F.col("setop").cast("boolean").alias("setop"),
+                     F.least(F.col("jc"), F.lit(3)).cast("int").alias("jcb"),
+                     *[F.col(x).cast("boolean").alias(x) for x in "ghol"])
+    feats = ["toks", "setop", "jcb", "g", "h", "o", "l"]
+    from shotloom.operators.common import dense_index
+    # Exact signature ids: group by the features, number the groups densely (no hash collisions).
+    sigs = dense_index(f.groupBy(*feats).agg(F.min("id").alias("min_id")), [], ["min_id"], out="sig").persist()
+    f = f.join(sigs.select(*feats, "sig"), feats).persist()
+    members = top_k(f.select("sig", "id"), ["sig"], [F.col("id").asc()], kk, rank_col="m")
+    # Demo-side bucket memberships and target-side bucket choice.
+    bucket_of = F.when(F.col("jcb") == 1, "j1").when(F.col("jcb") == 2, "j2").when(F.col("jcb") >= 3, "j3")
+    dsig = sigs.select("sig", "toks", "min_id", *[F.col(x).alias("d" + x) for x in "ghol"],
+                       F.explode(F.array(F.lit("all"), F.when(F.col("setop"), F.lit("conj")), bucket_of))
+                       .alias("bucket")).filter(F.col("bucket").isNotNull())
+    tsig = sigs.select(F.col("sig").alias("tsig"), F.col("toks").alias("ttoks"),
+                       *[F.col(x).alias("t" + x) for x in "ghol"],
+                       F.when(F.col("setop"), "conj").when(F.col("jcb") >= 1, bucket_of).otherwise("all").alias("bucket"))
+    # Overlapping signature pairs through token postings.
+    tpost = tsig.select("tsig", "bucket", F.size("ttoks").alias("na"), F.explode("ttoks").alias("tok"))
+    dpost = dsig.select("sig", "bucket", F.size("toks").alias("nb"), F.explode("toks").alias("tok"))
+    inter = (tpost.join(dpost, ["bucket", "tok"]).groupBy("tsig", "sig", "bucket", "na", "nb")
+                  .agg(F.count("*").alias("inter")))
+    inter = inter.select("tsig", "sig", "bucket",
+                         (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jac"))
+    # Zero-overlap competitors: k+1 smallest-id signatures per (bucket, pattern), size bounded.
+    pattern_first = top_k(dsig, ["bucket", "dg", "dh", "do", "dl"], [F.col("min_id").asc()], kk, rank_col="_r")
+    pattern_first, _ = broadcast_if_bounded(pattern_first.select("bucket", "sig"))
+    fill = tsig.select("tsig", "bucket").join(pattern_first, "bucket").select(
+        "tsig", "sig", "bucket", F.lit(0.0).alias("jac"))
+    cand = inter.unionByName(fill).groupBy("tsig", "sig", "bucket").agg(F.max("jac").alias("jac"))
+    cand = cand.join(tsig.drop("ttoks"), ["tsig", "bucket"]).join(
+        dsig.select("sig", "bucket", "min_id", "dg", "dh", "do", "dl"), ["sig", "bucket"])
+    bonus = sum((F.when(F.col("t" + x) == F.col("d" + x), F.lit(v)).otherwise(F.lit(0.0))
+                 for x, v in STRUCT_BONUS.items()), F.lit(0.0))
+    cand = cand.withColumn("score", F.col("jac") + bonus)
+    best_sigs = top_k(cand, ["tsig"], [F.col("score").desc(), F.col("min_id").asc()], kk, rank_col="_r")
+    picks = best_sigs.select("tsig", "sig", "score").join(members, "sig")
+    picks = top_k(picks, ["tsig"], [F.col("score").desc(), F.col("id").asc()], kk, rank_col="_r")
+    out = f.select(F.col("id").alias("target_id"), F.col("sig").alias("tsig")).join(picks, "tsig")
+    out = out.filter(F.col("target_id") != F.col("id"))
+    out = top_k(out, ["target_id"], [F.col("score").desc(), F.col("id").asc()], k)
+    return out.select("target_id", F.col("id").alias("demo_id"), F.round("score", 6).alias("score"), "rank")

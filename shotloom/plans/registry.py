@@ -1015,6 +1015,62 @@ def q_completion_stats(spark, sf_dir):
     return B.completion_stats(_responses(spark, sf_dir))
 
 
+# --- R6 structure-aware retrieval ---------------------------------------------------------------
+
+def _struct_items(spark, sf_dir):
+    sh = H.sql_shape(S.qlog(spark, sf_dir).select("qid", "question", "query"))
+    tk = T.sql_tokens(F.col("query"))
+    return sh.select("qid", T.tokens("question").alias("toks"), (F.col("n_setop") > 0).alias("setop"),
+                     F.col("n_join").alias("jc"), (F.col("n_group") > 0).alias("g"),
+                     F.array_contains(tk, "having").alias("h"), (F.col("n_order") > 0).alias("o"),
+                     (F.col("n_limit") > 0).alias("l"))
+
+
+def _struct_sql() -> str:
+    sh = _shape_sql()
+    body = sh[sh.index("WITH ") + 5:sh.index("\nSELECT *, CASE WHEN comp1")]
+    return f"""WITH {body},
+it AS (SELECT q.qid AS id, list_sort(list_distinct({D.toks('q.question')})) AS toks, cx.n_setop > 0 AS setop,
+              least(cx.n_join, 3) AS jcb, cx.n_group > 0 AS g, list_contains({D.sql_toks('q.query')}, 'having') AS h,
+              cx.n_order > 0 AS o, cx.n_limit > 0 AS l
+       FROM qlog q JOIN cx ON cx.qid = q.qid),
+sg AS (SELECT toks, setop, jcb, g, h, o, l, list(id ORDER BY id)[1:{K + 1}] AS mem FROM it GROUP BY ALL),
+ts AS (SELECT *, CASE WHEN setop THEN 'conj' WHEN jcb = 1 THEN 'j1' WHEN jcb = 2 THEN 'j2' WHEN jcb >= 3 THEN 'j3' ELSE 'all' END AS bucket FROM sg),
+ds AS (SELECT sg.*, b AS bucket FROM sg, unnest(['all', CASE WHEN setop THEN 'conj' END,
+        CASE WHEN jcb = 1 THEN 'j1' WHEN jcb = 2 THEN 'j2' WHEN jcb >= 3 THEN 'j3' END]) AS u(b) WHERE b IS NOT NULL),
+sc AS (SELECT t.toks AS ttoks, t.setop AS tsetop, t.jcb AS tjcb, t.g AS tg, t.h AS th, t.o AS t_o, t.l AS tl, d.mem,
+         CASE WHEN len(list_distinct(list_concat(t.toks, d.toks))) = 0 THEN 0.0
+              ELSE len(list_intersect(t.toks, d.toks))::DOUBLE / len(list_distinct(list_concat(t.toks, d.toks))) END
+         + CASE WHEN t.g = d.g THEN 0.02 ELSE 0.0 END + CASE WHEN t.h = d.h THEN 0.01 ELSE 0.0 END
+         + CASE WHEN t.o = d.o THEN 0.01 ELSE 0.0 END + CASE WHEN t.l = d.l THEN 0.01 ELSE 0.0 END AS score
+       FROM ts t JOIN ds d ON d.bucket = t.bucket),
+ex AS (SELECT ttoks, tsetop, tjcb, tg, th, t_o, tl, score, unnest(mem) AS did FROM sc),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ttoks, tsetop, tjcb, tg, th, t_o, tl ORDER BY score DESC, did) AS r
+       FROM ex) WHERE r <= {K + 1}),
+fin AS (SELECT it.id AS target_id, tp.did AS demo_id, tp.score FROM it JOIN tp
+        ON tp.ttoks = it.toks AND tp.tsetop = it.setop AND tp.tjcb = it.jcb AND tp.tg = it.g AND tp.th = it.h
+           AND tp.t_o = it.o AND tp.tl = it.l WHERE tp.did <> it.id)
+SELECT target_id, demo_id, round(score, 6) AS score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY target_id ORDER BY score DESC, demo_id) AS BIGINT) AS rank FROM fin)
+WHERE rank <= {K}"""
+
+
+@query("retrieve_struct", oracle=_struct_sql())
+def q_retrieve_struct(spark, sf_dir):
+    return R.struct_retrieve(_struct_items(spark, sf_dir), K)
+
+
+@query("sql_predicates", oracle=_shape_sql().replace(
+    "SELECT *, CASE WHEN comp1 <= 1 AND others = 0 AND comp2 = 0 THEN 'easy'",
+    "SELECT qid, n_or > 0 AS has_or, n_like > 0 AS has_like, n_nested > 0 AS has_sql, n_agg > 0 AS has_agg, "
+    "CASE WHEN comp1 <= 1 AND others = 0 AND comp2 = 0 THEN 'easy'").replace(
+    "ELSE 'extra' END AS hardness FROM cx", "ELSE 'extra' END AS hardness FROM cx"))
+def q_sql_predicates(spark, sf_dir):
+    c = H.complexity(H.sql_shape(S.qlog(spark, sf_dir).select("qid", "query")))
+    return c.select("qid", (F.col("n_or") > 0).alias("has_or"), (F.col("n_like") > 0).alias("has_like"),
+                    (F.col("n_nested") > 0).alias("has_sql"), (F.col("n_agg") > 0).alias("has_agg"), "hardness")
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Flagship: top-5 Jaccard demonstrations for every benchmark question."""
     return QUERIES["retrieve_jaccard"](spark, sf_dir)
