@@ -15,9 +15,17 @@ AGG_FUNCS = ("max", "min", "count", "sum", "avg")
 SET_OPS = ("intersect", "union", "except")
 
 
-def _n_tok(toks: Column, word: str) -> Column:
-    """Occurrences of ``word`` in a token array (``array_remove`` stays in codegen; no lambda)."""
-    return (F.size(toks) - F.size(F.array_remove(toks, word))).cast("bigint")
+def _n_tok(spaced: Column, word: str) -> Column:
+    """Occurrences of token ``word`` in the token stream joined by two spaces.
+
+    With two-space separators the matches of ``' word '`` cannot overlap, so the
+    count is exact; one ``replace`` is far cheaper than filtering the array.
+    """
+    return _n_sub(spaced, f" {word} ")
+
+
+def _spaced(toks: Column) -> Column:
+    return F.concat(F.lit("  "), F.concat_ws("  ", toks), F.lit("  "))
 
 
 def _n_sub(s: Column, pat: str) -> Column:
@@ -39,8 +47,8 @@ def sql_shape(df: DataFrame, query: str = "query") -> DataFrame:
     toks = T.sql_tokens(T.join_split_ops(T.postprocess_sql(F.col(query))))
     d = df.withColumn("_tk", toks)
     j = F.concat(F.lit(" "), F.concat_ws(" ", F.col("_tk")), F.lit(" "))
-    d = d.withColumn("_j", j)
-    tk, s = F.col("_tk"), F.col("_j")
+    d = d.withColumn("_j", j).withColumn("_j2", _spaced(F.col("_tk")))
+    tk, s = F.col("_j2"), F.col("_j")
     stops = (" from ", " where ", " group by ", " order by ", " having ", " limit ",
              " intersect ", " union ", " except ", " ) ")
     d = d.select("*", _clause(s, " select ", stops).alias("_sel"), _clause(s, " group by ", stops[3:]).alias("_grp"),
@@ -64,7 +72,7 @@ def sql_shape(df: DataFrame, query: str = "query") -> DataFrame:
                _n_sub(whr, " and ") + _n_sub(whr, " or ") + 1).otherwise(0).cast("bigint").alias("n_where_conds"),
         F.when(F.length(F.trim(grp)) > 0, _n_sub(grp, " , ") + 1).otherwise(0).cast("bigint").alias("n_group_cols"),
     )
-    return out.drop("_tk", "_j", "_sel", "_grp", "_whr")
+    return out.drop("_tk", "_j", "_j2", "_sel", "_grp", "_whr")
 
 
 def complexity(shape: DataFrame) -> DataFrame:

@@ -55,8 +55,8 @@ def repair_literals(rows: DataFrame, values: DataFrame, variants: DataFrame,
     A literal found verbatim is kept; otherwise its variant (if any) replaces it.
     ``changed`` is true when some literal's text changed (re-quoting alone is not a change).
     """
-    lits = rows.select(row_id, db, F.posexplode(F.regexp_extract_all(F.col(query), F.lit(LITERAL_RE), 1))
-                       .alias("pos", "lit"))
+    lits = rows.select(row_id, db, F.posexplode_outer(F.regexp_extract_all(F.col(query), F.lit(LITERAL_RE), 1))
+                       .alias("pos", "lit")).filter(F.col("lit").isNotNull())
     exact = values.select(F.col("db_id").alias(db), F.col("value").alias("lit"), F.lit(True).alias("in_db"))
     lits = join_small_side(lits, exact, [db, "lit"], salt_of=F.col(row_id), how="left")
     var = variants.select(F.col("db_id").alias(db), F.col("key").alias("_key"), "variant")

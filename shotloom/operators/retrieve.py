@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.functions import hashing
-from shotloom.operators.common import broadcast_if_bounded, join_small_side, top_k
+from shotloom.operators.common import broadcast_if_bounded, join_small_side, spread, top_k
 
 
 def validate_k(k: int, pool_size: int | None = None) -> None:
@@ -58,10 +58,13 @@ def jaccard(targets: DataFrame, pool: DataFrame, k: int, target_id: str = "idx",
     t = targets.select(F.col(target_id).alias("target_id"),
                        F.array_distinct(F.col(target_toks)).alias("_ts"))
     t = t.select("target_id", F.size("_ts").alias("na"), "_ts")
-    tpost = t.select("target_id", "na", F.explode("_ts").alias("tok"))
-    ppost = (pool.select(F.col(pool_id).alias("demo_id"),
-                         F.array_distinct(F.col(pool_toks)).alias("_ps"))
-                 .select("demo_id", F.size("_ps").alias("nb"), F.explode("_ps").alias("tok")))
+    # explode_outer + an explicit null filter: a plain explode lets the optimizer
+    # infer a size(...) > 0 filter that would tokenise every text a second time.
+    tpost = t.select("target_id", "na", F.explode_outer("_ts").alias("tok")).filter(F.col("tok").isNotNull())
+    ppost = (spread(pool).select(F.col(pool_id).alias("demo_id"),
+                                 F.array_distinct(F.col(pool_toks)).alias("_ps"))
+                 .select("demo_id", F.size("_ps").alias("nb"), F.explode_outer("_ps").alias("tok"))
+                 .filter(F.col("tok").isNotNull()))
     hits = join_small_side(ppost, tpost, ["tok"], salt_of=F.col("demo_id"))
     hits = hits.select("target_id", "demo_id", "na", "nb", F.lit(1).alias("hit"))
     n_fill = k + (1 if exclude_self else 0)

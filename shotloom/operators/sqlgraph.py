@@ -31,8 +31,11 @@ def _dialect(engine: str) -> dict:
     if engine == "spark":
         pat = '"' + LEX_RE.replace("\\", "\\\\").replace('"', '\\"') + '"'
         return {
+            # OUTER + IS NOT NULL: a plain explode makes the optimizer add a size() filter
+            # that would run the lexer regex twice.
             "toks": f"SELECT qid, CAST(p.pos + 1 AS BIGINT) AS pos, p.tok FROM src "
-                    f"LATERAL VIEW posexplode(regexp_extract_all(q, {pat}, 0)) p AS pos, tok",
+                    f"LATERAL VIEW OUTER posexplode(regexp_extract_all(q, {pat}, 0)) p AS pos, tok "
+                    f"WHERE p.tok IS NOT NULL",
             "last": "last({x}, true)",
             "struct": "named_struct('a', {a}, 'b', {b}, 'c', {c})",
             "explode": "SELECT qid, e.a, e.b, e.c FROM {src} LATERAL VIEW explode({arr}) x AS e",

@@ -20,7 +20,8 @@ def turn_trees(turns: DataFrame) -> DataFrame:
     root = turns.select(tid, F.lit("0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"),
                         F.lit(0).cast("bigint").alias("sib_a"), F.lit(0).cast("bigint").alias("sib_b"),
                         F.col("role").alias("label"))
-    lines = turns.select(tid, F.posexplode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("pos", "line"))
+    lines = turns.select(tid, F.posexplode_outer(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
+                         .alias("pos", "line")).filter(F.col("line").isNotNull())
     lines = lines.filter(F.length(F.trim(F.col("line"))) > 0).select(
         "tree_id", (F.col("pos") + 1).cast("string").alias("node_id"), F.lit("0").alias("parent_id"),
         F.col("pos").cast("bigint").alias("sib_a"), F.lit(0).cast("bigint").alias("sib_b"),

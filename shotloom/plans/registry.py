@@ -841,7 +841,8 @@ def q_node_features(spark, sf_dir):
     nodes, _ = _graph(spark, sf_dir)
     tmap = F.create_map(*[x for k, v in TYPE_IDX.items() for x in (F.lit(k), F.lit(v))])
     words = nodes.select("qid", "node_id", tmap[F.col("type")].cast("bigint").alias("type_idx"),
-                         F.explode(T.words(F.lower(A.node_text(F.col("node_id"))))).alias("w"))
+                         F.explode_outer(T.words(F.lower(A.node_text(F.col("node_id"))))).alias("w")
+                         ).filter(F.col("w").isNotNull())
     words = words.withColumn("bucket", F.pmod(F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint"),
                                               F.lit(FEAT_DIM)))
     return words.groupBy("qid", "node_id", "type_idx", "bucket").agg(F.count("*").cast("bigint").alias("cnt"))
