@@ -134,9 +134,15 @@ def build_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas
     # the final prompt is never re-tokenised.
     additive = all(tpl[k].strip() == "" for k in ("q_sep", "demo_sep", "section_sep"))
     schemas = schemas.withColumn("schema_tokens", _ntok(F.col("schema_text")))
-    t = join_small_side(targets, schemas, ["db_id"], salt_of=F.col("idx"), how="left")
     ev = F.col(evidence) if evidence else None
-    t = t.withColumn("q_section", fill_question_section(tpl, F.col("question"), F.col("schema_text"), ev))
+    if additive:
+        # Only the schema's token count travels through the shuffles; its text
+        # (identical for every row of a database) is attached once at the end.
+        t = join_small_side(targets, schemas.select("db_id", "schema_tokens"), ["db_id"],
+                            salt_of=F.col("idx"), how="left")
+    else:
+        t = join_small_side(targets, schemas, ["db_id"], salt_of=F.col("idx"), how="left")
+        t = t.withColumn("q_section", fill_question_section(tpl, F.col("question"), F.col("schema_text"), ev))
     if additive:
         row_part = fill_question_section({**tpl, "q_prefix": None, "q_suffix": None}, F.col("question"),
                                          F.lit(None).cast("string"), ev)
@@ -170,6 +176,10 @@ def build_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas
         F.aggregate(F.filter("ds", lambda x: x["kept"]), F.lit(0).cast("bigint"),
                     lambda acc, x: acc + x["cost"]).alias("kept_tokens"))
     out = t.join(agg, t["idx"] == agg["target_id"], "left").drop("target_id")
+    if additive:
+        out = join_small_side(out, schemas.select("db_id", "schema_text"), ["db_id"],
+                              salt_of=F.col("idx"), how="left")
+        out = out.withColumn("q_section", fill_question_section(tpl, F.col("question"), F.col("schema_text"), ev))
     kept = F.coalesce(F.col("kept_texts"), F.array().cast("array<string>"))
     demo_parts = [F.lit(prefix)] if prefix is not None else []
     demo_parts.append(F.array_join(kept, demo_sep))

@@ -214,3 +214,12 @@ def test_batch_complete_retries_and_failures(spark):
     out = {r.idx: r for r in B.batch_complete(df, Flaky, attempts=3, backoff_s=0).collect()}
     assert out[1].ok and out[1].sql == "SELECT 1" and out[1].attempts == 1
     assert not out[2].ok and out[2].sql is None and out[2].attempts == 3
+
+
+def test_sampling_exact_whatever_the_window(spark):
+    t = spark.range(0, 60).withColumnRenamed("id", "idx").withColumn("g", F.col("idx") % 3)
+    p = spark.range(0, 90).withColumnRenamed("id", "idx").withColumn("g", F.col("idx") % 3)
+    kw = dict(target_group="g", pool_group="g", exclude_self=True)
+    a = sorted(map(tuple, R.seeded_sample(t, p, 5, 11, start_window=1, **kw).collect()))
+    b = sorted(map(tuple, R.seeded_sample(t, p, 5, 11, start_window=64, **kw).collect()))
+    assert a == b and len(a) == 300
