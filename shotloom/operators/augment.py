@@ -156,3 +156,45 @@ def join_targets(nodes: DataFrame, edges: DataFrame, seed: int, prob: float = 0.
     return first.filter(gate).select("qid", "node_id")
 
 
+
+
+def toggle_not(nodes: DataFrame, edges: DataFrame, prob: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Toggle NOT above chosen IN / LIKE nodes (chosen with probability ``prob``).
+
+    A chosen node under a NOT node loses that NOT (its parent adopts the node);
+    otherwise a new ``SQL_KEYWORD_NOT_<next>`` node is inserted between the node
+    and each of its parents.
+    """
+    from pyspark.sql import Window
+    chosen = nodes.filter(F.upper(F.col("val")).isin("IN", "LIKE")
+                          & (hashing.uniform(seed, "not", F.col("qid"), F.col("node_id")) <= prob)) \
+                  .select("qid", F.col("node_id").alias("x"))
+    parents = edges.join(chosen.withColumnRenamed("x", "dst"), ["qid", "dst"])
+    is_not = nodes.filter(F.upper(F.col("val")) == "NOT").select("qid", F.col("node_id").alias("src"),
+                                                                 F.lit(True).alias("src_is_not"))
+    parents = parents.join(is_not, ["qid", "src"], "left")
+    # Remove: NOT -> X becomes grand-parent -> X, and the NOT node goes away.
+    drop_not = parents.filter(F.col("src_is_not")).select("qid", F.col("src").alias("not_id"), F.col("dst").alias("x"))
+    # Add: P -> X becomes P -> NOT_new -> X.
+    add = parents.filter(F.col("src_is_not").isNull()).select("qid", "src", "dst", "label")
+    idx = F.regexp_extract(F.col("node_id"), r"_([0-9]+)$", 1).try_cast("bigint")
+    max_not = (nodes.filter(F.upper(F.col("val")) == "NOT").groupBy("qid").agg(F.max(idx).alias("max_not")))
+    w = Window.partitionBy("qid").orderBy("dst", "src")
+    add = add.join(max_not, "qid", "left").withColumn(
+        "not_id", F.concat(F.lit("SQL_KEYWORD_NOT_"),
+                           (F.coalesce(F.col("max_not"), F.lit(-1)) + F.row_number().over(w)).cast("string")))
+    gone = drop_not.select("qid", F.col("not_id").alias("node_id"))
+    e = edges.join(add.select("qid", "src", "dst", F.lit(True).alias("_r")), ["qid", "src", "dst"], "left") \
+             .filter(F.col("_r").isNull()).drop("_r")
+    e = e.join(gone.withColumnRenamed("node_id", "src"), ["qid", "src"], "left_anti") \
+         .join(gone.withColumnRenamed("node_id", "dst"), ["qid", "dst"], "left_anti")
+    into_not = edges.join(drop_not.select("qid", F.col("not_id").alias("dst")), ["qid", "dst"]) \
+                    .select("qid", "src", F.col("dst").alias("not_id"), "label")
+    rewired = into_not.join(drop_not, ["qid", "not_id"]).select("qid", "src", F.col("x").alias("dst"), "label")
+    new_edges = (add.select("qid", "src", F.col("not_id").alias("dst"), "label")
+                    .unionByName(add.select("qid", F.col("not_id").alias("src"), "dst", F.lit("this").alias("label"))))
+    e2 = e.select("qid", "src", "dst", "label").unionByName(rewired).unionByName(new_edges).distinct()
+    n2 = (nodes.join(gone, ["qid", "node_id"], "left_anti")
+               .unionByName(add.select("qid", F.col("not_id").alias("node_id"), F.lit("NOT").alias("val"),
+                                       F.lit("SQL_KEYWORD").alias("type")).distinct()))
+    return n2, e2

@@ -199,3 +199,41 @@ def build_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas
                                     .when(F.length("prompt") == 0, "empty").otherwise("ok"))
     return out.drop("kept_texts", "kept_tokens", "q_section", "q_tokens", "balance", "schema_text",
                     "schema_tokens")
+
+
+def build_flat_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas: DataFrame,
+                       option: str = "option_1", max_tokens: int = 4096) -> DataFrame:
+    """T6 + T10: the flat string template filled with flat-packed demonstrations.
+
+    Demonstrations ("### Answer the following question: q\\nsql") are packed in
+    rank order while demos + separators fit the budget left after the template's
+    other parts; missing demos or schema drop their header entirely.
+    """
+    from shotloom.functions.constants import FLAT_DEMO_FORMAT, FLAT_TEMPLATES
+    tpl = FLAT_TEMPLATES[option]
+    sep = "\n\n"
+    schemas = schemas.withColumn("schema_tokens", _ntok(F.col("schema_text")))
+    t = join_small_side(targets, schemas.select("db_id", "schema_tokens"), ["db_id"], salt_of=F.col("idx"), how="left")
+    qa, qb = tpl["question"].split("{question}")
+    q_part = F.concat(F.lit(qa), F.col("question"), F.lit(qb))
+    fixed = (_ntok(F.lit(tpl["head"])) + _ntok(F.lit(tpl["demo_header"])) + _ntok(F.lit(tpl["schema_header"]))
+             + F.coalesce(F.col("schema_tokens"), F.lit(0)) + _ntok(q_part))
+    t = t.withColumn("balance", F.lit(max_tokens) - fixed)
+    p = pool.select(F.col("idx").alias("demo_id"), F.col("question").alias("dq"), F.col("query").alias("dsql"))
+    d = picks.join(p, "demo_id").withColumn("dtext", format_demo(FLAT_DEMO_FORMAT, F.col("dq"), F.col("dsql")))
+    d = d.join(t.select(F.col("idx").alias("target_id"), "balance"), "target_id")
+    d = pack(d.withColumn("cost", _ntok(F.col("dtext"))), F.col("balance"), F.col("cost"), mode="flat",
+             sep_tokens=_ntok(F.lit(sep)), bounded=True)
+    agg = (d.groupBy("target_id")
+            .agg(F.sort_array(F.collect_list(F.struct("rank", "dtext", "kept"))).alias("ds"))
+            .select("target_id", F.transform(F.filter("ds", lambda x: x["kept"]), lambda x: x["dtext"]).alias("kept")))
+    out = t.join(agg, t["idx"] == agg["target_id"], "left").drop("target_id")
+    out = join_small_side(out, schemas.select("db_id", "schema_text"), ["db_id"], salt_of=F.col("idx"), how="left")
+    kept = F.coalesce(F.col("kept"), F.array().cast("array<string>"))
+    demo_text = F.array_join(kept, sep)
+    demo_part = F.when(F.size(kept) > 0, F.concat(F.lit(tpl["demo_header"]), demo_text, F.lit(sep))).otherwise("")
+    schema_part = F.when(F.coalesce(F.length("schema_text"), F.lit(0)) > 0,
+                         F.concat(F.lit(tpl["schema_header"]), F.col("schema_text"), F.lit(sep))).otherwise("")
+    prompt = F.concat(F.lit(tpl["head"]), demo_part, schema_part, q_part)
+    return out.select("idx", F.size(kept).cast("bigint").alias("num_packed"), prompt.alias("prompt"),
+                      _ntok(prompt).alias("num_tokens"))

@@ -556,6 +556,47 @@ def q_prompt_build(spark, sf_dir):
                       "num_packed", "prompt", "num_tokens", "status")
 
 
+def _prompt_flat_sql() -> str:
+    from shotloom.functions.constants import FLAT_TEMPLATES
+    tpl = FLAT_TEMPLATES["option_1"]
+    nl2 = "chr(10) || chr(10)"
+    qa, qb = tpl["question"].split("{question}")
+    q_part = f"({D.lit(qa)} || t.question || {D.lit(qb)})"
+    fixed = (f"{D.ntok(D.lit(tpl['head']))} + {D.ntok(D.lit(tpl['demo_header']))} + {D.ntok(D.lit(tpl['schema_header']))}"
+             f" + coalesce({D.ntok('s.schema_text')}, 0) + {D.ntok(q_part)}")
+    return f"""
+WITH {D.QLOG_CTE}, {D.catalog_ctes()}, {_class_picks_sql()},
+t AS (SELECT qid AS idx, question, 'star' AS db_id FROM qlog),
+tb AS (SELECT t.idx, t.question, s.schema_text, 4096 - ({fixed}) AS balance FROM t LEFT JOIN schema_t s ON s.db_id = t.db_id),
+d AS (SELECT p.target_id, p.rank, '### Answer the following question: ' || coalesce(q.question, '') || chr(10) || coalesce(q.query, '') AS dtext
+      FROM picks p JOIN qlog q ON q.qid = p.demo_id),
+dw AS (SELECT d.*, tb.balance, rank - 1 AS pos,
+         sum({D.ntok('dtext')}) OVER (PARTITION BY target_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+       FROM d JOIN tb ON tb.idx = d.target_id),
+agg AS (SELECT target_id, coalesce(list(dtext ORDER BY rank) FILTER (WHERE cum + pos * {D.ntok(nl2)} <= balance), []) AS kept
+        FROM dw GROUP BY target_id),
+pr AS (SELECT tb.idx, CAST(len(coalesce(agg.kept, [])) AS BIGINT) AS num_packed,
+         {D.lit(tpl['head'])}
+         || CASE WHEN len(coalesce(agg.kept, [])) > 0 THEN {D.lit(tpl['demo_header'])} || array_to_string(agg.kept, {nl2}) || {nl2} ELSE '' END
+         || CASE WHEN coalesce(length(tb.schema_text), 0) > 0 THEN {D.lit(tpl['schema_header'])} || tb.schema_text || {nl2} ELSE '' END
+         || {D.lit(qa)} || tb.question || {D.lit(qb)} AS prompt
+       FROM tb LEFT JOIN agg ON agg.target_id = tb.idx)
+SELECT idx, num_packed, prompt, {D.ntok('prompt')} AS num_tokens FROM pr
+"""
+
+
+@query("prompt_build_flat", oracle=_prompt_flat_sql())
+def q_prompt_build_flat(spark, sf_dir):
+    q = S.qlog(spark, sf_dir)
+    c = q.select("qid", R.structure_class(T.sql_tokens("query")).alias("cls"))
+    picks = R.seeded_sample(c, c, K, SEED, target_id="qid", pool_id="qid",
+                            target_group="cls", pool_group="cls", exclude_self=True)
+    targets = q.select(F.col("qid").alias("idx"), "question", F.lit("star").alias("db_id"))
+    pool = q.select(F.col("qid").alias("idx"), "question", "query")
+    schemas = CAT.schema_text(CAT.catalog_columns(spark, sf_dir))
+    return PR.build_flat_prompts(targets, picks, pool, schemas, "option_1")
+
+
 # --- SQL graph tables -----------------------------------------------------------------------
 
 from shotloom.operators import sqlgraph as G  # noqa: E402
@@ -875,6 +916,31 @@ def q_graph_vectors(spark, sf_dir):
     return h.groupBy("qid").agg(*[F.round(F.avg(f"h{i}"), 6).alias(f"d{i}") for i in range(5)])
 
 
+NOT_P = 0.7
+
+
+@query("aug_not_toggle", oracle=_duck_graph("SELECT DISTINCT qid, src, dst, label FROM e2", extra=f"""
+ch AS (SELECT qid, node_id AS x FROM nodes WHERE upper(val) IN ('IN', 'LIKE')
+       AND {D.uniform(str(SEED), "'not'", 'qid', 'node_id')} <= {NOT_P}),
+pa AS (SELECT e.qid, e.src, e.dst, e.label, n.node_id IS NOT NULL AS src_is_not FROM edges e JOIN ch ON ch.qid = e.qid AND ch.x = e.dst
+       LEFT JOIN (SELECT qid, node_id FROM nodes WHERE upper(val) = 'NOT') n ON n.qid = e.qid AND n.node_id = e.src),
+dn AS (SELECT qid, src AS not_id, dst AS x FROM pa WHERE src_is_not),
+mx AS (SELECT qid, max(TRY_CAST(regexp_extract(node_id, '_([0-9]+)$', 1) AS BIGINT)) AS max_not FROM nodes
+       WHERE upper(val) = 'NOT' GROUP BY qid),
+ad AS (SELECT pa.qid, pa.src, pa.dst, pa.label, 'SQL_KEYWORD_NOT_' ||
+              CAST(coalesce(mx.max_not, -1) + row_number() OVER (PARTITION BY pa.qid ORDER BY pa.dst, pa.src) AS VARCHAR) AS not_id
+       FROM pa LEFT JOIN mx ON mx.qid = pa.qid WHERE NOT pa.src_is_not),
+e1 AS (SELECT e.* FROM edges e WHERE NOT EXISTS (SELECT 1 FROM ad WHERE ad.qid = e.qid AND ad.src = e.src AND ad.dst = e.dst)
+       AND NOT EXISTS (SELECT 1 FROM dn WHERE dn.qid = e.qid AND (dn.not_id = e.src OR dn.not_id = e.dst))),
+rw AS (SELECT e.qid, e.src, dn.x AS dst, e.label FROM edges e JOIN dn ON dn.qid = e.qid AND dn.not_id = e.dst),
+e2 AS (SELECT qid, src, dst, label FROM e1 UNION ALL SELECT * FROM rw
+       UNION ALL SELECT qid, src, not_id, label FROM ad UNION ALL SELECT qid, not_id, dst, 'this' FROM ad)"""))
+def q_aug_not_toggle(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    _, e2 = A.toggle_not(nodes, edges, NOT_P, SEED)
+    return e2
+
+
 # --- pq-gram trees ----------------------------------------------------------------------------
 
 from shotloom.operators import trees as TR  # noqa: E402

@@ -223,3 +223,19 @@ def test_sampling_exact_whatever_the_window(spark):
     a = sorted(map(tuple, R.seeded_sample(t, p, 5, 11, start_window=1, **kw).collect()))
     b = sorted(map(tuple, R.seeded_sample(t, p, 5, 11, start_window=64, **kw).collect()))
     assert a == b and len(a) == 300
+
+
+def test_not_toggle_adds_and_removes(spark):
+    from shotloom.operators import augment as A
+    nodes = spark.createDataFrame(
+        [(1, "ROOT", "ROOT", "ROOT"), (1, "W", "WHERE", "SQL_KEYWORD"), (1, "SQL_KEYWORD_NOT_0", "NOT", "SQL_KEYWORD"),
+         (1, "SQL_KEYWORD_IN_0", "IN", "SQL_KEYWORD"), (2, "ROOT", "ROOT", "ROOT"), (2, "W", "WHERE", "SQL_KEYWORD"),
+         (2, "SQL_KEYWORD_LIKE_0", "LIKE", "SQL_KEYWORD")], "qid bigint, node_id string, val string, type string")
+    edges = spark.createDataFrame(
+        [(1, "ROOT", "W", "x"), (1, "W", "SQL_KEYWORD_NOT_0", "e"), (1, "SQL_KEYWORD_NOT_0", "SQL_KEYWORD_IN_0", "e"),
+         (2, "ROOT", "W", "x"), (2, "W", "SQL_KEYWORD_LIKE_0", "e")], "qid bigint, src string, dst string, label string")
+    n2, e2 = A.toggle_not(nodes, edges, 1.0, 5)
+    got = sorted((r.qid, r.src, r.dst) for r in e2.collect())
+    assert got == [(1, "ROOT", "W"), (1, "W", "SQL_KEYWORD_IN_0"),
+                   (2, "ROOT", "W"), (2, "SQL_KEYWORD_NOT_0", "SQL_KEYWORD_LIKE_0"), (2, "W", "SQL_KEYWORD_NOT_0")]
+    assert sorted(r.node_id for r in n2.filter("qid = 1").collect()) == ["ROOT", "SQL_KEYWORD_IN_0", "W"]
