@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shotloom.functions import hashing
 from shotloom.functions.constants import CRITICAL_KEYWORDS, KEYWORD_REPLACEMENTS, MASK_TOKEN
-from shotloom.operators.common import top_k
+from shotloom.operators.common import broadcast_if_bounded, top_k
 from shotloom.session import checkpoint_dir
 
 # Default operator weights of the augmenter.
@@ -198,3 +198,56 @@ def toggle_not(nodes: DataFrame, edges: DataFrame, prob: float, seed: int) -> tu
                .unionByName(add.select("qid", F.col("not_id").alias("node_id"), F.lit("NOT").alias("val"),
                                        F.lit("SQL_KEYWORD").alias("type")).distinct()))
     return n2, e2
+
+
+def word_list(texts: DataFrame, text_col: str = "text", min_len: int = 3) -> DataFrame:
+    """Replacement vocabulary: distinct lower-case words of ``texts`` (length >= min_len), densely numbered."""
+    from shotloom.functions import text as T
+    from shotloom.operators.common import dense_index
+    w = (texts.select(F.explode_outer(T.words(F.lower(F.col(text_col)))).alias("word"))
+              .filter(F.col("word").isNotNull() & (F.length("word") >= min_len)).distinct())
+    return dense_index(w, [], ["word"], out="widx")
+
+
+def replace_values(nodes: DataFrame, edges: DataFrame, words: DataFrame, prob: float,
+                   seed: int) -> tuple[DataFrame, DataFrame]:
+    """A6 (X20 fixed: the ``VALUE_`` prefix is removed, not a character set).
+
+    A VALUE node is replaced with probability ``prob``: an integer by a hash-drawn
+    integer with the same number of digits; a LIKE pattern by the same pattern
+    with every non-blank part between ``%`` replaced by a word; any other string
+    by a word. Floats are kept. A new value that already exists in the graph is
+    merged with it (relabel, then distinct).
+    """
+    n_words = words.agg(F.count("*")).scalar()
+    v = nodes.filter(F.col("type") == "VALUE")
+    chosen = v.filter(hashing.uniform(seed, "val", F.col("qid"), F.col("node_id")) <= prob)
+    is_int = F.col("val").rlike("^[0-9]+$")
+    is_float = F.col("val").rlike("^[0-9]*[.][0-9]+$")
+    d = F.length("val")
+    lo = F.pow(F.lit(10.0), d - 1)
+    new_int = (lo + F.floor(hashing.uniform(seed, "valn", F.col("qid"), F.col("node_id")) * (lo * 9))).cast("bigint")
+    ints = chosen.filter(is_int).select("qid", "node_id", new_int.cast("string").alias("new_val"))
+    strs = chosen.filter(~is_int & ~is_float)
+    parts = strs.select("qid", "node_id", F.posexplode_outer(
+        F.when(F.col("val").contains("%"), F.split(F.col("val"), "%", -1)).otherwise(F.array(F.col("val"))))
+        .alias("pos", "part"), F.col("val").contains("%").alias("is_like"))
+    blank = F.length(F.trim(F.coalesce(F.col("part"), F.lit("")))) == 0
+    parts = parts.withColumn("widx", F.when(~blank, F.floor(
+        hashing.uniform(seed, "valw", F.col("qid"), F.col("node_id"), F.col("pos")) * n_words).cast("bigint")))
+    wb, _ = broadcast_if_bounded(words.select("widx", "word"))
+    parts = parts.join(wb, "widx", "left").withColumn("np", F.when(blank, F.lit("")).otherwise(F.col("word")))
+    strs_new = (parts.groupBy("qid", "node_id")
+                     .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "np"))),
+                                                   lambda x: x["np"]), "%").alias("new_val")))
+    mapping = ints.unionByName(strs_new).select("qid", F.col("node_id").alias("old_id"), "new_val",
+                                                F.concat(F.lit("VALUE_"), F.col("new_val")).alias("new_id"))
+    n2 = (nodes.join(mapping.withColumnRenamed("old_id", "node_id"), ["qid", "node_id"], "left")
+               .select("qid", F.coalesce("new_id", "node_id").alias("node_id"),
+                       F.coalesce("new_val", "val").alias("val"), "type").distinct())
+    m = mapping.select("qid", "old_id", "new_id")
+    e2 = (edges.join(m.withColumnRenamed("old_id", "src").withColumnRenamed("new_id", "nsrc"), ["qid", "src"], "left")
+               .join(m.withColumnRenamed("old_id", "dst").withColumnRenamed("new_id", "ndst"), ["qid", "dst"], "left")
+               .select("qid", F.coalesce("nsrc", "src").alias("src"), F.coalesce("ndst", "dst").alias("dst"), "label")
+               .distinct())
+    return n2, e2

@@ -941,6 +941,35 @@ def q_aug_not_toggle(spark, sf_dir):
     return e2
 
 
+VAL_P = 0.8
+
+
+@query("aug_value", oracle=_duck_graph("SELECT DISTINCT qid, src, dst, label FROM e2", extra=f"""
+wl0 AS (SELECT DISTINCT w AS word FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), {D.lit(T.WORD_RE)})) AS w
+        FROM benchmark) WHERE length(w) >= 3),
+wl AS (SELECT word, CAST(row_number() OVER (ORDER BY word) - 1 AS BIGINT) AS widx FROM wl0),
+nw AS (SELECT count(*) AS n FROM wl),
+ch AS (SELECT qid, node_id, val FROM nodes WHERE type = 'VALUE' AND {D.uniform(str(SEED), "'val'", 'qid', 'node_id')} <= {VAL_P}),
+ints AS (SELECT qid, node_id, CAST(CAST(10.0 ^ (length(val) - 1) + floor({D.uniform(str(SEED), "'valn'", 'qid', 'node_id')}
+                 * (10.0 ^ (length(val) - 1) * 9)) AS BIGINT) AS VARCHAR) AS new_val
+         FROM ch WHERE regexp_full_match(val, '[0-9]+')),
+st AS (SELECT * FROM ch WHERE NOT regexp_full_match(val, '[0-9]+') AND NOT regexp_full_match(val, '[0-9]*[.][0-9]+')),
+pt AS (SELECT qid, node_id, unnest(CASE WHEN contains(val, '%') THEN string_split(val, '%') ELSE [val] END) AS part,
+              generate_subscripts(CASE WHEN contains(val, '%') THEN string_split(val, '%') ELSE [val] END, 1) - 1 AS pos FROM st),
+pw AS (SELECT pt.*, CASE WHEN length(trim(coalesce(part, ''))) = 0 THEN ''
+         ELSE (SELECT word FROM wl WHERE wl.widx = CAST(floor({D.uniform(str(SEED), "'valw'", 'pt.qid', 'pt.node_id', 'pt.pos')}
+               * (SELECT n FROM nw)) AS BIGINT)) END AS np FROM pt),
+sn AS (SELECT qid, node_id, array_to_string(list(np ORDER BY pos), '%') AS new_val FROM pw GROUP BY qid, node_id),
+mp AS (SELECT qid, node_id AS old_id, 'VALUE_' || new_val AS new_id FROM ints UNION ALL SELECT qid, node_id, 'VALUE_' || new_val FROM sn),
+e2 AS (SELECT e.qid, coalesce(a.new_id, e.src) AS src, coalesce(b.new_id, e.dst) AS dst, e.label FROM edges e
+       LEFT JOIN mp a ON a.qid = e.qid AND a.old_id = e.src LEFT JOIN mp b ON b.qid = e.qid AND b.old_id = e.dst)"""))
+def q_aug_value(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    words = A.word_list(S.load(spark, sf_dir, "benchmark"))
+    _, e2 = A.replace_values(nodes, edges, words, VAL_P, SEED)
+    return e2
+
+
 # --- pq-gram trees ----------------------------------------------------------------------------
 
 from shotloom.operators import trees as TR  # noqa: E402
