@@ -325,7 +325,10 @@ def struct_retrieve(items: DataFrame, k: int, id_col: str = "qid") -> DataFrame:
     # Overlapping signature pairs through token postings.
     tpost = tsig.select("tsig", "bucket", F.size("ttoks").alias("na"), F.explode("ttoks").alias("tok"))
     dpost = dsig.select("sig", "bucket", F.size("toks").alias("nb"), F.explode("toks").alias("tok"))
-    inter = (tpost.join(dpost, ["bucket", "tok"]).groupBy("tsig", "sig", "bucket", "na", "nb")
+    # A stop token joins every signature pair: broadcast the (checked) target side,
+    # else salt the shuffle join by demo signature so that pair product is split.
+    inter = (join_small_side(dpost, tpost, ["bucket", "tok"], salt_of=F.col("sig"))
+                  .groupBy("tsig", "sig", "bucket", "na", "nb")
                   .agg(F.count("*").alias("inter")))
     inter = inter.select("tsig", "sig", "bucket",
                          (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jac"))
