@@ -100,12 +100,20 @@ def graph_ctes(engine: str, part: str = "all") -> str:
         f"""CASE WHEN kind = 'literal' THEN {st('klabel', value_node, "'VALUE'")}
              WHEN kind = 'column' AND ctable IS NOT NULL THEN {st(col_node, "'TABLE_' || ctable", "'belongs_to'")}
              ELSE {null3} END""")
+    kws = ["SELECT", "WHERE", "HAVING", "LIMIT", "JOIN", "DISTINCT", "GROUP", "ORDER", "EXCEPT", "INTERSECT",
+           "UNION", "COUNT", "SUM", "AVG", "MIN", "MAX", "EQ", "NEQ", "GT", "GTE", "LT", "LTE", "AND", "OR",
+           "NOT", "IN", "BETWEEN", "LIKE", "LITERAL"]
+    # Keyword numbering as running counts on the (qid, pos) order the chain already
+    # has, instead of one more sort by (qid, kw).
+    kw_count = "CASE kw " + " ".join(
+        f"WHEN '{k}' THEN sum(CASE WHEN kw = '{k}' THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY pos {upto})"
+        for k in kws) + " END"
     head = f"""toks AS ({d['toks']}),
 t1 AS (SELECT qid, pos, tok, lower(tok) AS lt,
          lead(lower(tok)) OVER (PARTITION BY qid ORDER BY pos) AS nxt,
          lag(lower(tok)) OVER (PARTITION BY qid ORDER BY pos) AS prv,
          lag(tok, 2) OVER (PARTITION BY qid ORDER BY pos) AS prv2 FROM toks),
-t2 AS (SELECT *, CASE
+t2a AS (SELECT *, CASE
    WHEN substr(tok, 1, 1) = {q1} OR substr(tok, 1, 1) BETWEEN '0' AND '9' THEN 'literal'
    WHEN lt IN ('except', 'intersect', 'union') THEN 'setop'
    WHEN lt IN ('select', 'where', 'having', 'limit', 'join', 'distinct') THEN 'clause'
@@ -118,40 +126,42 @@ t2 AS (SELECT *, CASE
    WHEN prv = 'as' THEN 'alias'
    WHEN lower(substr(tok, 1, 1)) BETWEEN 'a' AND 'z' OR substr(tok, 1, 1) = '_' THEN 'column'
    ELSE 'punct' END AS kind FROM t1),
+t2 AS (SELECT *, CASE WHEN kind IN ('clause', 'setop', 'agg') THEN upper(lt)
+                      WHEN kind = 'op' THEN CASE lt WHEN '=' THEN 'EQ' WHEN '!=' THEN 'NEQ' WHEN '<>' THEN 'NEQ'
+                           WHEN '>' THEN 'GT' WHEN '>=' THEN 'GTE' WHEN '<' THEN 'LT' WHEN '<=' THEN 'LTE' ELSE upper(lt) END
+                      WHEN kind = 'literal' THEN 'LITERAL' END AS kw FROM t2a),
 t3 AS (SELECT *, sum(CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END)
-                 OVER (PARTITION BY qid ORDER BY pos {upto}) AS pincl FROM t2),
+                 OVER (PARTITION BY qid ORDER BY pos {upto}) AS pincl,
+                 {kw_count} AS kwn FROM t2),
 t4 AS (SELECT *, CASE WHEN tok = '(' THEN pincl WHEN tok = ')' THEN pincl + 1 END AS plevel,
-                 CASE WHEN tok = '(' THEN (CASE WHEN nxt = 'select' THEN 1 ELSE 0 END) END AS opensub FROM t3),
+                 CASE WHEN tok = '(' THEN (CASE WHEN nxt = 'select' THEN 1 ELSE 0 END) END AS opensub,
+                 CASE WHEN kw IS NOT NULL THEN 'SQL_KEYWORD_' || kw || '_' || CAST(kwn - 1 AS STRING) END AS klabel
+          FROM t3),
 t5 AS (SELECT *, CASE WHEN tok = ')' THEN {last('opensub')} OVER (PARTITION BY qid, plevel ORDER BY pos {upto}) END
                  AS closesub FROM t4),
 t6 AS (SELECT *, sum(CASE WHEN tok = '(' AND opensub = 1 THEN 1 WHEN tok = ')' AND closesub = 1 THEN -1 ELSE 0 END)
                  OVER (PARTITION BY qid ORDER BY pos {upto})
-                 - CASE WHEN tok = '(' AND opensub = 1 THEN 1 ELSE 0 END AS depth FROM t5),
-t7 AS (SELECT *, CASE WHEN kind IN ('clause', 'setop', 'agg') THEN upper(lt)
-                      WHEN kind = 'op' THEN CASE lt WHEN '=' THEN 'EQ' WHEN '!=' THEN 'NEQ' WHEN '<>' THEN 'NEQ'
-                           WHEN '>' THEN 'GT' WHEN '>=' THEN 'GTE' WHEN '<' THEN 'LT' WHEN '<=' THEN 'LTE' ELSE upper(lt) END
-                      WHEN kind = 'literal' THEN 'LITERAL' END AS kw,
-                 {last("CASE WHEN lt = 'select' THEN pos END")} OVER (PARTITION BY qid, depth ORDER BY pos {upto}) AS scope,
+                 - CASE WHEN tok = '(' AND opensub = 1 THEN 1 ELSE 0 END AS depth,
+                 {last("CASE WHEN kind IN ('clause', 'op', 'agg', 'setop') THEN klabel END")} OVER (PARTITION BY qid ORDER BY pos {before}) AS last_any,
+                 lead(kind) OVER (PARTITION BY qid ORDER BY pos) AS nxt_kind,
+                 lead(klabel) OVER (PARTITION BY qid ORDER BY pos) AS nxt_label,
+                 lag(klabel) OVER (PARTITION BY qid ORDER BY pos) AS prv_label
+          FROM t5),
+t7 AS (SELECT *, {last("CASE WHEN lt = 'select' THEN pos END")} OVER (PARTITION BY qid, depth ORDER BY pos {upto}) AS scope,
+                 {last("CASE WHEN lt = 'select' THEN klabel END")} OVER (PARTITION BY qid, depth ORDER BY pos {upto}) AS scope_select,
+                 {last("CASE WHEN kind = 'clause' THEN klabel END")} OVER (PARTITION BY qid, depth ORDER BY pos {before}) AS last_clause,
+                 {last("CASE WHEN kind IN ('clause', 'op', 'agg') THEN klabel END")} OVER (PARTITION BY qid, depth ORDER BY pos {before}) AS last_opish,
+                 max(CASE WHEN kind = 'setop' AND depth = 0 THEN klabel END) OVER (PARTITION BY qid) AS top_setop,
                  CASE WHEN kind = 'column' AND instr(tok, '.') > 0 THEN split_part(tok, '.', 1) END AS qual
           FROM t6),
-t8 AS (SELECT *, CASE WHEN kw IS NOT NULL THEN 'SQL_KEYWORD_' || kw || '_' ||
-                   CAST(row_number() OVER (PARTITION BY qid, kw ORDER BY pos) - 1 AS STRING) END AS klabel,
-                 max(CASE WHEN kind = 'alias' THEN prv2 END)
+t8 AS (SELECT *, max(CASE WHEN kind = 'alias' THEN prv2 END)
                    OVER (PARTITION BY qid, CASE WHEN kind = 'alias' THEN tok ELSE qual END) AS alias_table
           FROM t7),
 tk AS (SELECT t8.*,
          CASE WHEN kind = 'column' AND qual IS NOT NULL THEN split_part(tok, '.', 2) ELSE tok END AS cname,
          CASE WHEN kind <> 'column' THEN NULL WHEN qual IS NULL
               THEN max(CASE WHEN kind = 'table' AND prv = 'from' THEN tok END) OVER (PARTITION BY qid, scope)
-              ELSE coalesce(alias_table, qual) END AS ctable,
-         {last("CASE WHEN lt = 'select' THEN klabel END")} OVER (PARTITION BY qid, depth ORDER BY pos {upto}) AS scope_select,
-         {last("CASE WHEN kind = 'clause' THEN klabel END")} OVER (PARTITION BY qid, depth ORDER BY pos {before}) AS last_clause,
-         {last("CASE WHEN kind IN ('clause', 'op', 'agg') THEN klabel END")} OVER (PARTITION BY qid, depth ORDER BY pos {before}) AS last_opish,
-         {last("CASE WHEN kind IN ('clause', 'op', 'agg', 'setop') THEN klabel END")} OVER (PARTITION BY qid ORDER BY pos {before}) AS last_any,
-         lead(kind) OVER (PARTITION BY qid ORDER BY pos) AS nxt_kind,
-         lead(klabel) OVER (PARTITION BY qid ORDER BY pos) AS nxt_label,
-         lag(klabel) OVER (PARTITION BY qid ORDER BY pos) AS prv_label,
-         max(CASE WHEN kind = 'setop' AND depth = 0 THEN klabel END) OVER (PARTITION BY qid) AS top_setop
+              ELSE coalesce(alias_table, qual) END AS ctable
        FROM t8)"""
     tail = f"""node_rows AS ({d['explode'].format(src='tk', arr=node_arr)}),
 nodes AS (SELECT DISTINCT qid, a AS node_id, b AS val, c AS type FROM node_rows WHERE a IS NOT NULL),
