@@ -251,3 +251,56 @@ def replace_values(nodes: DataFrame, edges: DataFrame, words: DataFrame, prob: f
                .select("qid", F.coalesce("nsrc", "src").alias("src"), F.coalesce("ndst", "dst").alias("dst"), "label")
                .distinct())
     return n2, e2
+
+
+def replace_schema(nodes: DataFrame, edges: DataFrame, src_cols: DataFrame, aug_cols: DataFrame,
+                   seed: int) -> tuple[DataFrame, DataFrame]:
+    """A13 (X19 fixed: the graph's own database types are used): table/column replacement.
+
+    ``src_cols`` / ``aug_cols``: catalog columns (table_name, column_name, column_type)
+    of the graph's database and of the replacement database (which must have at
+    least as many tables as any graph uses). Each graph's tables map injectively
+    to replacement tables in a seeded order; each column becomes the hash-first
+    column of its mapped table with the same type, or any column when none has
+    it. Nodes and edges are relabelled; collisions merge.
+    """
+    from pyspark.sql import Window
+    aug_tables = aug_cols.select("table_name").distinct()
+    n_aug = aug_tables.count()  # a catalog: a handful of rows, checked before use
+    tabs = [r.table_name for r in aug_tables.orderBy("table_name").collect()] if n_aug <= 10_000 else None
+    if tabs is None:
+        raise ValueError("replacement catalog too large to enumerate per graph")
+    qt = nodes.filter(F.col("type") == "TABLE").select("qid", F.col("val").alias("t")).distinct()
+    qt = qt.withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy("t")))
+    cand = nodes.select("qid").distinct().select("qid", F.explode(F.array(*map(F.lit, tabs))).alias("t2"))
+    cand = cand.withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy(
+        hashing.uniform(seed, "tbl", F.col("qid"), F.col("t2")), "t2")))
+    tmap = qt.join(cand, ["qid", "i"]).select("qid", "t", "t2")
+    cols = nodes.filter(F.col("type") == "COLUMN").select(
+        "qid", "node_id", F.col("val").alias("c"),
+        F.regexp_extract(F.col("node_id"), r"^COLUMN_([^.]*)\.", 1).alias("t"))
+    cols = cols.join(tmap, ["qid", "t"])
+    st = src_cols.select(F.col("table_name").alias("t"), F.col("column_name").alias("c"), F.col("column_type").alias("ctype"))
+    cols = cols.join(F.broadcast(st), ["t", "c"], "left")
+    ac = aug_cols.select(F.col("table_name").alias("t2"), F.col("column_name").alias("c2"),
+                         F.col("column_type").alias("ctype2"))
+    opts = cols.join(F.broadcast(ac), "t2")
+    match = F.coalesce(F.col("ctype") == F.col("ctype2"), F.lit(False))
+    opts = opts.withColumn("_m", F.when(match, 0).otherwise(1)).withColumn(
+        "_h", hashing.uniform(seed, "col", F.col("qid"), F.col("node_id"), F.col("c2")))
+    best = top_k(opts, ["qid", "node_id"], [F.col("_m").asc(), F.col("_h").asc(), F.col("c2").asc()], 1, rank_col="_r")
+    cmap = best.select("qid", F.col("node_id").alias("old_id"),
+                       F.concat(F.lit("COLUMN_"), F.col("t2"), F.lit("."), F.col("c2")).alias("new_id"),
+                       F.col("c2").alias("new_val"))
+    tm = tmap.select("qid", F.concat(F.lit("TABLE_"), F.col("t")).alias("old_id"),
+                     F.concat(F.lit("TABLE_"), F.col("t2")).alias("new_id"), F.col("t2").alias("new_val"))
+    mapping = cmap.unionByName(tm)
+    n2 = (nodes.join(mapping.withColumnRenamed("old_id", "node_id"), ["qid", "node_id"], "left")
+               .select("qid", F.coalesce("new_id", "node_id").alias("node_id"),
+                       F.coalesce("new_val", "val").alias("val"), "type").distinct())
+    m = mapping.select("qid", "old_id", "new_id")
+    e2 = (edges.join(m.withColumnRenamed("old_id", "src").withColumnRenamed("new_id", "nsrc"), ["qid", "src"], "left")
+               .join(m.withColumnRenamed("old_id", "dst").withColumnRenamed("new_id", "ndst"), ["qid", "dst"], "left")
+               .select("qid", F.coalesce("nsrc", "src").alias("src"), F.coalesce("ndst", "dst").alias("dst"), "label")
+               .distinct())
+    return n2, e2

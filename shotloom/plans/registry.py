@@ -970,6 +970,34 @@ def q_aug_value(spark, sf_dir):
     return e2
 
 
+@query("aug_schema", oracle=_duck_graph("SELECT DISTINCT qid, src, dst, label FROM e2", extra=f"""
+{D.catalog_ctes()},
+qt AS (SELECT qid, t, row_number() OVER (PARTITION BY qid ORDER BY t) AS i FROM (SELECT DISTINCT qid, val AS t FROM nodes WHERE type = 'TABLE')),
+atb AS (SELECT DISTINCT table_name AS t2 FROM cat WHERE db_id = 'corpus'),
+ca AS (SELECT q.qid, atb.t2, row_number() OVER (PARTITION BY q.qid ORDER BY {D.uniform(str(SEED), "'tbl'", 'q.qid', 'atb.t2')}, atb.t2) AS i
+       FROM (SELECT DISTINCT qid FROM nodes) q, atb),
+tm AS (SELECT qt.qid, qt.t, ca.t2 FROM qt JOIN ca ON ca.qid = qt.qid AND ca.i = qt.i),
+cl AS (SELECT n.qid, n.node_id, n.val AS c, regexp_extract(n.node_id, '^COLUMN_([^.]*)[.]', 1) AS t FROM nodes n WHERE n.type = 'COLUMN'),
+cm AS (SELECT cl.*, tm.t2, s.column_type AS ctype FROM cl JOIN tm ON tm.qid = cl.qid AND tm.t = cl.t
+       LEFT JOIN cat s ON s.db_id = 'star' AND s.table_name = cl.t AND s.column_name = cl.c),
+op AS (SELECT cm.qid, cm.node_id, cm.t2, a.column_name AS c2,
+              CASE WHEN coalesce(cm.ctype = a.column_type, false) THEN 0 ELSE 1 END AS m,
+              {D.uniform(str(SEED), "'col'", 'cm.qid', 'cm.node_id', 'a.column_name')} AS h
+       FROM cm JOIN cat a ON a.db_id = 'corpus' AND a.table_name = cm.t2),
+bc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, node_id ORDER BY m, h, c2) AS r FROM op) WHERE r = 1),
+mp AS (SELECT qid, node_id AS old_id, 'COLUMN_' || t2 || '.' || c2 AS new_id FROM bc
+       UNION ALL SELECT qid, 'TABLE_' || t, 'TABLE_' || t2 FROM tm),
+e2 AS (SELECT e.qid, coalesce(a.new_id, e.src) AS src, coalesce(b.new_id, e.dst) AS dst, e.label FROM edges e
+       LEFT JOIN mp a ON a.qid = e.qid AND a.old_id = e.src LEFT JOIN mp b ON b.qid = e.qid AND b.old_id = e.dst)"""))
+def q_aug_schema(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    cols = CAT.catalog_columns(spark, sf_dir)
+    src = cols.filter(F.col("db_id") == "star")
+    aug = cols.filter(F.col("db_id") == "corpus")
+    _, e2 = A.replace_schema(nodes, edges, src, aug, SEED)
+    return e2
+
+
 # --- pq-gram trees ----------------------------------------------------------------------------
 
 from shotloom.operators import trees as TR  # noqa: E402

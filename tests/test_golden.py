@@ -239,3 +239,20 @@ def test_not_toggle_adds_and_removes(spark):
     assert got == [(1, "ROOT", "W"), (1, "W", "SQL_KEYWORD_IN_0"),
                    (2, "ROOT", "W"), (2, "SQL_KEYWORD_NOT_0", "SQL_KEYWORD_LIKE_0"), (2, "W", "SQL_KEYWORD_NOT_0")]
     assert sorted(r.node_id for r in n2.filter("qid = 1").collect()) == ["ROOT", "SQL_KEYWORD_IN_0", "W"]
+
+
+def test_schema_replacement_keeps_types(spark):
+    from shotloom.operators import augment as A
+    nodes = spark.createDataFrame(
+        [(1, "ROOT", "ROOT", "ROOT"), (1, "TABLE_t", "t", "TABLE"), (1, "COLUMN_t.n", "n", "COLUMN"),
+         (1, "COLUMN_t.s", "s", "COLUMN")], "qid bigint, node_id string, val string, type string")
+    edges = spark.createDataFrame([(1, "ROOT", "TABLE_t", "FROM"), (1, "COLUMN_t.n", "TABLE_t", "belongs_to"),
+                                   (1, "COLUMN_t.s", "TABLE_t", "belongs_to")], "qid bigint, src string, dst string, label string")
+    src = spark.createDataFrame([("t", "n", "number"), ("t", "s", "text")], "table_name string, column_name string, column_type string")
+    aug = spark.createDataFrame([("u", "a", "text"), ("u", "b", "number"), ("u", "c", "text")],
+                                "table_name string, column_name string, column_type string")
+    n2, e2 = A.replace_schema(nodes, edges, src, aug, 3)
+    ids = {r.node_id for r in n2.collect()}
+    assert "TABLE_u" in ids and "COLUMN_u.b" in ids
+    assert ({"COLUMN_u.a", "COLUMN_u.c"} & ids) and "TABLE_t" not in ids
+    assert all(r.dst == "TABLE_u" for r in e2.filter("label = 'belongs_to'").collect())
