@@ -77,3 +77,31 @@ class EchoCompleter:
         answer = body.split("\n#### SQLite FIXED SQL QUERY", 1)[0]
         pat = regex.compile(T.WORD_PUNCT_RE)
         return answer, len(pat.findall(prompt)) + len(pat.findall(answer))
+
+
+def execute_candidates(candidates: DataFrame, sql_col: str = "sql", id_col: str = "idx",
+                       max_statements: int = 10_000) -> DataFrame:
+    """B4 + B5: run each distinct candidate statement with ``spark.sql`` on the registered views.
+
+    Returns (id, status 'result'/'exception', valid 0/1, n_rows, columns, error).
+    Statements are submitted by the driver (Spark's SQL entry point), once per
+    distinct text; their results stay on the cluster (only a row count comes
+    back). More distinct statements than ``max_statements`` is refused rather
+    than truncated.
+    """
+    spark = candidates.sparkSession
+    distinct_sql = candidates.select(F.col(sql_col).alias("sql")).distinct()
+    n = distinct_sql.count()
+    if n > max_statements:
+        raise ValueError(f"{n} distinct statements exceed max_statements={max_statements}")
+    rows = []
+    for r in distinct_sql.collect():
+        stmt = r.sql
+        try:
+            df = spark.sql(stmt)
+            rows.append((stmt, "result", 1, df.count(), ",".join(df.columns), None))
+        except Exception as ex:  # noqa: BLE001 - any analysis or runtime failure is a result
+            rows.append((stmt, "exception", 0, None, None, str(ex).splitlines()[0][:500]))
+    res = spark.createDataFrame(rows, "sql string, status string, valid int, n_rows bigint, "
+                                      "columns string, error string")
+    return candidates.select(F.col(id_col), F.col(sql_col).alias("sql")).join(res, "sql", "left")

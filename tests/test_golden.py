@@ -256,3 +256,16 @@ def test_schema_replacement_keeps_types(spark):
     assert "TABLE_u" in ids and "COLUMN_u.b" in ids
     assert ({"COLUMN_u.a", "COLUMN_u.c"} & ids) and "TABLE_t" not in ids
     assert all(r.dst == "TABLE_u" for r in e2.filter("label = 'belongs_to'").collect())
+
+
+def test_execute_candidates(spark):
+    from conftest import SF_SMALL
+    from shotloom.operators import complete as B
+    from shotloom.sources.tables import register_all
+    register_all(spark, SF_SMALL)
+    c = spark.createDataFrame([(1, "SELECT r_name FROM region"), (2, "SELECT nope FROM region"),
+                               (3, "SELECT r_name FROM region")], "idx bigint, sql string")
+    out = {r.idx: r for r in B.execute_candidates(c).collect()}
+    assert out[1].status == "result" and out[1].n_rows == 5 and out[1].columns == "r_name" and out[1].valid == 1
+    assert out[2].status == "exception" and out[2].valid == 0 and out[2].error
+    assert out[3].n_rows == 5
