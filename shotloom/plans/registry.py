@@ -1195,6 +1195,36 @@ def q_sql_predicates(spark, sf_dir):
                     (F.col("n_nested") > 0).alias("has_sql"), (F.col("n_agg") > 0).alias("has_agg"), "hardness")
 
 
+# --- survey key names for column subsets of the keys above --------------------------------------
+
+def _subset(name: str, base: str, cols: list[str], where: str | None = None):
+    base_sql = ORACLE[base]
+    col_sql = ", ".join(cols)
+    oracle = f"SELECT {col_sql} FROM ({base_sql}) AS b" + (f" WHERE {where}" if where else "")
+
+    @query(name, oracle=oracle)
+    def _q(spark, sf_dir):
+        df = QUERIES[base](spark, sf_dir).select(*cols)
+        return df.filter(where) if where else df
+    return _q
+
+
+_subset("pqgram_equal", "pqgram_distance", ["tree_a", "tree_b", "n_a", "n_b", "equal"])
+_subset("complexity_counts", "complexity", ["qid", "n_where", "n_group", "n_order", "n_limit", "n_join", "n_or",
+                                            "n_like", "n_nested", "n_setop", "n_agg", "n_select_cols",
+                                            "n_where_conds", "n_group_cols", "comp1", "comp2", "others"])
+_subset("complexity_label", "complexity", ["qid", "hardness"])
+
+
+@query("budget_flags", oracle=f"""SELECT idx, length(prompt) = 0 AS is_empty, num_tokens > 4096 AS over_budget,
+  num_tokens FROM ({ORACLE['prompt_build']}) AS b""")
+def q_budget_flags(spark, sf_dir):
+    """flag empty prompts and prompts over the 4096-token budget."""
+    b = QUERIES["prompt_build"](spark, sf_dir)
+    return b.select("idx", (F.length("prompt") == 0).alias("is_empty"),
+                    (F.col("num_tokens") > 4096).alias("over_budget"), "num_tokens")
+
+
 def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """Flagship: top-5 Jaccard demonstrations for every benchmark question."""
     return QUERIES["retrieve_jaccard"](spark, sf_dir)
