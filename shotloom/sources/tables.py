@@ -56,8 +56,9 @@ FROM orders"""
 def qlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query log: (qid, db_id, shape, question, query), one row per order."""
     from shotloom.operators.common import spread
-    spread(load(spark, sf_dir, "orders")).createOrReplaceTempView("orders")
-    return spark.sql(QLOG_SQL)
+    # The orders DataFrame is bound as a statement parameter: no session-global view.
+    stmt = QLOG_SQL.replace("\nFROM orders", "\nFROM {orders_df}")
+    return spark.sql(stmt, orders_df=spread(load(spark, sf_dir, "orders")))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
