@@ -191,28 +191,23 @@ def structure_class(toks: Column) -> Column:
 # --- R7 vectors ------------------------------------------------------------------------
 
 def _topk_block(tids, tmat, pids, pmat, k):
-    """Local top-k of tmat @ pmat.T per target row (ties: smaller pool id first)."""
-    scores = tmat @ pmat.T  # (nt, np)
-    out_t, out_p, out_s = [], [], []
-    m = scores.shape[1]
+    """Local top-k of tmat @ pmat.T per target row (ties: smaller pool id first).
+
+    Columns are put in ascending id order and one stable argsort of the negated
+    scores (vectorised over all rows) keeps that order among equal scores.
+    """
+    m = pmat.shape[0]
     kk = min(k, m)
-    if kk == 0:
-        return out_t, out_p, out_s
+    if kk == 0 or len(tids) == 0:
+        return [], [], []
     order_ids = np.argsort(pids, kind="stable")
-    scores = scores[:, order_ids]
     pids_sorted = pids[order_ids]
-    for i in range(scores.shape[0]):
-        row = scores[i]
-        if kk < m:
-            kth = np.partition(row, m - kk)[m - kk]
-            idx = np.nonzero(row >= kth)[0]
-        else:
-            idx = np.arange(m)
-        sel = idx[np.lexsort((pids_sorted[idx], -row[idx]))][:kk]
-        out_t.extend([tids[i]] * len(sel))
-        out_p.extend(pids_sorted[sel].tolist())
-        out_s.extend(row[sel].tolist())
-    return out_t, out_p, out_s
+    scores = (tmat @ pmat.T)[:, order_ids]
+    top = np.argsort(-scores, axis=1, kind="stable")[:, :kk]
+    rows = np.repeat(np.arange(len(tids)), kk)
+    cols = top.reshape(-1)
+    return (np.repeat(np.asarray(tids), kk).tolist(), pids_sorted[cols].tolist(),
+            scores[rows, cols].tolist())
 
 
 def dot_topk(targets: DataFrame, pool: DataFrame, k: int, target_id: str = "id",

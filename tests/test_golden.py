@@ -269,3 +269,28 @@ def test_execute_candidates(spark):
     assert out[1].status == "result" and out[1].n_rows == 5 and out[1].columns == "r_name" and out[1].valid == 1
     assert out[2].status == "exception" and out[2].valid == 0 and out[2].error
     assert out[3].n_rows == 5
+
+
+def test_dot_topk_blocked_path_equals_broadcast(spark):
+    from conftest import SF_SMALL
+    from shotloom.sources.tables import load
+    e = load(spark, SF_SMALL, "embeddings")
+    kw = dict(target_id="vec_id", target_vec="embedding", pool_id="vec_id", pool_vec="embedding", exclude_self=True)
+    a = sorted(map(tuple, R.dot_topk(e, e, 4, **kw).collect()))
+    b = sorted(map(tuple, R.dot_topk(e, e, 4, max_broadcast_rows=100, **kw).collect()))
+    assert a == b and len(a) == 4 * e.count()
+
+
+def test_jaccard_salted_fallback_equals_broadcast(spark):
+    from conftest import SF_SMALL
+    from shotloom.functions import text as T
+    from shotloom.sources import tables as S
+    t = S.targets(spark, SF_SMALL).withColumn("toks", T.tokens("question"))
+    p = S.pool(spark, SF_SMALL).withColumn("toks", T.tokens("question"))
+    a = sorted(map(tuple, R.jaccard(t, p, 5).collect()))
+    spark.conf.set("shotloom.broadcast.maxRows", "1")
+    try:
+        b = sorted(map(tuple, R.jaccard(t, p, 5).collect()))
+    finally:
+        spark.conf.unset("shotloom.broadcast.maxRows")
+    assert a == b and len(a) == 5 * t.count()
