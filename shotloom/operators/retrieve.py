@@ -306,8 +306,12 @@ def struct_retrieve(items: DataFrame, k: int, id_col: str = "qid") -> DataFrame:
     feats = ["toks", "setop", "jcb", "g", "h", "o", "l"]
     from shotloom.operators.common import dense_index
     # Exact signature ids: group by the features, number the groups densely (no hash collisions).
-    sigs = dense_index(f.groupBy(*feats).agg(F.min("id").alias("min_id")), [], ["min_id"], out="sig").persist()
-    f = f.join(sigs.select(*feats, "sig"), feats).persist()
+    # Group and join on the canonical JSON of the feature tuple (an exact string key;
+    # array-typed join keys fall out of whole-stage codegen).
+    f = f.withColumn("fkey", F.to_json(F.struct(*feats)))
+    sigs = dense_index(f.groupBy("fkey").agg(F.min("id").alias("min_id"), *[F.first(c).alias(c) for c in feats]),
+                       [], ["min_id"], out="sig").persist()
+    f = f.join(sigs.select("fkey", "sig"), "fkey").drop("fkey").persist()
     members = top_k(f.select("sig", "id"), ["sig"], [F.col("id").asc()], kk, rank_col="m")
     # Demo-side bucket memberships and target-side bucket choice.
     bucket_of = F.when(F.col("jcb") == 1, "j1").when(F.col("jcb") == 2, "j2").when(F.col("jcb") >= 3, "j3")
