@@ -124,14 +124,25 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
     p = pool.select(F.col(pool_id).alias("demo_id"), pg.cast("string").alias("grp"),
                     pa.cast("string").alias("p_attr"))
     p = p.withColumn("u", hashing.uniform(seed, F.col("demo_id"))).persist()
-    sizes = p.groupBy("grp").agg(F.count("*").alias("n_g"))
-    sizes = sizes.withColumn("B", F.greatest(F.lit(1), F.ceil(F.col("n_g") / F.lit(k))).cast("bigint"))
-    sizes_b, ok = broadcast_if_bounded(sizes)
-    p = p.join(sizes_b, "grp").withColumn("bucket", F.floor(F.col("u") * F.col("B")).cast("bigint"))
+    grouped = target_group is not None or pool_group is not None
+    if grouped:
+        sizes = p.groupBy("grp").agg(F.count("*").alias("n_g"))
+        sizes = sizes.withColumn("B", F.greatest(F.lit(1), F.ceil(F.col("n_g") / F.lit(k))).cast("bigint"))
+        sizes_b, ok = broadcast_if_bounded(sizes)
+        p = p.join(sizes_b, "grp")
+    else:
+        # One group: its bucket count is a scalar subquery, not a join on a constant key.
+        n_all = p.agg(F.count("*")).scalar()
+        p = p.withColumn("B", F.greatest(F.lit(1), F.ceil(n_all / F.lit(k))).cast("bigint"))
+    p = p.withColumn("bucket", F.floor(F.col("u") * F.col("B")).cast("bigint"))
     t = targets.select(F.col(target_id).alias("target_id"), tg.cast("string").alias("grp"),
                        ta.cast("string").alias("t_attr"))
     t = t.withColumn("s", hashing.uniform(seed, "t", F.col("target_id")))
-    t = t.join(sizes_b, "grp").withColumn("b0", F.floor(F.col("s") * F.col("B")).cast("bigint")).persist()
+    if grouped:
+        t = t.join(sizes_b, "grp")
+    else:
+        t = t.withColumn("B", F.greatest(F.lit(1), F.ceil(n_all / F.lit(k))).cast("bigint"))
+    t = t.withColumn("b0", F.floor(F.col("s") * F.col("B")).cast("bigint")).persist()
     need = k
 
     results = []
