@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotloom.session import (CONF_BROADCAST_ROWS, CONF_SALTS, DEFAULT_BROADCAST_ROWS,
-                              DEFAULT_SALTS, conf_int)
+                              DEFAULT_SALTS, checkpoint_dir, conf_int)
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
@@ -58,26 +60,52 @@ def top_k(df: DataFrame, part: list[str], order: list[Column], k: int,
               .withColumn(rank_col, F.col(rank_col).cast("bigint")))
 
 
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
+
+    Cuts the lineage like ``checkpoint()``, but computes the rows once and keeps
+    column pruning; a lost executor costs nothing that was written.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a :func:`stored` table that nothing reads any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def ordered_prefix(df: DataFrame, group: list[str], order: list[str], value: Column | None = None,
                    partitions: int | None = None) -> DataFrame:
     """Add ``_pos`` (0-based position) and, with ``value``, ``_cum`` (inclusive running sum)
     per ``group`` under ``order``, without sending a whole group to one task.
 
-    The rows are range-partitioned on (group, order), so a hot group spans many
-    tasks; each task numbers and sums its own rows, and a group that continues
-    from earlier tasks adds their totals. Only the first group of each task can
-    continue, so the offset table has at most one row per task and its broadcast
-    is bounded by the partition count. Group keys must be non-null.
+    The rows are range-partitioned on (group, order) and written once with the
+    number of their range, so a hot group spans many ranges and every later step
+    reads the same layout. Each range numbers and sums its own rows, and a group
+    that continues from earlier ranges adds their totals. Only the first group of
+    each range can continue, so the offset table has at most one row per range and
+    its broadcast is bounded by the partition count. Group keys must be non-null.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    parted = (df.repartitionByRange(n, *group, *order)
-                .withColumn("_task", F.spark_partition_id()))
+    parted = df.repartitionByRange(n, *group, *order).withColumn("_task", F.spark_partition_id())
+    if value is not None:
+        parted = parted.withColumn("_value", value)
+    parted = stored(parted, "ranges")
     local = Window.partitionBy(*group, "_task").orderBy(*order)
     out = parted.withColumn("_pos", F.row_number().over(local) - 1)
     aggs = [F.count("*").alias("_n")]
     if value is not None:
-        out = out.withColumn("_cum", F.sum(value).over(local.rowsBetween(Window.unboundedPreceding, 0)))
-        aggs.append(F.sum(value).alias("_s"))
+        running = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = out.withColumn("_cum", F.sum("_value").over(running)).drop("_value")
+        aggs.append(F.sum("_value").alias("_s"))
     totals = parted.groupBy(*group, "_task").agg(*aggs)
     prior = Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_opos", F.sum("_n").over(prior))
