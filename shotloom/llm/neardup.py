@@ -1,7 +1,7 @@
 """Op 8, MinHash near-dedup: an inverted join over signature coordinates.
 
 Documents with the same shingle set are one class. Each class posts the rarest
-``coords - need + 1`` of its (coordinate, value) pairs; two classes that agree in
+``COORDS - need + 1`` of its (coordinate, value) pairs; two classes that agree in
 at least ``need`` coordinates share one of those postings, whatever the data.
 Postings are merged hub-first: every class is compared with the best-connected
 class of each of its lists, and only lists that still span several groups are
@@ -13,6 +13,7 @@ and never all pairs.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +26,22 @@ from shotloom.llm.base import WordHash, as_bytes, mix64, stored
 from shotloom.llm.components import components
 from shotloom.operators.common import join_small_side
 
-#: P(fewer than 16 of 32 coordinates agree | Jaccard 0.85) is 6e-7.
-COORDS, NEED = 32, 16
-PREFIX = COORDS - NEED + 1
+#: Coordinates of a signature, and how likely a true link may miss the match threshold.
+COORDS, MISS = 32, 1e-6
 LIST_BLOCK, SET_BLOCK = 1024, 256
 _SEEDS = np.random.default_rng(20240229).integers(0, 2**63, (2, COORDS, 4), dtype=np.uint64)
 _MUL = _SEEDS[0, :, 0] * np.uint64(2) + np.uint64(1)
 _XOR = _SEEDS[1, :, 0]
 
 
+def matches_needed(percent: int) -> int:
+    """Largest threshold that a pair at the similarity misses with probability MISS at most (16 for 85)."""
+    p, tail, need = percent / 100, 0.0, 0
+    while need < COORDS and (tail := tail + math.comb(COORDS, need) * p**need * (1 - p)**(COORDS - need)) <= MISS:
+        need += 1
+    return max(1, need)
+
+
 def shingle_set(text: bytes | None, hashes: WordHash, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
     words = (text or b"").lower().split()  # bytes: lowers A-Z, splits at ASCII white space
@@ -127,7 +135,7 @@ def shared_counts(rows: list[np.ndarray], cols: list[np.ndarray], step: int = 81
     return out
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, need: int) -> DataFrame:
     """``(j, v, key, weight)``: the rarest coordinates of each class that another class has too."""
     tokens = classes.select("key", F.posexplode("sig").alias("j", "v"))
     often = tokens.groupBy("j", "v").agg(F.count("*").alias("c")).filter("c > 1")
@@ -135,7 +143,7 @@ def postings(classes: DataFrame) -> DataFrame:
            .agg(F.sort_array(F.collect_list(F.struct("c", "j", "v"))).alias("t")))
     # coordinates that no other class has come first in the order and take places of the prefix
     return (own.withColumn("weight", F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x["c"]))
-            .withColumn("t", F.slice("t", 1, F.greatest(F.lit(0), F.size("t") - F.lit(COORDS - PREFIX))))
+            .withColumn("t", F.slice("t", 1, F.greatest(F.lit(0), F.size("t") - F.lit(need - 1))))
             .select("key", "weight", F.explode_outer("t").alias("t")).filter("t is not null")
             .select("t.j", "t.v", "key", "weight"))
 
@@ -146,8 +154,12 @@ def block_of(n: Column, size: int) -> tuple[Column, Column]:
     return blocks, F.pmod(F.xxhash64("key"), blocks).cast("int")
 
 
-def _list_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Forest of the pairs in one block pair of a posting list that agree in NEED coordinates."""
+def _list_links(need: int):
+    """Forest of the pairs in one block pair of a posting list that agree in ``need`` coordinates."""
+    return lambda pdf: _block_links(pdf, need)
+
+
+def _block_links(pdf: pd.DataFrame, need: int) -> pd.DataFrame:
     first = (pdf["blk"] == pdf["bi"]).to_numpy()
     a, b = pdf[first], pdf if pdf["bi"].iloc[0] == pdf["bj"].iloc[0] else pdf[~first]
     if not len(a) or not len(b):
@@ -158,7 +170,7 @@ def _list_links(pdf: pd.DataFrame) -> pd.DataFrame:
 
     near: dict[int, np.ndarray] = {}
     for lo in range(0, ka, 128):
-        hit = matching(sig_a[lo:lo + 128], sig_b) >= NEED
+        hit = matching(sig_a[lo:lo + 128], sig_b) >= need
         hit &= grp_a[lo:lo + 128, None] != grp_b[None, :]
         near |= {lo + i: np.flatnonzero(row) + ka for i, row in enumerate(hit)}
     none = np.empty(0, np.int64)
@@ -197,14 +209,14 @@ def _with_label(df: DataFrame, labels: DataFrame, name: str) -> DataFrame:
             .withColumn(name, F.coalesce(name, "key")))
 
 
-def candidate_groups(classes: DataFrame, posts: DataFrame) -> DataFrame:
-    """``(id, root)``: groups of classes chained by pairs that agree in NEED coordinates."""
+def candidate_groups(classes: DataFrame, posts: DataFrame, need: int) -> DataFrame:
+    """``(id, root)``: groups of classes chained by pairs that agree in ``need`` coordinates."""
     hubs = posts.groupBy("j", "v").agg(F.max_by("key", F.struct("weight", "key")).alias("hub"))
     sig = classes.select("key", "sig")
     star = (posts.join(hubs, ["j", "v"]).filter("key <> hub").select("key", "hub").distinct()
             .join(sig, "key")
             .join(sig.select(F.col("key").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-            .filter(F.size(F.filter(F.arrays_zip("sig", "hub_sig"), lambda z: z["sig"] == z["hub_sig"])) >= NEED)
+            .filter(F.size(F.filter(F.arrays_zip("sig", "hub_sig"), lambda z: z["sig"] == z["hub_sig"])) >= need)
             .select(F.col("key").alias("a"), F.col("hub").alias("b")))
     star = stored(star, "nd-star")
     labelled = stored(_with_label(posts, components(star), "grp"), "nd-lists")
@@ -216,7 +228,7 @@ def candidate_groups(classes: DataFrame, posts: DataFrame) -> DataFrame:
             .select("j", "v", "key", "grp", "blk", F.least("blk", "other").alias("bi"),
                     F.greatest("blk", "other").alias("bj"))
             .join(sig, "key"))
-    more = rows.groupBy("j", "v", "bi", "bj").applyInPandas(_list_links, "a binary, b binary")
+    more = rows.groupBy("j", "v", "bi", "bj").applyInPandas(_list_links(need), "a binary, b binary")
     return components(star.union(more))
 
 
@@ -265,8 +277,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     named = base.filter("key is not null and doc_id is not null")
     classes = stored(named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")),
                      "nd-classes")
-    posts = stored(postings(classes), "nd-posts")
-    groups = candidate_groups(classes, posts)
+    need = matches_needed(percent)
+    posts = stored(postings(classes, need), "nd-posts")
+    groups = candidate_groups(classes, posts, need)
     weights = posts.groupBy("key").agg(F.max("weight").alias("weight"))
     members = (groups.select(F.col("id").alias("key"), F.col("root").alias("grp"))
                .join(classes.select("key", "doc_id"), "key").join(weights, "key"))
