@@ -99,10 +99,10 @@ def quantised_top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFram
     width = -(-(n.d or 1) // unit) * unit
     q_blocks, x_blocks = max(1, -(-n.q // QUERY_BLOCK)), max(1, -(-n.n // ROW_BLOCK))
     all_q, all_x = (F.explode(F.sequence(F.lit(0), F.lit(b - 1))) for b in (q_blocks, x_blocks))
-    left = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).alias("qb"), all_x.alias("xb"), "vec_id", "v")
+    left = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("qb"), all_x.alias("xb"), "vec_id", "v")
     # any even deal of the rows will do; the row number keeps repeated rows apart
-    right = (rows.withColumn("xb", F.pmod(F.monotonically_increasing_id(), F.lit(x_blocks)))
-             .select(all_q.cast("long").alias("qb"), F.col("xb").cast("int").alias("xb"), "vec_id", "v"))
+    right = (rows.withColumn("xb", F.pmod(F.monotonically_increasing_id(), F.lit(x_blocks)).cast("int"))
+             .select(all_q.alias("qb"), "xb", "vec_id", "v"))
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         qid, xid = q["vec_id"].to_numpy(), x["vec_id"].to_numpy()
