@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotloom.llm.base import stored
+
 #: (verdict, host, path) of the fixed rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -56,7 +58,9 @@ def _prefix(level: int) -> Column:
 
 def generalise(nodes: DataFrame) -> DataFrame:
     """Replace the rare children of a parent with many of them by ``*``, level by level from the root."""
-    for level in range(DEPTH):
+    depth = nodes.agg(F.max(F.size("segs"))).first()[0] or 0  # DEPTH + 1 at most
+    for level in range(min(DEPTH, depth)):
+        nodes = stored(nodes, "url-nodes")
         keyed = nodes.withColumn("pre", _prefix(level)).withColumn("seg", F.element_at("segs", level + 1))
         children = keyed.filter("seg is not null").groupBy("host", "pre", "seg").agg(F.sum("n").alias("c"))
         rare = children.filter(F.col("c") < FEW)
@@ -75,6 +79,7 @@ def judge_templates(nodes: DataFrame) -> DataFrame:
     wide = generalise(nodes.withColumn("raw", F.array_join("segs", "/")))
     wide = wide.withColumn("parent", F.array_join(F.slice("segs", 1, F.size("segs") - 1), "/")) \
         .withColumn("leaf", F.element_at("segs", -1))
+    wide = stored(wide, "url-tree")
     leaf = wide.groupBy("host", "parent", "leaf").agg(F.sum("block").alias("k"), F.sum("labelled").alias("m"))
     pool = leaf.groupBy("host", "parent").agg(F.sum("k").alias("pk"), F.sum("m").alias("pm"))
     share = (F.col("pk") + 0.5) / (F.col("pm") + 1)
@@ -108,8 +113,9 @@ def judge_urls(pages: DataFrame) -> DataFrame:
             .withColumn("fit", fitting_rule(F.col("host"), F.col("path"))).withColumn("segs", segments(F.col("path")))
             .withColumn("raw", F.array_join("segs", "/")))
     verdict = F.col("fit.verdict")
-    nodes = rows.groupBy("host", "segs").agg(
-        F.count("*").alias("n"), F.count_if(verdict == "block").alias("block"), F.count(verdict).alias("labelled"))
+    nodes = stored(rows.groupBy("host", "segs").agg(
+        F.count("*").alias("n"), F.count_if(verdict == "block").alias("block"),
+        F.count(verdict).alias("labelled")), "url-nodes")
     judged = judge_templates(nodes)
     return (rows.join(judged, ["host", "raw"], "left")
             .select("page_id", "host", "path", F.col("fit.rule").alias("rule"),
