@@ -62,7 +62,7 @@ def best_rows(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k:
         seed = np.einsum("ij,ikj->ik", qe[lo:hi], xe[first]).astype(float)
         seed[np.take_along_axis(own, first, 1)] = -np.inf
         floor = -np.sort(-seed, axis=1)[:, min(k, m) - 1:min(k, m)]
-        alive = bound >= floor - slack
+        alive = (bound >= floor - slack) & ~own
         for sq, sx in zip(stats_q[1:], stats_x[1:], strict=True):
             cols = np.flatnonzero(alive.any(0))
             alive[:, cols] &= sq[lo:hi] @ sx[cols].T >= floor - slack

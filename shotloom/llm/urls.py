@@ -61,7 +61,7 @@ def generalise(nodes: DataFrame) -> DataFrame:
     depth = nodes.agg(F.max(F.size("segs"))).first()[0] or 0  # DEPTH + 1 at most
     for level in range(min(DEPTH, depth)):
         nodes = stored(nodes, "url-nodes")
-        keyed = nodes.withColumn("pre", _prefix(level)).withColumn("seg", F.element_at("segs", level + 1))
+        keyed = nodes.withColumn("pre", _prefix(level)).withColumn("seg", F.try_element_at("segs", F.lit(level + 1)))
         children = keyed.filter("seg is not null").groupBy("host", "pre", "seg").agg(F.sum("n").alias("c"))
         rare = children.filter(F.col("c") < FEW)
         wild = (rare.groupBy("host", "pre").agg(F.count("*").alias("many")).filter(F.col("many") >= MANY)
