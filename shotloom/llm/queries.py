@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from shotloom.llm import oracles
 from shotloom.llm.ann import nearest
 from shotloom.llm.base import table
 from shotloom.llm.langid import detect
@@ -61,4 +62,4 @@ QUERIES = {f.__name__: f for f in (
     op1_crf_langid, op2_segment_topk, op3_source_mixing, op4_pairwise_quality, op5_url_templates,
     op6_cross_polytope, op7_token_parquet, op8_minhash_neardup, op9_pii_surrogates, op10_best_fit_packing)}
 
-ORACLE = {}
+ORACLE = {"op2_segment_topk": oracles.OP2, "op3_source_mixing": oracles.OP3, "op8_minhash_neardup": oracles.OP8}
