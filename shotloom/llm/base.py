@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotloom.operators.common import discard, stored  # noqa: F401  for the operators
+from shotloom.operators.common import discard, join_small_side, stored, top_k  # noqa: F401  for the operators
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,19 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def sample_per_group(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """The ``n`` rows of each group with the smallest hash of doc_id (about; exactly all of a small group).
+
+    Only rows in the lowest part of the hash space that is expected to hold 1.5 n of
+    the group are ranked, so what meets in one task does not grow with the input.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("_c"))
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).cast("double") / (1 << 32)
+    low = join_small_side(rows, counts, [group], F.col("doc_id")).withColumn("_u", u) \
+        .filter(F.col("_u") * F.col("_c") <= 1.5 * n + 10)
+    return top_k(low, [group], [F.col("_u"), F.col("doc_id")], n).drop("_c", "_u", "rank")
+
+
 def as_bytes(col: pa.Array) -> list:
     """An Arrow string column as Python bytes (None stays None), without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.base import crc_mod
-from shotloom.operators.common import top_k
+from shotloom.llm.base import crc_mod, sample_per_group
 
 TRAIN_DOCS, TRAIN_SENTENCES, TRAIN_WORDS = 400, 10, 60
 MIN_COUNT, ROUNDS, RATE, RIDGE = 3, 60, 0.3, 1e-5
@@ -182,7 +181,7 @@ def train(docs: DataFrame, allowed) -> Crf | None:
     spark = docs.sparkSession
     labelled = docs.select(F.col("doc_id").cast("long"), "lang", "text") \
         .filter(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    picked = top_k(labelled.select("doc_id", "lang"), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], TRAIN_DOCS)
+    picked = sample_per_group(labelled.select("doc_id", "lang"), "lang", TRAIN_DOCS)
     ids = [r.doc_id for r in picked.select("doc_id").distinct().collect()]  # TRAIN_DOCS per language
     chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")
 
