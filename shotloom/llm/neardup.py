@@ -236,7 +236,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, width: int, percent: in
     """``(a, b)`` links that join exactly what true links join; ``members(key, grp, doc_id, weight)``."""
     size = members.groupBy("grp").agg(F.count("*").alias("n"),
                                       F.max_by("key", F.struct("weight", "key")).alias("hub")).filter("n > 1")
-    members = members.join(size, "grp")
+    members = join_small_side(members, size, ["grp"], F.col("key"))
     text = docs.select(F.col("doc_id").cast("long"), "text")
     full = join_small_side(text, members, ["doc_id"], F.col("doc_id")).dropDuplicates(["key"])
     full = stored(full, "nd-texts")
