@@ -1,7 +1,8 @@
 """Benchmark: wall seconds per headline query key at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``.
 
 Each key is fully materialised with the ``noop`` sink (no driver collect), after
-one warm-up run; the reported time is the median of ``$BENCH_REPS`` runs (default 3).
+one warm-up run; the reported time is the median of ``$BENCH_REPS`` runs (default 3),
+and the cache is cleared before every run, so none is served from an earlier one.
 Prints one JSON line.
 """
 
@@ -24,6 +25,7 @@ HEADLINE = ["retrieve_jaccard", "retrieve_dot", "prompt_build", "repair_literals
 
 
 def run_once(spark, key: str, sf_dir: str) -> float:
+    spark.catalog.clearCache()
     t0 = time.perf_counter()
     registry.QUERIES[key](spark, sf_dir).write.format("noop").mode("overwrite").save()
     return time.perf_counter() - t0
@@ -38,7 +40,6 @@ def main() -> None:
     for key in keys:
         run_once(spark, key, sf_dir)  # warm-up: JIT, codegen, file listing
         times[key] = round(statistics.median(run_once(spark, key, sf_dir) for _ in range(reps)), 3)
-        spark.catalog.clearCache()
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_query_seconds_total", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir,

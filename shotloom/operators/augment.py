@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from shotloom.functions import hashing
 from shotloom.functions.constants import CRITICAL_KEYWORDS, KEYWORD_REPLACEMENTS, MASK_TOKEN
-from shotloom.operators.common import broadcast_if_bounded, top_k
-from shotloom.session import checkpoint_dir
+from shotloom.operators.common import join_small_side, stored, top_k
 
 # Default operator weights of the augmenter.
 OPERATOR_WEIGHTS = {
@@ -87,35 +86,27 @@ def replace_keywords(nodes: DataFrame, edges: DataFrame, prob: float, seed: int)
     return n2, e2
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 64,
-              checkpoint_every: int = 4) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, hops: int = 8) -> DataFrame:
     """(qid, node) reachable from ``roots`` (qid, node) along ``edges`` (qid, src, dst).
 
-    Frontier loop: each pass joins only the newly reached nodes to the edges and
-    drops those already seen; lineage is cut with ``checkpoint()`` in the
-    cluster's checkpoint folder every few passes. Stops when nothing new is found.
+    Frontier loop without a depth limit: each round follows the edges ``hops``
+    times from the nodes reached last, writes what is new, and stops when the last
+    hop finds nothing; a graph of depth d takes d / hops rounds.
     """
-    spark = edges.sparkSession
-    checkpoint_dir(spark)
-    # Everything is hash-partitioned by qid once, so each pass's join, distinct and
-    # anti-join on (qid, node) are co-partitioned and run without a shuffle.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "8"))
-    e = edges.select("qid", F.col("src").alias("node"), F.col("dst").alias("nxt")).repartition(n, "qid").persist()
-    reach = roots.select("qid", "node").repartition(n, "qid").distinct().persist()
-    frontier = reach
-    for depth in range(1, max_depth + 1):
-        new = (frontier.join(e, ["qid", "node"]).select("qid", F.col("nxt").alias("node")).distinct()
-                       .join(reach, ["qid", "node"], "left_anti"))
-        if depth % checkpoint_every == 0:
-            new = new.checkpoint()
-            reach = reach.checkpoint()
-        else:
-            new = new.persist()
-        if new.isEmpty():
-            break
-        reach = reach.unionByName(new)
-        frontier = new
-    return reach
+    e = stored(edges.select("qid", F.col("src").alias("node"), F.col("dst").alias("nxt")), "reach-edges")
+    reach = frontier = stored(roots.select("qid", "node").distinct(), "reach")
+    while True:
+        step, found = frontier.withColumn("hop", F.lit(0)), None
+        for hop in range(1, hops + 1):
+            step = (step.join(e, ["qid", "node"]).select("qid", F.col("nxt").alias("node")).distinct()
+                        .withColumn("hop", F.lit(hop)))
+            found = step if found is None else found.unionByName(step)
+        new = stored(found.groupBy("qid", "node").agg(F.min("hop").alias("hop"))
+                     .join(reach, ["qid", "node"], "left_anti"), "reach-new")
+        frontier = new.filter(F.col("hop") == hops).select("qid", "node")
+        reach = reach.unionByName(new.select("qid", "node"))
+        if frontier.isEmpty():
+            return reach
 
 
 def subgraph_delete(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,7 +116,7 @@ def subgraph_delete(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> t
     removed, so nodes shared with the rest of the graph keep their descendants.
     """
     t = targets.select("qid", F.col("node_id").alias("dst"), F.lit(True).alias("_cut"))
-    kept_edges = edges.join(t, ["qid", "dst"], "left").filter(F.col("_cut").isNull()).drop("_cut").persist()
+    kept_edges = edges.join(t, ["qid", "dst"], "left").filter(F.col("_cut").isNull()).drop("_cut")
     roots = nodes.filter(F.col("type") == "ROOT").select("qid", F.col("node_id").alias("node"))
     alive = reachable(kept_edges, roots).withColumnRenamed("node", "node_id")
     n2 = nodes.join(alive, ["qid", "node_id"], "left_semi")
@@ -235,8 +226,8 @@ def replace_values(nodes: DataFrame, edges: DataFrame, words: DataFrame, prob: f
     blank = F.length(F.trim(F.coalesce(F.col("part"), F.lit("")))) == 0
     parts = parts.withColumn("widx", F.when(~blank, F.floor(
         hashing.uniform(seed, "valw", F.col("qid"), F.col("node_id"), F.col("pos")) * n_words).cast("bigint")))
-    wb, _ = broadcast_if_bounded(words.select("widx", "word"))
-    parts = parts.join(wb, "widx", "left").withColumn("np", F.when(blank, F.lit("")).otherwise(F.col("word")))
+    parts = join_small_side(parts, words.select("widx", "word"), ["widx"], F.col("qid"), how="left")
+    parts = parts.withColumn("np", F.when(blank, F.lit("")).otherwise(F.col("word")))
     strs_new = (parts.groupBy("qid", "node_id")
                      .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "np"))),
                                                    lambda x: x["np"]), "%").alias("new_val")))
@@ -281,10 +272,10 @@ def replace_schema(nodes: DataFrame, edges: DataFrame, src_cols: DataFrame, aug_
         F.regexp_extract(F.col("node_id"), r"^COLUMN_([^.]*)\.", 1).alias("t"))
     cols = cols.join(tmap, ["qid", "t"])
     st = src_cols.select(F.col("table_name").alias("t"), F.col("column_name").alias("c"), F.col("column_type").alias("ctype"))
-    cols = cols.join(F.broadcast(st), ["t", "c"], "left")
+    cols = join_small_side(cols, st, ["t", "c"], F.col("qid"), how="left")
     ac = aug_cols.select(F.col("table_name").alias("t2"), F.col("column_name").alias("c2"),
                          F.col("column_type").alias("ctype2"))
-    opts = cols.join(F.broadcast(ac), "t2")
+    opts = join_small_side(cols, ac, ["t2"], F.col("qid"))
     match = F.coalesce(F.col("ctype") == F.col("ctype2"), F.lit(False))
     opts = opts.withColumn("_m", F.when(match, 0).otherwise(1)).withColumn(
         "_h", hashing.uniform(seed, "col", F.col("qid"), F.col("node_id"), F.col("c2")))
@@ -304,3 +295,73 @@ def replace_schema(nodes: DataFrame, edges: DataFrame, src_cols: DataFrame, aug_
                .select("qid", F.coalesce("nsrc", "src").alias("src"), F.coalesce("ndst", "dst").alias("dst"), "label")
                .distinct())
     return n2, e2
+
+
+def choose_augmenters(graphs: DataFrame, times: int, seed: int, weights: dict[str, float] | None = None,
+                      qid: str = "qid") -> DataFrame:
+    """A3: one weighted choice per graph and repetition, with replacement: (qid, op, pick).
+
+    The choice is the bucket of the cumulative weights that ``uniform(seed, qid, pick)`` falls in.
+    """
+    w = weights or OPERATOR_WEIGHTS
+    total, upto, op = float(sum(w.values())), 0.0, F.lit(list(w)[-1])
+    bounds = []
+    for name, weight in w.items():
+        upto += weight / total
+        bounds.append((name, upto))
+    u = hashing.uniform(seed, "op", F.col(qid), F.col("pick"))
+    for name, bound in reversed(bounds[:-1]):
+        op = F.when(u < F.lit(bound), F.lit(name)).otherwise(op)
+    return (graphs.select(qid).distinct()
+            .select(qid, F.explode(F.sequence(F.lit(1), F.lit(times))).cast("bigint").alias("pick"))
+            .select(qid, op.alias("op"), "pick"))
+
+
+def augment_positives(nodes: DataFrame, edges: DataFrame, assigned: DataFrame, operators: dict) -> tuple[DataFrame, DataFrame]:
+    """A4: apply each graph's assigned operators in order to a copy of it.
+
+    ``assigned`` is (qid, op, pick) as from :func:`sample_augmenters` (distinct
+    operators) or :func:`choose_augmenters` (repeated choices); ``operators`` maps
+    a name to a function (nodes, edges) -> (nodes, edges). At each pick the graphs
+    split by operator, every operator runs once over all of its graphs, and the
+    result is written before the next pick. A masked node keeps its mask
+    (``aug_text``) unless a later operator renames or removes it.
+    """
+    assigned = stored(assigned.select("qid", "op", "pick"), "assigned")
+    last = assigned.agg(F.max("pick")).first()[0] or 0
+    nodes = stored(nodes.select("qid", "node_id", "val", "type", F.lit(None).cast("string").alias("aug_text")), "aug-nodes")
+    edges = stored(edges.select("qid", "src", "dst", "label"), "aug-edges")
+    for pick in range(1, last + 1):
+        now = assigned.filter(F.col("pick") == pick)
+        rest = now.filter(F.col("op").isin(*operators)).select("qid")
+        all_nodes = nodes.join(rest, "qid", "left_anti")
+        all_edges = edges.join(rest, "qid", "left_anti")
+        for name, operator in operators.items():
+            own = now.filter(F.col("op") == name).select("qid")
+            masked = nodes.join(own, "qid", "left_semi")
+            n2, e2 = operator(masked.drop("aug_text"), edges.join(own, "qid", "left_semi"))
+            if "aug_text" in n2.columns:
+                n2 = n2.withColumnRenamed("aug_text", "_new")
+            else:
+                n2 = n2.withColumn("_new", F.lit(None).cast("string"))
+            n2 = (n2.join(masked.select("qid", "node_id", "aug_text"), ["qid", "node_id"], "left")
+                    .withColumn("aug_text", F.coalesce("_new", "aug_text")))
+            all_nodes = all_nodes.unionByName(n2.select("qid", "node_id", "val", "type", "aug_text"))
+            all_edges = all_edges.unionByName(e2.select("qid", "src", "dst", "label"))
+        nodes, edges = stored(all_nodes, "aug-nodes"), stored(all_edges, "aug-edges")
+    return nodes, edges
+
+
+def default_operators(seed: int, words: DataFrame, src_cols: DataFrame, aug_cols: DataFrame) -> dict:
+    """The six named operators of :data:`OPERATOR_WEIGHTS` with their default probabilities."""
+    def delete(targets):
+        return lambda n, e: subgraph_delete(n, e, targets(n, e))
+
+    return {
+        "feature_masking": lambda n, e: (mask_nodes(n, 0.5, seed), e),
+        "value_replacement": lambda n, e: replace_values(n, e, words, 0.8, seed),
+        "keyword_replacement": lambda n, e: replace_keywords(n, e, 0.7, seed),
+        "predicate_modification": delete(lambda n, e: predicate_targets(n, seed)),
+        "join_node_removal": delete(lambda n, e: join_targets(n, e, seed)),
+        "table_column_replacement": lambda n, e: replace_schema(n, e, src_cols, aug_cols, seed),
+    }

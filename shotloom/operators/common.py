@@ -4,27 +4,62 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shotloom.session import (CONF_BROADCAST_ROWS, CONF_SALTS, DEFAULT_BROADCAST_ROWS,
-                              DEFAULT_SALTS, checkpoint_dir, conf_int)
+from shotloom.session import (CONF_BROADCAST_BYTES, CONF_BROADCAST_ROWS, CONF_SALTS, DEFAULT_BROADCAST_BYTES,
+                              DEFAULT_BROADCAST_ROWS, DEFAULT_SALTS, checkpoint_dir, conf_int)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: contents of strings and arrays, eight for anything of fixed width."""
+    def of(col: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(col), F.lit(0)) + 8
+        if isinstance(kind, T.ArrayType):
+            fixed = not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType))
+            inner = (F.size(col) * 8 if fixed else
+                     F.aggregate(col, F.lit(0), lambda n, x: n + of(x, kind.elementType).cast("int")))
+            return F.greatest(F.coalesce(inner, F.lit(0)), F.lit(0)) + 8
+        if isinstance(kind, T.StructType):
+            return sum((of(col[f.name], f.dataType) for f in kind.fields), F.lit(8))
+        if isinstance(kind, T.MapType):
+            return of(F.map_keys(col), T.ArrayType(kind.keyType)) + of(F.map_values(col), T.ArrayType(kind.valueType))
+        return F.lit(8)
+
+    return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only after counting it: returns (df, was_broadcast).
+    """Broadcast ``df`` only after counting its rows and bytes: returns (df, was_broadcast).
 
-    The count runs on the small side only; above the bound the caller must use a
-    shuffle join instead (see :func:`salted_join`).
+    The count runs on the small side only; above either bound the caller must use a
+    shuffle join instead (see :func:`join_small_side`).
     """
     spark = df.sparkSession
-    limit = max_rows if max_rows is not None else conf_int(
-        spark, CONF_BROADCAST_ROWS, DEFAULT_BROADCAST_ROWS)
-    if df.count() <= limit:
+    limit = max_rows if max_rows is not None else conf_int(spark, CONF_BROADCAST_ROWS, DEFAULT_BROADCAST_ROWS)
+    size = df.agg(F.count("*").alias("n"), F.sum(row_bytes(df)).alias("b")).first()
+    if size.n <= limit and (size.b or 0) <= conf_int(spark, CONF_BROADCAST_BYTES, DEFAULT_BROADCAST_BYTES):
         return F.broadcast(df), True
     return df, False
 
 
+def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_block: int,
+                right_block: int) -> tuple[GroupedData, GroupedData]:
+    """Both sides dealt into blocks of about the given rows and grouped by (left block, right block).
+
+    Every left row meets every right row in exactly one group, whose size does not
+    grow with the data; for work that compares a stated set with all rows.
+    """
+    n_left, n_right = max(1, -(-left.count() // left_block)), max(1, -(-right.count() // right_block))
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (n_left, n_right)]
+    dealt_left = left.withColumn("_lb", F.pmod(F.xxhash64(left_id), F.lit(n_left)).cast("int")).withColumn("_rb", every[1])
+    dealt_right = (right.withColumn("_rb", F.pmod(F.xxhash64(right_id), F.lit(n_right)).cast("int"))
+                   .withColumn("_lb", every[0]))
+    return dealt_left.groupBy("_lb", "_rb"), dealt_right.groupBy("_lb", "_rb")
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt_of: Column,
                 salts: int | None = None, how: str = "inner") -> DataFrame:
     """Shuffle equi-join that spreads a hot key of ``big`` over ``salts`` tasks.

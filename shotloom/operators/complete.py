@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.functions import text as T
+from shotloom.operators.common import stored
 
 Completer = Callable[[str], tuple[str, int]]
 
@@ -80,28 +81,24 @@ class EchoCompleter:
 
 
 def execute_candidates(candidates: DataFrame, sql_col: str = "sql", id_col: str = "idx",
-                       max_statements: int = 10_000) -> DataFrame:
+                       batch: int = 1000) -> DataFrame:
     """B4 + B5: run each distinct candidate statement with ``spark.sql`` on the registered views.
 
     Returns (id, status 'result'/'exception', valid 0/1, n_rows, columns, error).
     Statements are submitted by the driver (Spark's SQL entry point), once per
-    distinct text; their results stay on the cluster (only a row count comes
-    back). More distinct statements than ``max_statements`` is refused rather
-    than truncated.
+    distinct text; they reach it a partition at a time, and their outcomes are
+    written every ``batch`` statements, so it holds neither all of them nor results.
     """
     spark = candidates.sparkSession
-    distinct_sql = candidates.select(F.col(sql_col).alias("sql")).distinct()
-    n = distinct_sql.count()
-    if n > max_statements:
-        raise ValueError(f"{n} distinct statements exceed max_statements={max_statements}")
-    rows = []
-    for r in distinct_sql.collect():
-        stmt = r.sql
+    schema = "sql string, status string, valid int, n_rows bigint, columns string, error string"
+    done, rows = spark.createDataFrame([], schema), []
+    for r in candidates.select(F.col(sql_col).alias("sql")).distinct().toLocalIterator():
         try:
-            df = spark.sql(stmt)
-            rows.append((stmt, "result", 1, df.count(), ",".join(df.columns), None))
+            df = spark.sql(r.sql)
+            rows.append((r.sql, "result", 1, df.count(), ",".join(df.columns), None))
         except Exception as ex:  # noqa: BLE001 - any analysis or runtime failure is a result
-            rows.append((stmt, "exception", 0, None, None, str(ex).splitlines()[0][:500]))
-    res = spark.createDataFrame(rows, "sql string, status string, valid int, n_rows bigint, "
-                                      "columns string, error string")
+            rows.append((r.sql, "exception", 0, None, None, str(ex).splitlines()[0][:500]))
+        if len(rows) == batch:
+            done, rows = done.union(stored(spark.createDataFrame(rows, schema), "executed")), []
+    res = done.union(spark.createDataFrame(rows, schema))
     return candidates.select(F.col(id_col), F.col(sql_col).alias("sql")).join(res, "sql", "left")

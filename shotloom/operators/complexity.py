@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.functions import text as T
+from shotloom.functions.constants import LITERAL_RE
 
 AGG_FUNCS = ("max", "min", "count", "sum", "avg")
 SET_OPS = ("intersect", "union", "except")
@@ -42,37 +43,82 @@ def _clause(s: Column, start: str, stops: tuple[str, ...]) -> Column:
     return after
 
 
+def outer_query(toks: Column) -> Column:
+    """struct(out, setop): the tokens of the first outermost query, two spaces apart.
+
+    A parenthesised query inside it is one token ``subquery``; what follows a set
+    operation belongs to another query and only sets ``setop``.
+    """
+    start = F.struct(F.lit(0).alias("skip"), F.lit(0).alias("setop"), F.lit("").alias("out"))
+    pairs = F.zip_with(toks, F.slice(toks, 2, F.greatest(F.size(toks), F.lit(1))),
+                       lambda t, n: F.struct(t.alias("t"), n.alias("n")))
+
+    def state(skip, setop, out) -> Column:
+        return F.struct(skip.alias("skip"), setop.alias("setop"), out.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        t, out = x["t"], s["out"]
+        depth = s["skip"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)
+        opens = (t == "(") & F.coalesce(x["n"] == "select", F.lit(False))
+        return (F.when(s["setop"] == 1, s)
+                .when(s["skip"] > 0, state(depth, s["setop"], out))
+                .when(opens, state(F.lit(1), s["setop"], F.concat(out, F.lit("  subquery"))))
+                .when(t.isin(*SET_OPS), state(F.lit(0), F.lit(1), out))
+                .otherwise(state(F.lit(0), s["setop"], F.concat(out, F.lit("  "), t))))
+
+    return F.aggregate(pairs, start, step, lambda s: F.struct(F.concat(s["out"], F.lit("  ")).alias("out"),
+                                                              s["setop"].cast("bigint").alias("setop")))
+
+
+def _flat(s: Column) -> Column:
+    """A clause without what stands in parentheses (three levels deep)."""
+    for _ in range(3):
+        s = F.regexp_replace(s, r"\([^()]*\)", "()")
+    return s
+
+
 def sql_shape(df: DataFrame, query: str = "query") -> DataFrame:
-    """M3b structure counts per row, from cleaned lower-case tokens."""
-    toks = T.sql_tokens(T.join_split_ops(T.postprocess_sql(F.col(query))))
-    d = df.withColumn("_tk", toks)
-    j = F.concat(F.lit(" "), F.concat_ws(" ", F.col("_tk")), F.lit(" "))
-    d = d.withColumn("_j", j).withColumn("_j2", _spaced(F.col("_tk")))
-    tk, s = F.col("_j2"), F.col("_j")
-    stops = (" from ", " where ", " group by ", " order by ", " having ", " limit ",
-             " intersect ", " union ", " except ", " ) ")
-    d = d.select("*", _clause(s, " select ", stops).alias("_sel"), _clause(s, " group by ", stops[3:]).alias("_grp"),
-                 _clause(s, " where ", stops[2:]).alias("_whr"))
-    sel, grp, whr = F.col("_sel"), F.col("_grp"), F.col("_whr")
+    """M3b structure counts of the outermost query of each row, from cleaned lower-case tokens.
+
+    String literals count as one token. Nested queries and the second side of a set
+    operation add to ``n_nested`` and ``n_setop`` only; joins are tables less one;
+    the AND of a BETWEEN joins no conditions; aggregates are those of the select
+    list, grouping and ordering, and negated conditions count with them.
+    """
+    clean = F.regexp_replace(T.join_split_ops(T.postprocess_sql(F.col(query))), LITERAL_RE, " value ")
+    d = df.withColumn("_tk", T.sql_tokens(clean)).withColumn("_o", outer_query(F.col("_tk")))
+    d = d.withColumn("_s", F.concat(F.lit(" "), F.regexp_replace(F.trim(F.col("_o.out")), " +", " "), F.lit(" ")))
+    stops = (" from ", " where ", " group by ", " having ", " order by ", " limit ")
+    s = F.col("_s")
+    starts = {"_sel": (" select ", stops), "_frm": (" from ", stops[1:]), "_whr": (" where ", stops[2:]),
+              "_grp": (" group by ", stops[3:]), "_hav": (" having ", stops[4:]), "_ord": (" order by ", stops[5:])}
+    d = d.select("*", *[F.concat(F.lit(" "), F.trim(_clause(s, a, z)), F.lit(" ")).alias(n)
+                        for n, (a, z) in starts.items()])
+    spaced = {n: F.replace(F.col(n), F.lit(" "), F.lit("  ")) for n in starts}
+    conds = F.concat(spaced["_frm"], spaced["_whr"], spaced["_hav"])
+    tested = F.concat(spaced["_whr"], spaced["_hav"])
+    listed = F.concat(spaced["_sel"], spaced["_grp"], spaced["_ord"])
+
+    def has(n: str) -> Column:
+        return F.length(F.trim(F.col(n))) > 0
+
     out = d.select(
         "*",
-        _n_tok(tk, "where").alias("n_where"),
-        _n_sub(s, " group by ").alias("n_group"),
-        _n_sub(s, " order by ").alias("n_order"),
-        _n_tok(tk, "limit").alias("n_limit"),
-        _n_tok(tk, "join").alias("n_join"),
-        _n_tok(tk, "or").alias("n_or"),
-        _n_tok(tk, "like").alias("n_like"),
-        _n_sub(s, " ( select ").alias("n_nested"),
-        (_n_tok(tk, "intersect") + _n_tok(tk, "union") + _n_tok(tk, "except")).alias("n_setop"),
-        sum((_n_tok(tk, w) for w in AGG_FUNCS[1:]), _n_tok(tk, AGG_FUNCS[0])).alias("n_agg"),
-        _n_tok(tk, "select").alias("n_select"),
-        (_n_sub(sel, " , ") + 1).alias("n_select_cols"),
-        F.when(F.length(F.trim(whr)) > 0,
-               _n_sub(whr, " and ") + _n_sub(whr, " or ") + 1).otherwise(0).cast("bigint").alias("n_where_conds"),
-        F.when(F.length(F.trim(grp)) > 0, _n_sub(grp, " , ") + 1).otherwise(0).cast("bigint").alias("n_group_cols"),
+        has("_whr").cast("bigint").alias("n_where"), has("_grp").cast("bigint").alias("n_group"),
+        has("_ord").cast("bigint").alias("n_order"),
+        F.contains(s, F.lit(" limit ")).cast("bigint").alias("n_limit"),
+        (_n_tok(spaced["_frm"], "join") + _n_sub(_flat(F.col("_frm")), ",")).alias("n_join"),
+        _n_tok(conds, "or").alias("n_or"), _n_tok(conds, "like").alias("n_like"),
+        _n_tok(tested, "subquery").alias("n_nested"), F.col("_o.setop").alias("n_setop"),
+        (sum((_n_sub(listed, f" {w}  (") for w in AGG_FUNCS[1:]), _n_sub(listed, f" {AGG_FUNCS[0]}  ("))
+         + _n_tok(tested, "not")).alias("n_agg"),
+        _n_tok(_spaced(F.col("_tk")), "select").alias("n_select"),
+        (_n_sub(_flat(F.col("_sel")), ",") + 1).alias("n_select_cols"),
+        F.when(has("_whr"), _n_tok(spaced["_whr"], "and") + _n_tok(spaced["_whr"], "or") + 1
+               - _n_tok(spaced["_whr"], "between")).otherwise(0).cast("bigint").alias("n_where_conds"),
+        F.when(has("_grp"), _n_sub(_flat(F.col("_grp")), ",") + 1).otherwise(0).cast("bigint").alias("n_group_cols"),
     )
-    return out.drop("_tk", "_j", "_j2", "_sel", "_grp", "_whr")
+    return out.drop("_tk", "_o", "_s", *starts)
 
 
 def complexity(shape: DataFrame) -> DataFrame:
@@ -83,6 +129,7 @@ def complexity(shape: DataFrame) -> DataFrame:
     c2 = (F.col("n_nested") + F.col("n_setop")).cast("bigint")
     oth = ((F.col("n_agg") > 1).cast("int") + (F.col("n_select_cols") > 1).cast("int")
            + (F.col("n_where_conds") > 1).cast("int") + (F.col("n_group_cols") > 1).cast("int")).cast("bigint")
+    # fixed rule: the four levels of the published difficulty definition
     d = shape.withColumn("comp1", c1).withColumn("comp2", c2).withColumn("others", oth)
     a, b, o = F.col("comp1"), F.col("comp2"), F.col("others")
     label = (F.when((a <= 1) & (o == 0) & (b == 0), "easy")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shotloom.functions import text as T
 from shotloom.functions.constants import PRICE_PER_1K, TEMPLATES
-from shotloom.operators.common import join_small_side, ordered_prefix
+from shotloom.operators.common import join_small_side, ordered_prefix, stored
 
 
 def _ntok(c) -> Column:
@@ -160,21 +160,24 @@ def build_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas
         + (_ntok(F.lit(suffix)) if suffix is not None else F.lit(0)) \
         + F.lit(int(prefix is not None) + int(suffix is not None)) * _ntok(F.lit(demo_sep))
 
-    p = pool.select(F.col("idx").alias("demo_id"), F.col("question").alias("dq"), F.col("query").alias("dsql"))
-    d = picks.join(p, "demo_id").withColumn("dtext", format_demo(tpl["demo_format"], F.col("dq"), F.col("dsql")))
+    # Each demonstration is formatted and counted once; only ids and costs are joined and
+    # packed, and the texts follow for the kept picks alone.
+    p = stored(pool.select(F.col("idx").alias("demo_id"),
+                           format_demo(tpl["demo_format"], F.col("question"), F.col("query")).alias("dtext"))
+                   .withColumn("cost", _ntok(F.col("dtext")).cast("bigint")), "demos")
+    d = picks.join(p.select("demo_id", "cost"), "demo_id")
     d = d.join(t.select(F.col("idx").alias("target_id"), "balance"), "target_id")
-    d = pack(d.withColumn("cost", _ntok(F.col("dtext"))), F.col("balance"), F.col("cost"),
-             mode="section", sep_tokens=_ntok(F.lit(demo_sep)), fixed=fixed, bounded=True)
-    agg = (d.groupBy("target_id")
-            .agg(F.sort_array(F.collect_list(F.struct("rank", "demo_id", "dtext", "kept",
-                                                      F.col("cost").cast("bigint").alias("cost")))).alias("ds")))
-    agg = agg.select(
-        "target_id",
-        F.transform("ds", lambda x: x["demo_id"]).alias("demonstrations_idxs"),
-        F.size("ds").cast("bigint").alias("num_demonstrations"),
-        F.transform(F.filter("ds", lambda x: x["kept"]), lambda x: x["dtext"]).alias("kept_texts"),
-        F.aggregate(F.filter("ds", lambda x: x["kept"]), F.lit(0).cast("bigint"),
-                    lambda acc, x: acc + x["cost"]).alias("kept_tokens"))
+    d = stored(pack(d, F.col("balance"), F.col("cost"), mode="section", sep_tokens=_ntok(F.lit(demo_sep)),
+                    fixed=fixed, bounded=True).select("target_id", "demo_id", "rank", "cost", "kept"), "picks")
+    ids = (d.groupBy("target_id")
+            .agg(F.sort_array(F.collect_list(F.struct("rank", "demo_id"))).alias("ds"),
+                 F.sum(F.when(F.col("kept"), F.col("cost")).otherwise(0)).alias("kept_tokens"))
+            .select("target_id", "kept_tokens", F.transform("ds", lambda x: x["demo_id"]).alias("demonstrations_idxs"),
+                    F.size("ds").cast("bigint").alias("num_demonstrations")))
+    texts = (d.filter("kept").join(p.select("demo_id", "dtext"), "demo_id").groupBy("target_id")
+              .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "demo_id", "dtext"))),
+                               lambda x: x["dtext"]).alias("kept_texts")))
+    agg = ids.join(texts, "target_id", "left")
     out = t.join(agg, t["idx"] == agg["target_id"], "left").drop("target_id")
     if additive:
         out = join_small_side(out, schemas.select("db_id", "schema_text"), ["db_id"],

@@ -6,15 +6,13 @@ always broken by ascending demonstration id (X9).
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.functions import hashing
-from shotloom.operators.common import broadcast_if_bounded, join_small_side, spread, top_k
+from shotloom.operators.common import block_pairs, join_small_side, spread, stored, top_k
 
 
 def validate_k(k: int, pool_size: int | None = None) -> None:
@@ -123,13 +121,13 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
     ta = F.col(target_attr) if target_attr else F.lit(None)
     p = pool.select(F.col(pool_id).alias("demo_id"), pg.cast("string").alias("grp"),
                     pa.cast("string").alias("p_attr"))
-    p = p.withColumn("u", hashing.uniform(seed, F.col("demo_id"))).persist()
+    p = stored(p.withColumn("u", hashing.uniform(seed, F.col("demo_id"))), "sample-pool")
     grouped = target_group is not None or pool_group is not None
     if grouped:
         sizes = p.groupBy("grp").agg(F.count("*").alias("n_g"))
         sizes = sizes.withColumn("B", F.greatest(F.lit(1), F.ceil(F.col("n_g") / F.lit(k))).cast("bigint"))
-        sizes_b, ok = broadcast_if_bounded(sizes)
-        p = p.join(sizes_b, "grp")
+        sizes = stored(sizes, "sample-sizes")
+        p = join_small_side(p, sizes, ["grp"], F.col("demo_id"))
     else:
         # One group: its bucket count is a scalar subquery, not a join on a constant key.
         n_all = p.agg(F.count("*")).scalar()
@@ -139,10 +137,10 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
                        ta.cast("string").alias("t_attr"))
     t = t.withColumn("s", hashing.uniform(seed, "t", F.col("target_id")))
     if grouped:
-        t = t.join(sizes_b, "grp")
+        t = join_small_side(t, sizes, ["grp"], F.col("target_id"))
     else:
         t = t.withColumn("B", F.greatest(F.lit(1), F.ceil(n_all / F.lit(k))).cast("bigint"))
-    t = t.withColumn("b0", F.floor(F.col("s") * F.col("B")).cast("bigint")).persist()
+    t = stored(t.withColumn("b0", F.floor(F.col("s") * F.col("B")).cast("bigint")), "sample-targets")
     need = k
 
     results = []
@@ -166,13 +164,13 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
         cand = cand.withColumn("h", F.when(h < 0, h + F.lit(1.0)).otherwise(h))
         complete = F.col("W") >= F.col("B") - 1
         cand = cand.withColumn("sure", complete | (F.col("h") < F.col("W") / F.col("B")))
-        cand = cand.persist()
+        cand = stored(cand, "sample-candidates")
         stats = cand.groupBy("target_id").agg(F.sum(F.col("sure").cast("int")).alias("n_sure"))
         st = pending.select("target_id", span.alias("W"), "B").join(stats, "target_id", "left")
         done = st.filter((F.coalesce(F.col("n_sure"), F.lit(0)) >= need)
                          | (F.col("W") >= F.col("B") - 1)).select("target_id")
         results.append(cand.join(done, "target_id", "left_semi"))
-        pending = pending.join(done, "target_id", "left_anti").persist()
+        pending = stored(pending.join(done, "target_id", "left_anti"), "sample-pending")
         if pending.isEmpty():
             break
         window *= 4
@@ -201,85 +199,60 @@ def structure_class(toks: Column) -> Column:
 
 # --- R7 vectors ------------------------------------------------------------------------
 
-def _topk_block(tids, tmat, pids, pmat, k):
-    """Local top-k of tmat @ pmat.T per target row (ties: smaller pool id first).
+TARGET_BLOCK, POOL_BLOCK, TILE = 4096, 8192, 256
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; zero rows stay."""
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
-    Columns are put in ascending id order and one stable argsort of the negated
-    scores (vectorised over all rows) keeps that order among equal scores.
-    """
-    m = pmat.shape[0]
-    kk = min(k, m)
-    if kk == 0 or len(tids) == 0:
-        return [], [], []
-    order_ids = np.argsort(pids, kind="stable")
-    pids_sorted = pids[order_ids]
-    scores = (tmat @ pmat.T)[:, order_ids]
-    top = np.argsort(-scores, axis=1, kind="stable")[:, :kk]
-    rows = np.repeat(np.arange(len(tids)), kk)
-    cols = top.reshape(-1)
-    return (np.repeat(np.asarray(tids), kk).tolist(), pids_sorted[cols].tolist(),
-            scores[rows, cols].tolist())
+
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), dtype=np.float64) if len(vectors) else np.zeros((0, 0))
+
+
+def _topk_tiles(tids, tmat, pids, pmat, k):
+    """Per target the k best of one block, a tile of targets at a time (ties: smaller pool id first)."""
+    order = np.argsort(pids, kind="stable")
+    pids, pmat, kk = pids[order], pmat[order], min(k, len(pids))
+    for lo in range(0, len(tids), TILE):
+        scores = tmat[lo:lo + TILE] @ pmat.T
+        edge = np.partition(scores, len(pids) - kk, axis=1)[:, len(pids) - kk]
+        for i, row in enumerate(scores):
+            at = np.flatnonzero(row >= edge[i])
+            at = at[np.argsort(-row[at], kind="stable")][:kk]
+            yield tids[lo + i], pids[at], row[at]
 
 
 def dot_topk(targets: DataFrame, pool: DataFrame, k: int, target_id: str = "id",
              target_vec: str = "vec", pool_id: str = "id", pool_vec: str = "vec",
-             normalize: bool = False, exclude_self: bool = False,
-             max_broadcast_rows: int = 200_000) -> DataFrame:
+             normalize: bool = False, exclude_self: bool = False) -> DataFrame:
     """Top-k pool rows by dot product (or cosine when ``normalize``) per target.
 
-    The target matrix is broadcast only after a row-count check; each pool
-    partition multiplies its Arrow batches against it and emits a local top-k
-    (k+1 when excluding self), so only k rows per target and partition shuffle.
-    Above the bound, targets and pool are hash-blocked and multiplied per block
-    pair with ``cogroup.applyInPandas`` instead.
+    Targets and pool meet in blocks of bounded size; a block returns at most k rows
+    (k+1 when excluding self) per target, picked by partial selection, so no task
+    and no driver holds more than a block of either side.
     """
     validate_k(k)
-    spark = targets.sparkSession
     kk = k + (1 if exclude_self else 0)
-    t = targets.select(F.col(target_id).cast("bigint").alias("tid"),
-                       F.col(target_vec).cast("array<double>").alias("tv"))
-    p = pool.select(F.col(pool_id).cast("bigint").alias("pid"),
-                    F.col(pool_vec).cast("array<double>").alias("pv"))
-    schema = "target_id bigint, demo_id bigint, score double"
-
-    def _mat(series):
-        m = np.array(series.tolist(), dtype=np.float64) if len(series) else np.zeros((0, 0))
-        if normalize and m.size:
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-        return m
-
-    n_t = t.count()
-    if n_t <= max_broadcast_rows:
-        tp = t.toPandas()
-        bc = spark.sparkContext.broadcast((tp["tid"].to_numpy(np.int64), _mat(tp["tv"])))
-
-        def score_partition(it):
-            tids, tmat = bc.value
-            for pdf in it:
-                if len(pdf) == 0 or len(tids) == 0:
-                    continue
-                a, b, c = _topk_block(tids, tmat, pdf["pid"].to_numpy(np.int64),
-                                      _mat(pdf["pv"]), kk)
-                yield pd.DataFrame({"target_id": a, "demo_id": b, "score": c})
-
-        local = p.mapInPandas(score_partition, schema)
-    else:
-        nblocks_t = max(1, math.ceil(n_t / max_broadcast_rows))
-        nblocks_p = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-        tb = t.withColumn("tb", F.pmod(F.xxhash64("tid"), F.lit(nblocks_t))) \
-              .withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(nblocks_p - 1))))
-        pb = p.withColumn("pb", F.pmod(F.xxhash64("pid"), F.lit(nblocks_p))) \
-              .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nblocks_t - 1))))
-
-        def score_block(tpdf, ppdf):
-            if len(tpdf) == 0 or len(ppdf) == 0:
-                return pd.DataFrame({"target_id": [], "demo_id": [], "score": []})
-            a, b, c = _topk_block(tpdf["tid"].to_numpy(np.int64), _mat(tpdf["tv"]),
-                                  ppdf["pid"].to_numpy(np.int64), _mat(ppdf["pv"]), kk)
-            return pd.DataFrame({"target_id": a, "demo_id": b, "score": c})
-
-        local = tb.groupBy("tb", "pb").cogroup(pb.groupBy("tb", "pb")).applyInPandas(score_block, schema)
+    t = targets.select(F.col(target_id).cast("bigint").alias("tid"), F.col(target_vec).cast("array<double>").alias("tv"))
+    p = pool.select(F.col(pool_id).cast("bigint").alias("pid"), F.col(pool_vec).cast("array<double>").alias("pv"))
+
+    def score_block(tp: pd.DataFrame, pp: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(tp) and len(pp) and kk:
+            tm, pm = matrix(tp["tv"]), matrix(pp["pv"])
+            if normalize:
+                tm, pm = unit_rows(tm), unit_rows(pm)
+            rows = list(_topk_tiles(tp["tid"].to_numpy(np.int64), tm, pp["pid"].to_numpy(np.int64), pm, kk))
+        return pd.DataFrame({
+            "target_id": np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]).astype(np.int64),
+            "demo_id": np.concatenate([r[1] for r in rows] or [np.zeros(0, np.int64)]),
+            "score": np.concatenate([r[2] for r in rows] or [np.zeros(0)])})
+
+    left, right = block_pairs(t, p, "tid", "pid", TARGET_BLOCK, POOL_BLOCK)
+    local = left.cogroup(right).applyInPandas(score_block, "target_id bigint, demo_id bigint, score double")
     if exclude_self:
         local = local.filter(F.col("target_id") != F.col("demo_id"))
     out = top_k(local, ["target_id"], [F.col("score").desc(), F.col("demo_id").asc()], k)
@@ -315,14 +288,12 @@ def struct_retrieve(items: DataFrame, k: int, id_col: str = "qid") -> DataFrame:
                      F.least(F.col("jc"), F.lit(3)).cast("int").alias("jcb"),
                      *[F.col(x).cast("boolean").alias(x) for x in "ghol"])
     feats = ["toks", "setop", "jcb", "g", "h", "o", "l"]
-    from shotloom.operators.common import dense_index
-    # Exact signature ids: group by the features, number the groups densely (no hash collisions).
-    # Group and join on the canonical JSON of the feature tuple (an exact string key;
+    # A signature is named by its smallest id. Group and join on the canonical JSON of the feature tuple (an exact string key;
     # array-typed join keys fall out of whole-stage codegen).
     f = f.withColumn("fkey", F.to_json(F.struct(*feats)))
-    sigs = dense_index(f.groupBy("fkey").agg(F.min("id").alias("min_id"), *[F.first(c).alias(c) for c in feats]),
-                       [], ["min_id"], out="sig").persist()
-    f = f.join(sigs.select("fkey", "sig"), "fkey").drop("fkey").persist()
+    sigs = stored(f.groupBy("fkey").agg(F.min("id").alias("min_id"), *[F.first(c).alias(c) for c in feats])
+                  .withColumn("sig", F.col("min_id")), "signatures")
+    f = stored(f.join(sigs.select("fkey", "sig"), "fkey").drop("fkey"), "signed")
     members = top_k(f.select("sig", "id"), ["sig"], [F.col("id").asc()], kk, rank_col="m")
     # Demo-side bucket memberships and target-side bucket choice.
     bucket_of = F.when(F.col("jcb") == 1, "j1").when(F.col("jcb") == 2, "j2").when(F.col("jcb") >= 3, "j3")
@@ -344,8 +315,8 @@ def struct_retrieve(items: DataFrame, k: int, id_col: str = "qid") -> DataFrame:
                          (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jac"))
     # Zero-overlap competitors: k+1 smallest-id signatures per (bucket, pattern), size bounded.
     pattern_first = top_k(dsig, ["bucket", "dg", "dh", "do", "dl"], [F.col("min_id").asc()], kk, rank_col="_r")
-    pattern_first, _ = broadcast_if_bounded(pattern_first.select("bucket", "sig"))
-    fill = tsig.select("tsig", "bucket").join(pattern_first, "bucket").select(
+    fill = join_small_side(tsig.select("tsig", "bucket"), pattern_first.select("bucket", "sig"), ["bucket"],
+                           F.col("tsig")).select(
         "tsig", "sig", "bucket", F.lit(0.0).alias("jac"))
     cand = inter.unionByName(fill).groupBy("tsig", "sig", "bucket").agg(F.max("jac").alias("jac"))
     cand = cand.join(tsig.drop("ttoks"), ["tsig", "bucket"]).join(

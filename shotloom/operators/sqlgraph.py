@@ -7,7 +7,7 @@ and every node's parent is the nearest owning keyword in its scope. The graph
 
 * nodes ROOT; SQL_KEYWORD_<KIND>_<n> for clauses, set operations, connectives,
   comparisons, aggregates and literals (numbered per query and kind by
-  position); one shared SQL_KEYWORD_STAR; TABLE_<t>; COLUMN_<t>.<c>; VALUE_<v>;
+  position), arithmetic and nested queries; one shared SQL_KEYWORD_STAR; TABLE_<t>; COLUMN_<t>.<c>; VALUE_<v>;
 * edges ROOT -> set operation -> SELECT, SELECT -> clause, clause -> operator ->
   operand, LITERAL -> VALUE (``VALUE``), COLUMN -> TABLE (``belongs_to``),
   SELECT/JOIN -> TABLE (``FROM``), outer operator -> nested SELECT (``query``).
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.functions import text as T
+from shotloom.operators.common import stored
 
 # Fixed pattern: SQL lexer (quoted literal, identifier with optional qualifier, number, operator, symbol).
 LEX_RE = r"'[^']*'|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?|[0-9]+(?:\.[0-9]+)?|>=|<=|!=|<>|[^\sA-Za-z0-9_]"
@@ -78,7 +79,7 @@ def graph_ctes(engine: str, part: str = "all") -> str:
     operand_parent = "CASE WHEN nxt_kind = 'op' THEN nxt_label ELSE last_opish END"
     node_arr = arr(
         f"CASE WHEN pos = 1 THEN {st(repr('ROOT'), repr('ROOT'), repr('ROOT'))} ELSE {null3} END",
-        f"""CASE WHEN kind IN ('clause', 'setop', 'op', 'agg', 'literal') THEN {st('klabel', 'kw', "'SQL_KEYWORD'")}
+        f"""CASE WHEN kind IN ('clause', 'setop', 'op', 'agg', 'literal', 'sub') THEN {st('klabel', 'kw', "'SQL_KEYWORD'")}
              WHEN kind = 'star' THEN {st("'SQL_KEYWORD_STAR'", "'*'", "'SQL_KEYWORD'")}
              WHEN kind = 'table' THEN {st("'TABLE_' || tok", 'tok', "'TABLE'")}
              WHEN kind = 'column' THEN {st(col_node, 'cname', "'COLUMN'")} ELSE {null3} END""",
@@ -88,7 +89,8 @@ def graph_ctes(engine: str, part: str = "all") -> str:
     edge_arr = arr(
         f"""CASE WHEN kind = 'setop' AND depth = 0 THEN {st("'ROOT'", 'klabel', "'expression'")}
              WHEN lt = 'select' THEN {st("CASE WHEN depth = 0 THEN coalesce(top_setop, 'ROOT') ELSE last_any END",
-                                          'klabel', "CASE WHEN depth = 0 THEN 'expression' ELSE 'query' END")}
+                                          'klabel', "CASE WHEN depth = 0 THEN 'expression' ELSE 'this' END")}
+             WHEN kind = 'sub' THEN {st('last_any', 'klabel', "'query'")}
              WHEN kind = 'clause' THEN {st('scope_select', 'klabel', 'lower(kw)')}
              WHEN kind IN ('op', 'agg') THEN {st('last_clause', 'klabel', "'expressions'")}
              WHEN kind = 'table' THEN {st("CASE WHEN prv = 'join' THEN prv_label ELSE scope_select END",
@@ -100,39 +102,50 @@ def graph_ctes(engine: str, part: str = "all") -> str:
         f"""CASE WHEN kind = 'literal' THEN {st('klabel', value_node, "'VALUE'")}
              WHEN kind = 'column' AND ctable IS NOT NULL THEN {st(col_node, "'TABLE_' || ctable", "'belongs_to'")}
              ELSE {null3} END""")
-    kws = ["SELECT", "WHERE", "HAVING", "LIMIT", "JOIN", "DISTINCT", "GROUP", "ORDER", "EXCEPT", "INTERSECT",
-           "UNION", "COUNT", "SUM", "AVG", "MIN", "MAX", "EQ", "NEQ", "GT", "GTE", "LT", "LTE", "AND", "OR",
-           "NOT", "IN", "BETWEEN", "LIKE", "LITERAL"]
-    # Keyword numbering as running counts on the (qid, pos) order the chain already
-    # has, instead of one more sort by (qid, kw).
-    kw_count = "CASE kw " + " ".join(
-        f"WHEN '{k}' THEN sum(CASE WHEN kw = '{k}' THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY pos {upto})"
-        for k in kws) + " END"
+    # fixed words: clause words, words that are no names, and what cannot end an operand
+    parts = "'select', 'from', 'join', 'on', 'where', 'group', 'having', 'order', 'limit', 'union', 'except', 'intersect'"
+    plain = ("'from', 'by', 'as', 'on', 'asc', 'desc', 'is', 'null', 'exists', 'left', 'right', 'inner', 'outer', "
+             "'full', 'cross', 'natural', 'using', 'case', 'when', 'then', 'else', 'end', 'all'")
+    no_operand = (plain + ", 'select', 'where', 'having', 'limit', 'offset', 'distinct', 'and', 'or', 'not', 'in', "
+                  "'between', 'like', '=', '!=', '<>', '>', '>=', '<', '<=', '+', '-', '*', '/', '(', ',', '.'")
+    ends_operand = f"prv IS NOT NULL AND prv NOT IN ({no_operand})"
     head = f"""toks AS ({d['toks']}),
 t1 AS (SELECT qid, pos, tok, lower(tok) AS lt,
+         lower(substr(tok, 1, 1)) BETWEEN 'a' AND 'z' OR substr(tok, 1, 1) = '_' AS word,
          lead(lower(tok)) OVER (PARTITION BY qid ORDER BY pos) AS nxt,
          lag(lower(tok)) OVER (PARTITION BY qid ORDER BY pos) AS prv,
-         lag(tok, 2) OVER (PARTITION BY qid ORDER BY pos) AS prv2 FROM toks),
+         lag(tok) OVER (PARTITION BY qid ORDER BY pos) AS prv1,
+         lag(tok, 2) OVER (PARTITION BY qid ORDER BY pos) AS prv2,
+         {last(f"CASE WHEN lower(tok) IN ({parts}) THEN lower(tok) END")} OVER (PARTITION BY qid ORDER BY pos {before}) AS part
+       FROM toks),
 t2a AS (SELECT *, CASE
    WHEN substr(tok, 1, 1) = {q1} OR substr(tok, 1, 1) BETWEEN '0' AND '9' THEN 'literal'
+   WHEN tok = '(' AND nxt = 'select' THEN 'sub'
    WHEN lt IN ('except', 'intersect', 'union') THEN 'setop'
-   WHEN lt IN ('select', 'where', 'having', 'limit', 'join', 'distinct') THEN 'clause'
+   WHEN lt IN ('select', 'where', 'having', 'limit', 'offset', 'join', 'distinct') THEN 'clause'
    WHEN lt IN ('group', 'order') AND nxt = 'by' THEN 'clause'
    WHEN lt IN ('count', 'sum', 'avg', 'min', 'max') AND nxt = '(' THEN 'agg'
-   WHEN lt IN ('and', 'or', 'not', 'in', 'between', 'like', '=', '!=', '<>', '>', '>=', '<', '<=') THEN 'op'
+   WHEN lt IN ('and', 'or', 'not', 'in', 'between', 'like', '=', '!=', '<>', '>', '>=', '<', '<=', '+', '-', '/') THEN 'op'
+   WHEN tok = '*' AND ({ends_operand}) THEN 'op'
    WHEN tok = '*' THEN 'star'
-   WHEN lt IN ('from', 'by', 'as', 'on', 'asc', 'desc', 'is', 'null', 'exists') THEN 'kw'
-   WHEN prv IN ('from', 'join') AND (lower(substr(tok, 1, 1)) BETWEEN 'a' AND 'z' OR substr(tok, 1, 1) = '_') THEN 'table'
-   WHEN prv = 'as' THEN 'alias'
-   WHEN lower(substr(tok, 1, 1)) BETWEEN 'a' AND 'z' OR substr(tok, 1, 1) = '_' THEN 'column'
+   WHEN lt IN ({plain}) THEN 'kw'
+   WHEN word AND nxt = '(' THEN 'func'
+   WHEN word AND (prv IN ('from', 'join') OR prv = ',' AND part IN ('from', 'join')) THEN 'table'
+   WHEN word AND prv = 'as' THEN 'alias'
+   -- a name right after a table, or after a query in FROM, is its alias
+   WHEN word AND part IN ('from', 'join') AND (prv = ')' OR lower(prv2) IN ('from', 'join', ',')) THEN 'alias'
+   WHEN word THEN 'column'
    ELSE 'punct' END AS kind FROM t1),
 t2 AS (SELECT *, CASE WHEN kind IN ('clause', 'setop', 'agg') THEN upper(lt)
                       WHEN kind = 'op' THEN CASE lt WHEN '=' THEN 'EQ' WHEN '!=' THEN 'NEQ' WHEN '<>' THEN 'NEQ'
-                           WHEN '>' THEN 'GT' WHEN '>=' THEN 'GTE' WHEN '<' THEN 'LT' WHEN '<=' THEN 'LTE' ELSE upper(lt) END
+                           WHEN '>' THEN 'GT' WHEN '>=' THEN 'GTE' WHEN '<' THEN 'LT' WHEN '<=' THEN 'LTE'
+                           WHEN '+' THEN 'ADD' WHEN '/' THEN 'DIV' WHEN '*' THEN 'MUL'
+                           WHEN '-' THEN CASE WHEN {ends_operand} THEN 'SUB' ELSE 'NEG' END ELSE upper(lt) END
+                      WHEN kind = 'sub' THEN 'SUBQUERY'
                       WHEN kind = 'literal' THEN 'LITERAL' END AS kw FROM t2a),
 t3 AS (SELECT *, sum(CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END)
                  OVER (PARTITION BY qid ORDER BY pos {upto}) AS pincl,
-                 {kw_count} AS kwn FROM t2),
+                 CASE WHEN kw IS NOT NULL THEN row_number() OVER (PARTITION BY qid, kw ORDER BY pos) END AS kwn FROM t2),
 t4 AS (SELECT *, CASE WHEN tok = '(' THEN pincl WHEN tok = ')' THEN pincl + 1 END AS plevel,
                  CASE WHEN tok = '(' THEN (CASE WHEN nxt = 'select' THEN 1 ELSE 0 END) END AS opensub,
                  CASE WHEN kw IS NOT NULL THEN 'SQL_KEYWORD_' || kw || '_' || CAST(kwn - 1 AS STRING) END AS klabel
@@ -142,7 +155,7 @@ t5 AS (SELECT *, CASE WHEN tok = ')' THEN {last('opensub')} OVER (PARTITION BY q
 t6 AS (SELECT *, sum(CASE WHEN tok = '(' AND opensub = 1 THEN 1 WHEN tok = ')' AND closesub = 1 THEN -1 ELSE 0 END)
                  OVER (PARTITION BY qid ORDER BY pos {upto})
                  - CASE WHEN tok = '(' AND opensub = 1 THEN 1 ELSE 0 END AS depth,
-                 {last("CASE WHEN kind IN ('clause', 'op', 'agg', 'setop') THEN klabel END")} OVER (PARTITION BY qid ORDER BY pos {before}) AS last_any,
+                 {last("CASE WHEN kind IN ('clause', 'op', 'agg', 'setop', 'sub') THEN klabel END")} OVER (PARTITION BY qid ORDER BY pos {before}) AS last_any,
                  lead(kind) OVER (PARTITION BY qid ORDER BY pos) AS nxt_kind,
                  lead(klabel) OVER (PARTITION BY qid ORDER BY pos) AS nxt_label,
                  lag(klabel) OVER (PARTITION BY qid ORDER BY pos) AS prv_label
@@ -154,15 +167,19 @@ t7 AS (SELECT *, {last("CASE WHEN lt = 'select' THEN pos END")} OVER (PARTITION
                  max(CASE WHEN kind = 'setop' AND depth = 0 THEN klabel END) OVER (PARTITION BY qid) AS top_setop,
                  CASE WHEN kind = 'column' AND instr(tok, '.') > 0 THEN split_part(tok, '.', 1) END AS qual
           FROM t6),
-t8 AS (SELECT *, max(CASE WHEN kind = 'alias' THEN prv2 END)
-                   OVER (PARTITION BY qid, CASE WHEN kind = 'alias' THEN tok ELSE qual END) AS alias_table
-          FROM t7),
-tk AS (SELECT t8.*,
+t8 AS (SELECT *, CASE WHEN kind = 'alias' THEN lower(tok) ELSE lower(qual) END AS aname,
+                 CASE WHEN kind = 'alias' THEN CASE WHEN prv = 'as' THEN prv2 ELSE prv1 END END AS atable FROM t7),
+-- an alias means the table of its own SELECT, else that of the query
+t9 AS (SELECT *, max(atable) OVER (PARTITION BY qid, scope, aname) AS own_table,
+                 max(atable) OVER (PARTITION BY qid, aname) AS any_table,
+                 max(CASE WHEN kind = 'table' AND prv = 'from' THEN tok END) OVER (PARTITION BY qid, scope) AS from_table,
+                 min(CASE WHEN kind = 'table' THEN tok END) OVER (PARTITION BY qid, scope) AS low_table,
+                 max(CASE WHEN kind = 'table' THEN tok END) OVER (PARTITION BY qid, scope) AS high_table FROM t8),
+tk AS (SELECT t9.*,
          CASE WHEN kind = 'column' AND qual IS NOT NULL THEN split_part(tok, '.', 2) ELSE tok END AS cname,
-         CASE WHEN kind <> 'column' THEN NULL WHEN qual IS NULL
-              THEN max(CASE WHEN kind = 'table' AND prv = 'from' THEN tok END) OVER (PARTITION BY qid, scope)
-              ELSE coalesce(alias_table, qual) END AS ctable
-       FROM t8)"""
+         CASE WHEN kind <> 'column' THEN NULL WHEN qual IS NOT NULL THEN coalesce(own_table, any_table, qual)
+              WHEN from_table IS NOT NULL THEN from_table WHEN low_table = high_table THEN low_table END AS ctable
+       FROM t9)"""
     tail = f"""node_rows AS ({d['explode'].format(src='tk', arr=node_arr)}),
 nodes AS (SELECT DISTINCT qid, a AS node_id, b AS val, c AS type FROM node_rows WHERE a IS NOT NULL),
 edge_rows AS ({d['explode'].format(src='tk', arr=edge_arr)}),
@@ -195,17 +212,16 @@ def duck_graph_query(src_sql: str, select: str) -> str:
 def graph_tables(queries: DataFrame, qid: str = "qid", query: str = "query") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of every query, materialised once for their many consumers.
 
-    The token table and both graph tables are checkpointed in the cluster's
+    The token table and both graph tables are written in the cluster's
     checkpoint folder: downstream loops (reachability) then start from short,
     recoverable lineage instead of re-running the lexer windows.
     """
-    from shotloom.session import checkpoint_dir
-    checkpoint_dir(queries.sparkSession)
     src = queries.select(F.col(qid).alias("qid"), clean_for_graph(F.col(query)).alias("q"))
     spark = queries.sparkSession
     tk = spark.sql("WITH src AS (SELECT * FROM {src_df}), " + graph_ctes("spark", "tokens")
-                   + "\nSELECT * FROM tk", src_df=src).checkpoint()
+                   + "\nSELECT * FROM tk", src_df=src)
+    tk = stored(tk, "graph-tokens")
     graph = "WITH tk AS (SELECT * FROM {tk_df}), " + graph_ctes("spark", "graph")
-    nodes = spark.sql(graph + "\nSELECT qid, node_id, val, type FROM nodes", tk_df=tk).checkpoint()
-    edges = spark.sql(graph + "\nSELECT qid, src, dst, label FROM edges", tk_df=tk).checkpoint()
+    nodes = stored(spark.sql(graph + "\nSELECT qid, node_id, val, type FROM nodes", tk_df=tk), "graph-nodes")
+    edges = stored(spark.sql(graph + "\nSELECT qid, src, dst, label FROM edges", tk_df=tk), "graph-edges")
     return nodes, edges

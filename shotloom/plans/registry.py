@@ -7,6 +7,7 @@ rounded DOUBLE, text STRING.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ from shotloom.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Steps that read table schemas but no rows: tested like the queries, not registered as such.
+SCHEMA_STEPS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SCHEMA_ORACLE: dict[str, str] = {}
 
 K = 5
 SEED = 1234
@@ -36,6 +40,13 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+def schema_step(name: str, oracle: str):
+    def deco(fn):
+        SCHEMA_STEPS[name], SCHEMA_ORACLE[name] = fn, oracle
+        return fn
+    return deco
+
+
 def _toks_sql(expr: str) -> str:
     return f"regexp_extract_all(coalesce({expr}, ''), '{WP}')"
 
@@ -160,7 +171,7 @@ from shotloom.operators import complexity as H  # noqa: E402
 from shotloom.operators import prompt as PR  # noqa: E402
 from shotloom.operators import correct as EC  # noqa: E402
 from shotloom.operators import content as V  # noqa: E402
-from shotloom.operators.common import dense_index  # noqa: E402
+from shotloom.operators.common import dense_index, stored  # noqa: E402
 from shotloom.sources import catalog as CAT  # noqa: E402
 
 
@@ -251,27 +262,48 @@ def q_clean_sql(spark, sf_dir):
 
 
 def _shape_sql() -> str:
-    s = "j"
-    stops = (" from ", " where ", " group by ", " order by ", " having ", " limit ",
-             " intersect ", " union ", " except ", " ) ")
-    sel = D.clause(s, " select ", stops)
-    grp = D.clause(s, " group by ", stops[3:])
-    whr = D.clause(s, " where ", stops[2:])
-    tk = "tk"
+    """Structure counts by collapsing parentheses from the inside out (no token automaton)."""
+    j = "s"
+    for _ in range(4):  # the log nests two deep
+        j = f"regexp_replace({j}, '\\( select [^()]*\\)', 'subquery', 'g')"
+        j = f"regexp_replace({j}, '\\(([^()]*)\\)', '«\\1»', 'g')"
+    stops = (" from ", " where ", " group by ", " having ", " order by ", " limit ")
+    parts = {"sel": (" select ", stops), "frm": (" from ", stops[1:]), "whr": (" where ", stops[2:]),
+             "grp": (" group by ", stops[3:]), "hav": (" having ", stops[4:]), "ord": (" order by ", stops[5:])}
+    clauses = ",\n  ".join(f"string_split(trim({D.clause('o', a, z)}), ' ') AS {n}" for n, (a, z) in parts.items())
+
+    def n(words: str, *lists: str) -> str:
+        return f"CAST(len(list_filter({' || '.join(lists)}, lambda x: x IN ({words}))) AS BIGINT)"
+
+    def commas(c: str) -> str:
+        return f"CAST(len(string_split(regexp_replace(array_to_string({c}, ' '), '«[^«»]*»', '', 'g'), ',')) AS BIGINT)"
+
+    def full(c: str) -> str:
+        return f"(array_to_string({c}, '') <> '')"
+
+    aggs = " + ".join(f"CAST(len(string_split(' ' || array_to_string(sel || ['|'] || grp || ['|'] || ord, ' '), ' {w} «')) - 1 AS BIGINT)"
+                      for w in ("max", "min", "count", "sum", "avg"))
+    cleaned = f"regexp_replace({D.join_split_ops(D.postprocess('query'))}, {D.LIT_RE_SQL}, ' value ', 'g')"
     return f"""
 WITH {D.QLOG_CTE},
-t0 AS (SELECT qid, {D.sql_toks(D.join_split_ops(D.postprocess('query')))} AS tk FROM qlog),
-t AS (SELECT qid, tk, ' ' || array_to_string(tk, ' ') || ' ' AS j FROM t0),
+t0 AS (SELECT qid, {D.sql_toks(cleaned)} AS tk FROM qlog),
+t1 AS (SELECT qid, tk, ' ' || array_to_string(tk, ' ') || ' ' AS s FROM t0),
+t2 AS (SELECT qid, tk, {j} AS f FROM t1),
+t3 AS (SELECT qid, tk, regexp_matches(f, ' (intersect|union|except) ') AS so,
+              regexp_replace(f, ' (intersect|union|except) .*$', ' ') AS o FROM t2),
+t AS (SELECT qid, tk, so, o,
+  {clauses} FROM t3),
 sh AS (SELECT qid,
-  {D.n_tok(tk, 'where')} AS n_where, {D.n_sub(s, ' group by ')} AS n_group, {D.n_sub(s, ' order by ')} AS n_order,
-  {D.n_tok(tk, 'limit')} AS n_limit, {D.n_tok(tk, 'join')} AS n_join, {D.n_tok(tk, 'or')} AS n_or,
-  {D.n_tok(tk, 'like')} AS n_like, {D.n_sub(s, ' ( select ')} AS n_nested,
-  {D.n_tok(tk, 'intersect')} + {D.n_tok(tk, 'union')} + {D.n_tok(tk, 'except')} AS n_setop,
-  CAST(len(list_filter(tk, lambda x: x IN ('max', 'min', 'count', 'sum', 'avg'))) AS BIGINT) AS n_agg,
-  {D.n_tok(tk, 'select')} AS n_select,
-  {D.n_sub(sel, ' , ')} + 1 AS n_select_cols,
-  CAST(CASE WHEN length(trim({whr})) > 0 THEN {D.n_sub(whr, ' and ')} + {D.n_sub(whr, ' or ')} + 1 ELSE 0 END AS BIGINT) AS n_where_conds,
-  CAST(CASE WHEN length(trim({grp})) > 0 THEN {D.n_sub(grp, ' , ')} + 1 ELSE 0 END AS BIGINT) AS n_group_cols
+  CAST({full('whr')} AS BIGINT) AS n_where, CAST({full('grp')} AS BIGINT) AS n_group,
+  CAST({full('ord')} AS BIGINT) AS n_order, CAST(contains(o, ' limit ') AS BIGINT) AS n_limit,
+  {n("'join'", 'frm')} + {commas('frm')} - 1 AS n_join,
+  {n("'or'", 'frm', 'whr', 'hav')} AS n_or, {n("'like'", 'frm', 'whr', 'hav')} AS n_like,
+  {n("'subquery'", 'whr', 'hav')} AS n_nested, CAST(so AS BIGINT) AS n_setop,
+  {aggs} + {n("'not'", 'whr', 'hav')} AS n_agg,
+  {D.n_tok('tk', 'select')} AS n_select,
+  {commas('sel')} AS n_select_cols,
+  CASE WHEN {full('whr')} THEN {n("'and', 'or'", 'whr')} + 1 - {n("'between'", 'whr')} ELSE 0 END AS n_where_conds,
+  CASE WHEN {full('grp')} THEN {commas('grp')} ELSE 0 END AS n_group_cols
   FROM t),
 cx AS (SELECT *, CAST((n_where > 0)::INT + (n_group > 0)::INT + (n_order > 0)::INT + (n_limit > 0)::INT
                       + n_join + n_or + n_like AS BIGINT) AS comp1,
@@ -365,7 +397,7 @@ def q_pack_demos(spark, sf_dir):
 
 # --- catalog and correction prompts ----------------------------------------------------------
 
-@query("catalog_flatten", oracle=f"""
+@schema_step("catalog_flatten", oracle=f"""
 WITH {D.catalog_ctes()}
 SELECT db_id, table_name, col_idx, column_name, column_type FROM flat
 """)
@@ -374,7 +406,7 @@ def q_catalog_flatten(spark, sf_dir):
         "db_id", "table_name", "col_idx", "column_name", "column_type")
 
 
-@query("schema_text", oracle=f"""
+@schema_step("schema_text", oracle=f"""
 WITH {D.catalog_ctes()}
 SELECT db_id, schema_text FROM schema_t
 """)
@@ -382,7 +414,7 @@ def q_schema_text(spark, sf_dir):
     return CAT.schema_text(CAT.catalog_columns(spark, sf_dir))
 
 
-@query("catalog_render", oracle=f"""
+@schema_step("catalog_render", oracle=f"""
 WITH {D.catalog_ctes()}
 SELECT db_id, fields, fk_list, pk_list FROM rendered
 """)
@@ -503,20 +535,32 @@ picks AS (SELECT * FROM (SELECT target_id, demo_id,
           WHERE rank <= {K})"""
 
 
-def _prompt_build_sql() -> str:
+def _prompt_build_sql(template: str = "template_option_1") -> str:
     from shotloom.functions.constants import TEMPLATES
-    tpl = TEMPLATES["template_option_1"]
+    tpl = TEMPLATES[template]
     nl2 = "chr(10) || chr(10)"
+    assert {tpl[k] for k in ("demo_sep", "q_sep", "section_sep")} == {"\n\n"} and tpl["demo_suffix"] is None
+
+    def filled(fmt: str | None, **cols: str) -> str:
+        """A format string as a concatenation of literals and columns (NULL where it has none)."""
+        if fmt is None:
+            return "NULL"
+        parts = [cols[p[1:-1]] if p[:1] == "{" else D.lit(p) for p in re.split(r"(\{[a-z]+\})", fmt) if p]
+        return " || ".join(parts)
+
     instr = D.lit(tpl["instruction"])
+    n_instr = f"{D.ntok(instr)} + {D.ntok(nl2)}" if tpl["instruction"] else "0"
     qsec = (f"concat_ws({nl2}, {D.lit(tpl['q_prefix'])}, s.schema_text, "
-            f"'### Answer the following question: ' || t.question, {D.lit(tpl['q_suffix'])})")
+            f"{filled(tpl['q_evidence'], evidence='t.evidence')}, "
+            f"{filled(tpl['q_body'], question='t.question')}, {D.lit(tpl['q_suffix'])})")
+    demo = filled(tpl["demo_format"], question="coalesce(q.question, '')", query="coalesce(q.query, '')")
     return f"""
 WITH {D.QLOG_CTE}, {D.catalog_ctes()}, {_class_picks_sql()},
-t AS (SELECT qid AS idx, question, 'star' AS db_id FROM qlog),
+t AS (SELECT qid AS idx, question, 'star' AS db_id, 'query shape ' || CAST(shape AS VARCHAR) AS evidence FROM qlog),
 tqs AS (SELECT t.idx, {qsec} AS q_section FROM t LEFT JOIN schema_t s ON s.db_id = t.db_id),
-tb AS (SELECT idx, q_section, 4096 - {D.ntok(instr)} - {D.ntok('q_section')} - 2 * {D.ntok(nl2)} AS balance FROM tqs),
+tb AS (SELECT idx, q_section, {tpl['max_tokens']} - ({n_instr}) - {D.ntok('q_section')} - {D.ntok(nl2)} AS balance FROM tqs),
 d AS (SELECT p.target_id, p.demo_id, p.rank,
-             '### Answer the following question: ' || coalesce(q.question, '') || chr(10) || coalesce(q.query, '') AS dtext
+             {demo} AS dtext
       FROM picks p JOIN qlog q ON q.qid = p.demo_id),
 dc AS (SELECT d.*, {D.ntok('dtext')} AS cost, tb.balance FROM d JOIN tb ON tb.idx = d.target_id),
 dw AS (SELECT *, rank - 1 AS pos,
@@ -539,26 +583,40 @@ FROM pr
 """
 
 
-@query("prompt_build", oracle=_prompt_build_sql())
-def q_prompt_build(spark, sf_dir):
-    q = S.qlog(spark, sf_dir)
+def _prompt_inputs(spark, sf_dir):
+    """Targets, class-matched picks, pool and schemas of the query log, read once."""
+    q = stored(S.qlog(spark, sf_dir), "qlog")
     c = q.select("qid", R.structure_class(T.sql_tokens("query")).alias("cls"))
     picks = R.seeded_sample(c, c, K, SEED, target_id="qid", pool_id="qid",
                             target_group="cls", pool_group="cls", exclude_self=True)
-    targets = q.select(F.col("qid").alias("idx"), "question", F.lit("star").alias("db_id"))
+    targets = q.select(F.col("qid").alias("idx"), "question", F.lit("star").alias("db_id"),
+                       F.concat(F.lit("query shape "), F.col("shape").cast("string")).alias("evidence"))
     pool = q.select(F.col("qid").alias("idx"), "question", "query")
-    schemas = CAT.schema_text(CAT.catalog_columns(spark, sf_dir))
-    out = PR.build_prompts(targets, picks, pool, schemas, "template_option_1")
-    return out.select("idx",
-                      F.coalesce(F.array_join(F.transform("demonstrations_idxs", lambda x: x.cast("string")), ","),
-                                 F.lit("")).alias("demonstrations_idxs"),
-                      F.coalesce("num_demonstrations", F.lit(0)).cast("bigint").alias("num_demonstrations"),
-                      "num_packed", "prompt", "num_tokens", "status")
+    return targets, picks, pool, CAT.schema_text(CAT.catalog_columns(spark, sf_dir))
+
+
+def _prompt_query(template: str, evidence: str | None = None):
+    def run(spark, sf_dir):
+        targets, picks, pool, schemas = _prompt_inputs(spark, sf_dir)
+        out = PR.build_prompts(targets, picks, pool, schemas, template, evidence)
+        return out.select("idx",
+                          F.coalesce(F.array_join(F.transform("demonstrations_idxs", lambda x: x.cast("string")), ","),
+                                     F.lit("")).alias("demonstrations_idxs"),
+                          F.coalesce("num_demonstrations", F.lit(0)).cast("bigint").alias("num_demonstrations"),
+                          "num_packed", "prompt", "num_tokens", "status")
+    return run
 
 
-def _prompt_flat_sql() -> str:
+# T5: one key for each of the four section templates; the fourth carries evidence
+q_prompt_build = query("prompt_build", oracle=_prompt_build_sql())(_prompt_query("template_option_1"))
+for _n, _ev in ((2, None), (3, None), (4, "evidence")):
+    query(f"prompt_build_{_n}", oracle=_prompt_build_sql(f"template_option_{_n}"))(
+        _prompt_query(f"template_option_{_n}", _ev))
+
+
+def _prompt_flat_sql(option: str = "option_1") -> str:
     from shotloom.functions.constants import FLAT_TEMPLATES
-    tpl = FLAT_TEMPLATES["option_1"]
+    tpl = FLAT_TEMPLATES[option]
     nl2 = "chr(10) || chr(10)"
     qa, qb = tpl["question"].split("{question}")
     q_part = f"({D.lit(qa)} || t.question || {D.lit(qb)})"
@@ -585,16 +643,14 @@ SELECT idx, num_packed, prompt, {D.ntok('prompt')} AS num_tokens FROM pr
 """
 
 
-@query("prompt_build_flat", oracle=_prompt_flat_sql())
-def q_prompt_build_flat(spark, sf_dir):
-    q = S.qlog(spark, sf_dir)
-    c = q.select("qid", R.structure_class(T.sql_tokens("query")).alias("cls"))
-    picks = R.seeded_sample(c, c, K, SEED, target_id="qid", pool_id="qid",
-                            target_group="cls", pool_group="cls", exclude_self=True)
-    targets = q.select(F.col("qid").alias("idx"), "question", F.lit("star").alias("db_id"))
-    pool = q.select(F.col("qid").alias("idx"), "question", "query")
-    schemas = CAT.schema_text(CAT.catalog_columns(spark, sf_dir))
-    return PR.build_flat_prompts(targets, picks, pool, schemas, "option_1")
+def _flat_query(option: str):
+    return lambda spark, sf_dir: PR.build_flat_prompts(*_prompt_inputs(spark, sf_dir), option)
+
+
+# One key for each of the three flat templates
+q_prompt_build_flat = query("prompt_build_flat", oracle=_prompt_flat_sql())(_flat_query("option_1"))
+for _n in (2, 3):
+    query(f"prompt_build_flat_{_n}", oracle=_prompt_flat_sql(f"option_{_n}"))(_flat_query(f"option_{_n}"))
 
 
 # --- SQL graph tables -----------------------------------------------------------------------
@@ -612,7 +668,7 @@ def _graph_pair(name: str, select: str):
 
 
 _graph_pair("sql_tokens", "SELECT qid, pos, tok, kind, CAST(depth AS BIGINT) AS depth FROM tk")
-_graph_pair("sql_alias_map", "SELECT DISTINCT qid, tok AS alias, prv2 AS table_name FROM tk WHERE kind = 'alias'")
+_graph_pair("sql_alias_map", "SELECT DISTINCT qid, tok AS alias, atable AS table_name FROM tk WHERE kind = 'alias'")
 _graph_pair("sql_nodes", "SELECT qid, node_id, val, type FROM nodes")
 _graph_pair("sql_edges", "SELECT qid, src, dst, label FROM edges")
 _graph_pair("sql_columns", "SELECT qid, pos, tok, cname AS column_name, coalesce(ctable, 'UNRESOLVED') AS table_name "
@@ -998,6 +1054,36 @@ def q_aug_schema(spark, sf_dir):
     return e2
 
 
+_OPS_TOTAL = float(sum(A.OPERATOR_WEIGHTS.values()))
+
+
+def _choice_sql() -> str:
+    upto, cases = 0.0, []
+    for op, w in A.OPERATOR_WEIGHTS.items():
+        upto += w / _OPS_TOTAL
+        cases.append(f"WHEN u < {upto!r}::DOUBLE THEN {D.lit(op)}")
+    return f"CASE {' '.join(cases[:-1])} ELSE {D.lit(op)} END"
+
+
+@query("choose_augmenters", oracle=f"""
+WITH {D.QLOG_CTE}, p AS (SELECT qid, CAST(unnest(range(1, {N_AUG} + 1)) AS BIGINT) AS pick FROM qlog),
+k AS (SELECT qid, pick, {D.uniform(str(SEED), "'op'", 'qid', 'pick')} AS u FROM p)
+SELECT qid, {_choice_sql()} AS op, pick FROM k
+""")
+def q_choose_augmenters(spark, sf_dir):
+    return A.choose_augmenters(S.qlog(spark, sf_dir).select("qid"), N_AUG, SEED)
+
+
+@query("augment_positive")
+def q_augment_positive(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    cols = CAT.catalog_columns(spark, sf_dir)
+    ops = A.default_operators(SEED, A.word_list(S.load(spark, sf_dir, "benchmark")),
+                              cols.filter(F.col("db_id") == "star"), cols.filter(F.col("db_id") == "corpus"))
+    n2, _ = A.augment_positives(nodes, edges, A.sample_augmenters(nodes, N_AUG, SEED), ops)
+    return n2
+
+
 # --- pq-gram trees ----------------------------------------------------------------------------
 
 from shotloom.operators import trees as TR  # noqa: E402
@@ -1093,7 +1179,7 @@ def q_union_pool(spark, sf_dir):
     return FS.union_pool([a, b], "src_id").select("file_ord", "src_id", "idx")
 
 
-@query("ddl_extract", oracle=f"""
+@schema_step("ddl_extract", oracle=f"""
 WITH {D.catalog_ctes()},
 scripts AS (SELECT db_id, replace(schema_text, chr(10) || ')', chr(10) || ');') AS text FROM schema_t),
 ls AS (SELECT db_id, unnest(string_split(text, chr(10))) AS line,

@@ -9,8 +9,10 @@ from pyspark.sql import SparkSession
 
 # Settings that tune operators; read from the session so a cluster can override them.
 CONF_BROADCAST_ROWS = "shotloom.broadcast.maxRows"
+CONF_BROADCAST_BYTES = "shotloom.broadcast.maxBytes"
 CONF_SALTS = "shotloom.join.salts"
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 DEFAULT_SALTS = 32
 
 

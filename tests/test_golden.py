@@ -271,16 +271,41 @@ def test_execute_candidates(spark):
     assert out[3].n_rows == 5
 
 
-def test_dot_topk_blocked_path_equals_broadcast(spark):
+def test_dot_topk_does_not_depend_on_blocks(spark, monkeypatch):
     from conftest import SF_SMALL
     from shotloom.sources.tables import load
     e = load(spark, SF_SMALL, "embeddings")
     kw = dict(target_id="vec_id", target_vec="embedding", pool_id="vec_id", pool_vec="embedding", exclude_self=True)
     a = sorted(map(tuple, R.dot_topk(e, e, 4, **kw).collect()))
-    b = sorted(map(tuple, R.dot_topk(e, e, 4, max_broadcast_rows=100, **kw).collect()))
+    monkeypatch.setattr(R, "TARGET_BLOCK", 90)
+    monkeypatch.setattr(R, "POOL_BLOCK", 70)
+    monkeypatch.setattr(R, "TILE", 7)
+    b = sorted(map(tuple, R.dot_topk(e, e, 4, **kw).collect()))
     assert a == b and len(a) == 4 * e.count()
 
 
+def test_complexity_counts_the_outer_query(spark):
+    from shotloom.operators import complexity as H
+    cases = [
+        ("SELECT a FROM t WHERE x IN (SELECT y FROM u WHERE c = 1 OR d = 2)", 1, 1, 0, "hard"),
+        ("SELECT a FROM t WHERE x BETWEEN 1 AND 5", 1, 0, 0, "easy"),
+        ("SELECT a FROM t, u WHERE t.x = u.y", 2, 0, 0, "medium"),
+        ("SELECT a FROM t WHERE x = 'this or that, and like (select'", 1, 0, 0, "easy"),
+        ("SELECT a FROM t WHERE x > 1 UNION SELECT b FROM u WHERE c = 1 OR d LIKE 'x'", 1, 1, 0, "hard"),
+        ("SELECT count(*), max(a) FROM t GROUP BY b, c", 1, 0, 3, "extra"),
+        ("SELECT a FROM (SELECT b, c FROM u WHERE d = 1) AS v", 0, 0, 0, "easy"),
+        ("SELECT substr(a, 1, 2) FROM t JOIN u ON t.x = u.y ORDER BY b LIMIT 3", 3, 0, 0, "hard"),
+        ("SELECT a FROM t WHERE x IN (SELECT y FROM u WHERE z IN (SELECT w FROM v)) AND q = 2", 1, 1, 1, "extra"),
+        ("SELECT a FROM t WHERE NOT x = 1 AND NOT y = 2", 1, 0, 2, "medium"),
+        ("SELECT a FROM t GROUP BY a HAVING count(*) > 1 OR sum(b) > 2", 2, 0, 0, "medium"),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "qid long, query string")
+    got = {r.qid: r for r in H.complexity(H.sql_shape(df)).collect()}
+    for i, (sql, one, two, others, label) in enumerate(cases):
+        r = got[i]
+        assert (r.comp1, r.comp2, r.others, r.hardness) == (one, two, others, label), sql
+
+
 def test_jaccard_salted_fallback_equals_broadcast(spark):
     from conftest import SF_SMALL
     from shotloom.functions import text as T

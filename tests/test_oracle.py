@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from shotloom.plans.registry import SCHEMA_ORACLE, SCHEMA_STEPS
 from tools.oracle_check import digest
 
 from conftest import SF_SMALL
@@ -21,11 +22,11 @@ def test_every_query_has_oracle_or_is_listed():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("key", KEYS)
+@pytest.mark.parametrize("key", KEYS + sorted(SCHEMA_STEPS))
 def test_query_matches_oracle(spark, duck, key):
-    df = E.queries()[key](spark, SF_SMALL)
+    df = (E.queries() | SCHEMA_STEPS)[key](spark, SF_SMALL)
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
-    sql = E.oracle_sql().get(key)
+    sql = (E.oracle_sql() | SCHEMA_ORACLE).get(key)
     if sql is None:
         assert rows is not None
         return
