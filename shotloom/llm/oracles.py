@@ -75,3 +75,67 @@ SELECT sh.doc_id, CAST(len(sh.s) AS BIGINT) AS n_shingles, coalesce(low.componen
        coalesce(low.component_id, sh.doc_id) = sh.doc_id AS kept
 FROM sh LEFT JOIN cls ON len(sh.s) > 0 AND cls.s = list_sort(sh.s) LEFT JOIN low ON low.c = cls.c
 """
+
+
+def _op5() -> str:
+    """The rules and the template tree, one CTE for each level of the tree."""
+    from shotloom.llm.urls import DEPTH, FEW, HASH, MANY, RULES, STRENGTH, UUID, Z
+
+    def fits(h: str, p: str) -> str:
+        return f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+
+    rules = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    cases = {k: " ".join(f"WHEN {fits(h, p)} THEN '{(h + p, v)[k]}'" for v, h, p in rules) for k in (0, 1)}
+    unid = f"regexp_replace(g, '{UUID}', '{{u}}', 'g')"
+    hashed = (f"CASE WHEN regexp_matches({unid}, '{HASH}') AND regexp_matches({unid}, '[0-9]') "
+              f"AND regexp_matches({unid}, '^[0-9a-fA-F]{{12,}}') "
+              f"THEN regexp_replace({unid}, '^[0-9a-fA-F]{{12,}}', '{{h}}') ELSE {unid} END")
+    levels = []
+    for k in range(DEPTH):
+        pre, seg = f"array_to_string(segs[1:{k}], '/')" if k else "''", f"segs[{k + 1}]"
+        levels.append(f"""
+c{k} AS (SELECT host, {pre} AS pre, {seg} AS seg, sum(n) AS c FROM n{k} WHERE len(segs) > {k} GROUP BY ALL),
+w{k} AS (SELECT host, pre FROM c{k} WHERE c < {FEW} GROUP BY host, pre HAVING count(*) >= {MANY}),
+n{k + 1} AS (
+  SELECT t.host, t.raw, t.n, t.block, t.labelled,
+         CASE WHEN w.host IS NOT NULL THEN t.segs[1:{k}] || ['*'] || t.segs[{k + 2}:] ELSE t.segs END AS segs
+  FROM n{k} t LEFT JOIN c{k} c ON c.host = t.host AND c.pre = {pre.replace("segs", "t.segs")} AND c.seg = t.{seg} AND c.c < {FEW}
+  LEFT JOIN w{k} w ON w.host = c.host AND w.pre = c.pre),""")
+    return f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (
+  SELECT *, CASE {cases[0]} END AS rule, CASE {cases[1]} END AS fixed,
+         list_transform(string_split(substr(path, 2), '/'), lambda g: regexp_replace({hashed}, '[0-9]+', '{{n}}', 'g')) AS parts
+  FROM h),
+g AS (SELECT * EXCLUDE (parts), CASE WHEN len(parts) > {DEPTH} THEN parts[1:{DEPTH}] || ['**'] ELSE parts END AS segs FROM f),
+n0 AS (
+  SELECT host, array_to_string(segs, '/') AS raw, segs, count(*) AS n, count(*) FILTER (WHERE fixed = 'block') AS block,
+         count(fixed) AS labelled FROM g GROUP BY host, segs),
+tot AS (SELECT (coalesce(sum(block), 0) + 0.5::DOUBLE) / (coalesce(sum(labelled), 0) + 1)::DOUBLE AS prior FROM n0),{"".join(levels)}
+wide AS (SELECT *, array_to_string(segs[1:len(segs) - 1], '/') AS parent, segs[len(segs)] AS leaf FROM n{DEPTH}),
+leaf AS (SELECT host, parent, leaf, sum(block)::DOUBLE AS k, sum(labelled)::DOUBLE AS m FROM wide GROUP BY ALL),
+pool AS (SELECT host, parent, (sum(k) + 0.5) / (sum(m) + 1) AS share FROM leaf GROUP BY ALL),
+branch AS (
+  SELECT leaf.*, CASE WHEN abs((k - m * share) / sqrt(greatest(m, 1) * share * (1 - share))) < {Z} THEN '+' ELSE leaf.leaf END AS branch
+  FROM leaf JOIN pool USING (host, parent)),
+merged AS (SELECT host, parent, branch, sum(k) AS k, sum(m) AS m FROM branch GROUP BY ALL),
+everywhere AS (SELECT parent, sum(k) AS gk, sum(m) AS gm FROM merged GROUP BY parent),
+judged AS (
+  SELECT host, parent, branch, (k + {STRENGTH}::DOUBLE * ((gk + {STRENGTH}::DOUBLE * prior) / (gm + {STRENGTH}::DOUBLE))) / (m + {STRENGTH}::DOUBLE) AS purity
+  FROM merged JOIN everywhere USING (parent), tot),
+best AS (
+  SELECT w.host, w.raw, max({{'purity': j.purity, 't': w.parent || '/' || b.branch}}) AS b
+  FROM (SELECT DISTINCT host, raw, parent, leaf FROM wide) w JOIN branch b USING (host, parent, leaf)
+  JOIN judged j ON j.host = w.host AND j.parent = w.parent AND j.branch = b.branch GROUP BY w.host, w.raw)
+SELECT g.page_id, g.host, g.path, g.rule,
+       coalesce(g.fixed, CASE WHEN best.b.purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       best.b.t AS template, best.b.purity AS purity
+FROM g LEFT JOIN best ON best.host = g.host AND best.raw = array_to_string(g.segs, '/')
+"""
+
+
+OP5 = _op5()

@@ -62,4 +62,5 @@ QUERIES = {f.__name__: f for f in (
     op1_crf_langid, op2_segment_topk, op3_source_mixing, op4_pairwise_quality, op5_url_templates,
     op6_cross_polytope, op7_token_parquet, op8_minhash_neardup, op9_pii_surrogates, op10_best_fit_packing)}
 
-ORACLE = {"op2_segment_topk": oracles.OP2, "op3_source_mixing": oracles.OP3, "op8_minhash_neardup": oracles.OP8}
+ORACLE = {"op2_segment_topk": oracles.OP2, "op3_source_mixing": oracles.OP3, "op5_url_templates": oracles.OP5,
+          "op8_minhash_neardup": oracles.OP8}

@@ -39,11 +39,18 @@ def fitting_rule(host: Column, path: Column) -> Column:
     return out
 
 
+#: Fixed patterns: identifiers that vary from page to page.
+UUID = "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+HASH = "^[0-9]*[a-fA-F][0-9a-fA-F]*([.][A-Za-z]+)?$"
+
+
 def lexical(segment: Column) -> Column:
-    """A segment with its numbers, hashes and dates as wildcards; the extension stays."""
-    out = F.regexp_replace(segment, r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", "{u}")
-    out = F.regexp_replace(out, r"(?i)(?<![0-9a-z])(?=[0-9a-f]*[0-9])[0-9a-f]{12,}(?![0-9a-z])", "{h}")
-    return F.regexp_replace(out, r"[0-9]+", "{n}")
+    """A segment with its numbers, hashes and identifiers as wildcards; the extension stays."""
+    out = F.regexp_replace(segment, UUID, "{u}")
+    hashed = (F.regexp_like(out, F.lit(HASH)) & F.regexp_like(out, F.lit("[0-9]"))
+              & F.regexp_like(out, F.lit("^[0-9a-fA-F]{12,}")))
+    out = F.when(hashed, F.regexp_replace(out, "^[0-9a-fA-F]{12,}", "{h}")).otherwise(out)
+    return F.regexp_replace(out, "[0-9]+", "{n}")
 
 
 def segments(path: Column) -> Column:
