@@ -127,11 +127,12 @@ def subgraph_delete(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> t
 
 def predicate_targets(nodes: DataFrame, seed: int, drop_where: float = 0.3,
                       drop_having: float = 0.2) -> DataFrame:
-    """A11 (drop parts): WHERE_0 with probability ``drop_where``, HAVING_0 with ``drop_having``."""
-    u = hashing.uniform(seed, "pred", F.col("qid"), F.col("node_id"))
-    pick = (((F.col("node_id") == "SQL_KEYWORD_WHERE_0") & (u < drop_where))
-            | ((F.col("node_id") == "SQL_KEYWORD_HAVING_0") & (u < drop_having)))
-    return nodes.filter(pick).select("qid", "node_id")
+    """A11 (drop parts): one hash-chosen WHERE with probability ``drop_where``, one HAVING with ``drop_having``."""
+    own = nodes.filter((F.col("type") == "SQL_KEYWORD") & F.col("val").isin("WHERE", "HAVING"))
+    own = own.withColumn("key", hashing.uniform(seed, "predpick", F.col("qid"), F.col("node_id")))
+    first = top_k(own, ["qid", "val"], [F.col("key").asc(), F.col("node_id").asc()], 1)
+    gate = F.when(F.col("val") == "WHERE", drop_where).otherwise(drop_having)
+    return first.filter(hashing.uniform(seed, "pred", F.col("qid"), F.col("val")) < gate).select("qid", "node_id")
 
 
 def join_targets(nodes: DataFrame, edges: DataFrame, seed: int, prob: float = 0.8) -> DataFrame:
@@ -365,3 +366,34 @@ def default_operators(seed: int, words: DataFrame, src_cols: DataFrame, aug_cols
         "join_node_removal": delete(lambda n, e: join_targets(n, e, seed)),
         "table_column_replacement": lambda n, e: replace_schema(n, e, src_cols, aug_cols, seed),
     }
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+    """(qid, node_id, h) after ``hops`` rounds of symmetric-normalised sums over both edge directions and self.
+
+    ``nodes`` carries (qid, node_id, h) with ``h array<double>``; there are no weights.
+    """
+    n = nodes.select("qid", "node_id")
+    adj = stored(edges.select("qid", F.col("src").alias("u"), F.col("dst").alias("v"))
+                 .unionByName(edges.select("qid", F.col("dst").alias("u"), F.col("src").alias("v")))
+                 .unionByName(n.select("qid", F.col("node_id").alias("u"), F.col("node_id").alias("v"))).distinct(), "adj")
+    deg = adj.groupBy("qid", "v").agg(F.count("*").alias("deg"))
+    w = (adj.join(deg.withColumnRenamed("v", "u").withColumnRenamed("deg", "du"), ["qid", "u"])
+            .join(deg.withColumnRenamed("deg", "dv"), ["qid", "v"])
+            .select("qid", "u", "v", (F.lit(1.0) / F.sqrt(F.col("du") * F.col("dv"))).alias("w")))
+    w = stored(w, "adj-weights")
+    dims = nodes.select(F.size("h")).first()
+    h = nodes.select("qid", "node_id", "h")
+    for _ in range(hops if dims else 0):
+        sums = [F.sum(F.col("h")[i] * F.col("w")).alias(f"h{i}") for i in range(dims[0])]
+        h = (w.join(h.withColumnRenamed("node_id", "u"), ["qid", "u"]).groupBy("qid", "v").agg(*sums)
+              .select("qid", F.col("v").alias("node_id"), F.array(*[f"h{i}" for i in range(dims[0])]).alias("h")))
+    return h
+
+
+def readout(h: DataFrame, dims: int, how: str = "concat") -> DataFrame:
+    """One vector per graph: ``mean``, ``max`` or ``sum`` over its nodes, or the three after one another."""
+    kinds = {"mean": F.avg, "max": F.max, "sum": F.sum}
+    if how != "concat":
+        kinds = {how: kinds[how]}
+    return h.groupBy("qid").agg(*[fn(F.col("h")[i]).alias(f"{kind}{i}") for kind, fn in kinds.items() for i in range(dims)])

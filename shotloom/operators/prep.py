@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.operators.common import dense_index, join_small_side
@@ -21,10 +21,14 @@ def db_paths(df: DataFrame, root: str = "datasets", split: str = "split",
                                                F.col(db_id), F.concat(F.col(db_id), F.lit(".sqlite"))))
 
 
-def overlay_preliminary(examples: DataFrame, prelim: DataFrame, keys: list[str],
-                        query: str = "query", prelim_query: str = "prelim_query",
-                        toks: Column | None = None) -> DataFrame:
-    """P5: replace the gold SQL by the preliminary SQL where a line exists (left join)."""
+def overlay_preliminary(examples: DataFrame, prelim: DataFrame | None, keys: list[str],
+                        query: str = "query", prelim_query: str = "prelim_query") -> DataFrame:
+    """P5: replace the gold SQL by the preliminary SQL where a line exists (left join).
+
+    A short file leaves the gold SQL of the rest; without a file (None) every query is empty.
+    """
+    if prelim is None:
+        return examples.withColumn("gold_" + query, F.col(query)).withColumn(query, F.lit(""))
     j = examples.join(prelim.select(*keys, prelim_query), keys, "left")
     j = j.withColumn("gold_" + query, F.col(query)) \
          .withColumn(query, F.coalesce(F.col(prelim_query), F.col(query))).drop(prelim_query)

@@ -215,13 +215,12 @@ def q_valid_indices(spark, sf_dir):
 
 @query("overlay_preliminary", oracle=f"""
 WITH {D.QLOG_CTE}
-SELECT qid, CASE WHEN shape IN (2, 3, 11) THEN {D.postprocess('query')} ELSE query END AS query,
-       query AS gold_query
+SELECT qid, {D.postprocess('query')} AS query, query AS gold_query
 FROM qlog
 """)
 def q_overlay_preliminary(spark, sf_dir):
     q = S.qlog(spark, sf_dir)
-    prelim = q.filter(F.col("shape").isin(2, 3, 11)).select("qid", T.postprocess_sql(F.col("query")).alias("prelim_query"))
+    prelim = q.select("qid", T.postprocess_sql(F.col("query")).alias("prelim_query"))
     return P.overlay_preliminary(q.select("qid", "query"), prelim, ["qid"]).select("qid", "query", "gold_query")
 
 
@@ -425,11 +424,18 @@ def q_catalog_render(spark, sf_dir):
 RULES = [1, 2, 3]
 
 
+def _per_log_db(log: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """The catalog text of every database of the log; its databases all have the star tables."""
+    star = catalogs.filter(F.col("db_id") == "star")
+    rest = [c for c in catalogs.columns if c != "db_id"]
+    own = star.select(F.struct(*rest)).scalar()
+    return log.select("db_id").distinct().select("db_id", own.alias("_c")).select("db_id", *[F.col("_c")[c].alias(c) for c in rest])
+
+
 def _qlog_prev(spark, sf_dir):
-    """Previous responses: the query log's SQL after post-processing, all on the star db."""
+    """Previous responses: the query log's SQL after post-processing."""
     q = S.qlog(spark, sf_dir)
-    return q.select("qid", "question", F.lit("star").alias("db_id"),
-                    T.postprocess_sql(F.col("query")).alias("sql"))
+    return q.select("qid", "question", "db_id", T.postprocess_sql(F.col("query")).alias("sql"))
 
 
 @query("correction_prompt", oracle=f"""
@@ -442,7 +448,8 @@ FROM r JOIN rendered x ON x.db_id = r.db_id
 """)
 def q_correction_prompt(spark, sf_dir):
     rendered = EC.render_catalog(CAT.catalog_columns(spark, sf_dir))
-    return EC.catalog_prompt(_qlog_prev(spark, sf_dir), rendered, RULES).select("qid", "prompt")
+    log = _qlog_prev(spark, sf_dir)
+    return EC.catalog_prompt(log, _per_log_db(log, rendered), RULES).select("qid", "prompt")
 
 
 @query("correction_prompt_schema", oracle=f"""
@@ -455,7 +462,8 @@ FROM r JOIN schema_t s ON s.db_id = r.db_id
 """)
 def q_correction_prompt_schema(spark, sf_dir):
     schemas = CAT.schema_text(CAT.catalog_columns(spark, sf_dir))
-    return EC.schema_prompt(_qlog_prev(spark, sf_dir), schemas, RULES).select("qid", "prompt")
+    log = _qlog_prev(spark, sf_dir)
+    return EC.schema_prompt(log, _per_log_db(log, schemas), RULES).select("qid", "prompt")
 
 
 # --- content index and literal repair ---------------------------------------------------------
@@ -521,6 +529,11 @@ def q_repair_report(spark, sf_dir):
     return V.repair_report(_repaired(spark, sf_dir))
 
 
+@query("repair_changed", oracle=_REPAIR_SQL + " SELECT qid FROM rep WHERE changed")
+def q_repair_changed(spark, sf_dir):
+    return _repaired(spark, sf_dir).filter("changed").select("qid")
+
+
 # --- end-to-end prompt construction ---------------------------------------------------------
 
 def _class_picks_sql() -> str:
@@ -589,10 +602,10 @@ def _prompt_inputs(spark, sf_dir):
     c = q.select("qid", R.structure_class(T.sql_tokens("query")).alias("cls"))
     picks = R.seeded_sample(c, c, K, SEED, target_id="qid", pool_id="qid",
                             target_group="cls", pool_group="cls", exclude_self=True)
-    targets = q.select(F.col("qid").alias("idx"), "question", F.lit("star").alias("db_id"),
+    targets = q.select(F.col("qid").alias("idx"), "question", "db_id",
                        F.concat(F.lit("query shape "), F.col("shape").cast("string")).alias("evidence"))
     pool = q.select(F.col("qid").alias("idx"), "question", "query")
-    return targets, picks, pool, CAT.schema_text(CAT.catalog_columns(spark, sf_dir))
+    return targets, picks, pool, _per_log_db(q, CAT.schema_text(CAT.catalog_columns(spark, sf_dir)))
 
 
 def _prompt_query(template: str, evidence: str | None = None):
@@ -878,17 +891,19 @@ r(qid, node) AS (SELECT qid, node_id FROM nodes WHERE type = 'ROOT'
                  UNION SELECT ke.qid, ke.dst FROM r JOIN ke ON ke.qid = r.qid AND ke.src = r.node)""", recursive=True)
 
 
-@query("subgraph_delete", oracle=_delete_sql("SELECT qid, node_id FROM nodes WHERE node_id = 'SQL_KEYWORD_WHERE_0'"))
+@query("subgraph_delete", oracle=_delete_sql("SELECT qid, node_id FROM nodes WHERE type = 'SQL_KEYWORD' AND val = 'WHERE'"))
 def q_subgraph_delete(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    t = nodes.filter(F.col("node_id") == "SQL_KEYWORD_WHERE_0").select("qid", "node_id")
+    t = nodes.filter((F.col("type") == "SQL_KEYWORD") & (F.col("val") == "WHERE")).select("qid", "node_id")
     n2, _ = A.subgraph_delete(nodes, edges, t)
     return n2.select("qid", "node_id", "type")
 
 
-@query("aug_predicate", oracle=_delete_sql(f"""SELECT qid, node_id FROM nodes WHERE
-  (node_id = 'SQL_KEYWORD_WHERE_0' AND {D.uniform(str(SEED), "'pred'", 'qid', 'node_id')} < 0.3)
-  OR (node_id = 'SQL_KEYWORD_HAVING_0' AND {D.uniform(str(SEED), "'pred'", 'qid', 'node_id')} < 0.2)"""))
+@query("aug_predicate", oracle=_delete_sql(f"""SELECT qid, node_id FROM (
+  SELECT qid, node_id, val, row_number() OVER (PARTITION BY qid, val ORDER BY
+         {D.uniform(str(SEED), "'predpick'", 'qid', 'node_id')}, node_id) AS rk
+  FROM nodes WHERE type = 'SQL_KEYWORD' AND val IN ('WHERE', 'HAVING'))
+  WHERE rk = 1 AND {D.uniform(str(SEED), "'pred'", 'qid', 'val')} < CASE val WHEN 'WHERE' THEN 0.3 ELSE 0.2 END"""))
 def q_aug_predicate(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     n2, _ = A.subgraph_delete(nodes, edges, A.predicate_targets(nodes, SEED))
@@ -972,6 +987,31 @@ def q_graph_vectors(spark, sf_dir):
     return h.groupBy("qid").agg(*[F.round(F.avg(f"h{i}"), 6).alias(f"d{i}") for i in range(5)])
 
 
+def _readout_sql() -> str:
+    def hop(h: str) -> str:
+        sums = ", ".join(f"sum({h}.h{i} / sqrt(du.deg * dv.deg)) AS h{i}" for i in range(5))
+        return (f"SELECT a.qid, a.v AS node_id, {sums} FROM adj a JOIN deg du ON du.qid = a.qid AND du.v = a.u "
+                f"JOIN deg dv ON dv.qid = a.qid AND dv.v = a.v JOIN {h} ON {h}.qid = a.qid AND {h}.node_id = a.u GROUP BY a.qid, a.v")
+
+    first = ", ".join(f"CASE WHEN {_TYPE_CASE} = {i} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS h{i}" for i in range(5))
+    out = ", ".join(f"round({fn}(h{i}), 6) AS {k}{i}" for k, fn in (("mean", "avg"), ("max", "max"), ("sum", "sum")) for i in range(5))
+    return _duck_graph(f"SELECT qid, {out} FROM two GROUP BY qid", extra=f"""
+adj AS (SELECT DISTINCT qid, u, v FROM (SELECT qid, src AS u, dst AS v FROM edges UNION ALL SELECT qid, dst, src FROM edges
+        UNION ALL SELECT qid, node_id, node_id FROM nodes)),
+deg AS (SELECT qid, v, count(*) AS deg FROM adj GROUP BY qid, v),
+zero AS (SELECT qid, node_id, {first} FROM nodes), one AS ({hop("zero")}), two AS ({hop("one")})""")
+
+
+@query("graph_readout", oracle=_readout_sql())
+def q_graph_readout(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    tmap = F.create_map(*[x for k, v in TYPE_IDX.items() for x in (F.lit(k), F.lit(v))])
+    one_hot = F.array(*[F.when(tmap[F.col("type")] == i, 1.0).otherwise(0.0) for i in range(5)])
+    h = A.propagate(nodes.select("qid", "node_id", one_hot.alias("h")), edges, 2)
+    out = A.readout(h, 5)
+    return out.select("qid", *[F.round(c, 6).alias(c) for c in out.columns if c != "qid"])
+
+
 NOT_P = 0.7
 
 

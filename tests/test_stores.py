@@ -62,3 +62,11 @@ def test_positives_apply_assigned_operators_in_order(spark):
     got = {(r.qid, r.node_id): (r.val, r.aug_text) for r in n2.collect()}
     assert got[1, "A"] == ("A++", None) and got[2, "A"] == ("A", "<mask>") and (2, "B") not in got
     assert got[3, "A"] == ("A", None) and len(got) == 8 and e2.count() == 5
+
+
+def test_overlay_without_a_file_and_with_a_short_one(spark):
+    from shotloom.operators.prep import overlay_preliminary
+    gold = spark.createDataFrame([(0, "a"), (1, "b")], "idx long, query string")
+    assert [(r.query, r.gold_query) for r in overlay_preliminary(gold, None, ["idx"]).collect()] == [("", "a"), ("", "b")]
+    short = spark.createDataFrame([(0, "x")], "idx long, prelim_query string")
+    assert sorted((r.query, r.gold_query) for r in overlay_preliminary(gold, short, ["idx"]).collect()) == [("b", "b"), ("x", "a")]
