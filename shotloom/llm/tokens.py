@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotloom.llm.base import as_bytes
 from shotloom.session import checkpoint_dir
 
 END_ID = 2
@@ -32,31 +32,117 @@ WRITER = {
 }
 
 
+#: Text of one step, so that memory doesn't depend on the lengths of documents.
+STEP_BYTES = 16 << 20
+#: ASCII marks that the library always separates from a letter or digit before them (not the apostrophe).
+_MARK, _ALNUM, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+for _c in range(33, 127):
+    (_ALNUM if chr(_c).isalnum() else _MARK)[_c] = True
+_MARK[ord("'")] = False
+_LOWER[65:91] += 32
+
+
+def parted(texts: pa.Array) -> pa.Array:
+    """Texts in ASCII lower case, with a space between a letter or digit and a mark after it.
+
+    A text with ``<`` stays as it is: special tokens are case-sensitive and span marks.
+    """
+    raw = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets = offsets - offsets[0]
+    touch = np.repeat(~pc.match_substring(raw, "<").to_numpy(zero_copy_only=False), np.diff(offsets))
+    space = np.flatnonzero(_ALNUM[data[:-1]] & _MARK[data[1:]] & touch[1:]) + 1
+    spaced = np.insert(np.where(touch, _LOWER[data], data), space, 32)
+    ends = (offsets + np.searchsorted(space, offsets, side="right")).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(spaced)])
+
+
 class WordEncoder:
-    """Ids of texts by the tokenizers library, one white-space-free piece at a time.
+    """Ids of texts by the tokenizers library, which encodes each distinct piece once.
 
-    The library's rules never join or split across ASCII white space, so ids of a
-    text are those of its pieces; frequent pieces are kept up to ``limit``.
+    The library's rules never join or split across ASCII white space, nor between a
+    letter or digit and the marks after it, and lower-case everything, so the ids of
+    a text are those of its pieces (see :func:`parted`). Pieces met lately are kept:
+    two generations of about ``limit`` entries.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        docs = [(t or b"").split() for t in texts]
+        self.older: dict[bytes, bytes] = {}
+
+    def _encode(self, pieces: list[bytes]) -> None:
+        """Add the ids of new pieces, many in one call.
+
+        A piece of letters is one word of the library (at least: lower case can add
+        marks), and a word's last id is marked as such in the vocabulary. So a call with
+        as many words as pieces has one for each; other pieces go one by one.
+        """
+        texts = [p.decode() for p in pieces]
+        single = [i for i, t in enumerate(texts) if t.isalpha()]
+        other = [i for i, t in enumerate(texts) if not t.isalpha()]
+        for at in range(0, len(single), 2000):
+            part = single[at:at + 2000]
+            text = " ".join([texts[i] for i in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):
+                other += part
+                continue
+            raw, start = ids.tobytes(), 0
+            for i, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.known[pieces[i]] = raw[start:end]
+                start = end
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)
+        for i, e in zip(other, found, strict=True):
+            self.known[pieces[i]] = np.array(e.ids, np.int32).tobytes()
+
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces as bytes."""
         if len(self.known) > self.limit:
-            self.known.clear()
-        new = sorted({w for d in docs for w in d} - self.known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known |= zip(part, (np.array(e.ids, np.int32).tobytes() for e in found))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, d)), np.int32) for d in docs]
+            self.older, self.known = self.known, {}
+        found = list(map(self.known.get, pieces))
+        lost = [i for i, x in enumerate(found) if x is None]
+        kept = {pieces[i]: self.older[pieces[i]] for i in lost if pieces[i] in self.older}
+        self.known |= kept
+        self._encode([pieces[i] for i in lost if pieces[i] not in kept])
+        for i in lost:
+            found[i] = self.known[pieces[i]]
+        return found
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids, offsets)`` of all texts one after another, each with ``end_id`` at its end."""
+        pieces = pc.ascii_split_whitespace(parted(texts))
+        coded = pieces.flatten().dictionary_encode()
+        names = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = self.pieces(names) + [np.int32(end_id).tobytes()]
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        first = np.cumsum(size) - size
+        ends = np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64))
+        word = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(ids) - 1)
+        n = size[word]
+        upto = np.cumsum(n)
+        out = flat[np.repeat(first[word] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        return out, np.concatenate([[0], upto[ends + np.arange(len(ends))]]) if len(ends) else np.zeros(1, np.int64)
+
+
+def slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """(start, rows) of runs of texts of about ``most`` bytes; a longer text is a run of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        out.append((at, end - at))
+        at = end
+    return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -80,17 +166,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, start = _encoder(tokenizer), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [np.append(x, np.int32(end_id)) for x in words(as_bytes(part.column("text")))]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                ends = start + np.cumsum(sizes)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            for at, rows in slices(batch.column("text"), STEP_BYTES):
+                part = batch.slice(at, rows)
+                ids, ends = words(part.column("text"), end_id)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("shard"), part.column("doc_id"), pa.array(ends - sizes), pa.array(sizes),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
+                    part.column("shard"), part.column("doc_id"), pa.array(start + ends[:-1]), pa.array(np.diff(ends)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
                 ], ["shard", "doc_id", "start", "n_tokens", "ids"])
-                start = int(ends[-1])
+                start += int(ends[-1])
 
     ranged.mapInArrow(encode, SCHEMA).write.options(**WRITER).parquet(path)
 
