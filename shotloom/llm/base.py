@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,17 @@ def as_bytes(col: pa.Array) -> list:
     return col.cast(kind).to_pylist()
 
 
+def slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """(start, rows) of runs of texts of about ``most`` bytes; a longer text is a run of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, at = [], 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        out.append((at, end - at))
+        at = end
+    return out
+
+
 class WordHash(dict):
     """64-bit hashes of words, cached for the batch of frequent ones up to ``limit`` entries."""
 

@@ -11,6 +11,7 @@ The model is fitted on the driver from a bounded sample of labelled documents
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.base import crc_mod, sample_per_group
+from shotloom.llm.base import crc_mod, sample_per_group, slices
 
 TRAIN_DOCS, TRAIN_SENTENCES, TRAIN_WORDS = 400, 10, 60
 MIN_COUNT, ROUNDS, RATE, RIDGE = 3, 60, 0.3, 1e-5
+#: Text that is scored in one step.
+STEP_BYTES = 4 << 20
 UNKNOWN = "und"
 
 #: Letters run together; sentence ends separate chains.
@@ -207,18 +210,23 @@ class Labeller:
 
     def __init__(self, model: Crf, limit: int = 400_000):
         self.model, self.limit = model, limit
-        self.known: dict[str, int] = {}
-        self.table = np.empty((0, len(model.labels)))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = dict.fromkeys(_END, -1)
+        self.table = np.empty((0, len(self.model.labels)))
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.limit:
-            self.known.clear()
-            self.table = self.table[:0]
-        new = sorted(w for w in words if w not in self.known)
+        """Potentials of the words not met yet; starts anew when too many are kept."""
+        new = sorted(words - self.known.keys())
+        if len(self.known) + len(new) > self.limit:
+            self._forget()
+            new = sorted(words - _END)
         if new:
             rows = self.model.scores(new)
             rows[[not any(map(str.isalpha, w)) for w in new]] = 1  # other word characters say nothing
-            self.known |= zip(new, range(len(self.known), len(self.known) + len(new)))
+            first = len(self.table)
+            self.known |= zip(new, range(first, first + len(new)))
             self.table = np.concatenate([self.table, rows])
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
@@ -227,16 +235,9 @@ class Labeller:
         need = set()
         for d in docs:
             need.update(d)
-        need -= _END
-        if len(need) > self.limit // 2 and len(docs) > 1:
-            half = len(docs) // 2
-            return self(texts[:half]) + self(texts[half:])
-        if not all(w in self.known for w in need):
-            self._learn(need)
-            if not all(w in self.known for w in need):
-                self._learn(need)
-        code = self.known | {e: -1 for e in _END}
-        flat = np.fromiter((code[w] for d in docs for w in d), np.int64, sum(map(len, docs)))
+        self._learn(need)
+        code = map(self.known.__getitem__, itertools.chain.from_iterable(docs))
+        flat = np.fromiter(code, np.int64, sum(map(len, docs)))
         owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         word = flat >= 0
         # a chain starts at a document's first word and after every sentence end
@@ -282,8 +283,8 @@ def label_languages(docs: DataFrame, model: Crf | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = Labeller(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at, rows in slices(batch.column("text"), STEP_BYTES):
+                part = batch.slice(at, rows)
                 cols = zip(*label(part.column("text").to_pylist()), strict=True)
                 more = [pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(part.columns + more, part.schema.names + fields.names)

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shotloom.llm.base import slices
 from shotloom.session import checkpoint_dir
 
 END_ID = 2
@@ -134,17 +135,6 @@ class WordEncoder:
         return out, np.concatenate([[0], upto[ends + np.arange(len(ends))]]) if len(ends) else np.zeros(1, np.int64)
 
 
-def slices(texts: pa.Array, most: int) -> list[tuple[int, int]]:
-    """(start, rows) of runs of texts of about ``most`` bytes; a longer text is a run of its own."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    out, at = [], 0
-    while at < len(upto):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
-        out.append((at, end - at))
-        at = end
-    return out
-
-
 @functools.lru_cache(maxsize=1)
 def _encoder(path: str) -> WordEncoder:
     """One encoder for all tasks of a worker process."""
