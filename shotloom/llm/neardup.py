@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.base import WordHash, as_bytes, mix64, stored
+from shotloom.llm.base import WordHash, as_bytes, mix64, slices, stored
 from shotloom.llm.components import components
 from shotloom.operators.common import join_small_side
 
 #: Coordinates of a signature, and how likely a true link may miss the match threshold.
 COORDS, MISS = 32, 1e-6
-LIST_BLOCK, SET_BLOCK = 1024, 256
+LIST_BLOCK, SET_BLOCK, STEP_BYTES = 1024, 256, 1 << 20
 _SEEDS = np.random.default_rng(20240229).integers(0, 2**63, (2, COORDS, 4), dtype=np.uint64)
 _MUL = _SEEDS[0, :, 0] * np.uint64(2) + np.uint64(1)
 _XOR = _SEEDS[1, :, 0]
@@ -77,12 +77,12 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
         hashes = WordHash()
         for batch in batches:
             texts = as_bytes(batch.column("text"))
-            for at in range(0, len(texts), 256):
-                sets = [shingle_set(t, hashes, width) for t in texts[at:at + 256]]
+            for at, rows in slices(batch.column("text"), STEP_BYTES):
+                sets = [shingle_set(t, hashes, width) for t in texts[at:at + rows]]
                 full = [s for s in sets if len(s)]
                 sig = iter(minhash(full).tolist() if full else [])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id")[at:at + 256],
+                    batch.column("doc_id")[at:at + rows],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                               for s in sets], pa.binary()),
