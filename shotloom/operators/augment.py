@@ -314,8 +314,8 @@ def choose_augmenters(graphs: DataFrame, times: int, seed: int, weights: dict[st
     for name, bound in reversed(bounds[:-1]):
         op = F.when(u < F.lit(bound), F.lit(name)).otherwise(op)
     return (graphs.select(qid).distinct()
-            .select(qid, F.explode(F.sequence(F.lit(1), F.lit(times))).cast("bigint").alias("pick"))
-            .select(qid, op.alias("op"), "pick"))
+            .select(qid, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("pick"))
+            .select(qid, op.alias("op"), F.col("pick").cast("bigint").alias("pick")))
 
 
 def augment_positives(nodes: DataFrame, edges: DataFrame, assigned: DataFrame, operators: dict) -> tuple[DataFrame, DataFrame]:

@@ -292,7 +292,7 @@ def test_complexity_counts_the_outer_query(spark):
         ("SELECT a FROM t, u WHERE t.x = u.y", 2, 0, 0, "medium"),
         ("SELECT a FROM t WHERE x = 'this or that, and like (select'", 1, 0, 0, "easy"),
         ("SELECT a FROM t WHERE x > 1 UNION SELECT b FROM u WHERE c = 1 OR d LIKE 'x'", 1, 1, 0, "hard"),
-        ("SELECT count(*), max(a) FROM t GROUP BY b, c", 1, 0, 3, "extra"),
+        ("SELECT count(*), max(a) FROM t GROUP BY b, c", 1, 0, 3, "hard"),
         ("SELECT a FROM (SELECT b, c FROM u WHERE d = 1) AS v", 0, 0, 0, "easy"),
         ("SELECT substr(a, 1, 2) FROM t JOIN u ON t.x = u.y ORDER BY b LIMIT 3", 3, 0, 0, "hard"),
         ("SELECT a FROM t WHERE x IN (SELECT y FROM u WHERE z IN (SELECT w FROM v)) AND q = 2", 1, 1, 1, "extra"),
