@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 
 from shotloom.llm.base import crc_mod, sample_per_group, slices
 
-TRAIN_DOCS, TRAIN_SENTENCES, TRAIN_WORDS = 400, 10, 60
+TRAIN_DOCS, TRAIN_SENTENCES, TRAIN_WORDS = 250, 8, 60
 MIN_COUNT, ROUNDS, RATE, RIDGE = 3, 60, 0.3, 1e-5
 #: Text that is scored in one step.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 UNKNOWN = "und"
 
 #: Letters run together; sentence ends separate chains.
@@ -208,7 +209,7 @@ def train(docs: DataFrame, allowed) -> Crf | None:
 class Labeller:
     """Scores documents with a model, keeping potentials of words already met."""
 
-    def __init__(self, model: Crf, limit: int = 400_000):
+    def __init__(self, model: Crf, limit: int = 200_000):
         self.model, self.limit = model, limit
         self._forget()
 
@@ -272,25 +273,27 @@ def label_languages(docs: DataFrame, model: Crf | None) -> DataFrame:
     tied document takes the first language by name.
     """
     docs = docs.drop("lang_pred", "score", "n_words", "switches")
-    added = "lang_pred string, score double, n_words long, switches long"
+    fields = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()),
+                        ("switches", pa.int64())])
     if model is None:
         return docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("switches"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()),
-                        ("switches", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         label = Labeller(shared.value)
-        for batch in batches:
-            for at, rows in slices(batch.column("text"), STEP_BYTES):
-                part = batch.slice(at, rows)
-                cols = zip(*label(part.column("text").to_pylist()), strict=True)
-                more = [pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)]
-                yield pa.RecordBatch.from_arrays(part.columns + more, part.schema.names + fields.names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, {added}")
+        for texts in batches:
+            rows = []
+            for at, n in slices(texts, STEP_BYTES):
+                rows += label(texts.slice(at, n).to_pylist())
+            cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)],
+                                             fields=list(fields))
+
+    # only texts go to Python and only labels come back; once, as the result counts as not repeatable
+    found = F.arrow_udf(run, "lang_pred string, score double, n_words long, switches long").asNondeterministic()
+    tag = f"_labels_{uuid.uuid4().hex[:8]}"
+    return docs.withColumn(tag, found(F.col("text"))).select(*[docs[c] for c in docs.columns], f"{tag}.*")
 
 
 def detect(docs: DataFrame) -> DataFrame:
