@@ -115,23 +115,26 @@ def matching(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
     return out
 
 
-def shared_counts(rows: list[np.ndarray], cols: list[np.ndarray], step: int = 8192) -> np.ndarray:
-    """Intersection sizes of every row set with every column set, a slice of the elements at a time."""
-    sets = rows + cols
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+def shared_counts(rows: list[np.ndarray], cols: list[np.ndarray] | None = None, step: int = 4096) -> np.ndarray:
+    """Intersection sizes of row sets with column sets (or one another), a slice of the elements at a time."""
+    sets = rows + (cols or [])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = seen[at] > 1
     _, at = np.unique(at[keep], return_inverse=True)
     owner = owner[keep]
     order = np.argsort(at, kind="stable")
     at, owner = at[order], owner[order]
-    out = np.zeros((len(rows), len(cols)), np.float32)
+    n = len(rows)
+    out = np.zeros((n, len(cols) if cols else n), np.float32)
     width = int(at[-1]) + 1 if len(at) else 0
     for lo in range(0, width, step):
         a, b = np.searchsorted(at, [lo, lo + step])
         m = np.zeros((len(sets), min(step, width - lo)), np.float32)
         m[owner[a:b], at[a:b] - lo] = 1
-        out += m[:len(rows)] @ m[len(rows):].T
+        out += m[:n] @ (m[n:] if cols else m).T
+    if not cols:
+        np.fill_diagonal(out, [len(s) for s in sets])
     return out
 
 
@@ -188,8 +191,9 @@ def _set_links(width: int, percent: int, cross: bool):
             a = b = pdf.drop_duplicates("key")
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": []}, dtype=object)
-        rows, cols = ([shingle_set(t.encode(), hashes, width) for t in x["text"]] for x in (a, b))
-        na, nb = (np.array([len(s) for s in x], np.int64) for x in (rows, cols))
+        rows = [shingle_set(t.encode(), hashes, width) for t in a["text"]]
+        cols = [shingle_set(t.encode(), hashes, width) for t in b["text"]] if cross else None
+        na, nb = (np.array([len(s) for s in x], np.int64) for x in (rows, cols or rows))
         both = shared_counts(rows, cols).astype(np.int64)
         hit = 100 * both >= percent * (na[:, None] + nb[None, :] - both)
         if cross:
