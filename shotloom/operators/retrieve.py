@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotloom.functions import hashing
@@ -41,45 +41,76 @@ def first_k(targets: DataFrame, pool: DataFrame, k: int, target_id: str = "idx",
 
 # --- R5 Jaccard ---------------------------------------------------------------------
 
+#: Rare tokens of a target that propose its first candidates, and how many of those are scored.
+SEED_TOKENS, SEED_CANDIDATES = 8, 4
+
+
+def _exact_jaccard(pairs: DataFrame, t: DataFrame, p: DataFrame) -> DataFrame:
+    """(target_id, demo_id, score) of the given pairs from their whole token sets."""
+    inter = F.size(F.array_intersect("ts", "ps"))
+    union = F.col("na") + F.col("nb") - inter
+    score = F.when(union == 0, F.lit(0.0)).otherwise(inter.cast("double") / union.cast("double"))
+    both = join_small_side(pairs.select("target_id", "demo_id"), t.select("target_id", "na", "ts"), ["target_id"],
+                           F.col("demo_id"))
+    return both.join(p, "demo_id").select("target_id", "demo_id", score.alias("score"))
+
+
 def jaccard(targets: DataFrame, pool: DataFrame, k: int, target_id: str = "idx",
             target_toks: str = "toks", pool_id: str = "idx", pool_toks: str = "toks",
             exclude_self: bool = False) -> DataFrame:
     """Exact top-k by token-set Jaccard with zero-overlap backfill by ascending id.
 
-    Plan: target postings (token, target) are joined to the exploded pool postings
-    (broadcast after a size check, else a salted shuffle join so a hot token is
-    split), partial counts per (target, demo) are combined map-side, and only
-    pairs that share a token are shuffled. Targets with fewer than k overlapping
-    demos are filled from the k smallest pool ids (a scalar subquery, no cross join).
+    A target's rarest tokens propose a few demos, whose k-th best score bounds the
+    answer from below. A demo that reaches the bound shares at least
+    ``ceil(bound * na)`` of the target's ``na`` tokens, so it shares one of all but
+    that many less one: the most frequent tokens are never joined. Size and count
+    bounds prune what these postings bring, and only the rest is scored on whole sets.
+    Joins are broadcast after a size check, else salted; targets with fewer than k
+    overlapping demos are filled from the k smallest pool ids.
     """
     validate_k(k)
-    t = targets.select(F.col(target_id).alias("target_id"),
-                       F.array_distinct(F.col(target_toks)).alias("_ts"))
-    t = t.select("target_id", F.size("_ts").alias("na"), "_ts")
-    # explode_outer + an explicit null filter: a plain explode lets the optimizer
-    # infer a size(...) > 0 filter that would tokenise every text a second time.
-    tpost = t.select("target_id", "na", F.explode_outer("_ts").alias("tok")).filter(F.col("tok").isNotNull())
-    ppost = (spread(pool).select(F.col(pool_id).alias("demo_id"),
-                                 F.array_distinct(F.col(pool_toks)).alias("_ps"))
-                 .select("demo_id", F.size("_ps").alias("nb"), F.explode_outer("_ps").alias("tok"))
-                 .filter(F.col("tok").isNotNull()))
-    hits = join_small_side(ppost, tpost, ["tok"], salt_of=F.col("demo_id"))
-    hits = hits.select("target_id", "demo_id", "na", "nb", F.lit(1).alias("hit"))
-    n_fill = k + (1 if exclude_self else 0)
-    fills = t.select("target_id", "na", F.explode(_first_ids(pool, pool_id, n_fill)).alias("demo_id"))
-    fills = fills.select("target_id", "demo_id", "na", F.lit(None).cast("int").alias("nb"),
-                         F.lit(0).alias("hit"))
-    pairs = (hits.unionByName(fills)
-                 .groupBy("target_id", "demo_id")
-                 .agg(F.max("na").alias("na"), F.max("nb").alias("nb"),
-                      F.sum("hit").alias("inter")))
+    t = stored(targets.select(F.col(target_id).alias("target_id"), F.array_distinct(F.col(target_toks)).alias("ts"))
+               .withColumn("na", F.size("ts")), "jac-targets")
+    p = stored(spread(pool).select(F.col(pool_id).alias("demo_id"), F.array_distinct(F.col(pool_toks)).alias("ps"))
+               .withColumn("nb", F.size("ps")), "jac-pool")
+    # explode_outer + an explicit null filter: a plain explode lets the optimizer infer a size(...) > 0 filter
+    tpost = t.select("target_id", "na", F.explode_outer("ts").alias("tok")).filter(F.col("tok").isNotNull())
+    ppost = p.select("demo_id", "nb", F.explode_outer("ps").alias("tok")).filter(F.col("tok").isNotNull())
+    asked = tpost.select("tok").distinct()
+    freq = join_small_side(ppost, asked, ["tok"], F.col("demo_id")).groupBy("tok").agg(F.count("*").alias("f"))
+    rarest = Window.partitionBy("target_id").orderBy("f", "tok")
+    tpost = stored(tpost.join(freq, "tok", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+                   .withColumn("place", F.row_number().over(rarest))
+                   .withColumn("found", F.sum((F.col("f") > 0).cast("int")).over(
+                       rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow))), "jac-tokens")
+    seeds = tpost.filter((F.col("f") > 0) & (F.col("found") <= SEED_TOKENS)).select("target_id", "tok")
+    n = k + (1 if exclude_self else 0)
+    near = (join_small_side(ppost, seeds, ["tok"], F.col("demo_id")).groupBy("target_id", "demo_id")
+            .agg(F.count("*").alias("c")))
+    near = top_k(near, ["target_id"], [F.col("c").desc(), F.col("demo_id").asc()], SEED_CANDIDATES * n, "_r")
+    first = _exact_jaccard(near, t, p)
+    if exclude_self:
+        first = first.filter(F.col("target_id") != F.col("demo_id"))
+    bound = (top_k(first, ["target_id"], [F.col("score").desc(), F.col("demo_id").asc()], k, "_r")
+             .filter(F.col("_r") == k).select("target_id", (F.col("score") - 1e-9).alias("bound")))
+    tpost = stored(tpost.join(bound, "target_id", "left").withColumn("bound", F.greatest(
+        F.coalesce("bound", F.lit(0.0)), F.lit(0.0))), "jac-bounded")
+    left_out = F.greatest(F.ceil(F.col("bound") * F.col("na")) - 1, F.lit(0))
+    prefix = tpost.filter((F.col("place") <= F.col("na") - left_out) & (F.col("f") > 0))
+    prefix = prefix.select("target_id", "na", "bound", left_out.alias("rest"), "tok")
+    hits = (join_small_side(ppost, prefix, ["tok"], salt_of=F.col("demo_id"))
+            .filter((F.col("nb") >= F.col("bound") * F.col("na")) & (F.col("nb") * F.col("bound") <= F.col("na")))
+            .groupBy("target_id", "demo_id", "na", "nb", "bound", "rest").agg(F.count("*").alias("c")))
+    need = F.col("bound") / (1 + F.col("bound")) * (F.col("na") + F.col("nb"))
+    pairs = hits.filter(F.col("c") + F.col("rest") >= need)
     if exclude_self:
         pairs = pairs.filter(F.col("target_id") != F.col("demo_id"))
-    denom = F.col("na") + F.coalesce(F.col("nb"), F.lit(0)) - F.col("inter")
-    pairs = pairs.withColumn(
-        "score", F.when((F.col("inter") == 0) | (denom == 0), F.lit(0.0))
-                  .otherwise(F.col("inter").cast("double") / denom.cast("double")))
-    out = top_k(pairs, ["target_id"], [F.col("score").desc(), F.col("demo_id").asc()], k)
+    scored = _exact_jaccard(pairs, t, p)
+    fills = t.select("target_id", F.explode(_first_ids(pool, pool_id, n)).alias("demo_id"), F.lit(0.0).alias("score"))
+    if exclude_self:
+        fills = fills.filter(F.col("target_id") != F.col("demo_id"))
+    best = scored.unionByName(fills).groupBy("target_id", "demo_id").agg(F.max("score").alias("score"))
+    out = top_k(best, ["target_id"], [F.col("score").desc(), F.col("demo_id").asc()], k)
     return out.select("target_id", "demo_id", F.round("score", 6).alias("score"), "rank")
 
 

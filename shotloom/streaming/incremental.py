@@ -1,7 +1,6 @@
 """Stream-static retrieval: arriving questions get their top-k demonstrations per micro-batch.
 
-The pool is static (read once per micro-batch plan; its postings are the large
-side of the broadcast-hash join). Each micro-batch is written to its own
+The pool is static: its tokens are written once when the query starts. Each micro-batch is written to its own
 ``epoch_id=<n>`` folder in overwrite mode, so a replayed batch after a failure
 rewrites the same output instead of duplicating it.
 """
@@ -14,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shotloom.functions import text as T
 from shotloom.operators import retrieve as R
+from shotloom.operators.common import stored
 
 
 def start_stream_retrieval(questions: DataFrame, pool: DataFrame, k: int, sink_path: str,
@@ -21,7 +21,8 @@ def start_stream_retrieval(questions: DataFrame, pool: DataFrame, k: int, sink_p
                            pool_id: str = "doc_id", pool_text: str = "text",
                            available_now: bool = True) -> StreamingQuery:
     """Start the query; ``questions`` is a streaming DataFrame with (id, text)."""
-    p = pool.select(F.col(pool_id).alias("idx"), T.tokens(pool_text).alias("toks"))
+    # the pool is read and tokenised once, not for each micro-batch
+    p = stored(pool.select(F.col(pool_id).alias("idx"), T.tokens(pool_text).alias("toks")), "stream-pool")
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         t = batch.select(F.col(id_col).alias("idx"), T.tokens(text_col).alias("toks"))
