@@ -512,8 +512,7 @@ FROM q LEFT JOIN agg ON agg.qid = q.qid)"""
 
 
 def _repaired(spark, sf_dir):
-    idx = _content(spark, sf_dir)
-    vals = V.db_values(idx)
+    vals = stored(V.db_values(_content(spark, sf_dir)), "db-values")  # each table is read once
     rows = S.qlog(spark, sf_dir).select("qid", F.lit("star").alias("db_id"), "query")
     return V.repair_literals(rows, vals, V.value_variants(vals))
 
