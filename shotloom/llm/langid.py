@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.base import crc_mod, sample_per_group, slices
+from shotloom.llm.base import crc_mod, sample_per_group, slices, small_batches
 
 TRAIN_DOCS, TRAIN_SENTENCES, TRAIN_WORDS = 250, 8, 60
 MIN_COUNT, ROUNDS, RATE, RIDGE = 3, 60, 0.3, 1e-5
@@ -183,7 +183,7 @@ def fit(rows: list[tuple[str, list[list[str]]]]) -> Crf | None:
 def train(docs: DataFrame, allowed) -> Crf | None:
     """Fit on a bounded, hash-ordered sample of each language's labelled documents."""
     spark = docs.sparkSession
-    labelled = docs.select(F.col("doc_id").cast("long"), "lang", "text") \
+    labelled = small_batches(docs).select(F.col("doc_id").cast("long"), "lang", "text") \
         .filter(allowed & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     picked = sample_per_group(labelled.select("doc_id", "lang"), "lang", TRAIN_DOCS)
     ids = [r.doc_id for r in picked.select("doc_id").distinct().collect()]  # TRAIN_DOCS per language
@@ -209,7 +209,7 @@ def train(docs: DataFrame, allowed) -> Crf | None:
 class Labeller:
     """Scores documents with a model, keeping potentials of words already met."""
 
-    def __init__(self, model: Crf, limit: int = 200_000):
+    def __init__(self, model: Crf, limit: int = 150_000):
         self.model, self.limit = model, limit
         self._forget()
 
@@ -272,7 +272,7 @@ def label_languages(docs: DataFrame, model: Crf | None) -> DataFrame:
     with score 0. Rows are independent: ties and repeats change nothing, and a
     tied document takes the first language by name.
     """
-    docs = docs.drop("lang_pred", "score", "n_words", "switches")
+    docs = small_batches(docs.drop("lang_pred", "score", "n_words", "switches"))
     fields = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()),
                         ("switches", pa.int64())])
     if model is None:

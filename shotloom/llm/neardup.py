@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.base import WordHash, as_bytes, mix64, slices, stored
+from shotloom.llm.base import WordHash, as_bytes, mix64, slices, small_batches, stored
 from shotloom.llm.components import components
 from shotloom.operators.common import join_small_side
 
@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     pa.array([next(sig) if len(s) else None for s in sets], pa.list_(pa.int32())),
                 ], ["doc_id", "n_shingles", "key", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_shingles long, key binary, sig array<int>")
 
 
