@@ -19,17 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
-    """``df``, with the session's Arrow batches held to ``rows`` rows and ``size`` bytes for whole texts.
+def small_batches(df: DataFrame, rows: int = 1000, size: str = "4m") -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``rows`` rows and ``size`` for whole texts.
 
     Ten thousand texts, the default, are tens of megabytes several times over in
-    every task; smaller settings of the session stay.
+    every task. Fewer rows set by the session stay.
     """
     conf = df.sparkSession.conf
-    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        now = conf.get(f"spark.sql.execution.arrow.{key}", "0")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df
 
 
