@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shotloom.functions import hashing
 from shotloom.functions.constants import CRITICAL_KEYWORDS, KEYWORD_REPLACEMENTS, MASK_TOKEN
-from shotloom.operators.common import join_small_side, stored, top_k
+from shotloom.operators.common import dense_index, join_small_side, stored, top_k
 
 # Default operator weights of the augmenter.
 OPERATOR_WEIGHTS = {
@@ -195,7 +195,6 @@ def toggle_not(nodes: DataFrame, edges: DataFrame, prob: float, seed: int) -> tu
 def word_list(texts: DataFrame, text_col: str = "text", min_len: int = 3) -> DataFrame:
     """Replacement vocabulary: distinct lower-case words of ``texts`` (length >= min_len), densely numbered."""
     from shotloom.functions import text as T
-    from shotloom.operators.common import dense_index
     w = (texts.select(F.explode_outer(T.words(F.lower(F.col(text_col)))).alias("word"))
               .filter(F.col("word").isNotNull() & (F.length("word") >= min_len)).distinct())
     return dense_index(w, [], ["word"], out="widx")
@@ -250,24 +249,23 @@ def replace_schema(nodes: DataFrame, edges: DataFrame, src_cols: DataFrame, aug_
     """A13 (X19 fixed: the graph's own database types are used): table/column replacement.
 
     ``src_cols`` / ``aug_cols``: catalog columns (table_name, column_name, column_type)
-    of the graph's database and of the replacement database (which must have at
-    least as many tables as any graph uses). Each graph's tables map injectively
-    to replacement tables in a seeded order; each column becomes the hash-first
+    of the graph's database and of the replacement database. Each graph's tables map
+    injectively to consecutive replacement tables, in a seeded order and from a
+    seeded start; a graph with more tables than there are keeps its own. Each column becomes the hash-first
     column of its mapped table with the same type, or any column when none has
     it. Nodes and edges are relabelled; collisions merge.
     """
     from pyspark.sql import Window
-    aug_tables = aug_cols.select("table_name").distinct()
-    n_aug = aug_tables.count()  # a catalog: a handful of rows, checked before use
-    tabs = [r.table_name for r in aug_tables.orderBy("table_name").collect()] if n_aug <= 10_000 else None
-    if tabs is None:
-        raise ValueError("replacement catalog too large to enumerate per graph")
+    aug_tables = aug_cols.select(F.col("table_name").alias("t2")).distinct()
+    n_aug = aug_tables.agg(F.count("*")).scalar()
+    order = dense_index(aug_tables.withColumn("_h", hashing.uniform(seed, "tbl", F.col("t2"))), [], ["_h", "t2"], out="p")
     qt = nodes.filter(F.col("type") == "TABLE").select("qid", F.col("val").alias("t")).distinct()
-    qt = qt.withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy("t")))
-    cand = nodes.select("qid").distinct().select("qid", F.explode(F.array(*map(F.lit, tabs))).alias("t2"))
-    cand = cand.withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy(
-        hashing.uniform(seed, "tbl", F.col("qid"), F.col("t2")), "t2")))
-    tmap = qt.join(cand, ["qid", "i"]).select("qid", "t", "t2")
+    w = Window.partitionBy("qid")
+    qt = (qt.withColumn("i", F.row_number().over(w.orderBy("t")) - 1).withColumn("m", F.count("*").over(w))
+            .filter(F.col("m") <= n_aug))
+    start = F.floor(hashing.uniform(seed, "tbloff", F.col("qid")) * n_aug).cast("bigint")
+    qt = qt.withColumn("p", (start + F.col("i")) % n_aug)
+    tmap = join_small_side(qt, order.select("p", "t2"), ["p"], F.col("qid")).select("qid", "t", "t2")
     cols = nodes.filter(F.col("type") == "COLUMN").select(
         "qid", "node_id", F.col("val").alias("c"),
         F.regexp_extract(F.col("node_id"), r"^COLUMN_([^.]*)\.", 1).alias("t"))

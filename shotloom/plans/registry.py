@@ -1069,9 +1069,10 @@ def q_aug_value(spark, sf_dir):
 {D.catalog_ctes()},
 qt AS (SELECT qid, t, row_number() OVER (PARTITION BY qid ORDER BY t) AS i FROM (SELECT DISTINCT qid, val AS t FROM nodes WHERE type = 'TABLE')),
 atb AS (SELECT DISTINCT table_name AS t2 FROM cat WHERE db_id = 'corpus'),
-ca AS (SELECT q.qid, atb.t2, row_number() OVER (PARTITION BY q.qid ORDER BY {D.uniform(str(SEED), "'tbl'", 'q.qid', 'atb.t2')}, atb.t2) AS i
-       FROM (SELECT DISTINCT qid FROM nodes) q, atb),
-tm AS (SELECT qt.qid, qt.t, ca.t2 FROM qt JOIN ca ON ca.qid = qt.qid AND ca.i = qt.i),
+ord AS (SELECT t2, row_number() OVER (ORDER BY {D.uniform(str(SEED), "'tbl'", 't2')}, t2) - 1 AS p FROM atb),
+na AS (SELECT count(*) AS n FROM atb),
+tm AS (SELECT q.qid, q.t, ord.t2 FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS m FROM qt) q CROSS JOIN na
+       JOIN ord ON ord.p = (CAST(floor({D.uniform(str(SEED), "'tbloff'", 'q.qid')} * na.n) AS BIGINT) + q.i - 1) % na.n WHERE q.m <= na.n),
 cl AS (SELECT n.qid, n.node_id, n.val AS c, regexp_extract(n.node_id, '^COLUMN_([^.]*)[.]', 1) AS t FROM nodes n WHERE n.type = 'COLUMN'),
 cm AS (SELECT cl.*, tm.t2, s.column_type AS ctype FROM cl JOIN tm ON tm.qid = cl.qid AND tm.t = cl.t
        LEFT JOIN cat s ON s.db_id = 'star' AND s.table_name = cl.t AND s.column_name = cl.c),

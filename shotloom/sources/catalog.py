@@ -49,14 +49,14 @@ def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = spark.createDataFrame(rows, schema)
     w = Window.partitionBy("db_id").orderBy("table_idx", "ordinal")
     cols = cols.withColumn("col_idx", F.row_number().over(w).cast("bigint"))
-    spider = (F.when(F.col("kind").isin("integer", "real"), "number")
-               .when(F.col("kind") == "text", "text").when(F.col("kind") == "time", "time")
-               .when(F.col("kind") == "boolean", "boolean").otherwise("others"))
+    generic = (F.when(F.col("kind").isin("integer", "real"), "number")
+                .when(F.col("kind") == "text", "text").when(F.col("kind") == "time", "time")
+                .when(F.col("kind") == "boolean", "boolean").otherwise("others"))
     ddl = (F.when(F.col("kind") == "integer", "INTEGER").when(F.col("kind") == "real", "REAL")
             .when(F.col("kind") == "text", "TEXT").when(F.col("kind") == "time", "TIMESTAMP")
             .when(F.col("kind") == "boolean", "BOOLEAN").otherwise("BLOB"))
     return cols.select("db_id", F.col("table_idx").cast("bigint").alias("table_idx"), "table_name",
-                       "col_idx", "column_name", spider.alias("column_type"), ddl.alias("ddl_type"),
+                       "col_idx", "column_name", generic.alias("column_type"), ddl.alias("ddl_type"),
                        F.col("ordinal").cast("bigint").alias("ordinal"))
 
 
