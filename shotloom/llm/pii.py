@@ -5,7 +5,8 @@ every entity gets one keyed surrogate for the whole corpus, so mentions of the
 same entity stay the same and different entities stay different: a surrogate that
 meets another one, or a real entity, is drawn again. Each mention is then rendered
 in its own format: digits stay digits, letters keep case and script, names keep
-script and gender.
+script and gender. A person is found by a title; the full name without a title is
+then replaced wherever else the same document has it.
 """
 
 from __future__ import annotations
@@ -22,21 +23,37 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _FEMALE = r"(?:Mrs|Ms|Miss|Madame|Mme|Frau|Señora|Sra|Signora|Mevrouw|госпожа|г-жа|κυρία)"
 _MALE = r"(?:Mr|Monsieur|Herr|Señor|Sr|Signor|Meneer|господин|г-н|κύριος)"
 _NEUTRAL = r"(?:Dr|Prof)"
-_NAME = r"\p{Lu}\p{Ll}+"
+_TITLE = rf"(?:{_FEMALE}|{_MALE}|{_NEUTRAL})"
+_LINK = r"(?:(?:van|von|vom|zu|zur|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|ten|ter) )"
+#: Initials before another name, or a name with inner capitals, hyphens and apostrophes (not a possessive s).
+_NAME = (rf"(?:(?:\p{{Lu}}\.){{1,4}}(?= (?:\p{{Lu}}|{_LINK}))"
+         r"|(?:\p{Lu}\.){0,4}\p{Lu}[\p{L}\p{M}]*+(?:(?:['’](?!s(?![\p{L}\p{M}]))|-)[\p{L}\p{M}]++)*+)")
+_PIECE = rf"{_LINK}*+{_NAME}"
+_FULL = rf"{_PIECE}(?: {_PIECE})*+"
+#: Values after a key word: eight characters or more, inner punctuation included.
+_KEYWORD = r"(?i:token|password|passwd|passphrase|pwd|secret|(?:api|access|secret|private)[_\-]?key)"
+_VALUE = (r"(?=[^\s\"'<>,;]{8})[!@#$%^&*~]*+[A-Za-z0-9+/_\-]++"
+          r"(?:(?:[.=~!@#$%^*:]|&(?!\w{1,30}=))++[A-Za-z0-9+/_\-]++)*+={0,2}+")
+_GROUPED = "|".join(f"[0-9]{{4}}(?:{s}[0-9]{{4}}){{3}}(?:{s}[0-9]{{1,3}})?|[0-9]{{4}}(?:{s}[0-9]{{4}}){{2}}{s}[0-9]{{1,3}}"
+                    f"|[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{4,5}}" for s in " -")
 PATTERNS = {
     "EMAIL": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
-    "SECRET": r"(?<=(?:token|password|passwd|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_\-]{8,}+"
+    "SECRET": rf"(?<=[=:\s\"'])(?<={_KEYWORD}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?){_VALUE}"
               r"|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "CARD": r"(?<![\w.\-])[0-9]{4}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})(?![\w\-])",
+    "CARD": rf"(?<![\w.\-])(?:[0-9]{{13,19}}|{_GROUPED})(?![\w\-])",
     "SSN": r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])",
-    "PHONE": r"(?<![\w.+\-])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![\w\-])",
+    "PHONE": r"(?<![\w.+\-])(?:(?:(?:\+[0-9]{1,3}|1)[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
+             r"|\+[0-9](?:[ .\-]?(?:\([0-9]{1,4}\)|[0-9])){6,14}"
+             r"|00[1-9][0-9]{0,2}(?:[ .\-]\(?[0-9]{1,4}\)?){1,2}(?:[ .\-]?[0-9]){5,9}"
+             r"|0[1-9][0-9]{1,3}[ /\-][0-9]{3,4}[ \-]?[0-9]{3,4})(?![\w\-])",
     "IP": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w)(?!\.[0-9])",
-    "PERSON": rf"(?<!\p{{L}})(?:{_FEMALE}|{_MALE}|{_NEUTRAL})\.? {_NAME}(?: {_NAME})?(?!\p{{L}})",
+    "PERSON": rf"(?<!\p{{L}})(?:{_TITLE}\.? )++{_FULL}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every mention holds, cheap to look for.
-HINT = r"[0-9@]|token|passw|secret|api_key|AKIA|(?:" + "|".join((_FEMALE, _MALE, _NEUTRAL)) + r")\.? \p{Lu}"
+HINT = rf"[0-9@]|(?i:token|passw|passphrase|pwd|secret|key[\"']?\s{{0,3}}[=:])|AKIA|{_TITLE}\.? \p{{Lu}}"
+_EDGES = r"(?<![\p{L}\p{M}])", r"(?![\p{L}\p{M}])"
 
 #: Fixed given names by script and gender; family names are made from syllables.
 GIVEN = {
@@ -61,11 +78,26 @@ SUFFIX = {"latin": "man", "cyrillic": "ин", "greek": "άκης"}
 
 
 def _type_of(mention: Column) -> Column:
-    """The first type whose pattern fits the whole mention; what only its surroundings tell is SECRET."""
-    out = F.lit("SECRET")
+    """The first type whose pattern fits the whole mention; what only its surroundings tell is SECRET.
+
+    Null for a number with the digits of a card but neither its 16 digits nor its check digit.
+    """
+    out = F.when(F.regexp_like(mention, F.lit(rf"^{_PIECE}(?: {_PIECE})++$")), "PERSON").otherwise("SECRET")
     for kind in reversed([k for k in PATTERNS if k != "SECRET"]):
         out = F.when(F.regexp_like(mention, F.lit(rf"^(?:{PATTERNS[kind]})$")), F.lit(kind)).otherwise(out)
-    return out
+    digits = F.regexp_replace(mention, "[^0-9]", "")
+    return F.when((out != "CARD") | (F.length(digits) == 16) | (_luhn_sum(digits) % 10 == 0), out)
+
+
+def _full_names(mentions: Column) -> Column:
+    """Distinct full names behind a document's titles, longest first; also first and last name without what is between."""
+    full = F.transform(mentions, lambda m: F.regexp_extract(
+        m, rf"^(?:{_TITLE}\.? )++({_PIECE}(?: {_PIECE})++)$", 1))
+    ends = F.transform(full, lambda f: F.regexp_replace(
+        f, rf"^({_PIECE})(?: {_PIECE})+? ({_PIECE})$", "$1 $2"))
+    names = F.array_distinct(F.filter(F.concat(full, ends), lambda f: f != ""))
+    by_length = F.array_sort(F.transform(names, lambda f: F.struct((-F.length(f)).alias("l"), f.alias("f"))))
+    return by_length["f"]
 
 
 def _script(name: Column) -> Column:
@@ -98,13 +130,13 @@ def _masked(value: Column, hexadecimal: Column) -> Column:
 def _luhn_sum(digits: Column) -> Column:
     """Luhn sum of a digit string."""
     parts = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(
-        i % 2 == 0, c.cast("int")).otherwise((c.cast("int") * 2) % 10 + F.floor(c.cast("int") / 5).cast("int")))
+        i % 2 == 0, c.try_cast("int")).otherwise((c.try_cast("int") * 2) % 10 + F.floor(c.try_cast("int") / 5).cast("int")))
     return F.aggregate(parts, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
 
 def _card(norm: Column, masked: Column) -> Column:
     """A number with the same first digit whose check digit is right exactly if the original's was."""
-    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(masked, F.lit(2), F.lit(14)))
+    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(masked, F.lit(2), F.length(norm) - 2))
     right = F.pmod(F.lit(10) - _luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10))
     wrong = (right + 1 + _byte(F.lit(95)) % 9) % 10
     return F.concat(body, F.when(_luhn_sum(norm) % 10 == 0, right).otherwise(wrong).cast("string"))
@@ -143,7 +175,7 @@ def _draw(key: str) -> Column:
            .when((F.col("type") == "SECRET") & norm.startswith("AKIA"),
                  F.concat(F.lit("AKIA"), F.substr(masked, F.lit(5), F.length("norm")))))
     for (script, gender) in GIVEN:
-        out = out.when(F.col("type") == f"GIVEN {script} {gender}", _given(script, gender))
+        out = out.when((F.col("type") == f"GIVEN {script}") & (F.col("gender") == gender), _given(script, gender))
     for script in SYLLABLES:
         out = out.when(F.col("type") == f"FAMILY {script}", _family(script))
     return out.otherwise(masked)
@@ -159,15 +191,18 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     Each round draws for the entities still open; of those that draw the same, the
     first keeps it, and draws that meet a kept surrogate or a real entity go again.
+    An entity's gender is the one that its titles agree on, else neutral.
     """
-    real = stored(entities.select("type", "norm").distinct(), "pii-real")
-    taken = real.select("type", F.col("norm").alias("surrogate"))
+    female, male = F.bool_or(F.col("gender") == "f"), F.bool_or(F.col("gender") == "m")
+    gender = F.when(female & ~male, "f").when(male & ~female, "m").otherwise("n")
+    real = stored(entities.groupBy("type", "norm").agg(gender.alias("gender")), "pii-real")
+    taken = real.select("type", F.lower("norm").alias("low")).distinct()
     attempt, kept, open_ = 0, None, real
     while True:
         drawn = (open_.withColumn("attempt", F.lit(attempt)).withColumn("stream", _stream(key))
                  .withColumn("surrogate", _draw(key)).select("type", "norm", "surrogate"))
         first = drawn.groupBy("type", "surrogate").agg(F.min("norm").alias("norm"))
-        good = first.join(taken, ["type", "surrogate"], "left_anti")
+        good = first.withColumn("low", F.lower("surrogate")).join(taken, ["type", "low"], "left_anti")
         if kept is not None:
             good = good.join(kept.select("type", "surrogate"), ["type", "surrogate"], "left_anti")
         good = good.select("type", "norm", "surrogate")
@@ -181,26 +216,35 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _parts(mentions: DataFrame) -> DataFrame:
-    """Entities behind each distinct mention: ``(mention, type, part, piece, norm)``."""
+    """Entities behind each distinct mention: ``(mention, kind, type, part, lead, piece, norm, gender)``.
+
+    Names are one entity whatever their case. A mention that is none has a null kind
+    and no row here.
+    """
     m = F.col("mention")
     digits = F.regexp_replace(m, "[^0-9]", "")
-    title = F.regexp_extract(m, r"^(\S+) ", 1)
-    names = F.split(F.regexp_extract(m, r"^\S+ (.*)$", 1), " ")
-    family = F.element_at(names, -1)
-    gender = (F.when(F.regexp_like(title, F.lit(rf"^{_FEMALE}\.?$")), "f")
-              .when(F.regexp_like(title, F.lit(rf"^{_MALE}\.?$")), "m").otherwise("n"))
+    titles = F.regexp_extract(m, rf"^((?:{_TITLE}\.? )*+)", 1)
+    pieces = F.regexp_extract_all(F.substr(m, F.length(titles) + 1, F.length(m)), F.lit(_PIECE), F.lit(0))
+    gender = (F.when(F.regexp_like(titles, F.lit(rf"(?<!\p{{L}}){_FEMALE}\.? ")), "f")
+              .when(F.regexp_like(titles, F.lit(rf"(?<!\p{{L}}){_MALE}\.? ")), "m").otherwise("n"))
     plain = F.array(F.struct(
-        F.col("kind").alias("type"), F.lit(0).alias("part"), m.alias("piece"),
+        F.col("kind").alias("type"), F.lit(0).alias("part"), F.lit("").alias("lead"), m.alias("piece"),
         F.when(F.col("kind") == "EMAIL", F.lower(m)).when(F.col("kind").isin("CARD", "SSN"), digits)
         .when(F.col("kind") == "PHONE", F.substr(digits, F.greatest(F.lit(1), F.length(digits) - 9), F.lit(10)))
-        .when(F.col("kind") == "IBAN", F.regexp_replace(m, " ", "")).otherwise(m).alias("norm")))
-    last = F.struct(F.concat(F.lit("FAMILY "), _script(family)).alias("type"), F.lit(2).alias("part"),
-                    family.alias("piece"), family.alias("norm"))
-    head = F.struct(F.concat(F.lit("GIVEN "), _script(names[0]), F.lit(" "), gender).alias("type"),
-                    F.lit(1).alias("part"), names[0].alias("piece"), names[0].alias("norm"))
-    person = F.when(F.size(names) > 1, F.array(head, last)).otherwise(F.array(last))
-    return (mentions.withColumn("kind", _type_of(m))
-            .withColumn("e", F.explode_outer(F.when(F.col("kind") == "PERSON", person).otherwise(plain)))
+        .when(F.col("kind") == "IBAN", F.regexp_replace(m, " ", "")).otherwise(m).alias("norm"),
+        F.lit("n").alias("gender")))
+
+    def name(p: Column, i: Column) -> Column:
+        lead = F.regexp_extract(p, rf"^({_LINK}*+)", 1)
+        own = F.substr(p, F.length(lead) + 1, F.length(p))
+        role = F.when(i == F.size("pieces") - 1, "FAMILY ").otherwise("GIVEN ")
+        before = F.when(i == 0, F.col("titles")).otherwise(F.lit(" "))
+        return F.struct(F.concat(role, _script(own)).alias("type"), i.alias("part"), F.concat(before, lead).alias("lead"),
+                        own.alias("piece"), F.lower(own).alias("norm"), F.col("gender"))
+
+    return (mentions.withColumn("kind", _type_of(m)).filter("kind is not null")
+            .withColumn("titles", titles).withColumn("pieces", pieces).withColumn("gender", gender)
+            .withColumn("e", F.explode_outer(F.when(F.col("kind") == "PERSON", F.transform("pieces", name)).otherwise(plain)))
             .select("mention", "kind", "e.*"))
 
 
@@ -212,7 +256,8 @@ def _render(kind: Column, piece: Column, surrogate: Column) -> Column:
     laid = F.array_join(F.transform(F.split(piece, ""), lambda c, i: F.when(
         F.regexp_like(c, F.lit("[0-9A-Z]")) & (after(i) < F.length(surrogate)),
         F.substr(surrogate, F.length(surrogate) - after(i), F.lit(1))).otherwise(c)), "")
-    upper = (piece == F.upper(piece)) & (kind == "EMAIL")
+    upper = (piece == F.upper(piece)) & ((kind == "EMAIL") | (kind == "PERSON")
+                                         & F.regexp_like(piece, F.lit(r"\p{L}\P{L}*\p{L}")))
     return (F.when(kind.isin("CARD", "SSN", "PHONE", "IBAN"), laid)
             .when(upper, F.upper(surrogate)).otherwise(surrogate))
 
@@ -226,29 +271,34 @@ def replace_entities(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     """
     docs = docs.drop("entities")
     tag = f"_{uuid.uuid4().hex[:8]}"
-    rid, found = f"rid{tag}", f"found{tag}"
+    rid, found, also = f"rid{tag}", f"found{tag}", f"also{tag}"
     hint = F.coalesce(F.regexp_like("text", F.lit(HINT)), F.lit(False))
     mentions = F.when(hint, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    hits = stored(docs.withColumn(found, mentions).filter(F.size(found) > 0)
-                  .withColumn(rid, F.monotonically_increasing_id()), "pii-hits")
+    # a document's own full names are looked for beside the fixed patterns, which go first
+    names = _full_names(F.col(found))
+    quoted = F.array_join(F.transform(names, lambda f: F.concat(F.lit(r"\Q"), f, F.lit(r"\E"))), "|")
+    full = F.concat(F.lit(f"{ANY}|{_EDGES[0]}(?:"), F.col(also), F.lit(f"){_EDGES[1]}"))
+    pattern = F.when(F.col(also) == "", F.lit(ANY)).otherwise(full)
+    hits = docs.withColumn(found, mentions).filter(F.size(found) > 0).withColumn(also, quoted)
+    hits = stored(hits.withColumn(found, F.when(F.col(also) == "", F.col(found)).otherwise(
+        F.regexp_extract_all("text", full, F.lit(0)))).withColumn(rid, F.monotonically_increasing_id()), "pii-hits")
     places = hits.select(rid, F.posexplode(found).alias("pos", "mention"))
     parts = stored(_parts(places.select("mention").distinct()), "pii-parts")
     chosen = surrogates(parts, key)
     rendered = (parts.join(chosen, ["type", "norm"])
                 .withColumn("piece", _render(F.col("kind"), F.col("piece"), F.col("surrogate")))
                 .groupBy("mention").agg(F.first("kind").alias("kind"),
-                                        F.sort_array(F.collect_list(F.struct("part", "piece"))).alias("pieces"))
-                .withColumn("out", F.when(F.col("kind") == "PERSON", F.concat_ws(
-                    " ", F.regexp_extract("mention", r"^(\S+) ", 1), F.array_join("pieces.piece", " ")))
-                    .otherwise(F.element_at("pieces.piece", 1)))
-                .select("mention", "kind", "out"))
-    by_row = (places.join(rendered, "mention").groupBy(rid)
+                                        F.sort_array(F.collect_list(F.struct("part", "lead", "piece"))).alias("pieces"))
+                .select("mention", "kind", F.array_join(F.flatten(F.transform(
+                    "pieces", lambda p: F.array(p["lead"], p["piece"]))), "").alias("out")))
+    by_row = (places.join(rendered, "mention", "left").withColumn("out", F.coalesce("out", "mention")).groupBy(rid)
               .agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "out"))).alias(f"new{tag}")))
-    gaps = F.split("text", ANY, -1)
+    gaps = F.split("text", pattern, -1)
     new = F.col(f"new{tag}")
     text = F.array_join(F.flatten(F.zip_with(gaps, F.concat(new["out"], F.array(F.lit(""))),
                                              lambda g, s: F.array(g, s))), "")
-    entities = F.transform(new, lambda x: F.struct(x["kind"].alias("type"), x["out"].alias("surrogate")))
+    entities = F.transform(F.filter(new, lambda x: x["kind"].isNotNull()),
+                           lambda x: F.struct(x["kind"].alias("type"), x["out"].alias("surrogate")))
     changed = hits.join(by_row, rid).withColumn("entities", entities).withColumn("text", text)
     clean = docs.filter(~hint | ~F.coalesce(F.regexp_like("text", F.lit(ANY)), F.lit(False)))
     none = F.array().cast("array<struct<type:string,surrogate:string>>")

@@ -132,3 +132,47 @@ def test_real_documents(spark):
             assert m not in r.text
         assert r.text == want + text[r.doc_id][at:]
     assert len(pairs) > 50
+
+
+def test_whole_names_go(spark):
+    cases = [("Dr. {} came", "Maria Anna Lopez"), ("Mr. {} came", "Jean-Luc Picard"), ("Ms. {} came", "McDonald"),
+             ("Mr. {} came", "O'Brien"), ("Prof. Dr. {} came", "J. R. McAdams-Stone"), ("Frau {} came", "Ursula von der Leyen"),
+             ("it was Mr. {}'s hat", "Smith"), ("Mr. {} came", "SMITH")]
+    got = run(spark, [a.format(n) for a, n in cases])
+    for (a, n), r in zip(cases, got):
+        assert [e.type for e in r.entities] == ["PERSON"] and re.fullmatch(re.escape(a).replace(r"\{\}", ".+"), r.text)
+        for part in re.findall(r"\w+", n):
+            if part not in ("von", "der"):
+                assert not re.search(rf"\b{part}\b", r.text), (n, r.text)
+    new = [r.entities[0].surrogate.split()[-1] for r in got]
+    assert new[7] == new[6].upper()  # the same family
+
+
+def test_untitled_repeats_and_gender_of_an_entity(spark):
+    a, b, c = run(spark, ["Mr. John Smith met Anna Lee. John Smith left; John Smithson and John stay.",
+                          "Dr. Anna Smith and Mrs. Anna Smith, Anna Smith", "Dr. Maria Anna Lopez: Maria Lopez; John Smith"])
+    first, *more = (e.surrogate for e in a.entities)
+    assert more == [first.split(" ", 1)[1]] and "John Smith " not in a.text and a.text.count(more[0]) == 2
+    assert "John Smithson and John stay" in a.text and "Anna Lee" in a.text
+    dr, mrs, bare = (e.surrogate for e in b.entities)
+    assert dr.split()[1:] == mrs.split()[1:] == bare.split()
+    from shotloom.llm.pii import GIVEN
+    assert set(bare.split()[0].split("-")) <= set(GIVEN["latin", "f"].split())
+    assert "Maria" not in c.text.split(": ")[1] and c.text.endswith("; John Smith")  # no title in that document
+    names = c.entities[0].surrogate.split()[1:]
+    assert c.entities[1].surrogate.split() == [names[0], names[2]]
+
+
+def test_more_secrets_cards_and_telephones(spark):
+    texts = ["API_KEY=abcd1234efgh x", "Password: hunter2hunter2 x", '{"password": "abcd1234efgh"} x',
+             "token=abcdEFGH.ijkl1234.mnop x", "378282246310005 x", "3782 822463 10005 x", "4222222222222 x",
+             "6304000000000000000 x", "+44 20 7946 0958 x", "+14155552671 x"]
+    got = run(spark, texts + ["1234567890123 x", "3782 822463 10006 x"])
+    kinds = ["SECRET"] * 4 + ["CARD"] * 4 + ["PHONE"] * 2
+    for t, k, r in zip(texts, kinds, got):
+        assert [e.type for e in r.entities] == [k], t
+        old, new = re.findall(r"[A-Za-z0-9]{4,}", t)[-1], r.text
+        assert old not in new and len(new) == len(t) and new.endswith("x"), (t, new)
+    assert all(luhn(re.sub(r"\D", "", r.text)) for r in got[4:8])
+    assert [r.text for r in got[10:]] == ["1234567890123 x", "3782 822463 10006 x"]
+    assert not any(r.entities for r in got[10:])
