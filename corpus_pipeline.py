@@ -7,13 +7,15 @@ All stages but the last return the columns of their input.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotloom.llm.base import crc_mod, stored, table
 from shotloom.llm.langid import UNKNOWN, label_languages, train
 from shotloom.llm.mixing import mixed_documents
-from shotloom.llm.neardup import near_duplicates
+from shotloom.llm.neardup import digest, kept_rows
 from shotloom.llm.packing import pack
 from shotloom.llm.pii import replace_entities
 from shotloom.operators.common import join_small_side
@@ -27,18 +29,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked by 0.8 similarity of five-word shingles.
+    """Keep one row of each group linked by 0.8 similarity of five-word shingles.
 
-    Rows without doc_id stay; of rows that share one, the first by text stays.
+    Rows are judged by their texts, whether they share a doc_id or not. Rows without
+    doc_id stay; of rows with the same doc_id and text, one stays.
     """
-    judged = stored(near_duplicates(docs, width=5, percent=80).select("doc_id", "kept"), "kept")
-    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    twice = judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = join_small_side(docs, gone.union(twice), ["doc_id"], F.col("doc_id"), how="left_anti")
+    same = ["doc_id", "digest"]
+    judged = stored(kept_rows(docs, width=5, percent=80), "kept")
+    gone = judged.filter(~F.col("kept")).select(*same).distinct()
+    twice = judged.filter("kept and doc_id is not null").groupBy(*same).count().filter("count > 1").select(*same)
+    tag = f"_digest_{uuid.uuid4().hex[:8]}"
+    marked, other = docs.withColumn(tag, digest()), gone.union(twice).withColumnRenamed("digest", tag)
+    once = join_small_side(marked, other, ["doc_id", tag], F.col("doc_id"), how="left_anti")
     if not twice.isEmpty():
-        order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text", "source", "lang")])
-        first = (docs.join(twice, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order))
-                 .filter("_n = 1").drop("_n"))
+        order = Window.partitionBy("doc_id", tag).orderBy(*[F.col(c) for c in ("source", "lang")])
+        first = (marked.join(twice.withColumnRenamed("digest", tag), ["doc_id", tag], "left_semi")
+                 .withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n"))
         once = once.unionByName(first)
     return once.select(*docs.columns)
 

@@ -71,8 +71,13 @@ def minhash(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def digest() -> Column:
+    """Tells the texts of rows that share a doc_id apart."""
+    return F.xxhash64("text")
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, n_shingles, key, sig)`` of every document; key and sig are null without words."""
+    """``(doc_id, digest, n_shingles, key, sig)`` of every document; key and sig are null without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
@@ -83,14 +88,15 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 sig = iter(minhash(full).tolist() if full else [])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id")[at:at + rows],
+                    batch.column("digest")[at:at + rows],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                               for s in sets], pa.binary()),
                     pa.array([next(sig) if len(s) else None for s in sets], pa.list_(pa.int32())),
-                ], ["doc_id", "n_shingles", "key", "sig"])
+                ], ["doc_id", "digest", "n_shingles", "key", "sig"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, key binary, sig array<int>")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), digest().alias("digest"), "text").mapInArrow(
+        run, "doc_id long, digest long, n_shingles long, key binary, sig array<int>")
 
 
 def spanning(adjacent, n: int) -> list[tuple[int, int]]:
@@ -237,12 +243,13 @@ def candidate_groups(classes: DataFrame, posts: DataFrame, need: int) -> DataFra
 
 
 def confirmed_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(a, b)`` links that join exactly what true links join; ``members(key, grp, doc_id, weight)``."""
+    """``(a, b)`` links that join exactly what true links join; ``members(key, grp, doc_id, digest, weight)``."""
     size = members.groupBy("grp").agg(F.count("*").alias("n"),
                                       F.max_by("key", F.struct("weight", "key")).alias("hub")).filter("n > 1")
     members = join_small_side(members, size, ["grp"], F.col("key"))
-    text = docs.select(F.col("doc_id").cast("long"), "text")
-    full = join_small_side(text, members, ["doc_id"], F.col("doc_id")).dropDuplicates(["key"])
+    # of the texts that share a doc_id, the one that the class was made from
+    text = docs.filter("text is not null").select(F.col("doc_id").cast("long"), digest().alias("digest"), "text")
+    full = join_small_side(text, members, ["doc_id", "digest"], F.col("doc_id")).dropDuplicates(["key"])
     full = stored(full, "nd-texts")
     blocks, blk = block_of(F.col("n"), SET_BLOCK)
     # the hub sits in every block, so most of a group is joined here
@@ -268,6 +275,21 @@ def confirmed_links(docs: DataFrame, members: DataFrame, width: int, percent: in
     return stored(first.union(second), "nd-links")
 
 
+def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, classes ``(key, doc_id, digest, sig)`` by their first row, and links between classes."""
+    base = stored(signatures(docs, width), "nd-sig")
+    named = base.filter("key is not null and doc_id is not null")
+    classes = stored(named.groupBy("key").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.first("sig").alias("sig"))
+                     .select("key", "first.*", "sig"), "nd-classes")
+    need = matches_needed(percent)
+    posts = stored(postings(classes, need), "nd-posts")
+    groups = candidate_groups(classes, posts, need)
+    weights = posts.groupBy("key").agg(F.max("weight").alias("weight"))
+    members = (groups.select(F.col("id").alias("key"), F.col("root").alias("grp"))
+               .join(classes.select("key", "doc_id", "digest"), "key").join(weights, "key"))
+    return base, classes, confirmed_links(docs, members, width, percent)
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """Per document ``(doc_id, n_shingles, component_id, kept)``.
 
@@ -277,17 +299,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     Rows that repeat a doc_id are one document. A row without doc_id is linked with
     nothing: its component_id is null and it is kept.
     """
-    base = stored(signatures(docs, width), "nd-sig")
+    base, classes, links = _linked(docs, width, percent)
     named = base.filter("key is not null and doc_id is not null")
-    classes = stored(named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")),
-                     "nd-classes")
-    need = matches_needed(percent)
-    posts = stored(postings(classes, need), "nd-posts")
-    groups = candidate_groups(classes, posts, need)
-    weights = posts.groupBy("key").agg(F.max("weight").alias("weight"))
-    members = (groups.select(F.col("id").alias("key"), F.col("root").alias("grp"))
-               .join(classes.select("key", "doc_id"), "key").join(weights, "key"))
-    links = confirmed_links(docs, members, width, percent)
     twice = (named.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b")
              .join(named.select("doc_id", F.col("key").alias("c")), "doc_id").select("a", F.col("c").alias("b")))
     roots = components(links.union(twice))
@@ -298,3 +311,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     return out.select("doc_id", "n_shingles",
                       F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")) \
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def kept_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row ``(doc_id, digest, kept)``: the first row, by doc_id and digest, of each linked group is kept.
+
+    As :func:`near_duplicates`, but rows that share a doc_id are linked by their texts only.
+    """
+    base, classes, links = _linked(docs, width, percent)
+    placed = _with_label(classes.select("key", F.struct("doc_id", "digest").alias("own")), components(links), "root")
+    smallest = placed.groupBy("root").agg(F.min("own").alias("first"))
+    by_key = placed.join(smallest, "root").select("key", "first")
+    out = base.select("doc_id", "digest", "key").join(by_key, "key", "left")
+    alone = F.col("doc_id").isNull() | F.col("first").isNull()
+    return out.select("doc_id", "digest", (alone | (F.struct("doc_id", "digest") == F.col("first"))).alias("kept"))

@@ -85,3 +85,13 @@ def test_components_of_chains_and_stars(spark):
 
 def test_threshold_misses_rarely():
     assert nd.matches_needed(85) == 16 and nd.matches_needed(80) < 16 < nd.matches_needed(95)
+
+
+def test_a_class_is_confirmed_with_its_own_text(spark):
+    words = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
+    a, b, c, d = (" ".join(w) for w in words)
+    near = [" ".join(w[:-1] + ["z"]) for w in words]
+    rows = [(1, a), (1, None), (1, b), (2, near[1]), (3, near[0]), (4, c), (4, d), (4, None), (5, near[3])]
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        full = [(*r, "en", "s", 1) for r in order]
+        assert result(nd.near_duplicates(spark.createDataFrame(full, DOCS).coalesce(1))) == brute(full, 3, 85)

@@ -76,3 +76,11 @@ def test_private_leaves_nothing_of_a_mention(spark):
     got = {r.doc_id: r for r in cp.private(spark, spark.createDataFrame(rows, DOCS), SF).collect()}
     assert got[2].text == "clean" and "a.b@c.org" not in got[1].text and re.search(r"\S@\S", got[1].text)
     assert "@" in ANY
+
+
+def test_dedup_judges_rows_that_share_an_id_by_their_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, None), (2, b + " x"), (3, a + " x"), (4, c), (1, a), (5, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
+    got = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (1, None), (4, c), (5, None)], key=str)
