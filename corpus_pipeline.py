@@ -22,8 +22,13 @@ from shotloom.operators.common import join_small_side
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognisable language (null or letterless); name missing languages."""
+    """Drop documents without a recognisable language (null or letterless); name missing languages.
+
+    Without labelled documents to learn from, only the text decides and ``lang`` stays.
+    """
     model = train(docs, F.coalesce(crc_mod(F.col("doc_id"), 4) != 2, F.lit(False)))
+    if model is None:
+        return docs.filter(F.regexp_like("text", F.lit(r"\p{L}")))
     known = label_languages(docs, model).filter(F.col("lang_pred") != UNKNOWN)
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

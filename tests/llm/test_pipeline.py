@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline as cp
@@ -84,3 +85,12 @@ def test_dedup_judges_rows_that_share_an_id_by_their_texts(spark):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], DOCS)
     got = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, SF).collect()), key=str)
     assert got == sorted([(1, a), (1, b), (1, None), (4, c), (5, None)], key=str)
+
+
+def test_unlabelled_documents_pass_the_language_stage(spark):
+    rows = [(1, "Ein Satz.", None, "s", 9), (2, "12 34 !!", None, "s", 8), (3, None, None, "s", 0), (4, "", None, "s", 0),
+            (None, "кот", None, "s", 3), (5, "漢字", None, None, 2)]
+    got = cp.language(spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert sorted(map(tuple, got), key=str) == sorted((r for r in rows if r[0] not in (2, 3, 4)), key=str)
+    held = [(k, "some words", "en", "s", 10) for k in range(40) if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert held and cp.language(spark, spark.createDataFrame(held, DOCS), SF).count() == len(held)
