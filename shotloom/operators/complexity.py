@@ -70,11 +70,16 @@ def outer_query(toks: Column) -> Column:
                                                               s["setop"].cast("bigint").alias("setop")))
 
 
-def _flat(s: Column) -> Column:
-    """A clause without what stands in parentheses (three levels deep)."""
-    for _ in range(3):
-        s = F.regexp_replace(s, r"\([^()]*\)", "()")
-    return s
+def _commas(s: Column) -> Column:
+    """Commas of a clause outside all parentheses, however deep these are."""
+    marks = F.split(F.regexp_replace(s, "[^(),]", ""), "")
+
+    def step(a: Column, c: Column) -> Column:
+        depth = F.greatest(F.lit(0), a["depth"] + F.when(c == "(", 1).when(c == ")", -1).otherwise(0))
+        return F.struct(depth.alias("depth"), (a["n"] + ((c == ",") & (a["depth"] == 0)).cast("bigint")).alias("n"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("n"))
+    return F.aggregate(marks, start, step, lambda a: a["n"])
 
 
 def sql_shape(df: DataFrame, query: str = "query") -> DataFrame:
@@ -107,16 +112,16 @@ def sql_shape(df: DataFrame, query: str = "query") -> DataFrame:
         has("_whr").cast("bigint").alias("n_where"), has("_grp").cast("bigint").alias("n_group"),
         has("_ord").cast("bigint").alias("n_order"),
         F.contains(s, F.lit(" limit ")).cast("bigint").alias("n_limit"),
-        (_n_tok(spaced["_frm"], "join") + _n_sub(_flat(F.col("_frm")), ",")).alias("n_join"),
+        (_n_tok(spaced["_frm"], "join") + _commas(F.col("_frm"))).alias("n_join"),
         _n_tok(conds, "or").alias("n_or"), _n_tok(conds, "like").alias("n_like"),
         _n_tok(tested, "subquery").alias("n_nested"), F.col("_o.setop").alias("n_setop"),
         (sum((_n_sub(listed, f" {w}  (") for w in AGG_FUNCS[1:]), _n_sub(listed, f" {AGG_FUNCS[0]}  ("))
          + _n_tok(tested, "not")).alias("n_agg"),
         _n_tok(_spaced(F.col("_tk")), "select").alias("n_select"),
-        (_n_sub(_flat(F.col("_sel")), ",") + 1).alias("n_select_cols"),
+        (_commas(F.col("_sel")) + 1).alias("n_select_cols"),
         F.when(has("_whr"), _n_tok(spaced["_whr"], "and") + _n_tok(spaced["_whr"], "or") + 1
                - _n_tok(spaced["_whr"], "between")).otherwise(0).cast("bigint").alias("n_where_conds"),
-        F.when(has("_grp"), _n_sub(_flat(F.col("_grp")), ",") + 1).otherwise(0).cast("bigint").alias("n_group_cols"),
+        F.when(has("_grp"), _commas(F.col("_grp")) + 1).otherwise(0).cast("bigint").alias("n_group_cols"),
     )
     return out.drop("_tk", "_o", "_s", *starts)
 

@@ -319,3 +319,13 @@ def test_jaccard_salted_fallback_equals_broadcast(spark):
     finally:
         spark.conf.unset("shotloom.broadcast.maxRows")
     assert a == b and len(a) == 5 * t.count()
+
+
+def test_complexity_counts_no_commas_of_nested_calls(spark):
+    from shotloom.operators import complexity as H
+    cases = [("SELECT coalesce(a, abs(b), c) FROM t", 1, 0, 0), ("SELECT f(g(h(i(a, b), c), d), e), x FROM t", 2, 0, 0),
+             ("SELECT a FROM t, u GROUP BY coalesce(a, round(abs(b), 2), c), d", 1, 2, 1)]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "qid long, query string")
+    got = {r.qid: r for r in H.sql_shape(df).collect()}
+    for i, (sql, cols, groups, joins) in enumerate(cases):
+        assert (got[i].n_select_cols, got[i].n_group_cols, got[i].n_join) == (cols, groups, joins), sql
