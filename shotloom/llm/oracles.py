@@ -139,3 +139,48 @@ FROM g LEFT JOIN best ON best.host = g.host AND best.raw = array_to_string(g.seg
 
 
 OP5 = _op5()
+
+#: The 256 remainders of the reflected CRC-32 polynomial, and the CRC-32 of a list of bytes by them.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END, b)) AS crc_table"""
+_CRC = ("xor(list_reduce({bytes}, lambda c, b: xor(crc_table[xor(c, b) % 256 + 1], c // 256), "
+        "4294967295::BIGINT), 4294967295::BIGINT)")
+_ID_BYTES = "list_transform(string_split({id}, ''), lambda x: ord(x)::BIGINT)"
+
+OP11 = f"""
+WITH t AS ({_CRC_TABLE}),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format("coalesce(text, '')")} AS ws,
+         {_CRC.format(bytes=_ID_BYTES.format(id="CAST(doc_id AS VARCHAR)"))} AS h
+  FROM documents, t),
+g AS (SELECT *, CAST(len(ws) AS BIGINT) AS n, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM g),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+e AS (
+  SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+         ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE ws END AS ws
+  FROM p),
+w AS (SELECT rid, n, unnest(ws) AS w, unnest(range(n)) AS i FROM e),
+-- equal words q apart; their islands of consecutive places are the stretches of period q
+m AS (
+  SELECT x.rid, y.i - x.i AS q, x.i, x.i - row_number() OVER (PARTITION BY x.rid, y.i - x.i ORDER BY x.i) AS island
+  FROM w x JOIN w y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (
+  SELECT rid, q, min(i) AS s, count(*) + q AS length FROM m GROUP BY rid, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (
+  SELECT * FROM s WHERE NOT EXISTS (
+    SELECT 1 FROM s z WHERE z.rid = s.rid AND z.q < s.q AND s.q % z.q = 0 AND z.s <= s.s AND z.s + z.length >= s.s + s.length)),
+c AS (
+  SELECT rid, string_agg(w, ' ' ORDER BY i) AS collapsed FROM w
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = w.rid AND w.i >= r.s + r.q AND w.i < r.s + r.length) GROUP BY rid),
+o AS (
+  SELECT rid, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+         first(struct_pack(s, length, q) ORDER BY CAST(length AS DOUBLE) / q DESC, s, q) AS best
+  FROM r GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start,
+       CAST(best.length AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+       CAST(1000 * best.length // best.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM e LEFT JOIN o USING (rid) LEFT JOIN c USING (rid)
+"""
