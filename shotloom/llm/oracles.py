@@ -184,3 +184,40 @@ SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIG
        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
 FROM e LEFT JOIN o USING (rid) LEFT JOIN c USING (rid)
 """
+
+_RUN_BYTES = ("list_concat(" + _ID_BYTES.format(id="(doc_id || ':')") + ", flatten(list_transform(string_split(run, ''), "
+              "lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END)))")
+
+OP13 = f"""
+WITH RECURSIVE t AS ({_CRC_TABLE}),
+r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents),
+u AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY doc_id, run),
+h AS (SELECT run, n, {_CRC.format(bytes=_RUN_BYTES)} AS h FROM u, t),
+w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+         CAST(sum(n) AS BIGINT) AS n
+  FROM h GROUP BY 1),
+v AS (SELECT word, n FROM w WHERE length(word) >= 5 AND n >= 3),
+-- every word without its i-th code point
+x AS (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+p AS (
+  SELECT a.word, b.word AS form, b.n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.rest = v.word
+  UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.rest = v.word),
+b AS (
+  SELECT word, count(*) AS n_near, first(struct_pack(form, n) ORDER BY n DESC, form) AS best FROM p GROUP BY word),
+f AS (
+  SELECT word, v.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+         CASE WHEN best.n >= 2 * v.n THEN best.form END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
+  FROM v LEFT JOIN b USING (word)),
+path AS (
+  SELECT word, form, word AS root FROM f
+  UNION ALL SELECT path.word, f.form, f.word FROM path JOIN f ON path.form = f.word)
+SELECT f.word, f.form, path.root, f.n, n_near, CAST(form_n AS BIGINT) AS form_n
+FROM f JOIN path ON f.word = path.word AND path.form IS NULL
+"""
