@@ -16,6 +16,7 @@ from shotloom.llm.quality import judge_quality
 from shotloom.llm.runs import run_digests
 from shotloom.llm.tokens import encode_and_read_back
 from shotloom.llm.topk import quantised_top_k
+from shotloom.llm.toxicity import judge_toxicity
 from shotloom.llm.urls import judge_urls
 from shotloom.llm.variants import document_variants
 
@@ -64,6 +65,10 @@ def op11_repair_runs(spark, sf_dir):
     return run_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_cnn_toxicity(spark, sf_dir):
+    return judge_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_spelling_tiles(spark, sf_dir):
     return document_variants(table(spark, sf_dir, "documents"))
 
@@ -71,7 +76,7 @@ def op13_spelling_tiles(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_crf_langid, op2_segment_topk, op3_source_mixing, op4_pairwise_quality, op5_url_templates,
     op6_cross_polytope, op7_token_parquet, op8_minhash_neardup, op9_pii_surrogates, op10_best_fit_packing,
-    op11_repair_runs, op13_spelling_tiles)}
+    op11_repair_runs, op12_cnn_toxicity, op13_spelling_tiles)}
 
 ORACLE = {"op2_segment_topk": oracles.OP2, "op3_source_mixing": oracles.OP3, "op5_url_templates": oracles.OP5,
           "op8_minhash_neardup": oracles.OP8, "op11_repair_runs": oracles.OP11,
