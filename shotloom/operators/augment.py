@@ -114,21 +114,84 @@ def subgraph_delete(nodes: DataFrame, edges: DataFrame, targets: DataFrame) -> t
 
     A node survives when ROOT still reaches it with the edges into the target
     removed, so nodes shared with the rest of the graph keep their descendants.
+    Only graphs with a target are searched; the others pass unchanged.
     """
-    t = targets.select("qid", F.col("node_id").alias("dst"), F.lit(True).alias("_cut"))
-    kept_edges = edges.join(t, ["qid", "dst"], "left").filter(F.col("_cut").isNull()).drop("_cut")
-    roots = nodes.filter(F.col("type") == "ROOT").select("qid", F.col("node_id").alias("node"))
+    targets = stored(targets.select("qid", "node_id").distinct(), "targets")
+    touched = targets.select("qid").distinct()
+    own_nodes, own_edges = nodes.join(touched, "qid", "left_semi"), edges.join(touched, "qid", "left_semi")
+    t = targets.select("qid", F.col("node_id").alias("dst"))
+    kept_edges = stored(own_edges.join(t, ["qid", "dst"], "left_anti"), "kept-edges")
+    roots = own_nodes.filter(F.col("type") == "ROOT").select("qid", F.col("node_id").alias("node"))
     alive = reachable(kept_edges, roots).withColumnRenamed("node", "node_id")
-    n2 = nodes.join(alive, ["qid", "node_id"], "left_semi")
+    n2 = own_nodes.join(alive, ["qid", "node_id"], "left_semi")
     e2 = (kept_edges.join(alive.withColumnRenamed("node_id", "src"), ["qid", "src"], "left_semi")
                     .join(alive.withColumnRenamed("node_id", "dst"), ["qid", "dst"], "left_semi"))
-    return n2, e2
+    return (nodes.join(touched, "qid", "left_anti").unionByName(n2),
+            edges.join(touched, "qid", "left_anti").unionByName(e2))
+
 
+def simplify_conditions(nodes: DataFrame, edges: DataFrame, seed: int, prob: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """A10: with probability ``prob`` a graph loses one hash-chosen AND or OR under a hash-chosen WHERE.
 
-def predicate_targets(nodes: DataFrame, seed: int, drop_where: float = 0.3,
-                      drop_having: float = 0.2) -> DataFrame:
+    The connective must have one parent and two operands. An operand that is itself
+    AND or OR is kept, else a hash-chosen one; it takes the connective's place under
+    the parent (and its edge label), and the rest goes as in :func:`subgraph_delete`.
+    """
+    gate = hashing.uniform(seed, "simplify", F.col("qid")) < prob
+    word = F.upper(F.col("val"))
+    keyed = nodes.filter(F.col("type") == "SQL_KEYWORD").withColumn("kw", word)
+
+    def first(rows: DataFrame, part: list[str], tag: str, of: str) -> DataFrame:
+        rows = rows.withColumn("key", hashing.uniform(seed, tag, F.col("qid"), F.col(of)))
+        return top_k(rows, part, [F.col("key").asc(), F.col(of).asc()], 1)
+
+    where = first(keyed.filter((F.col("kw") == "WHERE") & gate), ["qid"], "simwhere", "node_id").select("qid", "node_id")
+    own = edges.join(where.select("qid"), "qid", "left_semi")
+    under = reachable(own, where.withColumnRenamed("node_id", "node")).withColumnRenamed("node", "node_id")
+    joint = keyed.filter(F.col("kw").isin("AND", "OR")).select("qid", "node_id")
+    chosen = first(under.join(joint, ["qid", "node_id"], "left_semi"), ["qid"], "simnode", "node_id").select("qid", "node_id")
+
+    above = (own.join(chosen.withColumnRenamed("node_id", "dst"), ["qid", "dst"])
+             .select("qid", F.col("dst").alias("node_id"), F.col("src").alias("parent"), F.col("label").alias("place")))
+    below = (own.join(chosen.withColumnRenamed("node_id", "src"), ["qid", "src"])
+             .select("qid", F.col("src").alias("node_id"), F.col("dst").alias("child")).distinct())
+    alone = above.groupBy("qid", "node_id").agg(F.count_distinct("parent").alias("n")).filter("n = 1").select("qid", "node_id")
+    two = below.groupBy("qid", "node_id").count().filter("count = 2").select("qid", "node_id")
+    fit = stored(alone.join(two, ["qid", "node_id"]), "simplified")
+    is_joint = joint.select("qid", F.col("node_id").alias("child"), F.lit(0).alias("other"))
+    ranked = (below.join(fit, ["qid", "node_id"], "left_semi").join(is_joint, ["qid", "child"], "left")
+              .withColumn("other", F.coalesce("other", F.lit(1)))
+              .withColumn("key", hashing.uniform(seed, "simkeep", F.col("qid"), F.col("child"))))
+    keep = top_k(ranked, ["qid", "node_id"], [F.col("other").asc(), F.col("key").asc(), F.col("child").asc()], 1)
+    moved = above.join(keep.select("qid", "node_id", "child"), ["qid", "node_id"]).select(
+        "qid", F.col("parent").alias("src"), F.col("child").alias("dst"), F.col("place").alias("label"))
+    return subgraph_delete(nodes, edges.select("qid", "src", "dst", "label").unionByName(moved).distinct(), fit)
+
+
+def predicate_modification(nodes: DataFrame, edges: DataFrame, seed: int, drop_where: float = 0.3, simplify: float = 0.5,
+                           drop_having: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Drop one WHERE, simplify one AND / OR, drop one HAVING, each with its probability, one after the other."""
+    def drop(word: str, prob: float, n: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        gone = predicate_targets(n, seed, drop_where=prob, drop_having=prob, words=(word,))
+        n2, e2 = subgraph_delete(n, e, gone)
+        return stored(n2, "aug-nodes"), stored(e2, "aug-edges")
+
+    nodes, edges = drop("WHERE", drop_where, nodes, edges)
+    nodes, edges = simplify_conditions(nodes, edges, seed, simplify)
+    return drop("HAVING", drop_having, stored(nodes, "aug-nodes"), stored(edges, "aug-edges"))
+
+
+def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes and edges as one table ``(qid, part, src, dst, label)``: a node's type is its label."""
+    n = nodes.select("qid", F.lit("node").alias("part"), F.col("node_id").alias("src"),
+                     F.lit(None).cast("string").alias("dst"), F.col("type").alias("label"))
+    return n.unionByName(edges.select("qid", F.lit("edge").alias("part"), "src", "dst", "label"))
+
+
+def predicate_targets(nodes: DataFrame, seed: int, drop_where: float = 0.3, drop_having: float = 0.2,
+                      words: tuple[str, ...] = ("WHERE", "HAVING")) -> DataFrame:
     """A11 (drop parts): one hash-chosen WHERE with probability ``drop_where``, one HAVING with ``drop_having``."""
-    own = nodes.filter((F.col("type") == "SQL_KEYWORD") & F.col("val").isin("WHERE", "HAVING"))
+    own = nodes.filter((F.col("type") == "SQL_KEYWORD") & F.col("val").isin(*words))
     own = own.withColumn("key", hashing.uniform(seed, "predpick", F.col("qid"), F.col("node_id")))
     first = top_k(own, ["qid", "val"], [F.col("key").asc(), F.col("node_id").asc()], 1)
     gate = F.when(F.col("val") == "WHERE", drop_where).otherwise(drop_having)
@@ -360,7 +423,7 @@ def default_operators(seed: int, words: DataFrame, src_cols: DataFrame, aug_cols
         "feature_masking": lambda n, e: (mask_nodes(n, 0.5, seed), e),
         "value_replacement": lambda n, e: replace_values(n, e, words, 0.8, seed),
         "keyword_replacement": lambda n, e: replace_keywords(n, e, 0.7, seed),
-        "predicate_modification": delete(lambda n, e: predicate_targets(n, seed)),
+        "predicate_modification": lambda n, e: predicate_modification(n, e, seed),
         "join_node_removal": delete(lambda n, e: join_targets(n, e, seed)),
         "table_column_replacement": lambda n, e: replace_schema(n, e, src_cols, aug_cols, seed),
     }

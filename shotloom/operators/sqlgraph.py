@@ -1,19 +1,30 @@
-"""SQL text -> labelled graph tables (G1-G12), as one windowed token job.
+"""SQL text -> labelled graph tables (G1-G12), as windowed token jobs.
 
 No parser: each query is lexed into tokens; sub-query depth comes from matching
-parentheses with window sums, a token's scope is the last SELECT at its depth,
-and every node's parent is the nearest owning keyword in its scope. The graph
-(our own definition, applied identically in every engine):
+parentheses with window sums, and a token's scope is the last SELECT at its depth.
+The graph (our own definition):
 
 * nodes ROOT; SQL_KEYWORD_<KIND>_<n> for clauses, set operations, connectives,
   comparisons, aggregates and literals (numbered per query and kind by
-  position), arithmetic and nested queries; one shared SQL_KEYWORD_STAR; TABLE_<t>; COLUMN_<t>.<c>; VALUE_<v>;
-* edges ROOT -> set operation -> SELECT, SELECT -> clause, clause -> operator ->
-  operand, LITERAL -> VALUE (``VALUE``), COLUMN -> TABLE (``belongs_to``),
-  SELECT/JOIN -> TABLE (``FROM``), outer operator -> nested SELECT (``query``).
+  position), arithmetic, grouping parentheses (PAREN) and nested queries; one shared
+  SQL_KEYWORD_STAR; TABLE_<t>; COLUMN_<t>.<c>; VALUE_<v>;
+* edges ROOT -> set operation -> SELECT, SELECT -> clause, clause -> expression,
+  LITERAL -> VALUE (``VALUE``), COLUMN -> TABLE (``belongs_to``), SELECT/JOIN -> TABLE
+  (``FROM``), operator -> nested SELECT (``query``);
+* expressions are operator-precedence trees: an operator's parent is the nearest
+  operator of lower precedence on either side (the higher of the two), so AND and
+  OR have two ordered operands: ``this`` is the left one, ``expression`` the right.
+  Parentheses raise the precedence of what they hold; functions are no nodes, their
+  arguments belong to the operator around them. The AND of a BETWEEN is no connective.
+* a column belongs to the nearest enclosing SELECT that names its qualifier, or, if
+  unqualified, that reads a table with such a column in the catalog. Without a catalog
+  entry the FROM table of its own SELECT is taken, else its only table, else it is
+  UNRESOLVED.
 
-The statement below is portable between Spark SQL and DuckDB except for a few
-dialect macros; Spark runs it through ``spark.sql`` over the query DataFrame.
+The token statement and the column resolution are portable between Spark SQL and
+DuckDB except for a few dialect macros. The trees are built twice over: Spark folds
+each SELECT's tokens with a stack, the oracle joins each token with its neighbours
+of lower precedence.
 """
 
 from __future__ import annotations
@@ -22,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotloom.functions import text as T
-from shotloom.operators.common import stored
+from shotloom.operators.common import broadcast_if_bounded, stored
+from shotloom.sources.tables import TABLES
 
 # Fixed pattern: SQL lexer (quoted literal, identifier with optional qualifier, number, operator, symbol).
 LEX_RE = r"'[^']*'|[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)?|[0-9]+(?:\.[0-9]+)?|>=|<=|!=|<>|[^\sA-Za-z0-9_]"
@@ -53,8 +65,13 @@ def _dialect(engine: str) -> dict:
     }
 
 
-def graph_ctes(engine: str, part: str = "all") -> str:
-    """CTE chain over ``src(qid, q)``: ``tk`` (classified tokens), ``nodes``, ``edges``.
+# Precedence inside one parenthesis level; a level adds 10, operands are above all.
+LEAF = 1000000
+CLAUSE_EDGE = "expressions"
+
+
+def token_ctes(engine: str) -> str:
+    """CTE chain over ``src(qid, q)`` up to ``tt``, the classified tokens of each query.
 
     Every CTE is read once, in one linear chain of windows (one shuffle by qid,
     then sorts), so engines that inline CTEs do not recompute anything.
@@ -64,44 +81,9 @@ def graph_ctes(engine: str, part: str = "all") -> str:
     def last(x):
         return d["last"].format(x=x)
 
-    def st(a, b, c):
-        return d["struct"].format(a=a, b=b, c=c)
-
-    def arr(*items):
-        return d["arr"].format(items=", ".join(items))
-
     upto = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     q1 = "chr(39)"
-    null3 = st("CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
-    col_node = "'COLUMN_' || coalesce(ctable, 'UNRESOLVED') || '.' || cname"
-    value_node = f"'VALUE_' || replace(tok, {q1}, '')"
-    operand_parent = "CASE WHEN nxt_kind = 'op' THEN nxt_label ELSE last_opish END"
-    node_arr = arr(
-        f"CASE WHEN pos = 1 THEN {st(repr('ROOT'), repr('ROOT'), repr('ROOT'))} ELSE {null3} END",
-        f"""CASE WHEN kind IN ('clause', 'setop', 'op', 'agg', 'literal', 'sub') THEN {st('klabel', 'kw', "'SQL_KEYWORD'")}
-             WHEN kind = 'star' THEN {st("'SQL_KEYWORD_STAR'", "'*'", "'SQL_KEYWORD'")}
-             WHEN kind = 'table' THEN {st("'TABLE_' || tok", 'tok', "'TABLE'")}
-             WHEN kind = 'column' THEN {st(col_node, 'cname', "'COLUMN'")} ELSE {null3} END""",
-        f"""CASE WHEN kind = 'literal' THEN {st(value_node, f"replace(tok, {q1}, '')", "'VALUE'")}
-             WHEN kind = 'column' AND ctable IS NOT NULL THEN {st("'TABLE_' || ctable", 'ctable', "'TABLE'")}
-             ELSE {null3} END""")
-    edge_arr = arr(
-        f"""CASE WHEN kind = 'setop' AND depth = 0 THEN {st("'ROOT'", 'klabel', "'expression'")}
-             WHEN lt = 'select' THEN {st("CASE WHEN depth = 0 THEN coalesce(top_setop, 'ROOT') ELSE last_any END",
-                                          'klabel', "CASE WHEN depth = 0 THEN 'expression' ELSE 'this' END")}
-             WHEN kind = 'sub' THEN {st('last_any', 'klabel', "'query'")}
-             WHEN kind = 'clause' THEN {st('scope_select', 'klabel', 'lower(kw)')}
-             WHEN kind IN ('op', 'agg') THEN {st('last_clause', 'klabel', "'expressions'")}
-             WHEN kind = 'table' THEN {st("CASE WHEN prv = 'join' THEN prv_label ELSE scope_select END",
-                                         "'TABLE_' || tok", "'FROM'")}
-             WHEN kind = 'literal' THEN {st(operand_parent, 'klabel', "'expressions'")}
-             WHEN kind = 'star' THEN {st(operand_parent, "'SQL_KEYWORD_STAR'", "'expressions'")}
-             WHEN kind = 'column' THEN {st(operand_parent, col_node, "'expressions'")}
-             ELSE {null3} END""",
-        f"""CASE WHEN kind = 'literal' THEN {st('klabel', value_node, "'VALUE'")}
-             WHEN kind = 'column' AND ctable IS NOT NULL THEN {st(col_node, "'TABLE_' || ctable", "'belongs_to'")}
-             ELSE {null3} END""")
     # fixed words: clause words, words that are no names, and what cannot end an operand
     parts = "'select', 'from', 'join', 'on', 'where', 'group', 'having', 'order', 'limit', 'union', 'except', 'intersect'"
     plain = ("'from', 'by', 'as', 'on', 'asc', 'desc', 'is', 'null', 'exists', 'left', 'right', 'inner', 'outer', "
@@ -116,11 +98,17 @@ t1 AS (SELECT qid, pos, tok, lower(tok) AS lt,
          lag(lower(tok)) OVER (PARTITION BY qid ORDER BY pos) AS prv,
          lag(tok) OVER (PARTITION BY qid ORDER BY pos) AS prv1,
          lag(tok, 2) OVER (PARTITION BY qid ORDER BY pos) AS prv2,
-         {last(f"CASE WHEN lower(tok) IN ({parts}) THEN lower(tok) END")} OVER (PARTITION BY qid ORDER BY pos {before}) AS part
+         {last(f"CASE WHEN lower(tok) IN ({parts}) THEN lower(tok) END")} OVER (PARTITION BY qid ORDER BY pos {before}) AS part,
+         sum(CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END)
+             OVER (PARTITION BY qid ORDER BY pos {upto}) AS pincl
        FROM toks),
+t1b AS (SELECT *, {last("CASE WHEN lt IN ('and', 'or', 'between') THEN lt END")}
+                  OVER (PARTITION BY qid, pincl ORDER BY pos {before}) AS conn FROM t1),
 t2a AS (SELECT *, CASE
    WHEN substr(tok, 1, 1) = {q1} OR substr(tok, 1, 1) BETWEEN '0' AND '9' THEN 'literal'
    WHEN tok = '(' AND nxt = 'select' THEN 'sub'
+   WHEN tok = '(' AND prv IN ({no_operand}) AND prv NOT IN ('in', 'from', 'using', 'exists', 'all') THEN 'paren'
+   WHEN lt = 'and' AND conn = 'between' THEN 'kw'
    WHEN lt IN ('except', 'intersect', 'union') THEN 'setop'
    WHEN lt IN ('select', 'where', 'having', 'limit', 'offset', 'join', 'distinct') THEN 'clause'
    WHEN lt IN ('group', 'order') AND nxt = 'by' THEN 'clause'
@@ -135,17 +123,15 @@ t2a AS (SELECT *, CASE
    -- a name right after a table, or after a query in FROM, is its alias
    WHEN word AND part IN ('from', 'join') AND (prv = ')' OR lower(prv2) IN ('from', 'join', ',')) THEN 'alias'
    WHEN word THEN 'column'
-   ELSE 'punct' END AS kind FROM t1),
+   ELSE 'punct' END AS kind FROM t1b),
 t2 AS (SELECT *, CASE WHEN kind IN ('clause', 'setop', 'agg') THEN upper(lt)
                       WHEN kind = 'op' THEN CASE lt WHEN '=' THEN 'EQ' WHEN '!=' THEN 'NEQ' WHEN '<>' THEN 'NEQ'
                            WHEN '>' THEN 'GT' WHEN '>=' THEN 'GTE' WHEN '<' THEN 'LT' WHEN '<=' THEN 'LTE'
                            WHEN '+' THEN 'ADD' WHEN '/' THEN 'DIV' WHEN '*' THEN 'MUL'
                            WHEN '-' THEN CASE WHEN {ends_operand} THEN 'SUB' ELSE 'NEG' END ELSE upper(lt) END
-                      WHEN kind = 'sub' THEN 'SUBQUERY'
+                      WHEN kind = 'sub' THEN 'SUBQUERY' WHEN kind = 'paren' THEN 'PAREN'
                       WHEN kind = 'literal' THEN 'LITERAL' END AS kw FROM t2a),
-t3 AS (SELECT *, sum(CASE WHEN tok = '(' THEN 1 WHEN tok = ')' THEN -1 ELSE 0 END)
-                 OVER (PARTITION BY qid ORDER BY pos {upto}) AS pincl,
-                 CASE WHEN kw IS NOT NULL THEN row_number() OVER (PARTITION BY qid, kw ORDER BY pos) END AS kwn FROM t2),
+t3 AS (SELECT *, CASE WHEN kw IS NOT NULL THEN row_number() OVER (PARTITION BY qid, kw ORDER BY pos) END AS kwn FROM t2),
 t4 AS (SELECT *, CASE WHEN tok = '(' THEN pincl WHEN tok = ')' THEN pincl + 1 END AS plevel,
                  CASE WHEN tok = '(' THEN (CASE WHEN nxt = 'select' THEN 1 ELSE 0 END) END AS opensub,
                  CASE WHEN kw IS NOT NULL THEN 'SQL_KEYWORD_' || kw || '_' || CAST(kwn - 1 AS STRING) END AS klabel
@@ -156,39 +142,202 @@ t6 AS (SELECT *, sum(CASE WHEN tok = '(' AND opensub = 1 THEN 1 WHEN tok = ')' A
                  OVER (PARTITION BY qid ORDER BY pos {upto})
                  - CASE WHEN tok = '(' AND opensub = 1 THEN 1 ELSE 0 END AS depth,
                  {last("CASE WHEN kind IN ('clause', 'op', 'agg', 'setop', 'sub') THEN klabel END")} OVER (PARTITION BY qid ORDER BY pos {before}) AS last_any,
-                 lead(kind) OVER (PARTITION BY qid ORDER BY pos) AS nxt_kind,
-                 lead(klabel) OVER (PARTITION BY qid ORDER BY pos) AS nxt_label,
                  lag(klabel) OVER (PARTITION BY qid ORDER BY pos) AS prv_label
           FROM t5),
-t7 AS (SELECT *, {last("CASE WHEN lt = 'select' THEN pos END")} OVER (PARTITION BY qid, depth ORDER BY pos {upto}) AS scope,
+t7 AS (SELECT *, coalesce({last("CASE WHEN lt = 'select' THEN pos END")} OVER (PARTITION BY qid, depth ORDER BY pos {upto}), 0) AS scope,
                  {last("CASE WHEN lt = 'select' THEN klabel END")} OVER (PARTITION BY qid, depth ORDER BY pos {upto}) AS scope_select,
-                 {last("CASE WHEN kind = 'clause' THEN klabel END")} OVER (PARTITION BY qid, depth ORDER BY pos {before}) AS last_clause,
-                 {last("CASE WHEN kind IN ('clause', 'op', 'agg') THEN klabel END")} OVER (PARTITION BY qid, depth ORDER BY pos {before}) AS last_opish,
                  max(CASE WHEN kind = 'setop' AND depth = 0 THEN klabel END) OVER (PARTITION BY qid) AS top_setop,
+                 pincl - CASE WHEN tok = '(' THEN 1 ELSE 0 END - depth AS lvl,
                  CASE WHEN kind = 'column' AND instr(tok, '.') > 0 THEN split_part(tok, '.', 1) END AS qual
           FROM t6),
 t8 AS (SELECT *, CASE WHEN kind = 'alias' THEN lower(tok) ELSE lower(qual) END AS aname,
-                 CASE WHEN kind = 'alias' THEN CASE WHEN prv = 'as' THEN prv2 ELSE prv1 END END AS atable FROM t7),
--- an alias means the table of its own SELECT, else that of the query
-t9 AS (SELECT *, max(atable) OVER (PARTITION BY qid, scope, aname) AS own_table,
-                 max(atable) OVER (PARTITION BY qid, aname) AS any_table,
+                 CASE WHEN kind = 'alias' THEN nullif(CASE WHEN prv = 'as' THEN prv2 ELSE prv1 END, ')') END AS atable FROM t7),
+t9 AS (SELECT *, max(atable) OVER (PARTITION BY qid, aname) AS any_table,
                  max(CASE WHEN kind = 'table' AND prv = 'from' THEN tok END) OVER (PARTITION BY qid, scope) AS from_table,
                  min(CASE WHEN kind = 'table' THEN tok END) OVER (PARTITION BY qid, scope) AS low_table,
-                 max(CASE WHEN kind = 'table' THEN tok END) OVER (PARTITION BY qid, scope) AS high_table FROM t8),
-tk AS (SELECT t9.*,
-         CASE WHEN kind = 'column' AND qual IS NOT NULL THEN split_part(tok, '.', 2) ELSE tok END AS cname,
-         CASE WHEN kind <> 'column' THEN NULL WHEN qual IS NOT NULL THEN coalesce(own_table, any_table, qual)
-              WHEN from_table IS NOT NULL THEN from_table WHEN low_table = high_table THEN low_table END AS ctable
+                 max(CASE WHEN kind = 'table' THEN tok END) OVER (PARTITION BY qid, scope) AS high_table,
+                 lvl - coalesce(max(CASE WHEN lt = 'select' THEN lvl END) OVER (PARTITION BY qid, scope), 0) AS rel FROM t8),
+-- how a token takes part in expressions, and how firmly it binds
+tt AS (SELECT *, CASE WHEN kind IN ('clause', 'setop') THEN 'clause'
+                      WHEN kind IN ('literal', 'star', 'column', 'sub') THEN 'leaf'
+                      WHEN kind IN ('agg', 'paren') OR kw = 'NEG' THEN 'prefix'
+                      WHEN kw = 'NOT' AND nxt IN ('in', 'like', 'between') THEN 'negates'
+                      WHEN kw = 'NOT' AND coalesce(prv, '') <> 'is' THEN 'prefix'
+                      WHEN kind = 'op' THEN 'binary'
+                      WHEN lt = 'and' AND kind = 'kw' THEN 'bar'
+                      WHEN lt IN (',', 'on', 'as', 'from', 'by', 'asc', 'desc', 'case', 'when', 'then', 'else', 'end', 'using')
+                      THEN 'bar' END AS take,
+                 CAST(CASE WHEN kind IN ('clause', 'setop') THEN -1
+                      WHEN kind IN ('literal', 'star', 'column', 'sub') THEN {LEAF}
+                      ELSE 10 * rel + CASE WHEN kind IN ('agg', 'paren') THEN 9
+                           WHEN lt = 'and' AND kind = 'kw' THEN 5 WHEN kind <> 'op' THEN 0 WHEN kw = 'OR' THEN 1 WHEN kw = 'AND' THEN 2
+                           WHEN kw = 'NOT' THEN CASE WHEN prv = 'is' THEN 4 ELSE 3 END
+                           WHEN kw IN ('ADD', 'SUB') THEN 6 WHEN kw IN ('MUL', 'DIV') THEN 7 WHEN kw = 'NEG' THEN 8
+                           ELSE 4 END END AS BIGINT) AS prec
        FROM t9)"""
-    tail = f"""node_rows AS ({d['explode'].format(src='tk', arr=node_arr)}),
+    return head
+
+
+#: Over ``tt`` and ``gcat(table_name, column_name)`` (lower case): ``best``, the table of each column that some
+#: enclosing SELECT names (its qualifier) or whose tables hold it. A SELECT encloses a token if it is the last one
+#: before it at its depth or a lower one.
+RESOLVE_CTES = """sel AS (SELECT qid, pos AS spos, depth AS sdepth FROM tt WHERE lt = 'select'),
+col AS (SELECT qid, pos, depth, lower(qual) AS q, lower(CASE WHEN qual IS NULL THEN tok ELSE split_part(tok, '.', 2) END) AS c
+        FROM tt WHERE kind = 'column'),
+anc AS (SELECT col.qid, col.pos, col.q, col.c, sel.sdepth, max(sel.spos) AS scope
+        FROM col JOIN sel ON sel.qid = col.qid AND sel.spos < col.pos AND sel.sdepth <= col.depth
+        GROUP BY col.qid, col.pos, col.q, col.c, sel.sdepth),
+named AS (SELECT qid, scope, pos AS npos, lower(tok) AS name, CASE WHEN kind = 'table' THEN tok ELSE atable END AS tbl,
+                 kind FROM tt WHERE kind = 'table' OR kind = 'alias' AND atable IS NOT NULL),
+hits AS (SELECT anc.qid, anc.pos, anc.sdepth, n.npos, n.tbl FROM anc JOIN named n
+           ON n.qid = anc.qid AND n.scope = anc.scope AND n.name = anc.q
+         UNION ALL
+         SELECT anc.qid, anc.pos, anc.sdepth, n.npos, n.tbl FROM anc JOIN named n
+           ON n.qid = anc.qid AND n.scope = anc.scope AND anc.q IS NULL AND n.kind = 'table'
+         JOIN gcat ON gcat.table_name = n.name AND gcat.column_name = anc.c),
+best AS (SELECT qid, pos, tbl FROM (
+           SELECT qid, pos, tbl, row_number() OVER (PARTITION BY qid, pos ORDER BY sdepth DESC, npos) AS k FROM hits) z
+         WHERE k = 1)"""
+
+#: Over ``tt`` and ``best``: the tokens with column names and tables.
+TK = """SELECT tt.*, CASE WHEN kind = 'column' AND qual IS NOT NULL THEN split_part(tok, '.', 2) ELSE tok END AS cname,
+         CASE WHEN kind <> 'column' THEN NULL WHEN best.tbl IS NOT NULL THEN best.tbl
+              WHEN qual IS NOT NULL THEN coalesce(any_table, qual)
+              WHEN from_table IS NOT NULL THEN from_table WHEN low_table = high_table THEN low_table END AS ctable
+       FROM tt LEFT JOIN best ON best.qid = tt.qid AND best.pos = tt.pos"""
+
+_COLUMN = "'COLUMN_' || coalesce(ctable, 'UNRESOLVED') || '.' || cname"
+#: The graph's label of a token that is an operator or operand.
+_NAME = f"CASE kind WHEN 'column' THEN {_COLUMN} WHEN 'star' THEN 'SQL_KEYWORD_STAR' ELSE klabel END"
+
+
+def graph_ctes(engine: str) -> str:
+    """CTE chain over ``tk`` and ``trees(qid, src, dst, label)``: ``nodes`` and ``edges``."""
+    d = _dialect(engine)
+
+    def st(a, b, c):
+        return d["struct"].format(a=a, b=b, c=c)
+
+    def arr(*items):
+        return d["arr"].format(items=", ".join(items))
+
+    q1 = "chr(39)"
+    null3 = st("CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
+    value_node = f"'VALUE_' || replace(tok, {q1}, '')"
+    node_arr = arr(
+        f"CASE WHEN pos = 1 THEN {st(repr('ROOT'), repr('ROOT'), repr('ROOT'))} ELSE {null3} END",
+        f"""CASE WHEN klabel IS NOT NULL THEN {st('klabel', 'kw', "'SQL_KEYWORD'")}
+             WHEN kind = 'star' THEN {st("'SQL_KEYWORD_STAR'", "'*'", "'SQL_KEYWORD'")}
+             WHEN kind = 'table' THEN {st("'TABLE_' || tok", 'tok', "'TABLE'")}
+             WHEN kind = 'column' THEN {st(_COLUMN, 'cname', "'COLUMN'")} ELSE {null3} END""",
+        f"""CASE WHEN kind = 'literal' THEN {st(value_node, f"replace(tok, {q1}, '')", "'VALUE'")}
+             WHEN kind = 'column' AND ctable IS NOT NULL THEN {st("'TABLE_' || ctable", 'ctable', "'TABLE'")}
+             ELSE {null3} END""")
+    edge_arr = arr(
+        f"""CASE WHEN kind = 'setop' AND depth = 0 THEN {st("'ROOT'", 'klabel', "'expression'")}
+             WHEN lt = 'select' THEN {st("CASE WHEN depth = 0 THEN coalesce(top_setop, 'ROOT') ELSE last_any END",
+                                          'klabel', "CASE WHEN depth = 0 THEN 'expression' ELSE 'this' END")}
+             WHEN kind = 'clause' THEN {st('scope_select', 'klabel', 'lower(kw)')}
+             WHEN kind = 'table' THEN {st("CASE WHEN prv = 'join' THEN prv_label ELSE scope_select END",
+                                         "'TABLE_' || tok", "'FROM'")}
+             ELSE {null3} END""",
+        f"""CASE WHEN kind = 'literal' THEN {st('klabel', value_node, "'VALUE'")}
+             WHEN kind = 'column' AND ctable IS NOT NULL THEN {st(_COLUMN, "'TABLE_' || ctable", "'belongs_to'")}
+             ELSE {null3} END""")
+    return f"""node_rows AS ({d['explode'].format(src='tk', arr=node_arr)}),
 nodes AS (SELECT DISTINCT qid, a AS node_id, b AS val, c AS type FROM node_rows WHERE a IS NOT NULL),
 edge_rows AS ({d['explode'].format(src='tk', arr=edge_arr)}),
-edges AS (SELECT DISTINCT qid, a AS src, b AS dst, c AS label FROM edge_rows WHERE a IS NOT NULL AND b IS NOT NULL)"""
-    if part == "tokens":
-        return head
-    if part == "graph":
-        return tail
-    return head + ",\n" + tail
+edges AS (SELECT qid, a AS src, b AS dst, c AS label FROM edge_rows WHERE a IS NOT NULL AND b IS NOT NULL
+          UNION SELECT qid, src, dst, label FROM trees WHERE src IS NOT NULL AND dst IS NOT NULL)"""
+
+
+# --- operator-precedence trees, by a fold over each SELECT's tokens -----------------------------
+
+_KID = "struct<pos:bigint,label:string,kind:string>"
+_ENTRY = f"struct<prec:bigint,pos:bigint,label:string,kind:string,kw:string,kids:array<{_KID}>>"
+_EDGE = "struct<src:string,dst:string,label:string>"
+#: Label of the edge from parent entry {p} to child {k}.
+_SIDE = ("CASE WHEN {k}.kind = 'sub' THEN 'query' WHEN {k}.kind = 'column' OR {p}.kind IN ('clause', 'setop') THEN '"
+         + CLAUSE_EDGE + "' WHEN {p}.kw = 'IN' AND {k}.pos > {p}.pos THEN 'expressions' "
+         "WHEN {p}.kind IN ('agg', 'paren') OR {p}.kw IN ('NOT', 'NEG') OR {k}.pos < {p}.pos THEN 'this' ELSE 'expression' END")
+
+
+def _attach(parent: str, kids: str) -> str:
+    side = _SIDE.format(p=parent, k="k")
+    return f"transform({kids}, k -> named_struct('src', {parent}.label, 'dst', k.label, 'label', {side}))"
+
+
+def _entry(prec: str, pos: str, label: str, kind: str, kw: str, kids: str = f"CAST(array() AS array<{_KID}>)") -> str:
+    return (f"CAST(named_struct('prec', {prec}, 'pos', {pos}, 'label', {label}, 'kind', {kind}, 'kw', {kw}, "
+            f"'kids', {kids}) AS {_ENTRY})")
+
+
+def tree_fold(tk: DataFrame) -> DataFrame:
+    """``trees(qid, src, dst, label)``: each SELECT's tokens folded with a stack of open operators.
+
+    A new token closes the open ones that bind at least as firmly; each of these is a
+    child of the one below it, and the lowest is the left operand of the new token, if
+    it takes one. Bars (commas and the like) are entries without a node: they pass
+    their operands on. A query's tokens are bounded by its text.
+    """
+    # closed: entries taken off the stack, the top first, each handing itself to the next
+    itself = "CAST(array(named_struct('pos', s.pos, 'label', s.label, 'kind', s.kind)) AS array<" + _KID + ">)"
+    close = (f"aggregate(reverse(popped), CAST(named_struct('carry', array(), 'out', array()) AS "
+             f"struct<carry:array<{_KID}>,out:array<{_EDGE}>>), (b, s) -> CAST(CASE WHEN s.label IS NULL "
+             f"THEN named_struct('carry', concat(s.kids, b.carry), 'out', b.out) "
+             f"ELSE named_struct('carry', {itself}, 'out', concat(b.out, {_attach('s', 'b.carry')})) END AS "
+             f"struct<carry:array<{_KID}>,out:array<{_EDGE}>>))")
+    item = _entry("o.prec", "o.pos", "o.label", "o.kind", "o.kw")
+    bar = _entry("o.prec", "o.pos", "CAST(NULL AS STRING)", "o.kind", "o.kw", "c.carry")
+    negation = _entry("o.prec - 1", "o.pos - 1", "o.neg", "'op'", "'NOT'")
+    below = "element_at(kept, -1)"
+    # operands that the new token does not take go to the entry below, through it if it is a bar
+    passed = (f"CASE WHEN size(kept) > 0 AND {below}.label IS NULL AND size(c.carry) > 0 THEN concat(slice(kept, 1, size(kept) - 1), "
+              f"array({_entry(below + '.prec', below + '.pos', 'CAST(NULL AS STRING)', below + '.kind', below + '.kw', f'concat({below}.kids, c.carry)')})) "
+              f"ELSE kept END")
+    to_below = f"CASE WHEN size(kept) > 0 AND {below}.label IS NOT NULL THEN {_attach(below, 'c.carry')} ELSE CAST(array() AS array<{_EDGE}>) END"
+    state = f"struct<stack:array<{_ENTRY}>,out:array<{_EDGE}>>"
+    stack = (f"CASE o.take WHEN 'clause' THEN array({item}) "
+             f"WHEN 'bar' THEN concat(kept, array({bar})) "
+             f"WHEN 'binary' THEN concat(kept, CASE WHEN o.neg IS NULL THEN array({item}) ELSE array({negation}, {item}) END) "
+             f"ELSE concat({passed}, array({item})) END")
+    out = (f"concat(a.out, c.out, CASE o.take WHEN 'binary' THEN {_attach('o', 'c.carry')} "
+           f"WHEN 'bar' THEN CAST(array() AS array<{_EDGE}>) ELSE {to_below} END)")
+    cut = f"CASE o.take WHEN 'clause' THEN 0 WHEN 'leaf' THEN {LEAF} WHEN 'prefix' THEN {LEAF} ELSE o.prec END"
+
+    def let(name: str, value: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    step = let("kept", f"filter(a.stack, s -> s.prec < {cut})", let("popped", f"filter(a.stack, s -> s.prec >= {cut})",
+               let("c", close, f"CAST(named_struct('stack', {stack}, 'out', {out}) AS {state})")))
+    fold = (f"aggregate(items, CAST(named_struct('stack', array(), 'out', array()) AS {state}), "
+            f"(a, o) -> {step}, a -> a.out)")
+    items = (tk.filter("take IS NOT NULL AND take <> 'negates'")
+             .select("qid", "scope", F.struct("pos", "prec", "take", F.expr(_NAME).alias("label"), "kind", "kw",
+                                              F.expr("CASE WHEN prv = 'not' AND kw IN ('IN', 'LIKE', 'BETWEEN') THEN prv_label END")
+                                              .alias("neg")).alias("item")))
+    end = F.struct(F.lit(1 << 60).alias("pos"), F.lit(-1).cast("long").alias("prec"), F.lit("clause").alias("take"),
+                   *[F.lit(None).cast("string").alias(c) for c in ("label", "kind", "kw", "neg")])
+    grouped = items.groupBy("qid", "scope").agg(F.concat(F.sort_array(F.collect_list("item")), F.array(end)).alias("items"))
+    return grouped.select("qid", F.explode_outer(F.expr(fold)).alias("e")).filter("e is not null").select("qid", "e.*")
+
+
+#: The same trees for the oracle: each item with its neighbours of lower precedence. A bar's operands go where it goes.
+TREE_JOINS = f"""it AS (SELECT qid, scope, pos, prec, take, kind, kw, {_NAME} AS name FROM tk WHERE take IS NOT NULL),
+lp AS (SELECT x.qid, x.pos, max(o.pos) AS place FROM it x JOIN it o ON o.qid = x.qid AND o.scope = x.scope AND o.pos < x.pos
+         AND (o.prec < x.prec OR o.take = 'prefix' AND o.prec = x.prec) WHERE x.take <> 'clause' GROUP BY x.qid, x.pos),
+rp AS (SELECT x.qid, x.pos, min(o.pos) AS place FROM it x JOIN it o ON o.qid = x.qid AND o.scope = x.scope AND o.pos > x.pos
+         AND o.take IN ('binary', 'bar', 'clause') AND o.prec <= x.prec WHERE x.take <> 'clause' GROUP BY x.qid, x.pos),
+up AS (SELECT x.qid, x.pos, x.kind, x.name, x.take, x.pos AS own,
+         CASE WHEN r.take <> 'clause' AND r.prec > l.prec THEN r.pos ELSE l.pos END AS parent
+       FROM it x JOIN lp ON lp.qid = x.qid AND lp.pos = x.pos JOIN it l ON l.qid = x.qid AND l.pos = lp.place
+       LEFT JOIN rp ON rp.qid = x.qid AND rp.pos = x.pos LEFT JOIN it r ON r.qid = x.qid AND r.pos = rp.place),
+climb(qid, own, place) AS (
+  SELECT qid, pos, parent FROM up WHERE take <> 'bar'
+  UNION ALL SELECT c.qid, c.own, up.parent FROM climb c JOIN up ON up.qid = c.qid AND up.pos = c.place AND up.take = 'bar'),
+trees AS (SELECT k.qid, p.name AS src, k.name AS dst, {_SIDE.format(p='p', k='k')} AS label
+          FROM climb JOIN it k ON k.qid = climb.qid AND k.pos = climb.own
+          JOIN it p ON p.qid = climb.qid AND p.pos = climb.place WHERE p.take <> 'bar')"""
 
 
 def clean_for_graph(query):
@@ -196,32 +345,59 @@ def clean_for_graph(query):
     return T.double_to_single_quotes(T.join_split_ops(T.postprocess_sql(query)))
 
 
-def graph_query(queries: DataFrame, select: str, qid: str = "qid", query: str = "query") -> DataFrame:
-    """Run the graph statement over ``queries`` and return ``SELECT <select>`` on its CTEs."""
-    src = queries.select(F.col(qid).alias("qid"), clean_for_graph(F.col(query)).alias("q"))
+def catalog_names(columns: DataFrame) -> DataFrame:
+    """``(table_name, column_name)`` in lower case of catalog columns, for the resolution of unqualified columns."""
+    return columns.select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name")).distinct()
+
+
+def resolved_tokens(queries: DataFrame, catalog: DataFrame | None = None, qid: str = "qid",
+                    query: str = "query") -> DataFrame:
+    """``tk``: the classified tokens of every query, columns with their tables.
+
+    The tokens are written once in the checkpoint folder, then joined with their
+    enclosing SELECTs and the catalog (broadcast if it is small).
+    """
     spark = queries.sparkSession
-    stmt = "WITH src AS (SELECT * FROM {src_df}), " + graph_ctes("spark") + "\n" + select
-    return spark.sql(stmt, src_df=src)
+    src = queries.select(F.col(qid).alias("qid"), clean_for_graph(F.col(query)).alias("q"))
+    tt = stored(spark.sql("WITH src AS (SELECT * FROM {src_df}), " + token_ctes("spark") + "\nSELECT * FROM tt", src_df=src),
+                "graph-tokens")
+    if catalog is None:
+        catalog = spark.createDataFrame([], "table_name string, column_name string")
+    gcat, _ = broadcast_if_bounded(catalog)
+    best = stored(spark.sql("WITH tt AS (SELECT * FROM {tt_df}), gcat AS (SELECT * FROM {gcat_df}), " + RESOLVE_CTES
+                            + "\nSELECT * FROM best", tt_df=tt, gcat_df=gcat), "graph-columns")
+    return spark.sql("WITH tt AS (SELECT * FROM {tt_df}), best AS (SELECT * FROM {best_df}) " + TK, tt_df=tt, best_df=best)
+
+
+def graph_query(queries: DataFrame, select: str, catalog: DataFrame | None = None, qid: str = "qid",
+                query: str = "query") -> DataFrame:
+    """``SELECT <select>`` over the tables ``tk``, ``nodes`` and ``edges`` of all queries."""
+    tk = resolved_tokens(queries, catalog, qid, query)
+    stmt = ("WITH tk AS (SELECT * FROM {tk_df}), trees AS (SELECT * FROM {trees_df}), " + graph_ctes("spark") + "\n" + select)
+    return queries.sparkSession.sql(stmt, tk_df=tk, trees_df=tree_fold(tk))
 
 
 def duck_graph_query(src_sql: str, select: str) -> str:
-    """The same statement for DuckDB over a ``src(qid, q)`` subquery."""
-    return "WITH src AS (" + src_sql + "), " + graph_ctes("duckdb") + "\n" + select
+    """The oracle's statement over a ``src(qid, q)`` subquery: own trees, the catalog from the registered views."""
+    tables = ", ".join(f"'{t}'" for t in TABLES)
+    gcat = f"""gcat AS (SELECT DISTINCT lower(table_name) AS table_name, lower(column_name) AS column_name
+  FROM information_schema.columns WHERE table_name IN ({tables}))"""
+    return ("WITH RECURSIVE src AS (" + src_sql + "), " + token_ctes("duckdb") + ",\n" + gcat + ",\n" + RESOLVE_CTES
+            + ",\ntk AS (" + TK + "),\n" + TREE_JOINS + ",\n" + graph_ctes("duckdb") + "\n" + select)
 
 
-def graph_tables(queries: DataFrame, qid: str = "qid", query: str = "query") -> tuple[DataFrame, DataFrame]:
+def graph_tables(queries: DataFrame, catalog: DataFrame | None = None, qid: str = "qid",
+                 query: str = "query") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of every query, materialised once for their many consumers.
 
-    The token table and both graph tables are written in the cluster's
-    checkpoint folder: downstream loops (reachability) then start from short,
-    recoverable lineage instead of re-running the lexer windows.
+    Both tables are written in the cluster's checkpoint folder: downstream loops
+    (reachability) then start from short, recoverable lineage instead of re-running
+    the lexer windows.
     """
-    src = queries.select(F.col(qid).alias("qid"), clean_for_graph(F.col(query)).alias("q"))
+    tk = resolved_tokens(queries, catalog, qid, query)
     spark = queries.sparkSession
-    tk = spark.sql("WITH src AS (SELECT * FROM {src_df}), " + graph_ctes("spark", "tokens")
-                   + "\nSELECT * FROM tk", src_df=src)
-    tk = stored(tk, "graph-tokens")
-    graph = "WITH tk AS (SELECT * FROM {tk_df}), " + graph_ctes("spark", "graph")
-    nodes = stored(spark.sql(graph + "\nSELECT qid, node_id, val, type FROM nodes", tk_df=tk), "graph-nodes")
-    edges = stored(spark.sql(graph + "\nSELECT qid, src, dst, label FROM edges", tk_df=tk), "graph-edges")
+    graph = "WITH tk AS (SELECT * FROM {tk_df}), trees AS (SELECT * FROM {trees_df}), " + graph_ctes("spark")
+    trees = tree_fold(tk)
+    nodes = stored(spark.sql(graph + "\nSELECT qid, node_id, val, type FROM nodes", tk_df=tk, trees_df=trees), "graph-nodes")
+    edges = stored(spark.sql(graph + "\nSELECT qid, src, dst, label FROM edges", tk_df=tk, trees_df=trees), "graph-edges")
     return nodes, edges

@@ -672,10 +672,14 @@ from shotloom.operators import sqlgraph as G  # noqa: E402
 _GSRC = (f"{D.QLOG_CTE} SELECT qid, {D.double_to_single(D.join_split_ops(D.postprocess('query')))} AS q FROM qlog")
 
 
+def _names(spark, sf_dir):
+    return G.catalog_names(CAT.catalog_columns(spark, sf_dir))
+
+
 def _graph_pair(name: str, select: str):
     @query(name, oracle=G.duck_graph_query(f"WITH {_GSRC}", select))
     def _q(spark, sf_dir):
-        return G.graph_query(S.qlog(spark, sf_dir).select("qid", "query"), select)
+        return G.graph_query(S.qlog(spark, sf_dir).select("qid", "query"), select, _names(spark, sf_dir))
     return _q
 
 
@@ -814,14 +818,11 @@ FEAT_DIM = 16
 
 
 def _graph(spark, sf_dir):
-    return G.graph_tables(S.qlog(spark, sf_dir).select("qid", "query"))
+    return G.graph_tables(S.qlog(spark, sf_dir).select("qid", "query"), _names(spark, sf_dir))
 
 
-def _duck_graph(select: str, extra: str = "", recursive: bool = False) -> str:
-    sql = G.duck_graph_query(f"WITH {_GSRC}", (", " + extra if extra else "") + "\n" + select)
-    if recursive:
-        sql = sql.replace("WITH src AS (", "WITH RECURSIVE src AS (", 1)
-    return sql
+def _duck_graph(select: str, extra: str = "") -> str:
+    return G.duck_graph_query(f"WITH {_GSRC}", (", " + extra if extra else "") + "\n" + select)
 
 
 def _node_text_sql(ident: str) -> str:
@@ -882,31 +883,84 @@ def q_sample_augmenters(spark, sf_dir):
     return A.sample_augmenters(S.qlog(spark, sf_dir).select("qid"), N_AUG, SEED)
 
 
-def _delete_sql(targets_sql: str) -> str:
-    return _duck_graph("SELECT DISTINCT n.qid, n.node_id, n.type FROM nodes n JOIN r ON r.qid = n.qid AND r.node = n.node_id",
-                       extra=f"""tg AS ({targets_sql}),
-ke AS (SELECT e.* FROM edges e LEFT JOIN tg ON tg.qid = e.qid AND tg.node_id = e.dst WHERE tg.node_id IS NULL),
-r(qid, node) AS (SELECT qid, node_id FROM nodes WHERE type = 'ROOT'
-                 UNION SELECT ke.qid, ke.dst FROM r JOIN ke ON ke.qid = r.qid AND ke.src = r.node)""", recursive=True)
+def _delete_ctes(tag: str, nodes: str, edges: str, targets: str) -> str:
+    """CTEs ``n_<tag>`` and ``e_<tag>``: the graphs without the target nodes and what only they reach."""
+    return f"""tg_{tag} AS ({targets}),
+k_{tag} AS (SELECT e.* FROM {edges} e WHERE NOT EXISTS (SELECT 1 FROM tg_{tag} t WHERE t.qid = e.qid AND t.node_id = e.dst)),
+r_{tag}(qid, node) AS (SELECT qid, node_id FROM {nodes} WHERE type = 'ROOT' AND qid IN (SELECT qid FROM tg_{tag})
+  UNION SELECT k.qid, k.dst FROM r_{tag} r JOIN k_{tag} k ON k.qid = r.qid AND k.src = r.node),
+n_{tag} AS (SELECT n.qid, n.node_id, n.val, n.type FROM {nodes} n LEFT JOIN r_{tag} r ON r.qid = n.qid AND r.node = n.node_id
+  WHERE r.node IS NOT NULL OR n.qid NOT IN (SELECT qid FROM tg_{tag})),
+e_{tag} AS (SELECT k.qid, k.src, k.dst, k.label FROM k_{tag} k LEFT JOIN r_{tag} a ON a.qid = k.qid AND a.node = k.src
+  LEFT JOIN r_{tag} b ON b.qid = k.qid AND b.node = k.dst
+  WHERE a.node IS NOT NULL AND b.node IS NOT NULL OR k.qid NOT IN (SELECT qid FROM tg_{tag}))"""
+
+
+def _graph_rows_sql(nodes: str, edges: str) -> str:
+    return (f"SELECT qid, 'node' AS part, node_id AS src, CAST(NULL AS VARCHAR) AS dst, type AS label FROM {nodes} "
+            f"UNION ALL SELECT qid, 'edge', src, dst, label FROM {edges}")
+
+
+def _delete_sql(targets: str) -> str:
+    return _duck_graph(_graph_rows_sql("n_x", "e_x"), extra=_delete_ctes("x", "nodes", "edges", targets))
+
+
+def _pred_targets_sql(nodes: str, word: str, prob: float) -> str:
+    return f"""SELECT qid, node_id FROM (
+  SELECT qid, node_id, val, row_number() OVER (PARTITION BY qid, val ORDER BY
+         {D.uniform(str(SEED), "'predpick'", 'qid', 'node_id')}, node_id) AS rk
+  FROM {nodes} WHERE type = 'SQL_KEYWORD' AND val = '{word}')
+  WHERE rk = 1 AND {D.uniform(str(SEED), "'pred'", 'qid', 'val')} < {prob}"""
+
+
+def _simplify_ctes(tag: str, nodes: str, edges: str, prob: float) -> str:
+    """CTEs ``n_<tag>`` and ``e_<tag>``: one AND / OR under a WHERE replaced by one of its operands."""
+    def pick(rows: str, part: str, key: str, of: str) -> str:
+        return (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY "
+                f"{D.uniform(str(SEED), key, 'qid', of)}, {of}) AS rk FROM ({rows})) WHERE rk = 1")
+
+    where = f"SELECT qid, node_id FROM {nodes} WHERE type = 'SQL_KEYWORD' AND val = 'WHERE' AND {D.uniform(str(SEED), _q('simplify'), 'qid')} < {prob}"
+    joint = f"SELECT qid, node_id FROM {nodes} WHERE type = 'SQL_KEYWORD' AND val IN ('AND', 'OR')"
+    return f"""w_{tag} AS ({pick(where, 'qid', _q('simwhere'), 'node_id')}),
+u_{tag}(qid, node) AS (SELECT qid, node_id FROM w_{tag}
+  UNION SELECT e.qid, e.dst FROM u_{tag} u JOIN {edges} e ON e.qid = u.qid AND e.src = u.node),
+j_{tag} AS ({joint}),
+c_{tag} AS ({pick(f"SELECT j.* FROM j_{tag} j JOIN u_{tag} u ON u.qid = j.qid AND u.node = j.node_id", 'qid', _q('simnode'), 'node_id')}),
+f_{tag} AS (SELECT c.qid, c.node_id FROM c_{tag} c
+  WHERE (SELECT count(DISTINCT src) FROM {edges} e WHERE e.qid = c.qid AND e.dst = c.node_id) = 1
+    AND (SELECT count(DISTINCT dst) FROM {edges} e WHERE e.qid = c.qid AND e.src = c.node_id) = 2),
+p_{tag} AS (SELECT qid, node_id, child FROM (
+  SELECT f.qid, f.node_id, e.dst AS child, row_number() OVER (PARTITION BY f.qid, f.node_id ORDER BY
+         CASE WHEN e.dst IN (SELECT node_id FROM j_{tag} j WHERE j.qid = f.qid) THEN 0 ELSE 1 END,
+         {D.uniform(str(SEED), _q('simkeep'), 'f.qid', 'e.dst')}, e.dst) AS rk
+  FROM f_{tag} f JOIN (SELECT DISTINCT qid, src, dst FROM {edges}) e ON e.qid = f.qid AND e.src = f.node_id) WHERE rk = 1),
+m_{tag} AS (SELECT qid, src, dst, label FROM {edges}
+  UNION SELECT e.qid, e.src, p.child, e.label FROM p_{tag} p JOIN {edges} e ON e.qid = p.qid AND e.dst = p.node_id),
+{_delete_ctes(tag, nodes, f"m_{tag}", f"SELECT qid, node_id FROM f_{tag}")}"""
+
+
+def _q(word: str) -> str:
+    return f"'{word}'"
 
 
 @query("subgraph_delete", oracle=_delete_sql("SELECT qid, node_id FROM nodes WHERE type = 'SQL_KEYWORD' AND val = 'WHERE'"))
 def q_subgraph_delete(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     t = nodes.filter((F.col("type") == "SQL_KEYWORD") & (F.col("val") == "WHERE")).select("qid", "node_id")
-    n2, _ = A.subgraph_delete(nodes, edges, t)
-    return n2.select("qid", "node_id", "type")
+    return A.graph_rows(*A.subgraph_delete(nodes, edges, t))
 
 
-@query("aug_predicate", oracle=_delete_sql(f"""SELECT qid, node_id FROM (
-  SELECT qid, node_id, val, row_number() OVER (PARTITION BY qid, val ORDER BY
-         {D.uniform(str(SEED), "'predpick'", 'qid', 'node_id')}, node_id) AS rk
-  FROM nodes WHERE type = 'SQL_KEYWORD' AND val IN ('WHERE', 'HAVING'))
-  WHERE rk = 1 AND {D.uniform(str(SEED), "'pred'", 'qid', 'val')} < CASE val WHEN 'WHERE' THEN 0.3 ELSE 0.2 END"""))
+@query("aug_simplify", oracle=_duck_graph(_graph_rows_sql("n_s", "e_s"), extra=_simplify_ctes("s", "nodes", "edges", 0.5)))
+def q_aug_simplify(spark, sf_dir):
+    return A.graph_rows(*A.simplify_conditions(*_graph(spark, sf_dir), SEED))
+
+
+@query("aug_predicate", oracle=_duck_graph(_graph_rows_sql("n_h", "e_h"), extra=",\n".join((
+    _delete_ctes("w", "nodes", "edges", _pred_targets_sql("nodes", "WHERE", 0.3)),
+    _simplify_ctes("s", "n_w", "e_w", 0.5),
+    _delete_ctes("h", "n_s", "e_s", _pred_targets_sql("n_s", "HAVING", 0.2))))))
 def q_aug_predicate(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    n2, _ = A.subgraph_delete(nodes, edges, A.predicate_targets(nodes, SEED))
-    return n2.select("qid", "node_id", "type")
+    return A.graph_rows(*A.predicate_modification(*_graph(spark, sf_dir), SEED))
 
 
 @query("aug_join", oracle=_delete_sql(f"""SELECT qid, node_id FROM (
@@ -916,8 +970,7 @@ def q_aug_predicate(spark, sf_dir):
   WHERE rk = 1 AND {D.uniform(str(SEED), "'joingate'", 'qid', 'sel')} < 0.8"""))
 def q_aug_join(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    n2, _ = A.subgraph_delete(nodes, edges, A.join_targets(nodes, edges, SEED))
-    return n2.select("qid", "node_id", "type")
+    return A.graph_rows(*A.subgraph_delete(nodes, edges, A.join_targets(nodes, edges, SEED)))
 
 
 @query("edge_index", oracle=_duck_graph("""
