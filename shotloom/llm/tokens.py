@@ -47,12 +47,19 @@ def parted(texts: pa.Array) -> pa.Array:
     """Texts in ASCII lower case, with a space between a letter or digit and a mark after it.
 
     A text with ``<`` stays as it is: special tokens are case-sensitive and span marks.
+    So does one with a combining mark of U+0300 to U+036F: the library composes it with the
+    letter before it, and only then lower-cases, so the letter's case decides what comes out.
     """
     raw = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
     data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
     offsets = offsets - offsets[0]
     touch = np.repeat(~pc.match_substring(raw, "<").to_numpy(zero_copy_only=False), np.diff(offsets))
+    joins = np.flatnonzero((data == 0xCC) | (data == 0xCD))  # first bytes of the combining marks in UTF-8
+    if len(joins):
+        whole = np.unique(np.searchsorted(offsets, joins, side="right") - 1)
+        for start, end in zip(offsets[whole].tolist(), offsets[whole + 1].tolist(), strict=True):
+            touch[start:end] = False
     space = np.flatnonzero(_ALNUM[data[:-1]] & _MARK[data[1:]] & touch[1:]) + 1
     spaced = np.insert(np.where(touch, _LOWER[data], data), space, 32)
     ends = (offsets + np.searchsorted(space, offsets, side="right")).astype(np.int64)

@@ -37,6 +37,29 @@ def test_round_trip_matches_the_library(spark, rows):
     assert order == sorted(order)
 
 
+def test_combining_marks_are_composed_before_lower_case():
+    import random
+
+    import pyarrow as pa
+    from shotloom.llm.tokens import WordEncoder, parted
+    rng = random.Random(8)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    letters = [chr(c) for c in range(65, 91)] + list("abcxyz0189 .,'-!<é")
+    texts = ["".join(rng.choice(marks if rng.random() < 0.3 else letters) for _ in range(rng.randint(1, 14)))
+             for _ in range(6000)]
+    texts += [a + m for a in "HJTYAEIOUWK" for m in marks] + ["Plain Text, none. " * 3, None, ""]
+    parts = parted(pa.array(texts)).to_pylist()
+    assert parts[-3] == "plain text ,none . " * 3 or parts[-3].lower() == parts[-3]
+    encoder = WordEncoder(VOCAB)
+    want = plain_ids(texts)
+    for text, part, ids in zip(texts, parts, want):
+        pieces = [p.encode() for p in part.split()] if "<" not in part else [part.encode()]
+        distinct = list(dict.fromkeys(pieces))
+        known = dict(zip(distinct, encoder.pieces(distinct)))
+        got = [int(i) for p in pieces for i in np.frombuffer(known[p], np.int32)]
+        assert got + [2] == ids, text
+
+
 def test_selective_reads(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     path = tempfile.mkdtemp(prefix="tokens-") + "/set"
