@@ -134,9 +134,16 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
 
+def _more(alphabet: str) -> Column:
+    """Extra characters of late attempts, one more every fourth: a shape with too few values never runs out."""
+    some = F.transform(F.sequence(F.lit(0), F.floor(F.col("attempt") / 4).cast("int")),
+                       lambda i: F.when(i > 0, F.substr(F.lit(alphabet), _byte(i + 63) % len(alphabet) + 1, F.lit(1))).otherwise(""))
+    return F.array_join(some, "")
+
+
 def _card(norm: Column, masked: Column) -> Column:
     """A number with the same first digit whose check digit is right exactly if the original's was."""
-    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(masked, F.lit(2), F.length(norm) - 2))
+    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(masked, F.lit(2), F.length(norm) - 2), _more("0123456789"))
     right = F.pmod(F.lit(10) - _luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10))
     wrong = (right + 1 + _byte(F.lit(95)) % 9) % 10
     return F.concat(body, F.when(_luhn_sum(norm) % 10 == 0, right).otherwise(wrong).cast("string"))
@@ -165,20 +172,20 @@ def _draw(key: str) -> Column:
     octets = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_byte(i) % 254 + 1).cast("string"))
     tld = F.regexp_extract("norm", r"(\.[^.@]*)$", 1)
     out = (F.when(F.col("type") == "EMAIL",
-                  F.concat(F.substr(masked, F.lit(1), F.length("norm") - F.length(tld)), tld))
+                  F.concat(_more("abcdefghijklmnopqrstuvwxyz"), F.substr(masked, F.lit(1), F.length("norm") - F.length(tld)), tld))
            .when(F.col("type") == "CARD", _card(norm, masked))
            .when(F.col("type") == "IP", F.array_join(octets, "."))
            .when(F.col("type") == "PHONE", F.concat(
-               (_byte(F.lit(0)) % 8 + 2).cast("string"), F.substr(masked, F.lit(2), F.length("norm"))))
+               (_byte(F.lit(0)) % 8 + 2).cast("string"), F.substr(masked, F.lit(2), F.length("norm")), _more("0123456789")))
            .when(F.col("type") == "IBAN", F.concat(F.substr(norm, F.lit(1), F.lit(2)),
-                                                   F.substr(masked, F.lit(3), F.length("norm"))))
+                                                   F.substr(masked, F.lit(3), F.length("norm")), _more("0123456789")))
            .when((F.col("type") == "SECRET") & norm.startswith("AKIA"),
-                 F.concat(F.lit("AKIA"), F.substr(masked, F.lit(5), F.length("norm")))))
+                 F.concat(F.lit("AKIA"), F.substr(masked, F.lit(5), F.length("norm")), _more("0123456789"))))
     for (script, gender) in GIVEN:
         out = out.when((F.col("type") == f"GIVEN {script}") & (F.col("gender") == gender), _given(script, gender))
     for script in SYLLABLES:
         out = out.when(F.col("type") == f"FAMILY {script}", _family(script))
-    return out.otherwise(masked)
+    return out.otherwise(F.concat(masked, _more("0123456789")))
 
 
 def _stream(key: str) -> Column:
@@ -249,13 +256,15 @@ def _parts(mentions: DataFrame) -> DataFrame:
 
 
 def _render(kind: Column, piece: Column, surrogate: Column) -> Column:
-    """The surrogate in the mention's own format."""
+    """The surrogate in the mention's own format; what a late attempt has in excess goes in front."""
     def after(i: Column) -> Column:
         return F.length(F.regexp_replace(F.substr(piece, i + 2, F.length(piece)), "[^0-9A-Z]", ""))
 
     laid = F.array_join(F.transform(F.split(piece, ""), lambda c, i: F.when(
         F.regexp_like(c, F.lit("[0-9A-Z]")) & (after(i) < F.length(surrogate)),
         F.substr(surrogate, F.length(surrogate) - after(i), F.lit(1))).otherwise(c)), "")
+    places = F.length(F.regexp_replace(piece, "[^0-9A-Z]", ""))
+    laid = F.concat(F.substr(surrogate, F.lit(1), F.greatest(F.lit(0), F.length(surrogate) - places)), laid)
     upper = (piece == F.upper(piece)) & ((kind == "EMAIL") | (kind == "PERSON")
                                          & F.regexp_like(piece, F.lit(r"\p{L}\P{L}*\p{L}")))
     return (F.when(kind.isin("CARD", "SSN", "PHONE", "IBAN"), laid)

@@ -176,3 +176,22 @@ def test_more_secrets_cards_and_telephones(spark):
     assert all(luhn(re.sub(r"\D", "", r.text)) for r in got[4:8])
     assert [r.text for r in got[10:]] == ["1234567890123 x", "3782 822463 10006 x"]
     assert not any(r.entities for r in got[10:])
+
+
+def test_shapes_with_too_few_values_get_longer_surrogates(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    every = [f"{a}@{b}.co" for a in letters for b in letters]
+    rows = [(i, f"write to {e} or {e.upper()}.") for i, e in enumerate(every)]
+    got = replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    new = [r.entities[0].surrogate for r in got]
+    assert len(set(new)) == 676 and not set(new) & set(every)
+    assert all(len(r.entities) == 2 and r.entities[1].surrogate == r.entities[0].surrogate.upper() for r in got)
+    assert all(s.endswith(".co") and "@" in s for s in new)
+
+
+def test_excess_of_a_surrogate_goes_in_front(spark):
+    from pyspark.sql import functions as F
+
+    from shotloom.llm.pii import _render
+    row = spark.createDataFrame([("CARD", "1234 5678", "98765432109")], "k string, p string, s string")
+    assert row.select(_render(F.col("k"), F.col("p"), F.col("s")).alias("o")).first().o == "9876543 2109"
