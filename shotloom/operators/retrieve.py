@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotloom.functions import hashing
-from shotloom.operators.common import block_pairs, join_small_side, spread, stored, top_k
+from shotloom.operators.common import block_pairs, join_small_side, ordered_prefix, spread, stored, top_k
 
 
 def validate_k(k: int, pool_size: int | None = None) -> None:
@@ -126,8 +126,7 @@ def jaccard_pair(a: Column, b: Column) -> Column:
 def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
                   target_id: str = "idx", pool_id: str = "idx",
                   target_group: str | None = None, pool_group: str | None = None,
-                  exclude_self: bool = False, start_window: int = 4,
-                  target_attr: str | None = None, pool_attr: str | None = None) -> DataFrame:
+                  exclude_self: bool = False, start_window: int = 4) -> DataFrame:
     """Seeded k-sample without replacement per target, optionally within a group.
 
     Each pool row gets ``u = uniform(seed, id)`` and each target a start
@@ -148,10 +147,7 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
                               F.lit(None).cast("bigint").alias("rank")).limit(0)
     tg = F.col(target_group) if target_group else F.lit("")
     pg = F.col(pool_group) if pool_group else F.lit("")
-    pa = F.col(pool_attr) if pool_attr else F.lit(None)
-    ta = F.col(target_attr) if target_attr else F.lit(None)
-    p = pool.select(F.col(pool_id).alias("demo_id"), pg.cast("string").alias("grp"),
-                    pa.cast("string").alias("p_attr"))
+    p = pool.select(F.col(pool_id).alias("demo_id"), pg.cast("string").alias("grp"))
     p = stored(p.withColumn("u", hashing.uniform(seed, F.col("demo_id"))), "sample-pool")
     grouped = target_group is not None or pool_group is not None
     if grouped:
@@ -164,8 +160,7 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
         n_all = p.agg(F.count("*")).scalar()
         p = p.withColumn("B", F.greatest(F.lit(1), F.ceil(n_all / F.lit(k))).cast("bigint"))
     p = p.withColumn("bucket", F.floor(F.col("u") * F.col("B")).cast("bigint"))
-    t = targets.select(F.col(target_id).alias("target_id"), tg.cast("string").alias("grp"),
-                       ta.cast("string").alias("t_attr"))
+    t = targets.select(F.col(target_id).alias("target_id"), tg.cast("string").alias("grp"))
     t = t.withColumn("s", hashing.uniform(seed, "t", F.col("target_id")))
     if grouped:
         t = join_small_side(t, sizes, ["grp"], F.col("target_id"))
@@ -180,17 +175,14 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
     while True:
         # Offsets 0..W (capped at B-1, which covers the whole group).
         span = F.least(F.lit(window), F.col("B") - 1)
-        probe = pending.select("target_id", "grp", "s", "B", "t_attr", span.alias("W"),
+        probe = pending.select("target_id", "grp", "s", "B", span.alias("W"),
                                F.explode(F.sequence(F.lit(0), span)).alias("off"), "b0")
-        probe = probe.select("target_id", "grp", "s", "B", "W", "t_attr",
+        probe = probe.select("target_id", "grp", "s", "B", "W",
                              F.pmod(F.col("b0") + F.col("off"), F.col("B")).alias("bucket"))
         # (grp, bucket) keys hold ~k pool rows each by construction: no hot key, plain shuffle join.
-        cand = p.select("grp", "bucket", "demo_id", "u", "p_attr").join(probe, ["grp", "bucket"])
+        cand = p.select("grp", "bucket", "demo_id", "u").join(probe, ["grp", "bucket"])
         if exclude_self:
             cand = cand.filter(F.col("target_id") != F.col("demo_id"))
-        if target_attr and pool_attr:
-            # only pool rows whose attribute (e.g. database) differs from the target's.
-            cand = cand.filter(~F.col("t_attr").eqNullSafe(F.col("p_attr")))
         h = F.col("u") - F.col("s")
         cand = cand.withColumn("h", F.when(h < 0, h + F.lit(1.0)).otherwise(h))
         complete = F.col("W") >= F.col("B") - 1
@@ -212,6 +204,51 @@ def seeded_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int,
     return out.select("target_id", "demo_id", F.round("h", 9).alias("score"), "rank")
 
 
+def foreign_sample(targets: DataFrame, pool: DataFrame, k: int, seed: int, target_id: str = "idx",
+                   pool_id: str = "idx", target_group: str = "db_id", pool_group: str = "db_id") -> DataFrame:
+    """The ``k`` pool rows of other groups that follow each target's start on the circle (all if fewer).
+
+    Same circle as :func:`seeded_sample`, with the target's own group left out; null is
+    a group of its own. Pool rows have a place P among all rows and a place j within
+    their group, so P - j rows of other groups lie before them. A target's start gives
+    the first of its foreign ranks r, and r is the row at place r + (own rows with
+    P - j <= r). Places and these counts are running sums over range-partitioned rows,
+    so a group that holds nearly the whole pool spans many tasks, and the work is
+    the pool plus targets x k rows, whatever the sizes of the groups.
+    """
+    validate_k(k)
+
+    def group(c: str) -> Column:
+        return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+    p = pool.select(F.col(pool_id).alias("id"), group(pool_group).alias("grp"),
+                    hashing.uniform(seed, F.col(pool_id)).alias("u"), F.lit(1).cast("bigint").alias("row"))
+    t = targets.select(F.col(target_id).alias("id"), group(target_group).alias("grp"),
+                       hashing.uniform(seed, "t", F.col(target_id)).alias("u"), F.lit(0).cast("bigint").alias("row"))
+    both = p.unionByName(t).withColumn("all", F.lit(0))
+    order = ["u", "row", "id"]  # a target comes before the rows at its own place
+    placed = ordered_prefix(both, ["all"], order, value=F.col("row")).withColumnRenamed("_cum", "upto").drop("_pos", "all")
+    placed = ordered_prefix(placed, ["grp"], order, value=F.col("row")).withColumnRenamed("_cum", "own").drop("_pos")
+    placed = stored(placed, "foreign-places")
+    rows = placed.filter("row = 1").select("id", "grp", (F.col("upto") - 1).alias("at"), (F.col("own") - 1).alias("j"))
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*")).scalar()
+    starts = placed.filter("row = 0").select("id", "grp", (F.col("upto") - F.col("own")).alias("first"))
+    starts = join_small_side(starts, sizes, ["grp"], F.col("id"), how="left")
+    starts = starts.withColumn("others", total - F.coalesce(F.col("n"), F.lit(0))).filter(F.col("others") > 0)
+    wanted = (starts.withColumn("slot", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(k).cast("bigint"), F.col("others")))))
+              if k else starts.withColumn("slot", F.lit(1).cast("bigint")).limit(0))
+    wanted = wanted.select("grp", ((F.col("first") + F.col("slot") - 1) % F.col("others")).alias("key"), F.lit(0).cast("bigint").alias("row"),
+                           "id", "slot")
+    marks = rows.select("grp", (F.col("at") - F.col("j")).alias("key"), F.lit(1).cast("bigint").alias("row"), "id",
+                        F.lit(0).cast("bigint").alias("slot"))
+    looked = wanted.unionByName(marks).withColumn("late", 1 - F.col("row"))  # own rows with an equal key come first
+    looked = ordered_prefix(looked, ["grp"], ["key", "late", "id", "slot"], value=F.col("row"))
+    found = looked.filter("row = 0").select(F.col("id").alias("target_id"), F.col("slot").alias("rank"),
+                                            (F.col("key") + F.col("_cum")).alias("at"))
+    return found.join(rows.select("at", F.col("id").alias("demo_id")), "at").select("target_id", "demo_id", "rank")
+
+
 # --- R3 structure class --------------------------------------------------------------
 
 def structure_class(toks: Column) -> Column:
