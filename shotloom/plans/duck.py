@@ -132,27 +132,49 @@ rendered AS (SELECT d.db_id, coalesce(f.fields, '') AS fields,
               FROM pk GROUP BY db_id) p ON p.db_id = d.db_id)"""
 
 
-# String columns of the content-indexed databases (driver table schemas).
-CONTENT_DBS = {
-    "star": ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"],
-    "stream": ["events"],
-}
-STRING_COLUMNS = {
-    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"],
-    "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"],
-    "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"],
-    "events": ["event_type", "props"],
+# Scalar columns of the driver tables by type (t text, i integer, d double, s timestamp).
+SCALAR_COLUMNS = {
+    "region": "r_regionkey i, r_name t",
+    "nation": "n_nationkey i, n_name t, n_regionkey i",
+    "customer": "c_custkey i, c_name t, c_nationkey i, c_acctbal d, c_mktsegment t",
+    "supplier": "s_suppkey i, s_name t, s_nationkey i, s_acctbal d",
+    "part": "p_partkey i, p_name t, p_brand t, p_type t, p_size i, p_retailprice d",
+    "orders": "o_orderkey i, o_custkey i, o_orderstatus t, o_totalprice d, o_orderdate s, o_orderpriority t",
+    "lineitem": "l_orderkey i, l_partkey i, l_suppkey i, l_linenumber i, l_quantity d, l_extendedprice d, l_discount d, "
+                "l_tax d, l_returnflag t, l_linestatus t, l_shipdate s",
+    "events": "event_id i, ts s, user_id i, event_type t, value d, props t",
+    "documents": "doc_id i, text t, lang t, source t, n_chars i",
+    "embeddings": "vec_id i, label i",
+    "pages": "page_id i, url t, html t",
+    "benchmark": "item_id i, text t",
+    "labels": "doc_id i, quality i, toxic i",
+    "conversations": "conv_id i, turn i, role t, text t",
 }
 
 
 def content_index_cte() -> str:
+    """``ci``: distinct values of every scalar column of every table as engine-independent text."""
+    text = {"t": "{c}", "i": "CAST({c} AS VARCHAR)", "s": "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')",
+            "d": "coalesce(regexp_replace(CAST(TRY_CAST({c} AS DECIMAL(38,6)) AS VARCHAR), '\\.?0+$', ''), CAST({c} AS VARCHAR))"}
+    kind = {"t": "text", "i": "number", "d": "number", "s": "time"}
     parts = []
-    for db, ts in CONTENT_DBS.items():
+    for db, ts in LOGICAL_DBS.items():
         for t in ts:
-            for c in STRING_COLUMNS[t]:
+            for column in SCALAR_COLUMNS[t].split(", "):
+                c, k = column.split(" ")
                 parts.append(f"SELECT DISTINCT {lit(db)} AS db_id, {lit(t)} AS table_name, {lit(c)} AS column_name, "
-                             f"{c} AS value FROM {t} WHERE {c} IS NOT NULL")
+                             f"{text[k].format(c=f'{t}.{c}')} AS value, {lit(kind[k])} AS value_type FROM {t} WHERE {t}.{c} IS NOT NULL")
     return "ci AS (" + "\nUNION ALL ".join(parts) + ")"
 
 
+def log_databases_cte() -> str:
+    """``ldb(db_id, content_db)``: the catalog database whose tables a log id's queries name most."""
+    rows = ", ".join(f"({lit(db)}, {lit(t)})" for db, ts in LOGICAL_DBS.items() for t in ts)
+    return f"""ltab(content_db, word) AS (VALUES {rows}),
+lw AS (SELECT db_id, unnest(list_distinct(regexp_extract_all(lower(query), '[a-z_][a-z0-9_]*'))) AS word FROM qlog),
+lc AS (SELECT db_id, content_db, count(*) AS n FROM lw JOIN ltab USING (word) GROUP BY ALL),
+ldb AS (SELECT db_id, content_db FROM (
+  SELECT *, row_number() OVER (PARTITION BY db_id ORDER BY n DESC, content_db) AS k FROM lc) WHERE k = 1)"""
+
+
 LIT_RE_SQL = lit(LITERAL_RE)

@@ -171,7 +171,7 @@ from shotloom.operators import complexity as H  # noqa: E402
 from shotloom.operators import prompt as PR  # noqa: E402
 from shotloom.operators import correct as EC  # noqa: E402
 from shotloom.operators import content as V  # noqa: E402
-from shotloom.operators.common import dense_index, stored  # noqa: E402
+from shotloom.operators.common import dense_index, join_small_side, stored  # noqa: E402
 from shotloom.sources import catalog as CAT  # noqa: E402
 
 
@@ -469,7 +469,7 @@ def q_correction_prompt_schema(spark, sf_dir):
 # --- content index and literal repair ---------------------------------------------------------
 
 def _content(spark, sf_dir):
-    return V.content_index(spark, sf_dir, D.CONTENT_DBS)
+    return V.content_index(spark, sf_dir, CAT.LOGICAL_DBS)
 
 
 @query("content_index", oracle=f"WITH {D.content_index_cte()} SELECT DISTINCT * FROM ci")
@@ -483,25 +483,30 @@ def q_db_values(spark, sf_dir):
 
 
 @query("value_variants", oracle=f"""
-WITH {D.content_index_cte()}, v AS (SELECT DISTINCT db_id, value FROM ci)
+WITH {D.content_index_cte()}, v AS (SELECT DISTINCT db_id, value FROM ci WHERE value_type = 'text')
 SELECT db_id, lower(trim(value)) AS key, min(value) AS variant, CAST(count(*) AS BIGINT) AS n_variants
 FROM v GROUP BY db_id, lower(trim(value))
 """)
 def q_value_variants(spark, sf_dir):
-    return V.value_variants(V.db_values(_content(spark, sf_dir)))
+    return V.value_variants(V.db_values(_content(spark, sf_dir).filter("value_type = 'text'")))
+
+
+@query("log_databases", oracle=f"WITH {D.QLOG_CTE}, {D.log_databases_cte()} SELECT * FROM ldb")
+def q_log_databases(spark, sf_dir):
+    return V.log_databases(S.qlog(spark, sf_dir), CAT.catalog_columns(spark, sf_dir))
 
 
 _REPAIR_SQL = f"""
-WITH {D.QLOG_CTE}, {D.content_index_cte()},
-vals AS (SELECT DISTINCT db_id, value FROM ci),
+WITH {D.QLOG_CTE}, {D.content_index_cte()}, {D.log_databases_cte()},
+vals AS (SELECT DISTINCT db_id, value FROM ci WHERE value_type = 'text'),
 var AS (SELECT db_id, lower(trim(value)) AS key, min(value) AS variant FROM vals GROUP BY db_id, lower(trim(value))),
-q AS (SELECT qid, 'star' AS db_id, query FROM qlog),
-l AS (SELECT qid, db_id, unnest(regexp_extract_all(query, {D.LIT_RE_SQL}, 1)) AS lit,
+q AS (SELECT qid, qlog.db_id, ldb.content_db, query FROM qlog LEFT JOIN ldb ON ldb.db_id = qlog.db_id),
+l AS (SELECT qid, content_db, unnest(regexp_extract_all(query, {D.LIT_RE_SQL}, 1)) AS lit,
              generate_subscripts(regexp_extract_all(query, {D.LIT_RE_SQL}, 1), 1) AS pos FROM q),
 r AS (SELECT l.qid, l.pos, l.lit,
         CASE WHEN v.value IS NOT NULL THEN l.lit WHEN w.variant IS NOT NULL THEN w.variant ELSE l.lit END AS new
-      FROM l LEFT JOIN vals v ON v.db_id = l.db_id AND v.value = l.lit
-             LEFT JOIN var w ON w.db_id = l.db_id AND w.key = lower(trim(l.lit))),
+      FROM l LEFT JOIN vals v ON v.db_id = l.content_db AND v.value = l.lit
+             LEFT JOIN var w ON w.db_id = l.content_db AND w.key = lower(trim(l.lit))),
 agg AS (SELECT qid, list(new ORDER BY pos) AS news, max(CASE WHEN new <> lit THEN 1 ELSE 0 END) AS chg FROM r GROUP BY qid),
 rep AS (SELECT q.qid, q.db_id,
   CASE WHEN news IS NULL THEN q.query ELSE
@@ -512,14 +517,18 @@ FROM q LEFT JOIN agg ON agg.qid = q.qid)"""
 
 
 def _repaired(spark, sf_dir):
-    vals = stored(V.db_values(_content(spark, sf_dir)), "db-values")  # each table is read once
-    rows = S.qlog(spark, sf_dir).select("qid", F.lit("star").alias("db_id"), "query")
-    return V.repair_literals(rows, vals, V.value_variants(vals))
+    log = stored(S.qlog(spark, sf_dir).select("qid", "db_id", "query"), "log")
+    means = stored(V.log_databases(log, CAT.catalog_columns(spark, sf_dir)), "log-databases")
+    rows = join_small_side(log, means, ["db_id"], F.col("qid"), how="left")
+    met = {r[0] for r in means.select("content_db").distinct().collect()}  # at most the catalog's databases
+    index = V.content_index(spark, sf_dir, {db: t for db, t in CAT.LOGICAL_DBS.items() if db in met} or CAT.LOGICAL_DBS,
+                            text_only=True)
+    return V.repair_log(rows, index)
 
 
-@query("repair_literals", oracle=_REPAIR_SQL + " SELECT qid, repaired, changed FROM rep")
+@query("repair_literals", oracle=_REPAIR_SQL + " SELECT qid, db_id, repaired, changed FROM rep")
 def q_repair_literals(spark, sf_dir):
-    return _repaired(spark, sf_dir).select("qid", "repaired", "changed")
+    return _repaired(spark, sf_dir).select("qid", "db_id", "repaired", "changed")
 
 
 @query("repair_report", oracle=_REPAIR_SQL + """

@@ -1,9 +1,13 @@
 """Stores, the encoder hook, byte decoding and positive building."""
 
+import glob
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from shotloom.operators import augment as A
+from shotloom.operators import content as V
 from shotloom.sources import stores as ST
 
 
@@ -25,11 +29,83 @@ def test_encode_save_and_load(spark, tmp_path):
 
 
 def test_content_index_store(spark, tmp_path):
-    rows = [("d1", "t", "c", "x"), ("d2", "t", "c", "y"), ("d2", "u", "c", " z ")]
-    df = spark.createDataFrame(rows, "db_id string, table_name string, column_name string, value string")
-    ST.save_content_index(df, str(tmp_path / "ci"))
-    assert sorted(map(tuple, ST.load_content_index(spark, str(tmp_path / "ci")).collect())) == rows
-    assert ST.load_content_index(spark, str(tmp_path / "ci"), ["d2"]).count() == 2
+    rows = [("d1", "t", "c", "x", "text"), ("d2", "t", "c", "y", "text"), ("d2", "u", "c", " Z ", "text")]
+    df = spark.createDataFrame(rows, "db_id string, table_name string, column_name string, value string, value_type string")
+    path = str(tmp_path / "ci")
+    ST.save_content_index(df, path)
+    assert sorted(map(tuple, ST.load_content_index(spark, path).collect())) == rows
+    assert ST.load_content_index(spark, path, ["d2"]).count() == 2
+    # one table's part replaced, the others untouched
+    ST.save_content_index(df.filter("table_name = 'u'").withColumn("value", F.lit("new")), path)
+    assert sorted(r.value for r in ST.load_content_index(spark, path).collect()) == ["new", "x", "y"]
+
+
+def test_every_scalar_type_is_indexed(spark):
+    import datetime as dt
+    rows = [(1, 2.50, "a", True, dt.date(2020, 1, 2), dt.datetime(2020, 1, 2, 3, 4, 5, 60), [1], bytearray(b"x"), 10.0),
+            (1, float("nan"), None, None, None, None, None, None, 0.0)]
+    df = spark.createDataFrame(rows, "i int, d double, s string, b boolean, day date, at timestamp, l array<int>, raw binary, z double")
+    got = {(r.column_name, r.value, r.value_type) for r in V.table_index(df, "db", "t").collect()}
+    assert got == {("i", "1", "number"), ("d", "2.5", "number"), ("d", "NaN", "number"), ("s", "a", "text"), ("b", "true", "boolean"),
+                   ("day", "2020-01-02", "time"), ("at", "2020-01-02 03:04:05.000060", "time"), ("z", "10", "number"), ("z", "0", "number")}
+    assert V.table_index(spark.createDataFrame([([1],)], "l array<int>"), "db", "t") is None
+
+
+def test_update_scans_changed_tables_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+
+    def write(table, values):
+        spark.createDataFrame([(v,) for v in values], "c string").write.mode("overwrite").parquet(str(tmp_path / table))
+
+    def tables(*names):
+        return [("d", t, spark.read.parquet(str(tmp_path / t))) for t in names]
+
+    def stored(**kw):
+        return {(r.table_name, r.value) for r in ST.load_content_index(spark, path, **kw).collect()}
+
+    for t, values in (("a", ["x", "y"]), ("b", ["z", "z"]), ("c", ["w"])):
+        write(t, values)
+    assert ST.update_content_index(spark, path, tables("a", "b", "c")) == [("d", "a"), ("d", "b"), ("d", "c")]
+    assert stored() == {("a", "x"), ("a", "y"), ("b", "z"), ("c", "w")}
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(path + "/db_id=d/table_name=[ac]/*.parquet")}
+    assert ST.update_content_index(spark, path, tables("a", "b", "c")) == []
+    write("b", ["new"])
+    assert ST.update_content_index(spark, path, tables("a", "b", "c")) == [("d", "b")]
+    assert stored() == {("a", "x"), ("a", "y"), ("b", "new"), ("c", "w")}
+    assert before == {f: os.stat(f).st_mtime_ns for f in glob.glob(path + "/db_id=d/table_name=[ac]/*.parquet")}
+    write("c", [])
+    assert ST.update_content_index(spark, path, tables("b", "c")) == [("d", "c")]  # c became empty, a is gone
+    assert stored() == {("b", "new")}
+
+
+def test_keys_are_pushed_into_the_scan(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "keyed")
+    df = spark.range(5000).select(F.lit("d").alias("db_id"), F.lit("t").alias("table_name"), F.lit("c").alias("column_name"),
+                                  F.concat(F.lit(" V"), F.col("id")).alias("value"), F.lit("text").alias("value_type"))
+    ST.save_content_index(df, path)
+    keys = spark.createDataFrame([("v7",), ("v4999",), ("none",)], "_key string")
+    few = ST.load_content_index(spark, path, ["d"], keys)
+    assert sorted(r.value for r in few.collect()) == [" V4999", " V7"]
+    plan = few._jdf.queryExecution().toString()
+    assert "In(key, [" in plan and "PartitionFilters" in plan
+    monkeypatch.setattr(ST, "PUSHED_KEYS", 1)
+    assert sorted(r.value for r in ST.load_content_index(spark, path, keys=keys).collect()) == [" V4999", " V7"]
+
+
+def test_log_databases_and_repair_of_a_log(spark):
+    catalog = spark.createDataFrame([("shop", "Items"), ("zoo", "animals"), ("zoo", "items")], "db_id string, table_name string")
+    log = spark.createDataFrame([
+        (1, "db1", "SELECT a FROM Items WHERE b = 'red '"), (2, "db1", 'SELECT a FROM items WHERE b = "Blue"'),
+        (3, "db2", "SELECT a FROM animals, items WHERE b = 'LION' AND c = '5'"), (4, "db3", "SELECT 1"), (5, "db3", "x = 'red'"),
+        (6, None, None)], "qid long, db_id string, query string")
+    means = V.log_databases(log, catalog)
+    assert {tuple(r) for r in means.collect()} == {("db1", "shop"), ("db2", "zoo")}
+    index = spark.createDataFrame([("shop", "Red", "text"), ("shop", "red", "text"), ("shop", "blue", "text"), ("zoo", "Lion", "text"),
+                                   ("zoo", "5", "number")], "db_id string, value string, value_type string")
+    got = {r.qid: (r.repaired, r.changed) for r in V.repair_log(log.join(means, "db_id", "left"), index).collect()}
+    assert got[1] == ("SELECT a FROM Items WHERE b = 'Red'", True) and got[2] == ("SELECT a FROM items WHERE b = 'blue'", True)
+    assert got[3] == ("SELECT a FROM animals, items WHERE b = 'Lion' AND c = '5'", True)
+    assert got[4] == ("SELECT 1", False) and got[5] == ("x = 'red'", False) and got[6] == (None, False)
 
 
 def test_decode_bytes_by_first_encoding(spark):
