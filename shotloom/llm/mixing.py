@@ -8,6 +8,8 @@ hash space, so a hot source is many small ranges, and a rerun repeats the cut.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,33 +49,40 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     return per.select("sn", "sk", "source_size", F.least(most, F.col("w") * F.lit(rate)).alias("target"))
 
 
+def row_key(seed: str) -> Column:
+    """Hash-random key of a document: of its id and its text, so that rows without id or with the same id spread."""
+    return F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("long").cast("string"), F.md5(F.col("text").cast("binary"))))
+
+
 def mix_plan(docs: DataFrame, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(doc_id, size, copies, part, ...)`` of the mix and the per-source targets.
+    """Rows ``(doc_id, h, size, copies, part, ...)`` of the mix and the per-source targets.
 
     A row is taken ``copies`` times whole and once more for its first ``part`` words.
+    Equal rows are one row with a count until the sums are known, however many there are.
     """
     sn, sk = source_key(F.col("source"))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"))).alias("h")
-    rows = stored(docs.select(F.col("doc_id").cast("long"), sn.alias("sn"), sk.alias("sk"),
-                              word_count(F.col("text")).alias("size"), key), "mix-rows")
-    goal = targets(rows)
+    rows = docs.select(F.col("doc_id").cast("long"), sn.alias("sn"), sk.alias("sk"),
+                       word_count(F.col("text")).alias("size"), row_key(seed).alias("h"))
+    rows = stored(rows.groupBy("doc_id", "sn", "sk", "size", "h").agg(F.count("*").alias("times")), "mix-rows")
+    goal = targets(rows.select("sn", "sk", (F.col("size") * F.col("times")).alias("size")))
     slices = max(MIN_SLICES, -(-rows.count() // ROWS_PER_SLICE))
     at = F.floor(F.conv(F.substr("h", F.lit(1), F.lit(8)), 16, 10).cast("double") / 2**32 * slices).cast("int")
-    rows = rows.withColumn("slice", at)
+    rows = rows.withColumn("slice", at).withColumn("all", F.col("size") * F.col("times"))
     before = Window.partitionBy("sn", "sk").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("sn", "sk", "slice").agg(F.sum("size").alias("s"))
+    sums = rows.groupBy("sn", "sk", "slice").agg(F.sum("all").alias("s"))
     offsets = sums.withColumn("offset", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
     budget = goal.select("sn", "sk", "source_size", "target",
                          F.floor(F.col("target") + 0.5).cast("long").alias("budget"))
     offsets = offsets.join(broadcast_if_bounded(budget, 100_000)[0], ["sn", "sk"])
     within = (Window.partitionBy("sn", "sk", "slice").orderBy("h", "doc_id", "size")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = rows.withColumn("upto", F.sum("size").over(within)).join(offsets, ["sn", "sk", "slice"])
+    cut = (rows.withColumn("first", F.sum("all").over(within) - F.col("all")).join(offsets, ["sn", "sk", "slice"])
+           .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))))
     once = F.greatest(F.col("source_size"), F.lit(1))
-    left = F.col("budget") % once - F.col("offset") - F.col("upto") + F.col("size")
+    left = F.col("budget") % once - F.col("offset") - F.col("first") - F.col("copy") * F.col("size")
     part = F.least(F.greatest(left, F.lit(0)), F.col("size"))
     full = F.floor(F.col("budget") / once).cast("long") + F.when(part == F.col("size"), 1).otherwise(0)
-    plan = cut.select("doc_id", "sn", "sk", "size", "source_size", "target",
+    plan = cut.select("doc_id", "sn", "sk", "h", "size", "source_size", "target",
                       F.when(F.col("size") > 0, full).otherwise(F.lit(0)).cast("long").alias("copies"),
                       F.when(part == F.col("size"), 0).otherwise(part).cast("long").alias("part"))
     return plan, goal
@@ -94,17 +103,18 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``.
 
     Documents stay whole: one that the cut meets stays if at least half of it fits.
-    Wordless documents stay once. Rows that share doc_id, source and size are taken alike.
+    Wordless documents stay once. Rows that share doc_id, text and source are taken alike.
     """
     plan, _ = mix_plan(docs, seed)
     times = (F.col("copies") + F.when(2 * F.col("part") >= F.col("size"), F.when(F.col("part") > 0, 1).otherwise(0))
              .otherwise(0))
     times = F.when(F.col("size") > 0, times).otherwise(1)
-    take = (plan.select("doc_id", "sn", "sk", "size", times.alias("times"))
-            .groupBy("doc_id", "sn", "sk", "size").agg(F.max("times").cast("int").alias("times")).filter("times > 0"))
-    sn, sk = source_key(F.col("d.source"))
-    size = word_count(F.col("d.text"))
-    t = take.alias("t")
-    out = docs.alias("d").join(t, F.col("d.doc_id").cast("long").eqNullSafe(F.col("t.doc_id")) & (sn == F.col("t.sn"))
-                               & (sk == F.col("t.sk")) & (size == F.col("t.size")))
-    return out.select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.times"))).alias("_copy")).drop("_copy")
+    names = {c: f"_{c}_{uuid.uuid4().hex[:8]}" for c in ("h", "sn", "sk", "times", "copy")}
+    take = (plan.select(*[F.col(c).alias(names[c]) for c in ("h", "sn", "sk")], times.alias("times"))
+            .groupBy(names["h"], names["sn"], names["sk"]).agg(F.max("times").cast("int").alias(names["times"]))
+            .filter(F.col(names["times"]) > 0))
+    sn, sk = source_key(F.col("source"))
+    marked = docs.select("*", row_key(seed).alias(names["h"]), sn.alias(names["sn"]), sk.alias(names["sk"]))
+    out = marked.join(take, [names["h"], names["sn"], names["sk"]])
+    copies = F.explode(F.sequence(F.lit(1), F.col(names["times"]))).alias(names["copy"])
+    return out.select(*docs.columns, copies).drop(names["copy"])

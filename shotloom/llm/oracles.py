@@ -23,7 +23,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 OP3 = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size,
-         md5(concat_ws('|', 'mix-1', doc_id)) AS h
+         md5(concat_ws('|', 'mix-1', doc_id, md5(text))) AS h
   FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

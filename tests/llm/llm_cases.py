@@ -4,7 +4,8 @@ import random
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Column names that the operators use inside.
-CLASHES = ["score", "size", "key", "grp", "root", "bin_id", "entities", "lang_pred", "rn", "slice", "h", "kept", "_pos"]
+CLASHES = ["score", "size", "key", "grp", "root", "bin_id", "entities", "lang_pred", "rn", "slice", "h", "kept", "_pos", "_copy",
+           "_n", "times", "copy", "all"]
 
 
 def hard_docs():

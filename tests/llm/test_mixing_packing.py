@@ -32,8 +32,11 @@ def brute_mix(rows):
         open_ -= full
     out = []
     for s in names:
-        mine = sorted((hashlib.md5("|".join(["mix-1"] + ([str(r[0])] if r[0] is not None else [])).encode())
-                       .hexdigest(), -1 if r[0] is None else r[0], z, r[0])
+        def key(r):
+            text = [] if r[1] is None else [hashlib.md5(r[1].encode()).hexdigest()]
+            return hashlib.md5("|".join(["mix-1"] + ([str(r[0])] if r[0] is not None else []) + text).encode()).hexdigest()
+
+        mine = sorted((key(r), -1 if r[0] is None else r[0], z, r[0])
                       for r, z, q in zip(rows, size, src) if q == s)
         budget, before = int(goal[s] + 0.5), 0
         for _, _, z, i in mine:
@@ -56,6 +59,15 @@ def test_mix_matches_brute_force(spark, monkeypatch, slices):
     assert got == brute_mix(rows) == rows_of(mixing.mix(df))
 
 
+def test_rows_without_id_and_equal_rows_spread(spark):
+    """Null ids fall into many slices, and any number of equal rows is one row until the cut."""
+    rows = [(None, f"text number {i} " * (i % 4 + 1), "en", "s", 1) for i in range(600)] + [(7, "a b c", "en", "s", 1)] * 900
+    df = spark.createDataFrame(rows, DOCS)
+    assert rows_of(mixing.mix(df)) == brute_mix(rows)
+    keys = df.select(mixing.row_key("mix-1").alias("h")).distinct()
+    assert keys.count() == 601
+
+
 def test_taken_sums_to_targets(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 300)), "en", f"s{min(9, int(rng.expovariate(0.5)))}", 1)

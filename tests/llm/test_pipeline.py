@@ -94,3 +94,10 @@ def test_unlabelled_documents_pass_the_language_stage(spark):
     assert sorted(map(tuple, got), key=str) == sorted((r for r in rows if r[0] not in (2, 3, 4)), key=str)
     held = [(k, "some words", "en", "s", 10) for k in range(40) if zlib.crc32(str(k).encode()) % 4 == 2]
     assert held and cp.language(spark, spark.createDataFrame(held, DOCS), SF).count() == len(held)
+
+
+def test_dedup_of_rows_without_source_or_language(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text), (5, text), (9, text + " x"), (7, "other")]
+    got = cp.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(tuple(r) for r in got) == [(5, text), (7, "other")]
