@@ -47,9 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked, other = docs.withColumn(tag, digest()), gone.union(twice).withColumnRenamed("digest", tag)
     once = join_small_side(marked, other, ["doc_id", tag], F.col("doc_id"), how="left_anti")
     if not twice.isEmpty():
-        order = Window.partitionBy("doc_id", tag).orderBy(*[F.col(c) for c in ("source", "lang")])
+        number = f"_number_{uuid.uuid4().hex[:8]}"
+        order = Window.partitionBy("doc_id", tag).orderBy(*[c for c in ("source", "lang") if c in docs.columns], tag)
         first = (marked.join(twice.withColumnRenamed("digest", tag), ["doc_id", tag], "left_semi")
-                 .withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n"))
+                 .withColumn(number, F.row_number().over(order)).filter(F.col(number) == 1).drop(number))
         once = once.unionByName(first)
     return once.select(*docs.columns)
 
