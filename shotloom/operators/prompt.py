@@ -10,21 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotloom.functions import text as T
 from shotloom.functions.constants import PRICE_PER_1K, TEMPLATES
 from shotloom.operators.common import join_small_side, ordered_prefix, stored
-
-
-def _ntok(c) -> Column:
-    return T.token_count(c)
+from shotloom.operators.counters import WORDS_AND_MARKS, TokenCounter
 
 
 def chat_tokens(messages: DataFrame, conv: str = "conv_id", role: str = "role",
-                content: str = "text", name: str | None = None) -> DataFrame:
+                content: str = "text", name: str | None = None, counter: TokenCounter = WORDS_AND_MARKS) -> DataFrame:
     """4 per message + tokens of every field (-1 when a name is given) + 2 per conversation."""
-    per = F.lit(4) + _ntok(F.col(role)) + _ntok(F.col(content))
+    fields = {"_role_tokens": F.col(role), "_text_tokens": F.col(content)} | ({"_name_tokens": F.col(name)} if name else {})
+    messages = counter.add(messages, **fields)
+    per = F.lit(4) + F.col("_role_tokens") + F.col("_text_tokens")
     if name:
-        per = per + F.when(F.col(name).isNotNull(), _ntok(F.col(name)) - 1).otherwise(0)
+        per = per + F.when(F.col(name).isNotNull(), F.col("_name_tokens") - 1).otherwise(0)
     return (messages.groupBy(conv)
                     .agg(F.count("*").alias("n_messages"), (F.sum(per) + 2).cast("bigint").alias("n_tokens")))
 
@@ -115,25 +113,29 @@ def pack(demos: DataFrame, budget: Column, cost: Column, mode: str = "section",
 
 
 def build_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas: DataFrame,
-                  template: str = "template_option_1", evidence: str | None = None) -> DataFrame:
+                  template: str = "template_option_1", evidence: str | None = None,
+                  counter: TokenCounter = WORDS_AND_MARKS) -> DataFrame:
     """T5-T13 + P7: the end-to-end prompt per target.
 
     targets (idx, question, db_id[, evidence]); picks (target_id, demo_id, rank);
     pool (idx, question, query); schemas (db_id, schema_text).
     Instruction and question are charged first, demonstrations get the rest;
     a prompt over ``max_tokens`` is kept with ``status = 'over_budget'`` (X27).
+    ``counter`` counts everything; one that does not add up over parts counts the
+    question section and the finished prompt whole.
     """
     tpl = TEMPLATES[template]
     sec_sep, demo_sep = tpl["section_sep"], tpl["demo_sep"]
-    n_sec_sep = _ntok(F.lit(sec_sep))
+    n_sec_sep = counter.constant(sec_sep)
     instr = tpl["instruction"]
-    n_instr = _ntok(F.lit(instr)) if instr is not None else F.lit(0)
+    n_instr = counter.constant(instr)
 
     # With whitespace separators no token spans two parts, so a text's count is
     # the sum of its parts' counts: the schema is counted once per database and
     # the final prompt is never re-tokenised.
-    additive = all(tpl[k].strip() == "" for k in ("q_sep", "demo_sep", "section_sep"))
-    schemas = schemas.withColumn("schema_tokens", _ntok(F.col("schema_text")))
+    additive = counter.additive and all(tpl[k].strip() == "" for k in ("q_sep", "demo_sep", "section_sep"))
+    if additive:
+        schemas = stored(counter.add(schemas, schema_tokens=F.col("schema_text")), "schemas")
     ev = F.col(evidence) if evidence else None
     if additive:
         # Only the schema's token count travels through the shuffles; its text
@@ -146,28 +148,29 @@ def build_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas
     if additive:
         row_part = fill_question_section({**tpl, "q_prefix": None, "q_suffix": None}, F.col("question"),
                                          F.lit(None).cast("string"), ev)
-        q_tokens = (_ntok(F.lit(tpl["q_prefix"] or "")) + F.coalesce(F.col("schema_tokens"), F.lit(0))
-                    + _ntok(F.lit(tpl["q_suffix"] or "")) + _ntok(row_part))
+        t = counter.add(t, row_tokens=row_part)
+        q_tokens = (counter.constant(tpl["q_prefix"] or "") + F.coalesce(F.col("schema_tokens"), F.lit(0))
+                    + counter.constant(tpl["q_suffix"] or "") + F.col("row_tokens"))
+        t = t.withColumn("q_tokens", q_tokens).drop("row_tokens")
     else:
-        q_tokens = _ntok(F.col("q_section"))
-    t = t.withColumn("q_tokens", q_tokens)
+        t = counter.add(t, q_tokens=F.col("q_section"))
     n_valid = F.lit(2 if instr is not None else 1)
     t = t.withColumn("balance", F.lit(tpl["max_tokens"]) - n_instr - F.col("q_tokens")
                      - (n_valid - 1) * n_sec_sep - n_sec_sep)
 
     prefix, suffix = tpl["demo_prefix"], tpl["demo_suffix"]
-    fixed = (_ntok(F.lit(prefix)) if prefix is not None else F.lit(0)) \
-        + (_ntok(F.lit(suffix)) if suffix is not None else F.lit(0)) \
-        + F.lit(int(prefix is not None) + int(suffix is not None)) * _ntok(F.lit(demo_sep))
+    n_demo_sep = counter.constant(demo_sep)
+    ends = F.lit(int(prefix is not None) + int(suffix is not None))
+    fixed = counter.constant(prefix) + counter.constant(suffix) + ends * n_demo_sep
 
     # Each demonstration is formatted and counted once; only ids and costs are joined and
     # packed, and the texts follow for the kept picks alone.
-    p = stored(pool.select(F.col("idx").alias("demo_id"),
-                           format_demo(tpl["demo_format"], F.col("question"), F.col("query")).alias("dtext"))
-                   .withColumn("cost", _ntok(F.col("dtext")).cast("bigint")), "demos")
+    p = pool.select(F.col("idx").alias("demo_id"),
+                    format_demo(tpl["demo_format"], F.col("question"), F.col("query")).alias("dtext"))
+    p = stored(counter.add(p, cost=F.col("dtext")), "demos")
     d = picks.join(p.select("demo_id", "cost"), "demo_id")
     d = d.join(t.select(F.col("idx").alias("target_id"), "balance"), "target_id")
-    d = stored(pack(d, F.col("balance"), F.col("cost"), mode="section", sep_tokens=_ntok(F.lit(demo_sep)),
+    d = stored(pack(d, F.col("balance"), F.col("cost"), mode="section", sep_tokens=n_demo_sep,
                     fixed=fixed, bounded=True).select("target_id", "demo_id", "rank", "cost", "kept"), "picks")
     ids = (d.groupBy("target_id")
             .agg(F.sort_array(F.collect_list(F.struct("rank", "demo_id"))).alias("ds"),
@@ -192,11 +195,10 @@ def build_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas
     sections = ([F.lit(instr)] if instr is not None else []) + [demo_section, F.col("q_section")]
     out = out.withColumn("prompt", F.concat_ws(sec_sep, *sections))
     if additive:
-        demo_tokens = (fixed - F.lit(int(prefix is not None) + int(suffix is not None)) * _ntok(F.lit(demo_sep))
-                       + F.coalesce(F.col("kept_tokens"), F.lit(0)))
+        demo_tokens = fixed - ends * n_demo_sep + F.coalesce(F.col("kept_tokens"), F.lit(0))
         out = out.withColumn("num_tokens", (n_instr + demo_tokens + F.col("q_tokens")).cast("bigint"))
     else:
-        out = out.withColumn("num_tokens", _ntok(F.col("prompt")))
+        out = counter.add(out, num_tokens=F.col("prompt"))
     out = out.withColumn("num_packed", F.size(kept).cast("bigint"))
     out = out.withColumn("status", F.when(F.col("num_tokens") > tpl["max_tokens"], "over_budget")
                                     .when(F.length("prompt") == 0, "empty").otherwise("ok"))
@@ -205,7 +207,8 @@ def build_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas
 
 
 def build_flat_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, schemas: DataFrame,
-                       option: str = "option_1", max_tokens: int = 4096) -> DataFrame:
+                       option: str = "option_1", max_tokens: int = 4096,
+                       counter: TokenCounter = WORDS_AND_MARKS) -> DataFrame:
     """T6 + T10: the flat string template filled with flat-packed demonstrations.
 
     Demonstrations ("### Answer the following question: q\\nsql") are packed in
@@ -215,28 +218,36 @@ def build_flat_prompts(targets: DataFrame, picks: DataFrame, pool: DataFrame, sc
     from shotloom.functions.constants import FLAT_DEMO_FORMAT, FLAT_TEMPLATES
     tpl = FLAT_TEMPLATES[option]
     sep = "\n\n"
-    schemas = schemas.withColumn("schema_tokens", _ntok(F.col("schema_text")))
+    schemas = stored(counter.add(schemas, schema_tokens=F.col("schema_text")), "schemas")
     t = join_small_side(targets, schemas.select("db_id", "schema_tokens"), ["db_id"], salt_of=F.col("idx"), how="left")
     qa, qb = tpl["question"].split("{question}")
     q_part = F.concat(F.lit(qa), F.col("question"), F.lit(qb))
-    fixed = (_ntok(F.lit(tpl["head"])) + _ntok(F.lit(tpl["demo_header"])) + _ntok(F.lit(tpl["schema_header"]))
-             + F.coalesce(F.col("schema_tokens"), F.lit(0)) + _ntok(q_part))
-    t = t.withColumn("balance", F.lit(max_tokens) - fixed)
-    p = pool.select(F.col("idx").alias("demo_id"), F.col("question").alias("dq"), F.col("query").alias("dsql"))
-    d = picks.join(p, "demo_id").withColumn("dtext", format_demo(FLAT_DEMO_FORMAT, F.col("dq"), F.col("dsql")))
+    fixed = (counter.constant(tpl["head"]) + counter.constant(tpl["demo_header"]) + counter.constant(tpl["schema_header"])
+             + F.coalesce(F.col("schema_tokens"), F.lit(0)) + F.col("q_tokens"))
+    t = counter.add(t, q_tokens=q_part).withColumn("balance", F.lit(max_tokens) - fixed)
+    # Each demonstration is formatted and counted once; ids and costs are packed, kept texts follow.
+    p = pool.select(F.col("idx").alias("demo_id"), format_demo(FLAT_DEMO_FORMAT, F.col("question"), F.col("query")).alias("dtext"))
+    p = stored(counter.add(p, cost=F.col("dtext")), "demos")
+    d = picks.join(p.select("demo_id", "cost"), "demo_id")
     d = d.join(t.select(F.col("idx").alias("target_id"), "balance"), "target_id")
-    d = pack(d.withColumn("cost", _ntok(F.col("dtext"))), F.col("balance"), F.col("cost"), mode="flat",
-             sep_tokens=_ntok(F.lit(sep)), bounded=True)
-    agg = (d.groupBy("target_id")
-            .agg(F.sort_array(F.collect_list(F.struct("rank", "dtext", "kept"))).alias("ds"))
-            .select("target_id", F.transform(F.filter("ds", lambda x: x["kept"]), lambda x: x["dtext"]).alias("kept")))
+    d = pack(d, F.col("balance"), F.col("cost"), mode="flat", sep_tokens=counter.constant(sep), bounded=True).filter("kept")
+    agg = (d.select("target_id", "demo_id", "rank", "cost").join(p.select("demo_id", "dtext"), "demo_id").groupBy("target_id")
+            .agg(F.sort_array(F.collect_list(F.struct("rank", "dtext"))).alias("ds"), F.sum("cost").alias("kept_tokens"))
+            .select("target_id", "kept_tokens", F.transform("ds", lambda x: x["dtext"]).alias("kept")))
     out = t.join(agg, t["idx"] == agg["target_id"], "left").drop("target_id")
     out = join_small_side(out, schemas.select("db_id", "schema_text"), ["db_id"], salt_of=F.col("idx"), how="left")
     kept = F.coalesce(F.col("kept"), F.array().cast("array<string>"))
     demo_text = F.array_join(kept, sep)
     demo_part = F.when(F.size(kept) > 0, F.concat(F.lit(tpl["demo_header"]), demo_text, F.lit(sep))).otherwise("")
-    schema_part = F.when(F.coalesce(F.length("schema_text"), F.lit(0)) > 0,
-                         F.concat(F.lit(tpl["schema_header"]), F.col("schema_text"), F.lit(sep))).otherwise("")
+    has_schema = F.coalesce(F.length("schema_text"), F.lit(0)) > 0
+    schema_part = F.when(has_schema, F.concat(F.lit(tpl["schema_header"]), F.col("schema_text"), F.lit(sep))).otherwise("")
     prompt = F.concat(F.lit(tpl["head"]), demo_part, schema_part, q_part)
-    return out.select("idx", F.size(kept).cast("bigint").alias("num_packed"), prompt.alias("prompt"),
-                      _ntok(prompt).alias("num_tokens"))
+    out = out.withColumn("num_packed", F.size(kept).cast("bigint")).withColumn("prompt", prompt)
+    if counter.additive:  # headers end and separators consist of white space, so the parts add up
+        demos = F.when(F.size(kept) > 0, counter.constant(tpl["demo_header"]) + F.col("kept_tokens")).otherwise(0)
+        schema = F.when(has_schema, counter.constant(tpl["schema_header"]) + F.col("schema_tokens")).otherwise(0)
+        total = counter.constant(tpl["head"]) + demos + schema + F.col("q_tokens")
+        out = out.withColumn("num_tokens", F.when(F.col("prompt").isNull(), 0).otherwise(total).cast("bigint"))
+    else:
+        out = counter.add(out, num_tokens=F.col("prompt"))
+    return out.select("idx", "num_packed", "prompt", "num_tokens")
