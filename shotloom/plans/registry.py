@@ -8,6 +8,7 @@ rounded DOUBLE, text STRING.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from shotloom.functions import text as T
 from shotloom.functions.hashing import uniform_sql
 from shotloom.operators import retrieve as R
+from shotloom.session import checkpoint_dir
 from shotloom.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1281,6 +1283,22 @@ def q_union_pool(spark, sf_dir):
     return FS.union_pool([a, b], "src_id").select("file_ord", "src_id", "idx")
 
 
+@query("load_splits", oracle="""
+SELECT CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split,
+       CAST(row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1 AS BIGINT) AS idx, doc_id, text, source, lang
+FROM documents
+""")
+def q_load_splits(spark, sf_dir):
+    """``documents`` written as JSON Lines in three splits, then read with the places of the lines."""
+    root = f"{checkpoint_dir(spark)}/splits-{uuid.uuid4().hex}"
+    docs = S.load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    paths = {}
+    for k, split in enumerate(("train", "dev", "test")):
+        paths[split] = f"{root}/{split}"
+        FS.save_jsonl(docs.filter(F.col("doc_id") % 3 == k).repartitionByRange("doc_id").sortWithinPartitions("doc_id"), paths[split])
+    return FS.load_splits(spark, {**paths, "extra": None}, docs.schema)
+
+
 @schema_step("ddl_extract", oracle=f"""
 WITH {D.catalog_ctes()},
 scripts AS (SELECT db_id, replace(schema_text, chr(10) || ')', chr(10) || ');') AS text FROM schema_t),
