@@ -307,47 +307,79 @@ def replace_values(nodes: DataFrame, edges: DataFrame, words: DataFrame, prob: f
     return n2, e2
 
 
+def choose_databases(tables: DataFrame, aug_cols: DataFrame, seed: int) -> DataFrame:
+    """``(qid, db2)``: for every graph a seeded database with at least as many tables as the graph.
+
+    ``tables`` holds (qid, t). Databases are ranked by table count, largest first, so the
+    eligible ones are the first E of that order, and E is looked up by the graph's count;
+    the pick is the rank floor(u * E). Graphs that no database fits have no row.
+    """
+    sizes = stored(aug_cols.groupBy("db_id").agg(F.count_distinct("table_name").alias("n")), "catalog-sizes")
+    ranked = dense_index(sizes.withColumn("minus", -F.col("n")), [], ["minus", "db_id"], out="p").select("p", F.col("db_id").alias("db2"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    # one row for each table count that occurs among the databases or below: how many have at least that many
+    eligible = (sizes.select(F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("m")).groupBy("m").agg(F.count("*").alias("e")))
+    own = tables.groupBy("qid").agg(F.count_distinct("t").alias("m")).filter(F.col("m") <= most)
+    picked = join_small_side(own, eligible, ["m"], F.col("qid")).withColumn(
+        "p", F.floor(hashing.uniform(seed, "db", F.col("qid")) * F.col("e")).cast("bigint"))
+    return join_small_side(picked, ranked, ["p"], F.col("qid")).select("qid", "db2")
+
+
 def replace_schema(nodes: DataFrame, edges: DataFrame, src_cols: DataFrame, aug_cols: DataFrame,
                    seed: int) -> tuple[DataFrame, DataFrame]:
     """A13 (X19 fixed: the graph's own database types are used): table/column replacement.
 
-    ``src_cols`` / ``aug_cols``: catalog columns (table_name, column_name, column_type)
-    of the graph's database and of the replacement database. Each graph's tables map
-    injectively to consecutive replacement tables, in a seeded order and from a
-    seeded start; a graph with more tables than there are keeps its own. Each column becomes the hash-first
-    column of its mapped table with the same type, or any column when none has
-    it. Nodes and edges are relabelled; collisions merge.
+    ``src_cols``: catalog columns (table_name, column_name, column_type) of the graphs'
+    database; ``aug_cols``: those of all replacement databases, with db_id. Every graph
+    takes one database (:func:`choose_databases`); its tables map one-to-one to
+    consecutive tables of it, in a seeded order and from a seeded start. The columns of a
+    table map one-to-one to columns of its new table: first within their type, then the
+    rest to the columns left over, both in seeded orders; a column beyond the new table's
+    own ones keeps its name there. A graph that no database fits stays as it is.
     """
     from pyspark.sql import Window
-    aug_tables = aug_cols.select(F.col("table_name").alias("t2")).distinct()
-    n_aug = aug_tables.agg(F.count("*")).scalar()
-    order = dense_index(aug_tables.withColumn("_h", hashing.uniform(seed, "tbl", F.col("t2"))), [], ["_h", "t2"], out="p")
     qt = nodes.filter(F.col("type") == "TABLE").select("qid", F.col("val").alias("t")).distinct()
-    w = Window.partitionBy("qid")
-    qt = (qt.withColumn("i", F.row_number().over(w.orderBy("t")) - 1).withColumn("m", F.count("*").over(w))
-            .filter(F.col("m") <= n_aug))
-    start = F.floor(hashing.uniform(seed, "tbloff", F.col("qid")) * n_aug).cast("bigint")
-    qt = qt.withColumn("p", (start + F.col("i")) % n_aug)
-    tmap = join_small_side(qt, order.select("p", "t2"), ["p"], F.col("qid")).select("qid", "t", "t2")
+    place = Window.partitionBy("db2").orderBy("_h", "t2")  # a catalog's tables
+    aug_tables = aug_cols.select(F.col("db_id").alias("db2"), F.col("table_name").alias("t2")).distinct()
+    order = (aug_tables.withColumn("_h", hashing.uniform(seed, "tbl", F.col("db2"), F.col("t2")))
+             .select("db2", "t2", (F.row_number().over(place) - 1).cast("bigint").alias("p"),
+                     F.count("*").over(Window.partitionBy("db2")).alias("n")))
+    chosen = choose_databases(qt, aug_cols, seed)
+    start = F.floor(hashing.uniform(seed, "tbloff", F.col("qid")) * F.col("n")).cast("bigint")
+    nth = (F.row_number().over(Window.partitionBy("qid").orderBy("t")) - 1).cast("bigint")
+    qt = qt.join(chosen, "qid").withColumn("i", nth)
+    qt = join_small_side(qt, order.select("db2", "n").distinct(), ["db2"], F.col("qid")).withColumn("p", (start + F.col("i")) % F.col("n"))
+    tmap = stored(join_small_side(qt, order.select("db2", "p", "t2"), ["db2", "p"], F.col("qid")).select("qid", "t", "db2", "t2"),
+                  "table-map")
     cols = nodes.filter(F.col("type") == "COLUMN").select(
         "qid", "node_id", F.col("val").alias("c"),
         F.regexp_extract(F.col("node_id"), r"^COLUMN_([^.]*)\.", 1).alias("t"))
     cols = cols.join(tmap, ["qid", "t"])
-    st = src_cols.select(F.col("table_name").alias("t"), F.col("column_name").alias("c"), F.col("column_type").alias("ctype"))
-    cols = join_small_side(cols, st, ["t", "c"], F.col("qid"), how="left")
-    ac = aug_cols.select(F.col("table_name").alias("t2"), F.col("column_name").alias("c2"),
-                         F.col("column_type").alias("ctype2"))
-    opts = join_small_side(cols, ac, ["t2"], F.col("qid"))
-    match = F.coalesce(F.col("ctype") == F.col("ctype2"), F.lit(False))
-    opts = opts.withColumn("_m", F.when(match, 0).otherwise(1)).withColumn(
-        "_h", hashing.uniform(seed, "col", F.col("qid"), F.col("node_id"), F.col("c2")))
-    best = top_k(opts, ["qid", "node_id"], [F.col("_m").asc(), F.col("_h").asc(), F.col("c2").asc()], 1, rank_col="_r")
+    st = src_cols.select(F.col("table_name").alias("t"), F.col("column_name").alias("c"), F.col("column_type").alias("kind"))
+    cols = stored(join_small_side(cols, st, ["t", "c"], F.col("qid"), how="left")
+                  .withColumn("_h", hashing.uniform(seed, "colorder", F.col("qid"), F.col("node_id"))), "column-map")
+    ac = aug_cols.select(F.col("db_id").alias("db2"), F.col("table_name").alias("t2"), F.col("column_name").alias("c2"),
+                         F.col("column_type").alias("kind"))
+    opts = stored(join_small_side(tmap, ac, ["db2", "t2"], F.col("qid"))
+                  .withColumn("_h", hashing.uniform(seed, "col", F.col("qid"), F.col("t2"), F.col("c2"))), "column-targets")
+
+    def numbered(rows: DataFrame, by: list[str], last: str) -> DataFrame:
+        return rows.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("_h", last)))
+
+    typed = numbered(cols.filter("kind is not null"), ["qid", "t", "kind"], "node_id").select("qid", "t", "kind", "k", "node_id")
+    by_type = typed.join(numbered(opts, ["qid", "t", "kind"], "c2").select("qid", "t", "kind", "k", "c2"), ["qid", "t", "kind", "k"])
+    by_type = stored(by_type.select("qid", "t", "node_id", "c2"), "columns-by-type")
+    rest = numbered(cols.join(by_type, ["qid", "node_id"], "left_anti"), ["qid", "t"], "node_id").select("qid", "t", "k", "node_id")
+    free = numbered(opts.join(by_type, ["qid", "t", "c2"], "left_anti"), ["qid", "t"], "c2").select("qid", "t", "k", "c2")
+    any_type = rest.join(free, ["qid", "t", "k"], "left").select("qid", "t", "node_id", "c2")
+    found = by_type.unionByName(any_type).select("qid", "node_id", "c2")
+    best = cols.join(found, ["qid", "node_id"]).withColumn("c2", F.coalesce("c2", "c"))
     cmap = best.select("qid", F.col("node_id").alias("old_id"),
                        F.concat(F.lit("COLUMN_"), F.col("t2"), F.lit("."), F.col("c2")).alias("new_id"),
                        F.col("c2").alias("new_val"))
     tm = tmap.select("qid", F.concat(F.lit("TABLE_"), F.col("t")).alias("old_id"),
                      F.concat(F.lit("TABLE_"), F.col("t2")).alias("new_id"), F.col("t2").alias("new_val"))
-    mapping = cmap.unionByName(tm)
+    mapping = stored(cmap.unionByName(tm), "schema-map")
     n2 = (nodes.join(mapping.withColumnRenamed("old_id", "node_id"), ["qid", "node_id"], "left")
                .select("qid", F.coalesce("new_id", "node_id").alias("node_id"),
                        F.coalesce("new_val", "val").alias("val"), "type").distinct())

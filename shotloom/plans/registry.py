@@ -1131,30 +1131,44 @@ def q_aug_value(spark, sf_dir):
 
 @query("aug_schema", oracle=_duck_graph("SELECT DISTINCT qid, src, dst, label FROM e2", extra=f"""
 {D.catalog_ctes()},
-qt AS (SELECT qid, t, row_number() OVER (PARTITION BY qid ORDER BY t) AS i FROM (SELECT DISTINCT qid, val AS t FROM nodes WHERE type = 'TABLE')),
-atb AS (SELECT DISTINCT table_name AS t2 FROM cat WHERE db_id = 'corpus'),
-ord AS (SELECT t2, row_number() OVER (ORDER BY {D.uniform(str(SEED), "'tbl'", 't2')}, t2) - 1 AS p FROM atb),
-na AS (SELECT count(*) AS n FROM atb),
-tm AS (SELECT q.qid, q.t, ord.t2 FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS m FROM qt) q CROSS JOIN na
-       JOIN ord ON ord.p = (CAST(floor({D.uniform(str(SEED), "'tbloff'", 'q.qid')} * na.n) AS BIGINT) + q.i - 1) % na.n WHERE q.m <= na.n),
-cl AS (SELECT n.qid, n.node_id, n.val AS c, regexp_extract(n.node_id, '^COLUMN_([^.]*)[.]', 1) AS t FROM nodes n WHERE n.type = 'COLUMN'),
-cm AS (SELECT cl.*, tm.t2, s.column_type AS ctype FROM cl JOIN tm ON tm.qid = cl.qid AND tm.t = cl.t
+ac AS (SELECT DISTINCT db_id AS db2, table_name AS t2, column_name AS c2, column_type AS kind FROM cat WHERE db_id <> 'star'),
+sz AS (SELECT db2, count(DISTINCT t2) AS n FROM ac GROUP BY db2),
+qt AS (SELECT qid, t, row_number() OVER (PARTITION BY qid ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY qid) AS m
+       FROM (SELECT DISTINCT qid, val AS t FROM nodes WHERE type = 'TABLE')),
+gr AS (SELECT DISTINCT qid, m FROM qt),
+-- the eligible databases of a graph, largest first, and the one that its hash picks
+el AS (SELECT gr.qid, sz.db2, sz.n, row_number() OVER (PARTITION BY gr.qid ORDER BY sz.n DESC, sz.db2) - 1 AS p,
+              count(*) OVER (PARTITION BY gr.qid) AS e FROM gr JOIN sz ON sz.n >= gr.m),
+db AS (SELECT qid, db2, n FROM el WHERE p = CAST(floor({D.uniform(str(SEED), "'db'", 'qid')} * e) AS BIGINT)),
+ord AS (SELECT db2, t2, row_number() OVER (PARTITION BY db2 ORDER BY {D.uniform(str(SEED), "'tbl'", 'db2', 't2')}, t2) - 1 AS p
+        FROM (SELECT DISTINCT db2, t2 FROM ac)),
+tm AS (SELECT qt.qid, qt.t, db.db2, ord.t2 FROM qt JOIN db ON db.qid = qt.qid
+       JOIN ord ON ord.db2 = db.db2 AND ord.p = (CAST(floor({D.uniform(str(SEED), "'tbloff'", 'qt.qid')} * db.n) AS BIGINT) + qt.i) % db.n),
+cl AS (SELECT qid, node_id, val AS c, regexp_extract(node_id, '^COLUMN_([^.]*)[.]', 1) AS t FROM nodes WHERE type = 'COLUMN'),
+cm AS (SELECT cl.qid, cl.node_id, cl.c, tm.t, tm.t2, s.column_type AS kind, {D.uniform(str(SEED), "'colorder'", 'cl.qid', 'cl.node_id')} AS h
+       FROM cl JOIN tm ON tm.qid = cl.qid AND tm.t = cl.t
        LEFT JOIN cat s ON s.db_id = 'star' AND s.table_name = cl.t AND s.column_name = cl.c),
-op AS (SELECT cm.qid, cm.node_id, cm.t2, a.column_name AS c2,
-              CASE WHEN coalesce(cm.ctype = a.column_type, false) THEN 0 ELSE 1 END AS m,
-              {D.uniform(str(SEED), "'col'", 'cm.qid', 'cm.node_id', 'a.column_name')} AS h
-       FROM cm JOIN cat a ON a.db_id = 'corpus' AND a.table_name = cm.t2),
-bc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, node_id ORDER BY m, h, c2) AS r FROM op) WHERE r = 1),
-mp AS (SELECT qid, node_id AS old_id, 'COLUMN_' || t2 || '.' || c2 AS new_id FROM bc
+op AS (SELECT tm.qid, tm.t, ac.c2, ac.kind, {D.uniform(str(SEED), "'col'", 'tm.qid', 'tm.t2', 'ac.c2')} AS h
+       FROM tm JOIN ac ON ac.db2 = tm.db2 AND ac.t2 = tm.t2),
+ty AS (SELECT a.qid, a.t, a.node_id, b.c2 FROM
+         (SELECT *, row_number() OVER (PARTITION BY qid, t, kind ORDER BY h, node_id) AS k FROM cm WHERE kind IS NOT NULL) a
+         JOIN (SELECT *, row_number() OVER (PARTITION BY qid, t, kind ORDER BY h, c2) AS k FROM op) b
+         ON b.qid = a.qid AND b.t = a.t AND b.kind = a.kind AND b.k = a.k),
+re AS (SELECT *, row_number() OVER (PARTITION BY qid, t ORDER BY h, node_id) AS k FROM cm
+       WHERE NOT EXISTS (SELECT 1 FROM ty WHERE ty.qid = cm.qid AND ty.node_id = cm.node_id)),
+fr AS (SELECT *, row_number() OVER (PARTITION BY qid, t ORDER BY h, c2) AS k FROM op
+       WHERE NOT EXISTS (SELECT 1 FROM ty WHERE ty.qid = op.qid AND ty.t = op.t AND ty.c2 = op.c2)),
+fo AS (SELECT qid, node_id, c2 FROM ty
+       UNION ALL SELECT re.qid, re.node_id, fr.c2 FROM re LEFT JOIN fr ON fr.qid = re.qid AND fr.t = re.t AND fr.k = re.k),
+mp AS (SELECT cm.qid, cm.node_id AS old_id, 'COLUMN_' || cm.t2 || '.' || coalesce(fo.c2, cm.c) AS new_id
+       FROM cm JOIN fo ON fo.qid = cm.qid AND fo.node_id = cm.node_id
        UNION ALL SELECT qid, 'TABLE_' || t, 'TABLE_' || t2 FROM tm),
 e2 AS (SELECT e.qid, coalesce(a.new_id, e.src) AS src, coalesce(b.new_id, e.dst) AS dst, e.label FROM edges e
        LEFT JOIN mp a ON a.qid = e.qid AND a.old_id = e.src LEFT JOIN mp b ON b.qid = e.qid AND b.old_id = e.dst)"""))
 def q_aug_schema(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     cols = CAT.catalog_columns(spark, sf_dir)
-    src = cols.filter(F.col("db_id") == "star")
-    aug = cols.filter(F.col("db_id") == "corpus")
-    _, e2 = A.replace_schema(nodes, edges, src, aug, SEED)
+    _, e2 = A.replace_schema(nodes, edges, cols.filter(F.col("db_id") == "star"), cols.filter(F.col("db_id") != "star"), SEED)
     return e2
 
 
@@ -1183,7 +1197,7 @@ def q_augment_positive(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     cols = CAT.catalog_columns(spark, sf_dir)
     ops = A.default_operators(SEED, A.word_list(S.load(spark, sf_dir, "benchmark")),
-                              cols.filter(F.col("db_id") == "star"), cols.filter(F.col("db_id") == "corpus"))
+                              cols.filter(F.col("db_id") == "star"), cols.filter(F.col("db_id") != "star"))
     n2, _ = A.augment_positives(nodes, edges, A.sample_augmenters(nodes, N_AUG, SEED), ops)
     return n2
 

@@ -249,8 +249,8 @@ def test_schema_replacement_keeps_types(spark):
     edges = spark.createDataFrame([(1, "ROOT", "TABLE_t", "FROM"), (1, "COLUMN_t.n", "TABLE_t", "belongs_to"),
                                    (1, "COLUMN_t.s", "TABLE_t", "belongs_to")], "qid bigint, src string, dst string, label string")
     src = spark.createDataFrame([("t", "n", "number"), ("t", "s", "text")], "table_name string, column_name string, column_type string")
-    aug = spark.createDataFrame([("u", "a", "text"), ("u", "b", "number"), ("u", "c", "text")],
-                                "table_name string, column_name string, column_type string")
+    aug = spark.createDataFrame([("d", "u", "a", "text"), ("d", "u", "b", "number"), ("d", "u", "c", "text")],
+                                "db_id string, table_name string, column_name string, column_type string")
     n2, e2 = A.replace_schema(nodes, edges, src, aug, 3)
     ids = {r.node_id for r in n2.collect()}
     assert "TABLE_u" in ids and "COLUMN_u.b" in ids
