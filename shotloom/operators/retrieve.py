@@ -333,6 +333,46 @@ def dot_topk(targets: DataFrame, pool: DataFrame, k: int, target_id: str = "id",
 STRUCT_BONUS = {"g": 0.02, "h": 0.01, "o": 0.01, "l": 0.01}
 
 
+#: The most that clause agreement can add to a Jaccard score.
+MAX_BONUS = 0.05
+
+
+def agreement(t: str = "t", d: str = "d") -> Column:
+    """Bonus of a target and a demo signature from their flags, columns ``<t>g`` .. ``<d>l``."""
+    return sum((F.when(F.col(t + x) == F.col(d + x), F.lit(v)).otherwise(F.lit(0.0)) for x, v in STRUCT_BONUS.items()), F.lit(0.0))
+
+
+def _struct_scores(pairs: DataFrame, tsig: DataFrame, dsig: DataFrame) -> DataFrame:
+    """(tsig, sig, bucket, min_id, score) of the given signature pairs, from whole token sets and flags."""
+    both = join_small_side(pairs.select("tsig", "sig", "bucket"), tsig, ["tsig", "bucket"], F.col("sig"))
+    both = join_small_side(both, dsig, ["sig", "bucket"], F.col("tsig"))
+    inter = F.size(F.array_intersect("ttoks", "toks"))
+    union = F.size("ttoks") + F.size("toks") - inter
+    jac = F.when(union == 0, F.lit(0.0)).otherwise(inter.cast("double") / union.cast("double"))
+    return both.select("tsig", "sig", "bucket", "min_id", (jac + agreement()).alias("score"))
+
+
+def struct_pairs(tpost: DataFrame, dpost: DataFrame, floor: DataFrame) -> DataFrame:
+    """(tsig, sig, bucket) that can reach a target's ``floor`` score.
+
+    A demo whose score reaches the floor has a Jaccard of at least J = floor - MAX_BONUS, so
+    it shares ceil(J * na) of the target's na tokens and so one of all but that many less
+    one: the bucket's most frequent tokens are left out. Sizes, and counts with the pair's
+    own bonus, prune the rest. ``tpost`` has a target's tokens with their place by rarity.
+    """
+    floor = floor.withColumn("j", F.greatest(F.col("floor") - MAX_BONUS - 1e-9, F.lit(0.0)))
+    posted = tpost.join(floor, "tsig", "left").withColumn("j", F.coalesce("j", F.lit(0.0)))
+    rest = F.greatest(F.ceil(F.col("j") * F.col("na")) - 1, F.lit(0))
+    prefix = (posted.withColumn("rest", rest).filter((F.col("place") <= F.col("na") - F.col("rest")) & (F.col("f") > 0))
+              .select("tsig", "bucket", "na", "j", "rest", "tok", "floor", *["t" + x for x in "ghol"]))
+    hits = (join_small_side(dpost, prefix, ["bucket", "tok"], salt_of=F.col("sig"))
+            .filter((F.col("nb") >= F.col("j") * F.col("na")) & (F.col("nb") * F.col("j") <= F.col("na")))
+            .withColumn("own", F.greatest(F.coalesce("floor", F.lit(0.0)) - agreement() - 1e-9, F.lit(0.0)))
+            .groupBy("tsig", "sig", "bucket", "na", "nb", "rest", "own").agg(F.count("*").alias("c")))
+    need = F.col("own") / (1 + F.col("own")) * (F.col("na") + F.col("nb"))
+    return hits.filter(F.col("c") + F.col("rest") >= need).select("tsig", "sig", "bucket")
+
+
 def struct_retrieve(items: DataFrame, k: int, id_col: str = "qid") -> DataFrame:
     """Top-k by question-token Jaccard plus clause-agreement bonuses, within a structure bucket.
 
@@ -371,27 +411,29 @@ def struct_retrieve(items: DataFrame, k: int, id_col: str = "qid") -> DataFrame:
     tsig = sigs.select(F.col("sig").alias("tsig"), F.col("toks").alias("ttoks"),
                        *[F.col(x).alias("t" + x) for x in "ghol"],
                        F.when(F.col("setop"), "conj").when(F.col("jcb") >= 1, bucket_of).otherwise("all").alias("bucket"))
-    # Overlapping signature pairs through token postings.
-    tpost = tsig.select("tsig", "bucket", F.size("ttoks").alias("na"), F.explode("ttoks").alias("tok"))
-    dpost = dsig.select("sig", "bucket", F.size("toks").alias("nb"), F.explode("toks").alias("tok"))
-    # A stop token joins every signature pair: broadcast the (checked) target side,
-    # else salt the shuffle join by demo signature so that pair product is split.
-    inter = (join_small_side(dpost, tpost, ["bucket", "tok"], salt_of=F.col("sig"))
-                  .groupBy("tsig", "sig", "bucket", "na", "nb")
-                  .agg(F.count("*").alias("inter")))
-    inter = inter.select("tsig", "sig", "bucket",
-                         (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jac"))
+    tsig, dsig = stored(tsig, "struct-targets"), stored(dsig, "struct-demos")
+    tpost = tsig.select("tsig", "bucket", *["t" + x for x in "ghol"], F.size("ttoks").alias("na"),
+                        F.explode_outer("ttoks").alias("tok")).filter(F.col("tok").isNotNull())
+    dpost = stored(dsig.select("sig", "bucket", *["d" + x for x in "ghol"], F.size("toks").alias("nb"),
+                               F.explode_outer("toks").alias("tok")).filter(F.col("tok").isNotNull()), "struct-postings")
+    freq = dpost.groupBy("bucket", "tok").agg(F.count("*").alias("f"))
+    rarest = Window.partitionBy("tsig").orderBy("f", "tok")
+    tpost = stored(join_small_side(tpost, freq, ["bucket", "tok"], F.col("tsig"), how="left")
+                   .withColumn("f", F.coalesce("f", F.lit(0))).withColumn("place", F.row_number().over(rarest)), "struct-tokens")
     # Zero-overlap competitors: k+1 smallest-id signatures per (bucket, pattern), size bounded.
     pattern_first = top_k(dsig, ["bucket", "dg", "dh", "do", "dl"], [F.col("min_id").asc()], kk, rank_col="_r")
     fill = join_small_side(tsig.select("tsig", "bucket"), pattern_first.select("bucket", "sig"), ["bucket"],
-                           F.col("tsig")).select(
-        "tsig", "sig", "bucket", F.lit(0.0).alias("jac"))
-    cand = inter.unionByName(fill).groupBy("tsig", "sig", "bucket").agg(F.max("jac").alias("jac"))
-    cand = cand.join(tsig.drop("ttoks"), ["tsig", "bucket"]).join(
-        dsig.select("sig", "bucket", "min_id", "dg", "dh", "do", "dl"), ["sig", "bucket"])
-    bonus = sum((F.when(F.col("t" + x) == F.col("d" + x), F.lit(v)).otherwise(F.lit(0.0))
-                 for x, v in STRUCT_BONUS.items()), F.lit(0.0))
-    cand = cand.withColumn("score", F.col("jac") + bonus)
+                           F.col("tsig")).select("tsig", "sig", "bucket")
+    # A few demos that share rare tokens raise the floor: each target's postings are cut at the rarest.
+    met = tpost.filter("f > 0").withColumn("met", F.row_number().over(rarest)).filter(F.col("met") <= SEED_TOKENS)
+    few = dpost.withColumn("nth", F.row_number().over(Window.partitionBy("bucket", "tok").orderBy("sig"))).filter(
+        F.col("nth") <= SEED_CANDIDATES * kk)
+    seeds = join_small_side(few.select("bucket", "tok", "sig"), met.select("tsig", "bucket", "tok"), ["bucket", "tok"], F.col("sig"))
+    known = stored(_struct_scores(fill.unionByName(seeds.select("tsig", "sig", "bucket")).distinct(), tsig, dsig), "struct-known")
+    floor = (top_k(known, ["tsig"], [F.col("score").desc(), F.col("min_id").asc()], kk, rank_col="_r")
+             .filter(F.col("_r") == kk).select("tsig", F.col("score").alias("floor")))
+    pairs = struct_pairs(tpost, dpost, floor)
+    cand = known.unionByName(_struct_scores(pairs.join(known, ["tsig", "sig", "bucket"], "left_anti"), tsig, dsig))
     best_sigs = top_k(cand, ["tsig"], [F.col("score").desc(), F.col("min_id").asc()], kk, rank_col="_r")
     picks = best_sigs.select("tsig", "sig", "score").join(members, "sig")
     picks = top_k(picks, ["tsig"], [F.col("score").desc(), F.col("id").asc()], kk, rank_col="_r")

@@ -53,3 +53,45 @@ def test_no_rows(spark):
     some, none = spark.createDataFrame([(1, "a")], schema), spark.createDataFrame([], schema)
     assert N.neg_uniform(some, none, 5, 1).count() == N.neg_uniform(none, some, 5, 1).count() == 0
     assert N.neg_uniform(some, some, 0, 1).count() == 0
+
+
+def plain_struct(items, k):
+    """Every pair in a bucket, scored on whole sets."""
+    out = set()
+    for i, toks, setop, jc, *flags in items:
+        ranked = []
+        for j, other, s2, j2, *flags2 in items:
+            inside = s2 if setop else (min(jc, 3) == min(j2, 3) if jc >= 1 else True)
+            if i == j or not inside:
+                continue
+            both = len(set(toks) | set(other))
+            bonus = sum(v for v, a, b in zip((0.02, 0.01, 0.01, 0.01), flags, flags2) if a == b)
+            ranked.append((-round((len(set(toks) & set(other)) / both if both else 0.0) + bonus, 9), j))
+        out |= {(i, j, r) for r, (_, j) in enumerate(sorted(ranked)[:k], 1)}
+    return out
+
+
+ITEMS = "qid long, toks array<string>, setop boolean, jc long, g boolean, h boolean, o boolean, l boolean"
+
+
+def test_structure_retrieval_matches_all_pairs(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, rng.choices(words, k=rng.randint(0, 9)) + ["the", "of"], rng.random() < 0.1, rng.choice([0, 0, 1, 2, 5]),
+              *[rng.random() < 0.4 for _ in range(4)]) for i in range(220)]
+    items += [(300 + i, [], False, 1, True, True, True, True) for i in range(5)] + [(400, items[0][1], *items[0][2:])]
+    got = R.struct_retrieve(spark.createDataFrame(items, ITEMS), 4).collect()
+    assert {(r.target_id, r.demo_id, r["rank"]) for r in got} == plain_struct(items, 4)
+
+
+def test_stop_tokens_of_a_bucket_are_not_multiplied(spark, monkeypatch):
+    """Questions with common words and a theme each: the pairs scored follow the themes, not the bucket's square."""
+    n, per = 1200, 6
+    items = [(i, ["the", "of", "how", "many"] + [f"theme{i // per}-{j}" for j in range(6)] + [f"own{i}"], False, 0, False, False,
+              False, False) for i in range(n)]
+    seen = []
+    original = R.struct_pairs
+    monkeypatch.setattr(R, "struct_pairs", lambda *a: (seen.append(original(*a).count()), original(*a))[1])
+    got = R.struct_retrieve(spark.createDataFrame(items, ITEMS), 3).collect()
+    assert len(got) == 3 * n and all(r.target_id // per == r.demo_id // per for r in got)
+    assert seen[0] <= 4 * per * n < n * n / 20
