@@ -63,21 +63,25 @@ def completion_stats(responses: DataFrame) -> DataFrame:
                          F.round(F.avg("total_tokens"), 6).alias("mean_tokens"))
 
 
-class EchoCompleter:
-    """Deterministic offline completer: answers with the SQL block of a correction prompt.
+#: Fixed headings around the query that a correction prompt asks about.
+QUERY_MARK, FIXED_MARK = "#### SQLite SQL QUERY\n", "\n#### SQLite FIXED SQL QUERY"
 
-    Token usage is the default token count of prompt plus answer. Used by tests
-    and the registered query so the job runs without a network.
-    """
 
-    MARK = "#### SQLite SQL QUERY\n"
+def unchanged_responses(prompts: DataFrame, id_col: str = "idx", prompt_col: str = "prompt") -> DataFrame:
+    """B2 over prompts that need no model: each is answered by the query that it asks about.
 
-    def __call__(self, prompt: str) -> tuple[str, int]:
-        import regex
-        body = prompt.split(self.MARK, 1)[1] if self.MARK in prompt else prompt
-        answer = body.split("\n#### SQLite FIXED SQL QUERY", 1)[0]
-        pat = regex.compile(T.WORD_PUNCT_RE)
-        return answer, len(pat.findall(prompt)) + len(pat.findall(answer))
+    Columns as :func:`batch_complete`, by column expressions alone: the text between the
+    headings (the whole prompt without them), cleaned as any response, and the tokens of
+    prompt and answer. It is the floor that a model's corrections are compared with.
+    """
+    prompt = F.col(prompt_col)
+    at = F.instr(prompt, QUERY_MARK)
+    body = F.when(at > 0, F.substr(prompt, at + len(QUERY_MARK), F.length(prompt))).otherwise(prompt)
+    raw = F.substring_index(body, FIXED_MARK, 1)
+    return (prompts.select(F.col(id_col), prompt.alias("_prompt"), raw.alias("raw"))
+            .select(id_col, "raw", T.postprocess_sql(F.coalesce("raw", F.lit(""))).alias("sql"), F.lit(True).alias("ok"),
+                    F.lit(1).cast("bigint").alias("attempts"),
+                    (T.token_count("_prompt") + T.token_count("raw")).alias("total_tokens")))
 
 
 def execute_candidates(candidates: DataFrame, sql_col: str = "sql", id_col: str = "idx",

@@ -1344,7 +1344,7 @@ resp AS (SELECT qid, sql AS raw, {D.postprocess('sql')} AS sql, true AS ok, CAST
 
 def _responses(spark, sf_dir):
     prompts = q_correction_prompt(spark, sf_dir)
-    return B.batch_complete(prompts, B.EchoCompleter, id_col="qid")
+    return B.unchanged_responses(prompts, id_col="qid")
 
 
 @query("batch_complete", oracle=_ECHO_SQL + " SELECT * FROM resp")

@@ -329,3 +329,12 @@ def test_complexity_counts_no_commas_of_nested_calls(spark):
     got = {r.qid: r for r in H.sql_shape(df).collect()}
     for i, (sql, cols, groups, joins) in enumerate(cases):
         assert (got[i].n_select_cols, got[i].n_group_cols, got[i].n_join) == (cols, groups, joins), sql
+
+
+def test_unchanged_responses_are_the_queries_asked_about(spark):
+    from shotloom.operators import complete as B
+    rows = [(1, "### Fix\n#### SQLite SQL QUERY\nselect  a from t\n#### SQLite FIXED SQL QUERY\nSELECT"), (2, "no headings"), (3, None), (4, "")]
+    got = {r.idx: r for r in B.unchanged_responses(spark.createDataFrame(rows, "idx long, prompt string")).collect()}
+    assert (got[1].raw, got[1].sql, got[1].ok, got[1].attempts) == ("select  a from t", "select a from t", True, 1)
+    assert got[1].total_tokens == 24 + 4 and got[2].raw == "no headings" and got[2].total_tokens == 4
+    assert got[3].raw is None and got[3].sql == "SELECT " and got[3].total_tokens == 0 and got[4].raw == ""
