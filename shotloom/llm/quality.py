@@ -5,13 +5,14 @@ logistic likelihood of the pairs on feature differences. Scores are then laid on
 to 1 by their quantiles among the training documents, so that the quantile that
 separates the labels best falls on ``THRESHOLD``.
 
-Training takes a bounded, hash-ordered sample: ``TRAIN_DOCS`` documents of each
-label and ``PAIRS`` pairs. Scoring reads whole texts.
+Training takes every labelled document: its features are written once, it is in at
+least one pair, and moments, Newton sums, quantiles and the cut are sums or counts over
+all of them in Spark. Scoring reads whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.base import as_bytes, crc_mod, sample_per_group, small_batches
+from shotloom.llm.base import as_bytes, crc_mod, join_small_side, small_batches, stored
+from shotloom.operators.common import dense_index
 
-THRESHOLD, TRAIN_DOCS, PAIRS, STEPS, RIDGE, GRID = 0.3, 5000, 60_000, 25, 1e-3, 2001
+#: PAIRS: the fewest pairs; with more documents every one is in a pair.
+THRESHOLD, PAIRS, STEPS, RIDGE, GRID = 0.3, 60_000, 25, 1e-3, 2001
 _UPPER = np.arange(65, 91)
 _LOWER = np.arange(97, 123)
 _DIGIT = np.arange(48, 58)
@@ -77,8 +80,34 @@ class Ranker:
         return np.where(s >= edge, high, low)
 
 
+def newton_sums(diff: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the pairwise logistic likelihood, summed over the pairs, in one row."""
+    p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
+    return np.concatenate([diff.T @ (1 - p), ((diff * (p * (1 - p))[:, None]).T @ diff).ravel()])
+
+
+def newton(sums: Callable[[np.ndarray], np.ndarray], n_pairs: int, width: int) -> np.ndarray:
+    """Weights by Newton steps, from the sums over all pairs at each step's weights."""
+    w = np.zeros(width)
+    for _ in range(STEPS):
+        total = sums(w) / n_pairs
+        grad = total[:width] - RIDGE * w
+        curve = total[width:].reshape(width, width) + RIDGE * np.eye(width)
+        step = np.linalg.solve(curve, grad)
+        w += step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def best_cut(good_below: np.ndarray, bad_below: np.ndarray, n_good: int, n_bad: int) -> float:
+    """The quantile that passes the most good and stops the most bad, from the counts below each grid score."""
+    gain = (1 - good_below / n_good) + bad_below / n_bad
+    return float(int(gain.argmax()) / (GRID - 1))
+
+
 def fit(good: np.ndarray, bad: np.ndarray) -> Ranker | None:
-    """Newton steps on the pairwise logistic loss; None unless both labels occur."""
+    """The model of features in memory, on PAIRS drawn pairs; None unless both labels occur."""
     if not len(good) or not len(bad):
         return None
     both = np.concatenate([good, bad])
@@ -87,30 +116,34 @@ def fit(good: np.ndarray, bad: np.ndarray) -> Ranker | None:
     good, bad = (good - mean) / scale, (bad - mean) / scale
     rng = np.random.default_rng(11)
     diff = good[rng.integers(0, len(good), PAIRS)] - bad[rng.integers(0, len(bad), PAIRS)]
-    w = np.zeros(diff.shape[1])
-    for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
-        grad = diff.T @ (1 - p) / PAIRS - RIDGE * w
-        curve = (diff * (p * (1 - p))[:, None]).T @ diff / PAIRS + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(curve, grad)
-        w += step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
-            break
+    w = newton(lambda w: newton_sums(diff, w), PAIRS, diff.shape[1])
     sg, sb = np.sort(good @ w), np.sort(bad @ w)
     grid = np.quantile(np.concatenate([sg, sb]), np.linspace(0, 1, GRID))
-    # the cut that passes the most good and stops the most bad
-    gain = (1 - np.searchsorted(sg, grid) / len(sg)) + np.searchsorted(sb, grid) / len(sb)
-    return Ranker(w, mean, scale, grid, float(int(gain.argmax()) / (GRID - 1)))
+    return Ranker(w, mean, scale, grid, best_cut(np.searchsorted(sg, grid), np.searchsorted(sb, grid), len(sg), len(sb)))
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Ranker | None:
-    """Fit on the labelled documents that ``allowed`` (over doc_id) admits."""
-    spark = docs.sparkSession
-    marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-              .filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & allowed))
-    picked = sample_per_group(marked, "quality", TRAIN_DOCS)
-    chosen = [(r.doc_id, int(r.quality)) for r in picked.select("doc_id", "quality").distinct().collect()]
-    ids = F.broadcast(spark.createDataFrame(chosen, "doc_id long, quality int"))  # 2 * TRAIN_DOCS rows
+def _rows_of(col: pa.Array) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+
+
+def _total(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum of ``of`` over all feature rows ``x``: one row a task reaches the driver, in task order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for b in batches:
+            if b.num_rows:
+                part = of(_rows_of(b.column("x")))
+                out = part if out is None else out + part
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["s"])
+
+    return np.sum([r.s for r in rows.select("x").mapInArrow(run, "s array<double>").collect()], axis=0)
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFrame:
+    """``(quality, doc_id, x)`` of every labelled document that ``allowed`` admits, written once."""
+    marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+              .filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & allowed).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,11 +152,70 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Ranker | None:
                 [b.column("quality"), b.column("doc_id"), pa.array(x, pa.list_(pa.float64()))],
                 ["quality", "doc_id", "x"])
 
-    rows = (small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-            .select("quality", "doc_id", "text").mapInArrow(run, "quality int, doc_id long, x array<double>")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.quality, r.x))
-    x = {k: np.array([r.x for r in rows if r.quality == k]) for k in (0, 1)}
-    return fit(x[1], x[0])
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = join_small_side(texts, marked, ["doc_id"], F.xxhash64("text"))
+    return stored(rows.select("quality", "doc_id", "text").mapInArrow(run, "quality int, doc_id long, x array<double>"),
+                  "quality-features")
+
+
+def preference_pairs(rows: DataFrame, counts: dict[int, int]) -> tuple[DataFrame, int]:
+    """``x``: feature differences of pairs that hold every document, and their number.
+
+    Documents of a label are numbered by a hash; pair n has good n mod G and bad n mod B,
+    and each further round over the larger label shifts the smaller one by a place.
+    """
+    n_good, n_bad = counts[1], counts[0]
+    most = max(n_good, n_bad)
+    rounds = -(-PAIRS // most) if most < PAIRS else 1
+    keyed = rows.withColumn("key", F.xxhash64("doc_id", "x"))
+    at = dense_index(keyed, ["quality"], ["key", "doc_id"], out="at").select("quality", "at", "x")
+    turns = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
+    large, small = (1, 0) if n_good >= n_bad else (0, 1)
+    big = (at.filter(F.col("quality") == large).select("x", "at", turns.alias("turn"))
+           .select(F.col("x").alias("big"), F.pmod(F.col("at") + F.col("turn"), F.lit(min(n_good, n_bad))).alias("at"), "turn"))
+    few = at.filter(F.col("quality") == small).select(F.col("x").alias("few"), "at")
+    good, bad = ("big", "few") if large == 1 else ("few", "big")
+    pairs = join_small_side(big, few, ["at"], F.xxhash64("big")).select(F.zip_with(good, bad, lambda g, b: g - b).alias("x"))
+    return stored(pairs, "quality-pairs"), most * rounds
+
+
+def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Ranker | None:
+    """Fit on all labelled documents that ``allowed`` (over doc_id) admits; None unless both labels occur."""
+    rows = labelled_features(docs, labels, allowed)
+    counts = {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}
+    if set(counts) != {0, 1}:
+        return None
+    n = counts[0] + counts[1]
+    mean = _total(rows, lambda x: x.sum(0)) / n
+    scale = np.sqrt(_total(rows, lambda x: ((x - mean) ** 2).sum(0)) / n)
+    scale[scale < 1e-9] = 1.0
+    pairs, n_pairs = preference_pairs(rows, counts)
+    w = newton(lambda w: _total(pairs, lambda d: newton_sums(d / scale, w)), n_pairs, len(mean))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = ((_rows_of(b.column("x")) - mean) / scale) @ w if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(s, pa.float64())], ["quality", "s"])
+
+    scores = stored(rows.select("quality", "x").mapInArrow(run, "quality int, s double"), "quality-scores")
+    # quantiles from the scores at the two ranks around each; the cut from counts below each of them
+    place = np.linspace(0, 1, GRID) * (n - 1)
+    wanted = sorted({int(p) for p in np.floor(place)} | {int(p) for p in np.ceil(place)})
+    ranks = docs.sparkSession.createDataFrame([(k,) for k in wanted], "at long")  # at most 2 * GRID rows
+    at = {r["at"]: r.s for r in dense_index(scores.select("s"), [], ["s"], out="at").join(F.broadcast(ranks), "at").collect()}
+    low, high = (np.array([at[int(p)] for p in f(place)]) for f in (np.floor, np.ceil))
+    grid = low + (high - low) * (place - np.floor(place))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = np.searchsorted(grid, b.column("s").to_numpy(zero_copy_only=False), side="right")
+            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(k, pa.int64())], ["quality", "k"])
+
+    seen = np.zeros((2, GRID + 1))  # scores below grid[j] are those with k <= j
+    for r in scores.mapInArrow(below, "quality int, k long").groupBy("quality", "k").count().collect():
+        seen[r.quality, r.k] = r["count"]
+    upto = seen.cumsum(1)[:, :GRID]
+    return Ranker(w, mean, scale, grid, best_cut(upto[1], upto[0], counts[1], counts[0]))
 
 
 def score_documents(docs: DataFrame, model: Ranker | None) -> DataFrame:
