@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from shotloom.operators import contrast as N
 from shotloom.operators import retrieve as R
 
@@ -95,3 +97,29 @@ def test_stop_tokens_of_a_bucket_are_not_multiplied(spark, monkeypatch):
     got = R.struct_retrieve(spark.createDataFrame(items, ITEMS), 3).collect()
     assert len(got) == 3 * n and all(r.target_id // per == r.demo_id // per for r in got)
     assert seen[0] <= 4 * per * n < n * n / 20
+
+
+def test_equal_scores_are_not_all_paired(spark, monkeypatch):
+    """Questions that differ in one token all score the same: only those with smaller ids than the k-th known come back."""
+    n = 400
+    items = [(i, ["how", "many", "of", f"own{i}"], False, i % 2, i % 3 == 0, False, False, i % 5 == 0) for i in range(n)]
+    seen = []
+    original = R.struct_pairs
+    monkeypatch.setattr(R, "struct_pairs", lambda *a: (seen.append(original(*a).count()), original(*a))[1])
+    got = R.struct_retrieve(spark.createDataFrame(items, ITEMS), 3).collect()
+    assert {(r.target_id, r.demo_id, r["rank"]) for r in got} == plain_struct(items, 3)
+    assert seen[0] < n * n / 20
+
+
+def test_features_are_computed_once(spark):
+    """The signatures' join reads stored features: its null check does not run them again in the scan's one task."""
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        met.add(1)
+        return x
+
+    items = spark.createDataFrame([(i, ["a", f"b{i}"], False, 0, False, False, False, False) for i in range(40)], ITEMS).repartition(2)
+    toks = F.udf(seen, "array<string>")("toks")
+    R.struct_retrieve(items.withColumn("toks", toks), 2).collect()
+    assert met.value == 40
