@@ -9,9 +9,12 @@ The language of a text is guessed from the same words (naive Bayes over whole wo
 learnt from labelled languages), and each language has its own cut, calibrated on
 documents that the training held back and laid on ``THRESHOLD``.
 
-The model is fitted on the driver from a bounded, hash-ordered sample (``TRAIN_DOCS``
-of each label, at most ``TRAIN_BYTES`` of a text) and broadcast. Scoring reads whole
-texts, in steps of bounded size also within one long text.
+Training starts on the driver from a bounded, hash-ordered sample (``TRAIN_DOCS`` of
+each label). Where that is not every whole labelled text, Spark goes on over all of
+them: the buckets, the language odds and the cuts are counts of all labelled
+documents, and in each of ``ROUNDS`` every task trains on its own documents and the
+changes are averaged, those of a bucket over the tasks that met it. Training and
+scoring read whole texts, in steps of bounded size also within one long text.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotloom.llm.base import crc_mod, join_small_side, mix64, slices, top_k
+from shotloom.llm.base import crc_mod, join_small_side, mix64, slices, small_batches, stored, top_k
 
 THRESHOLD = 0.3
 TRAIN_DOCS, TRAIN_BYTES, MIN_COUNT = 1500, 100_000, 3
-BUCKETS, WIDTH, WIDTHS, FILTERS = 1 << 22, 16, (1, 2, 3), 16
+BUCKETS, WIDTH, WIDTHS, FILTERS = 1 << 18, 16, (1, 2, 3), 16
+#: Passes over all labelled documents; bytes of their texts in a task; fixed point of summed changes; steps of a cut.
+ROUNDS, PART_BYTES, FIXED, CUT_STEPS = 2, 8 << 20, 1 << 20, 256
 #: Passes over the sample, more of them where it is small; share of words hidden from a pass; size of first embeddings.
 EPOCHS, UPDATES, BATCH, RATE, RIDGE, FORGET, INIT = 5, 300, 64, 0.01, 3e-3, 0.1, 0.01
 #: Documents of each label that calibrate a cut of their own; each fifth one is held back for it.
@@ -148,24 +153,38 @@ class Adam:
         self.value[rows] -= RATE * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def gradients(x: np.ndarray, lens: np.ndarray, y: np.ndarray, model: Cnn) -> tuple[float, dict, np.ndarray, np.ndarray]:
-    """Mean logistic loss, gradients of filters and unit, and those of the word vectors (places, rows)."""
-    values = convolved(x, model.filters, model.bias)
+def peaks(x: np.ndarray, lens: np.ndarray, model: Cnn) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each width the place and value of each filter's largest window in each text, ``STEP_WORDS`` places at a time."""
     ends = np.cumsum(lens + _PADS)
     begin = ends - lens - _PADS
-    at = [np.zeros((len(lens), FILTERS), np.int64) for _ in WIDTHS]
+    at = [np.repeat(begin[:, None], FILTERS, axis=1) for _ in WIDTHS]
     top = [np.zeros((len(lens), FILTERS)) for _ in WIDTHS]
-    for d in np.flatnonzero(lens).tolist():
-        for k, v in enumerate(values):
-            part = v[begin[d]:begin[d] + lens[d]]
-            at[k][d] = part.argmax(0)
-            top[k][d] = part.max(0)
-            at[k][d] += begin[d]
+    cols = np.arange(FILTERS)
+    for a in range(0, len(x), STEP_WORDS):
+        b = min(len(x), a + STEP_WORDS)
+        values = convolved(x[a:min(len(x), b + _PADS)], model.filters, model.bias)
+        for d in range(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(begin, b, side="left"))):
+            low, high = max(int(begin[d]), a) - a, min(int(begin[d] + lens[d]), b) - a
+            if low >= high:
+                continue
+            for k, v in enumerate(values):
+                best = v[low:high].argmax(0)
+                value = v[low + best, cols]
+                more = value > top[k][d]
+                top[k][d][more] = value[more]
+                at[k][d][more] = (a + low + best)[more]
+    return at, top
+
+
+def gradients(x: np.ndarray, lens: np.ndarray, y: np.ndarray, model: Cnn,
+              weight: np.ndarray | float = 1.0) -> tuple[float, dict, np.ndarray, np.ndarray]:
+    """Mean logistic loss, gradients of filters and unit, and those of the word vectors (places, rows)."""
+    at, top = peaks(x, lens, model)
     pooled = np.concatenate(top, axis=1)
     z = np.clip(pooled @ model.out + model.out_bias, -30, 30)
     p = 1 / (1 + np.exp(-z))
     loss = float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
-    dz = (p - y) / len(y)
+    dz = weight * (p - y) / len(y)
     grads = {"out": pooled.T @ dz, "out_bias": np.array([dz.sum()])}
     places, rows = [], []
     for k, w in enumerate(WIDTHS):
@@ -187,13 +206,19 @@ def guess(sums: np.ndarray) -> np.ndarray:
     return sums.argmax(1) if sums.shape[1] else np.zeros(len(sums), np.int64)
 
 
-def cut_between(good: np.ndarray, bad: np.ndarray) -> float:
-    """The value that best parts ``bad`` (label 1, above) from ``good``, in the middle of its gap."""
+def cut_between(good: np.ndarray, bad: np.ndarray, n_good: np.ndarray | None = None, n_bad: np.ndarray | None = None) -> float:
+    """The value that best parts ``bad`` (label 1, above) from ``good``, in the middle of its gap.
+
+    ``n_good`` and ``n_bad`` say how often each value was met (once, if not given).
+    """
+    def below(values: np.ndarray, n: np.ndarray | None) -> np.ndarray:
+        order = np.argsort(values)
+        upto = np.concatenate([[0], np.cumsum(np.ones(len(values)) if n is None else n[order])])
+        return upto[np.searchsorted(values[order], mids)] / upto[-1]
+
     both = np.unique(np.concatenate([good, bad]))
     mids = np.concatenate([both[:1] - 1, (both[1:] + both[:-1]) / 2, both[-1:] + 1])
-    caught = 1 - np.searchsorted(np.sort(bad), mids) / len(bad)
-    left = np.searchsorted(np.sort(good), mids) / len(good)
-    gain = caught + left
+    gain = 1 - below(bad, n_bad) + below(good, n_good)
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     # of equally good cuts the one with the widest gap
     width = np.diff(np.concatenate([both[:1] - 1, both, both[-1:] + 1]))
@@ -254,6 +279,90 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None]) -> Cnn | N
     return model
 
 
+class Learner:
+    """Adam over batches of documents, from a given model; what it changed, for averaging."""
+
+    def __init__(self, model: Cnn, weights: np.ndarray):
+        self.model, self.weights = model, weights
+        self.rows: dict[bytes, int] = {}
+        self.parts = np.zeros((1, PARTS), np.int64)
+        self.bias = np.array([model.out_bias])
+        self.dense = {("filters", w): Adam(f.astype(float)) for w, f in model.filters.items()}
+        self.dense |= {("bias", w): Adam(b.astype(float)) for w, b in model.bias.items()}
+        self.dense |= {"out": Adam(model.out.astype(float)), "out_bias": Adam(self.bias)}
+        self.deep = Adam(model.embed.astype(np.float32))
+        self.met = np.zeros(len(model.embed), np.int64)
+        self.steps = 0
+        self.rng = np.random.default_rng(12)
+        self.now = Cnn(model.buckets, self.deep.value, model.odds, {w: self.dense["filters", w].value for w in WIDTHS},
+                       {w: self.dense["bias", w].value for w in WIDTHS}, self.dense["out"].value, model.out_bias, [], model.cuts)
+
+    def _learn(self, docs: list[list[bytes]]) -> None:
+        need = set().union(*docs)
+        new = need - self.rows.keys()
+        if len(self.rows) + len(new) > KNOWN_WORDS:
+            self.rows, self.parts, new = {}, np.zeros((1, PARTS), np.int64), need
+        if new:
+            order = list(new)
+            self.rows.update(zip(order, range(len(self.parts), len(self.parts) + len(order)), strict=True))
+            self.parts = np.concatenate([self.parts, rows_of(hashed(order), self.model.buckets)])
+
+    def step(self, docs: list[list[bytes]], y: np.ndarray) -> None:
+        self._learn(docs)
+        texts = [self.parts[np.fromiter(map(self.rows.__getitem__, d), np.int64, len(d))] for d in docs]
+        gap = np.zeros((_PADS, PARTS), np.int64)
+        flat = np.concatenate([p for t in texts for p in (t, gap)])
+        flat[self.rng.random(len(flat)) < FORGET] = 0
+        lens = np.array([len(t) for t in texts], np.int64)
+        embed = self.deep.value
+        x = sum(embed[flat[:, k]] for k in range(PARTS))
+        self.now.out_bias = float(self.bias[0])
+        _, grads, places, up = gradients(x, lens, y, self.now, self.weights[y.astype(int)])
+        for name, g in grads.items():
+            self.dense[name].step(g + RIDGE * self.dense[name].value)
+        touched, where = np.unique(flat[places], return_inverse=True)
+        total = np.zeros((len(touched), WIDTH))
+        np.add.at(total, where.reshape(-1), np.repeat(up, PARTS, axis=0))
+        real = touched > 0
+        self.deep.step((total + RIDGE * embed[touched])[real], touched[real])
+        self.met[touched[real]] += 1
+        self.steps += 1
+
+    def changes(self) -> pa.RecordBatch:
+        """``(row, n, d0, ...)``: times met and as many times the change, in fixed point; rows under 0 hold what is dense."""
+        rows = np.flatnonzero(self.met)
+        n = self.met[rows]
+        deep = (self.deep.value[rows] - self.model.embed[rows]) * n[:, None]
+        flat = (_dense(self.now, float(self.bias[0])) - _dense(self.model, self.model.out_bias)) * self.steps
+        values = np.rint(np.concatenate([deep, flat]) * FIXED).astype(np.int64)
+        rows = np.concatenate([rows, -1 - np.arange(len(flat))])
+        n = np.concatenate([n, np.full(len(flat), self.steps)])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (rows, n, *values.T)], ["row", "n", *_CHANGES])
+
+
+_CHANGES = [f"d{i}" for i in range(WIDTH)]
+
+
+def _dense(model: Cnn, bias: float) -> np.ndarray:
+    """Filters, biases and unit as rows of WIDTH values."""
+    flat = np.concatenate([*(model.filters[w].ravel() for w in WIDTHS), *(model.bias[w] for w in WIDTHS), model.out, [bias]]).astype(float)
+    return np.pad(flat, (0, -len(flat) % WIDTH)).reshape(-1, WIDTH)
+
+
+def _changed(model: Cnn, rows: np.ndarray, change: np.ndarray) -> Cnn:
+    embed = model.embed.copy()
+    embed[rows[rows > 0]] += change[rows > 0].astype(np.float32)
+    dense = _dense(model, model.out_bias)
+    dense[-1 - rows[rows < 0]] += change[rows < 0]
+    flat, filters, biases = dense.ravel(), {}, {}
+    for w in WIDTHS:
+        filters[w], flat = flat[:w * WIDTH * FILTERS].reshape(w, WIDTH, FILTERS).astype(np.float32), flat[w * WIDTH * FILTERS:]
+    for w in WIDTHS:
+        biases[w], flat = flat[:FILTERS].astype(np.float32), flat[FILTERS:]
+    n = FILTERS * len(WIDTHS)
+    return Cnn(model.buckets, embed, model.odds, filters, biases, flat[:n].copy(), float(flat[n]), model.languages, model.cuts)
+
+
 def _language_odds(ids: list[np.ndarray], langs: list[str | None], row: np.ndarray, n_rows: int) -> np.ndarray:
     """Log-odds of every row's words for each language, from the documents whose language is known."""
     names = sorted({x for x in langs if x is not None})
@@ -262,6 +371,12 @@ def _language_odds(ids: list[np.ndarray], langs: list[str | None], row: np.ndarr
         if lang is not None:
             np.add.at(count[:, names.index(lang)], row[d], 1)
     count[0] = 0
+    return _odds(count)
+
+
+def _odds(count: np.ndarray) -> np.ndarray:
+    """Log-odds of each language for every row, from the words counted there (rows x languages)."""
+    n_rows, names = count.shape
     share = np.log((count + 0.5) / (count.sum(0) + 0.5 * n_rows))
     odds = share - share.mean(1, keepdims=True) if names else share
     odds[0] = 0
@@ -319,18 +434,24 @@ class Scorer:
         return np.where(over >= 0, np.maximum(s, THRESHOLD), np.minimum(s, np.nextafter(THRESHOLD, 0))), lang
 
 
-def sample(docs: DataFrame, labels: DataFrame, allowed: Column) -> list[tuple[str, int, str | None]]:
+def _marked(docs: DataFrame, labels: DataFrame, allowed: Column) -> tuple[DataFrame, DataFrame]:
+    marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+              .filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & allowed).distinct())
+    return marked, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("text is not null")
+
+
+def sample(docs: DataFrame, labels: DataFrame, allowed: Column, keep: Column | None = None) -> list[tuple[str, int, str | None]]:
     """``(text, label, lang)`` of at most TRAIN_DOCS distinct labelled texts of each label.
 
     Texts are picked by a hash of id and text, and only the lowest part of the hash
     space that should hold 1.5 times as many is ranked. Of repeated rows one is taken,
-    so neither the ranking nor the driver's rows grow with the input.
+    so neither the ranking nor the driver's rows grow with the input. Only texts that
+    ``keep`` (over digest) admits are taken.
     """
-    marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-              .filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & allowed).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("text is not null")
+    marked, texts = _marked(docs, labels, allowed)
     digest = F.xxhash64("doc_id", "text").alias("digest")
     keys = join_small_side(texts.select("doc_id", digest), marked, ["doc_id"], F.col("digest")).distinct()
+    keys = keys if keep is None else keys.filter(keep)
     counts = {r.toxic: r["count"] for r in keys.groupBy("toxic").count().collect()}
     if set(counts) != {0, 1}:
         return []
@@ -344,10 +465,142 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Column) -> list[tuple[st
     return sorted(((r.text, r.toxic, r.lang) for r in got), key=lambda r: (r[1], r[0], r[2] or ""))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, allowed: Column) -> DataFrame:
+    """``(doc_id, digest, toxic, lang, text, task)`` of every whole labelled text, repeated rows once, written once.
+
+    Rows are dealt by digest into tasks of about PART_BYTES of text, a file each in the order of their digests.
+    """
+    marked, texts = _marked(docs, labels, allowed)
+    rows = join_small_side(texts.withColumn("digest", F.xxhash64("doc_id", "text")), marked, ["doc_id"], F.col("digest"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    once = (rows.repartition(max(1, -(-size // PART_BYTES)), "digest").groupBy("doc_id", "digest", "toxic")
+            .agg(F.min("lang").alias("lang"), F.first("text").alias("text")))
+    return stored(once.withColumn("task", F.spark_partition_id()).sortWithinPartitions("digest", "doc_id", "toxic"), "toxic-texts")
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[bytes]], pa.RecordBatch]]:
+    """Runs of at most BATCH rows and about STEP_BYTES of text, their texts as words."""
+    for b in batches:
+        for at, n in slices(b.column("text"), STEP_BYTES):
+            for lo in range(at, at + n, BATCH):
+                part = b.slice(lo, min(BATCH, at + n - lo))
+                yield [words_of(t) for t in part.column("text").to_pylist()], part
+
+
+def count_words(rows: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that at least MIN_COUNT of all documents hold, and their whole words in each language."""
+    width = 1 + len(languages)
+    at = {x: k + 1 for k, x in enumerate(languages)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((BUCKETS, width), np.int64)
+        for docs, part in _steps(batches):
+            for words, lang in zip(docs, part.column("lang").to_pylist(), strict=True):
+                known = {w: k for k, w in enumerate(dict.fromkeys(words))}
+                parts = hashed(list(known))
+                seen[np.unique(parts), 0] += 1
+                if lang is not None:
+                    times = np.bincount(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), minlength=len(known))
+                    np.add.at(seen[:, at[lang]], parts[:, 0], times)
+        bucket, k = np.nonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(k), pa.array(seen[bucket, k])], ["bucket", "k", "n"])
+
+    total = rows.select("text", "lang").mapInArrow(run, "bucket long, k long, n long").groupBy("bucket", "k").agg(F.sum("n").alias("n"))
+    bucket, k, n = _columns(total)
+    seen = np.zeros((BUCKETS, width), np.int64)
+    seen[bucket, k] = n
+    kept = np.flatnonzero(seen[:, 0] >= MIN_COUNT)
+    return kept, seen[kept, 1:]
+
+
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    got = df.toArrow()
+    return [got.column(c).to_numpy() for c in got.column_names]
+
+
+def refine(model: Cnn, rows: DataFrame, counts: dict[int, int]) -> Cnn:
+    """One round: every task trains on its documents, in the order of their digests; the mean of the changes."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    n = counts[0] + counts[1]
+    weights = np.array([n / (2 * counts[0]), n / (2 * counts[1])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, now, docs, y, size = None, None, [], [], 0
+        for b in batches:
+            for task, toxic, text in zip(*(b.column(c) for c in ("task", "toxic", "text")), strict=True):
+                words = words_of(text.as_py())
+                if docs and (task.as_py() != now or len(docs) == BATCH or size + len(words) > STEP_WORDS):
+                    learner.step(docs, np.array(y, float))
+                    docs, y, size = [], [], 0
+                if task.as_py() != now:
+                    if learner:
+                        yield learner.changes()
+                    learner, now = Learner(shared.value, weights), task.as_py()
+                docs.append(words)
+                y.append(toxic.as_py())
+                size += len(words)
+        if docs:
+            learner.step(docs, np.array(y, float))
+            yield learner.changes()
+
+    dealt = rows.select("task", "toxic", "text")
+    sums = (dealt.mapInArrow(run, "row long, n long, " + ", ".join(f"{c} long" for c in _CHANGES))
+            .groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _CHANGES]))
+    row, times, *change = _columns(sums)
+    return _changed(model, row, np.stack(change, axis=1) / (FIXED * times[:, None]))
+
+
+def calibrate(model: Cnn, rows: DataFrame) -> np.ndarray:
+    """The cuts of ``model`` from the raw scores of all ``rows``, counted in steps of 1 / CUT_STEPS."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value)
+        for docs, part in _steps(batches):
+            z, lang = score.raw(docs)
+            step = np.floor(np.clip(z * CUT_STEPS, -(1 << 20), 1 << 20)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(lang), pa.array(step)], ["toxic", "lang", "step"])
+
+    seen = rows.select("toxic", "text").mapInArrow(run, "toxic int, lang long, step long").groupBy("toxic", "lang", "step").count()
+    toxic, lang, step, n = _columns(seen)
+    z = (step + 0.5) / CUT_STEPS
+
+    def cut(own: np.ndarray, least: int) -> float | None:
+        good, bad = own & (toxic == 0), own & (toxic == 1)
+        return cut_between(z[good], z[bad], n[good], n[bad]) if min(n[good].sum(), n[bad].sum()) >= least else None
+
+    common = cut(np.ones(len(z), bool), 1)
+    own = [cut(lang == k, CALIBRATE) for k in range(max(1, len(model.languages)))]
+    return np.array([model.cuts[0] if common is None else common if c is None else c for c in own])
+
+
 def train(docs: DataFrame, labels: DataFrame, allowed: Column) -> Cnn | None:
-    """Fit on the labelled documents that ``allowed`` (over doc_id) admits."""
-    rows = sample(docs, labels, allowed)
-    return fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+    """Fit on all labelled documents that ``allowed`` (over doc_id) admits, whole; None unless both labels occur."""
+    rows = labelled(small_batches(docs, 256), labels, allowed)
+    size = {r.toxic: r for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest")).collect()}
+    if set(size) != {0, 1}:
+        return None
+    counts = {y: r.n for y, r in size.items()}
+    whole = all(r.n <= TRAIN_DOCS and r.longest <= TRAIN_BYTES for r in size.values())
+    enough = min(counts.values()) >= 2 * BACK * CALIBRATE
+    held = F.pmod(F.xxhash64("digest"), F.lit(BACK)) == 0
+    first = sample(docs, labels, allowed, ~held if enough and not whole else None)
+    model = fit([r[0] for r in first], [r[1] for r in first], [r[2] for r in first])
+    if whole or model is None:
+        return model
+    languages = sorted(r.lang for r in rows.filter("lang is not null").select("lang").distinct().collect())
+    buckets, words = count_words(rows, languages)
+    embed = np.random.default_rng(12).normal(0, INIT, (len(buckets) + 1, WIDTH)).astype(np.float32)
+    old = np.concatenate([[0], rows_of(buckets, model.buckets)])
+    embed[old > 0] = model.embed[old[old > 0]]
+    embed[0] = 0
+    model.buckets, model.embed, model.languages = buckets, embed, languages
+    model.odds, model.cuts = _odds(np.concatenate([np.zeros((1, len(languages)), np.int64), words])), model.cuts[:1]
+    learn, back = (rows.filter(~held), rows.filter(held)) if enough else (rows, rows)
+    for _ in range(ROUNDS):
+        model = refine(model, learn, counts)
+    model.cuts = calibrate(model, back)
+    return model
 
 
 def score_texts(docs: DataFrame, model: Cnn | None) -> DataFrame:

@@ -158,3 +158,33 @@ def test_empty_tables(spark):
     assert judge_toxicity(empty, none).count() == 0
     bare = judge_toxicity(spark.createDataFrame(hard_docs(), DOCS), none)
     assert {(r.score, r.predicted) for r in bare.collect()} == {(0.0, 0)}
+
+
+def test_learns_from_every_whole_text(spark, monkeypatch):
+    """Buckets, languages and cuts come from all labelled texts, also past the driver's sample and its text length."""
+    monkeypatch.setattr(T, "TRAIN_DOCS", 60)
+    monkeypatch.setattr(T, "TRAIN_BYTES", 40)
+    rows = made(800) + [(900 + i, "ta " * 30 + "latestword", "cc", i % 2) for i in range(4)]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang, _ in rows], DOCS)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, _, y in rows], LABELS)
+    model = T.train(docs.repartition(5), labels, F.lit(True))
+    met = np.concatenate([np.unique(hashed(sorted(set(words_of(t))))) for _, t, _, _ in rows])
+    buckets, n = np.unique(met, return_counts=True)
+    assert model.buckets.tolist() == buckets[n >= T.MIN_COUNT].tolist() and model.languages == ["aa", "bb", "cc"]
+    assert np.isin(hashed([b"latestword"])[0], model.buckets).all()
+    fresh = made(200, 7)
+    assert (((Scorer(model)([r[1] for r in fresh])[0] >= 0.3) == [r[3] == 1 for r in fresh])).mean() > 0.97
+    again = T.train(docs.repartition(2), labels, F.lit(True))
+    assert (again.embed == model.embed).all() and (again.cuts == model.cuts).all() and (again.out == model.out).all()
+
+
+def test_peaks_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = made(40, 2)
+    model = fit([r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows])
+    _, lens = padded([np.arange(n) for n in (50, 0, 3, 17)])
+    x = rng.normal(0, 1, (int(lens.sum()) + 2 * len(lens), T.WIDTH))
+    want = T.peaks(x, lens, model)
+    monkeypatch.setattr(T, "STEP_WORDS", 7)
+    got = T.peaks(x, lens, model)
+    assert all(np.allclose(a, b) for g, w in zip(got, want) for a, b in zip(g, w))
