@@ -61,3 +61,10 @@ def test_the_trees_of_one_text():
     assert (f"{kw}AND_0", f"{kw}EQ_0", "this") in edges and (f"{kw}AND_0", f"{kw}NOT_0", "expression") in edges
     assert (f"{kw}NOT_0", f"{kw}LIKE_0", "this") in edges and ("COLUMN_t.x", "x", "COLUMN") in nodes
     assert graph_of([""], {}) == ({}, {})
+
+
+def test_tables_with_and_without_columns(spark):
+    log = spark.createDataFrame([(1, "SELECT count(*) FROM t JOIN u ON t.y = 1 AND x = 2"), (2, ""), (None, "SELECT z FROM u")],
+                                "qid long, query string")
+    got = {(r.qid, r.table_node): (r.n_columns, r.columns) for r in G.tables_columns(G.graphs(log, _names(spark))).collect()}
+    assert got == {(1, "TABLE_t"): (2, ["x", "y"]), (1, "TABLE_u"): (0, []), (None, "TABLE_u"): (1, ["z"])}
