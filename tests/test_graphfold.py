@@ -1,11 +1,15 @@
 """Graphs read text by text: no token rows, large catalogs, and rows that share a qid or have none."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
+
 from shotloom.operators import sqlgraph as G
 from shotloom.operators.graphfold import graph_of
+from shotloom.plans.registry import QUERIES
 
 SQL = ["SELECT a.x, y FROM t AS a JOIN u ON a.k = u.k WHERE a.y IN (SELECT z FROM u WHERE z > {n} AND NOT y = 'b') OR x = -1",
        "SELECT max(x) * 2 FROM t GROUP BY y HAVING count(*) > {n} UNION SELECT x FROM (SELECT z FROM u) v WHERE y BETWEEN 1 AND {n}",
@@ -68,3 +72,12 @@ def test_tables_with_and_without_columns(spark):
                                 "qid long, query string")
     got = {(r.qid, r.table_node): (r.n_columns, r.columns) for r in G.tables_columns(G.graphs(log, _names(spark))).collect()}
     assert got == {(1, "TABLE_t"): (2, ["x", "y"]), (1, "TABLE_u"): (0, []), (None, "TABLE_u"): (1, ["z"])}
+
+
+def _shuffle_keys(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {re.sub(r"#\d+L?", "", k).rsplit(", ", 1)[0] for k in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)}
+
+
+def test_words_are_counted_in_their_node(spark):
+    assert not _shuffle_keys(QUERIES["node_features"](spark, SF_SMALL))
