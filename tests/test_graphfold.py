@@ -81,3 +81,7 @@ def _shuffle_keys(df):
 
 def test_words_are_counted_in_their_node(spark):
     assert not _shuffle_keys(QUERIES["node_features"](spark, SF_SMALL))
+
+
+def test_vectors_move_graphs_by_query(spark):
+    assert _shuffle_keys(QUERIES["graph_vectors"](spark, SF_SMALL)) == {"qid"}
