@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 
+from shotloom.operators import augment as A
 from shotloom.operators import sqlgraph as G
 from shotloom.operators.graphfold import graph_of
 from shotloom.plans.registry import QUERIES
@@ -85,3 +86,14 @@ def test_words_are_counted_in_their_node(spark):
 
 def test_vectors_move_graphs_by_query(spark):
     assert _shuffle_keys(QUERIES["graph_vectors"](spark, SF_SMALL)) == {"qid"}
+
+
+def test_predicates_are_edited_in_one_spread_of_graphs(spark, monkeypatch):
+    """One written table, of graphs that met in one shuffle by qid."""
+    seen, plain = [], A.stored
+    monkeypatch.setattr(A, "stored", lambda df, *a: seen.append(_shuffle_keys(df)) or plain(df, *a))
+    nodes, edges = G.graph_tables(_log(spark, [*range(30), None]), _names(spark))
+    n, e = A.predicate_modification(nodes, edges, 5)
+    assert seen == [{"qid"}]
+    whole = nodes.filter("qid IS NULL").count()
+    assert n.filter("qid IS NULL").count() == whole and 0 < n.count() < nodes.count()
